@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, packing, quality, token_counts, toxicity
+from . import bpe, embedding_dedup, labelled, packing, quality, token_counts, toxicity
 from .common import remainder
 
 
@@ -44,6 +44,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score(docs, model), 3, 1)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of 0.9 or more, and their components."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text, and whether they exceed 512."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_toxicity": op5_toxicity,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
