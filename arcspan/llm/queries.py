@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, hilbert_search, labelled, packing, quality, token_counts, toxicity
+from . import bpe, embedding_dedup, hilbert_search, labelled, ngram_join, packing, quality, token_counts, toxicity
 from .common import remainder
 
 
@@ -44,6 +44,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score(docs, model), 3, 1)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more."""
+    out = ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with a cosine of 0.9 or more, and their components."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
