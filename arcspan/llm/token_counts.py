@@ -76,7 +76,7 @@ def frequent_pretokens(df: DataFrame, text: str = "text", frequent: int = FREQUE
     while parts > FAN_IN:
         out, parts = out.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(merge, schema), -(-parts // FAN_IN)
     counts = Counter()
-    for row in out.select("counts").toLocalIterator():
+    for row in out.select("counts").collect():  # at most FAN_IN summaries
         counts.update(pickle.loads(row[0]))
     return [k for k, _ in counts.most_common(frequent) if len(k) <= CACHED_CHARS]
 
