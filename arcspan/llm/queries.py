@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, hilbert_search, labelled, ngram_join, packing, quality, token_counts, toxicity
+from . import bpe, embedding_dedup, hilbert_search, labelled, license_scan, ngram_join, packing, quality, token_counts, toxicity
 from .common import remainder
 
 
@@ -37,6 +37,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score(docs, model), 4, 2)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences whose notice or text a document holds."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of the held-out third are not learned from."""
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
@@ -78,6 +83,7 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
@@ -86,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": license_scan.oracle_sql()}
