@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, hilbert_search, labelled, license_scan, ngram_join, packing, quality, token_counts, toxicity
+from . import bpe, embedding_dedup, hilbert_search, labelled, license_scan, ngram_join, packing, pitman_yor, quality, token_counts, toxicity
 from .common import remainder
 
 
@@ -25,6 +25,13 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability, learned from the texts that are not held out."""
+    out = pitman_yor.score(_table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    held = (remainder("doc_id", 10) == 0).alias("held_out")
+    return out.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _classified(df: DataFrame, modulus: int, held_out: int) -> DataFrame:
     held = remainder("doc_id", modulus) == held_out
     return df.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
@@ -82,6 +89,7 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_pitman_yor_scores": op2_pitman_yor_scores,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
