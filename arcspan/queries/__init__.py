@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import identity, network, relational  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "identity_user_hour_zscores"
