@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,11 +73,18 @@ class Spool:
         atexit.register(_delete, spark, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
-        """Write `df`; the table, read again."""
+        """Write `df`; the table, read again.
+
+        Shuffle files of plans that nothing refers to any more are freed at once, not whenever the
+        driver next happens to collect its garbage.
+        """
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        path, schema = f"{self.root}/{self.n}", df.schema
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        out = self.spark.read.schema(schema).parquet(path)
         out.spooled = path
         return out
 

@@ -29,10 +29,10 @@ def components(edges: DataFrame, spool: Spool) -> DataFrame:
         large = spool.write(large)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        spool_next = spool.write(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        after = spool.write(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         spool.drop(e)
         spool.drop(large)
-        e = spool_next
+        e = after
         found = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(found) == mark or not found[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,7 +10,8 @@ are compared with one member; links are contracted to components, and only membe
 different components are compared further: with another member each round, or all with all
 once few are left, so every pair in different components that a link could join is compared.
 
-A comparison is a block of the sparse product: the rows of up to `BLOCK` documents by one
+Overlap counts are first accumulated over the postings that two prefixes share; pairs below the
+bound that their sizes set for them go. A comparison is a block of the sparse product: the rows of up to `BLOCK` documents by one
 document's column; overlap counts are accumulated over the block, and pairs are dropped unless
 the count reaches the bound that the two sizes set, 175 * overlap >= 75 * (size + size) at 0.75.
 Pairs whose sizes alone rule a link out are never compared.
@@ -150,32 +151,34 @@ def _postings(entries: DataFrame) -> DataFrame:
 
 def _fetch(docs: DataFrame, wanted: DataFrame, size: int, spool: Spool) -> DataFrame:
     """Rows c, s (hashes, packed) of the wanted classes; `wanted`: c and the id of one document."""
-    spark = docs.sparkSession
-    ids = None
-    if wanted.count() <= IDS_MOST:
-        ids = np.unique(wanted.select("rep").toArrow()["rep"].to_numpy())
-    else:
-        docs = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
-    shared = spark.sparkContext.broadcast(ids)
+    ids = wanted.select(F.col("rep").alias("id")).distinct()
+    few = docs.join(F.broadcast(ids) if wanted.count() <= IDS_MOST else ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if shared.value is not None:
-                id = batch.column(0).fill_null(-(1 << 62)).to_numpy()
-                at = np.minimum(np.searchsorted(shared.value, id), max(len(shared.value) - 1, 0))
-                batch = batch.filter(pa.array(shared.value[at] == id)) if len(shared.value) else batch.slice(0, 0)
             for _, counts, c, h in _sets(batch, size):
                 end = np.cumsum(counts)
                 made = [h[a:b].tobytes() for a, b in zip(end - counts, end)]
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(made, pa.binary())], ["c", "s"])
 
-    sets = map_arrow(docs, run, "c long, s binary").join(wanted.select("c"), "c", "left_semi")
+    sets = map_arrow(few, run, "c long, s binary").join(wanted.select("c"), "c", "left_semi")
     return spool.write(sets.groupBy("c").agg(F.first("s").alias("s")))
 
 
+def _promising(pairs: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose overlap count within their prefixes allows a link.
+
+    The prefix that ends first leaves ceil(least * n) - 1 shingles of its set; so the counted
+    overlap must make up for the rest of the bound that both sizes set.
+    """
+    n = F.col("na") + F.col("nb")
+    bound = F.ceil(least * n / (100 + least)) - F.ceil(least * F.greatest("na", "nb") / 100) + 1
+    both = pairs.join(prefixes.select(F.col("c").alias("a"), F.col("hs").alias("ha")), "a").join(prefixes.select(F.col("c").alias("b"), F.col("hs").alias("hb")), "b")
+    return both.filter(F.size(F.array_intersect("ha", "hb")) >= bound).select("a", "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs a, b that link: blocks of the sparse product, one column and up to BLOCK rows each."""
-    pairs = pairs.distinct()
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     rows = rows.join(sets, F.col("b") == F.col("c")).select("a", "block", F.lit(1).alias("kind"), "b", "s")
@@ -221,8 +224,9 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     told = spool.write(_describe(docs, size))
     own = told.filter("h is null").select("id", "n", "c")
+    told_hot = spool.write(told.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT))
     classes = spool.write(own.filter("n > 0 and id is not null").groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
-    hot = _top(told.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT), "h", "n", HOT_MOST)
+    hot = _top(told_hot, "h", "n", HOT_MOST)
     many = classes.filter(F.col("n_copies") >= HOT).orderBy(F.desc("n_copies"), "c").limit(HOT_MOST // 4).select("c", "rep").toArrow()
     copies = dict(zip(many["c"].to_pylist(), many["rep"].to_pylist()))
     for attempt in range(4):
@@ -233,16 +237,13 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
             break
         hot = np.sort(np.concatenate([hot, more]))
         spool.drop(postings)
+    spool.drop(told_hot)
+    prefixes = spool.write(postings.groupBy("c").agg(F.collect_list("h").alias("hs")))
     # Postings with the same members are one.
     lists = postings.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.xxhash64("c", F.lit(1)) % (1 << 40)).alias("y"))
     once = lists.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h")
-    left = spool.write(postings.join(once, "h", "left_semi"))
+    members = spool.write(postings.join(once, "h", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("c"))))
     spool.drop(postings)
-    wanted = left.select("c").distinct().join(classes, "c").select("c", "rep")
-    sets = _fetch(docs, wanted, size, spool)
-    order = Window.partitionBy("h").orderBy("c")
-    members = spool.write(left.withColumn("place", F.row_number().over(order)))
-    spool.drop(left)
     links, roots, done = None, None, 0
     while True:
         now = members.filter(F.col("place") > done)
@@ -251,17 +252,23 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         now = spool.write(now.join(open_, "h"))
         if now.isEmpty():
             break
-        all_now = (F.col("m") <= FEW) if done < ROUNDS else F.lit(True)
-        first = done == 0
-        lead = now.filter(F.col("place") == done + 1) if first else now.filter((F.col("place") == done + 1) | all_now)
-        lead = lead.select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa"))
-        pairs = now.join(lead, "h").filter((F.col("place") > F.col("pa")) & (F.col("root") != F.col("ra")) & _near("n", "na", least)).select("a", F.col("c").alias("b"))
-        found = spool.write(_verify(pairs, sets, least))
-        links = found if links is None else spool.write(links.unionByName(found))
-        roots = spool.write(components(links, spool))
-        if not first:
-            finished = now.filter(all_now).select("h").distinct()
-            members = spool.write(members.join(finished, "h", "left_anti"))
+        # The first member is compared with all others; later, all with all where few are left.
+        whole = F.lit(False) if not done else (F.col("m") <= FEW) if done < ROUNDS else F.lit(True)
+        lead = now.filter((F.col("place") == done + 1) | whole).select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa"))
+        pairs = now.join(lead, "h").filter((F.col("place") > F.col("pa")) & (F.col("root") != F.col("ra")) & _near("n", "na", least))
+        pairs = pairs.select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).distinct()
+        pairs = spool.write(_promising(pairs, prefixes, least))
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes, "c").select("c", "rep")
+            sets = _fetch(docs, wanted, size, spool)
+            found = spool.write(_verify(pairs, sets, least))
+            spool.drop(sets)
+            links = found if links is None else spool.write(links.unionByName(found))
+            roots = spool.write(components(links, spool))
+        finished = now.filter(whole).select("h").distinct()
+        members = members if not done else spool.write(members.join(finished, "h", "left_anti"))
+        spool.drop(now)
+        spool.drop(pairs)
         done += 1
     if roots is None:
         joined = classes.withColumn("root", F.col("c"))
