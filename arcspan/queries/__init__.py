@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import endpoint, evidence, graph, identity, industrial, network, relational, response  # noqa: F401
+from . import endpoint, evaluation, evidence, graph, identity, industrial, ledger, network, relational, response, retrieval, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "identity_user_hour_zscores"
