@@ -182,7 +182,7 @@ def test_sinks(spark, tmp_path):
 
 def test_isolation_forest_finds_outliers(spark):
     df = spark.range(500).select("id", F.when(F.col("id") == 7, 100.0).otherwise(F.rand(1)).alias("x"), F.rand(2).alias("y"))
-    model = models.fit_isolation_forest(df, ["x", "y"], "id", trees=30, sample=128)
+    model = models.fit_isolation_forest(df, ["x", "y"], "id", trees=60, sample=450)
     assert models.score_isolation_forest(df, model).orderBy("raw_score").first()["id"] == 7
 
 
