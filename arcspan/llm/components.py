@@ -26,12 +26,10 @@ def components(edges: DataFrame, spool: Spool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = spool.write(large)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = spool.write(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         spool.drop(e)
-        spool.drop(large)
         e = after
         found = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(found) == mark or not found[0]:

@@ -7,7 +7,7 @@ the order here is by hash, with the shingles that are in many sets (`hot`) last.
 passage that many documents share starts no comparison between documents that differ
 otherwise. What is in several documents' prefixes is a posting. From each posting its members
 are compared with one member; links are contracted to components, and only members still in
-different components are compared further: with another member each round, or all with all
+different components are compared further: with a few members each round, or all with all
 once few are left, so every pair in different components that a link could join is compared.
 
 Overlap counts are first accumulated over the postings that two prefixes share; pairs below the
@@ -41,8 +41,8 @@ from .shingles import mix, shingle_sets
 
 #: Sets in which a shingle is hot; its sets within a task for the task to report it; broadcasts at most.
 HOT, LOCAL, HOT_MOST, IDS_MOST = 64, 4, 4_000_000, 4_000_000
-#: Documents of a block; members compared all with all; rounds with single members before that.
-BLOCK, FEW, ROUNDS = 512, 32, 8
+#: Documents of a block; members compared all with all at once; rounds with `PIVOTS` members each before all are.
+BLOCK, FEW, ROUNDS, PIVOTS = 512, 32, 3, 4
 
 
 def _fingerprints(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -244,9 +244,9 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     once = lists.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h")
     members = spool.write(postings.join(once, "h", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("c"))))
     spool.drop(postings)
-    links, roots, done = None, None, 0
+    links, roots, done, seen = None, None, 0, 0
     while True:
-        now = members.filter(F.col("place") > done)
+        now = members.filter(F.col("place") > seen)  # the first `seen` members are compared with all
         now = now.withColumn("root", F.col("c")) if roots is None else now.join(roots, now["c"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "c"))
         open_ = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low != high").select("h", "m")
         now = spool.write(now.join(open_, "h"))
@@ -254,7 +254,8 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
             break
         # The first member is compared with all others; later, all with all where few are left.
         whole = F.lit(False) if not done else (F.col("m") <= FEW) if done < ROUNDS else F.lit(True)
-        lead = now.filter((F.col("place") == done + 1) | whole).select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa"))
+        upto = seen + (PIVOTS if done else 1)
+        lead = now.filter((F.col("place") <= upto) | whole).select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa"))
         pairs = now.join(lead, "h").filter((F.col("place") > F.col("pa")) & (F.col("root") != F.col("ra")) & _near("n", "na", least))
         pairs = pairs.select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).distinct()
         pairs = spool.write(_promising(pairs, prefixes, least))
@@ -269,7 +270,7 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         members = members if not done else spool.write(members.join(finished, "h", "left_anti"))
         spool.drop(now)
         spool.drop(pairs)
-        done += 1
+        done, seen = done + 1, upto
     if roots is None:
         joined = classes.withColumn("root", F.col("c"))
     else:
