@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import clip01
 
-# The closed sets of the evidence contract.
-DETECTORS = ["NETWORK", "IDENTITY", "ENDPOINT", "OT", "HONEYPOT", "META", "THREAT_INTEL"]
-ENTITY_TYPES = ["HOST", "USER", "PROCESS", "IP", "DEVICE", "PLC", "SENSOR", "ACTUATOR", "DOMAIN", "FILE", "SERVICE", "ACCOUNT"]
+# The closed sets of the evidence contract. Deception evidence is accepted, too.
+DETECTORS = ["NETWORK", "IDENTITY", "ENDPOINT", "OT", "CLOUD", "EMAIL", "DNS", "HONEYPOT"]
+ENTITY_TYPES = ["HOST", "USER", "PROCESS", "DEVICE", "PLC", "SENSOR", "ACTUATOR", "NETWORK_FLOW", "DOMAIN", "FILE", "REGISTRY", "SERVICE"]
 SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
-REQUIRED = ["detector", "entity", "entity_type", "timestamp", "confidence", "risk_score"]
+PRIORITIES = {"LOW": 1, "NORMAL": 2, "HIGH": 3, "CRITICAL": 4}
+REQUIRED = ["detector", "entity", "timestamp", "risk_score", "confidence", "severity"]
 TTL_US = 600 * 1_000_000
 
 
@@ -98,10 +99,11 @@ def priority_order(df: DataFrame, priority: Column, arrival: list[str], partitio
     return df.withColumn("place", F.row_number().over(own))
 
 
-def from_detector(df: DataFrame, detector: str, entity: str, entity_type: str, score: str, time: str, confidence: float, high: float = 0.3, critical: float = 0.5) -> DataFrame:
-    """A detector's output as evidence rows."""
+def from_detector(df: DataFrame, detector: str, entity: str, entity_type: str, score: str, time: str, confidence: float, high: float = 0.5, medium: float | None = 0.3) -> DataFrame:
+    """A detector's output as evidence rows; endpoint scores are high from 0.75 and never medium."""
     s = F.col(score)
-    severity = F.when(s >= critical, "CRITICAL").when(s >= high, "HIGH").otherwise("LOW")
+    severity = F.when(s >= high, "HIGH")
+    severity = (severity if medium is None else severity.when(s >= medium, "MEDIUM")).otherwise("LOW")
     return df.select(F.lit(detector).alias("detector"), F.col(entity).cast("string").alias("entity"), F.lit(entity_type).alias("entity_type"), F.col(time).cast("string").alias("timestamp"), F.lit(confidence).alias("confidence"), s.alias("risk_score"), severity.alias("severity"))
 
 
@@ -113,3 +115,28 @@ def serialize(columns: list[str]) -> Column:
 def deserialize(text: Column, schema: str) -> Column:
     """What `serialize` wrote; null if it cannot be read."""
     return F.from_json(text, schema)
+
+
+def normalize_honeypot(payload: Column, kind: str) -> Column:
+    """A decoy's raw payload (a map of strings) in the unified event schema; `kind`: canarytoken or conpot.
+
+    The id is the first 16 digits of SHA-256 over the payload's sorted JSON; severity is fixed, as
+    nothing benign touches a decoy.
+    """
+    first = lambda *names: F.coalesce(*[F.when(F.coalesce(payload[n], F.lit("")) != "", payload[n]) for n in names], F.lit("unknown"))
+    sorted_json = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(payload))))
+    ip = first("src_ip", "source_ip", "ip") if kind == "canarytoken" else first("src_ip", "source_ip")
+    what = first("channel", "type") if kind == "canarytoken" else first("protocol", "data_type")
+    text = F.concat(F.lit("Canarytoken triggered: "), what, F.lit(" token '"), F.coalesce(payload["memo"], F.lit("")), F.lit("' accessed from "), ip) if kind == "canarytoken" else F.concat(F.lit("OT/ICS honeypot interaction: "), what, F.lit(" from "), ip)
+    return F.struct(
+        F.substring(F.sha2(sorted_json, 256), 1, 16).alias("event_id"), payload["time" if kind == "canarytoken" else "timestamp"].alias("timestamp"), F.lit(kind).alias("source"),
+        F.lit("honeypot" if kind == "canarytoken" else "honeypot_ot").alias("event_type"), F.lit("critical").alias("severity"), F.concat(F.lit("ip:"), ip).alias("entity_id"), what.alias("channel"), text.alias("description"), payload.alias("raw_payload"),
+    )
+
+
+def route(kind: Column, routes: dict[str, Column]) -> Column:
+    """The adapter's column for a telemetry type; an unknown type is an error."""
+    out = F.raise_error(F.concat(F.lit("unknown telemetry type "), F.coalesce(kind, F.lit("null")))).cast("string")
+    for name, adapted in routes.items():
+        out = F.when(kind == name, adapted).otherwise(out)
+    return out

@@ -11,7 +11,11 @@ PROTECTED = ["National Database", "Identity Provider", "Domain Controller", "Pay
 LIBRARY = [("isolate_endpoint", 0.9, 0.2), ("revoke_credentials", 0.8, 0.3), ("block_ip", 0.5, 0.1), ("snapshot_vm", 0.0, 0.05)]
 CONTAINMENT = {"Isolate Host": 0.9, "Revoke Credential": 0.75, "Block IP/Domain": 0.55, "Snapshot VM": 0.10, "Monitor only": 0.05}
 IMPACT = {"Low": 0.2, "Medium": 0.4, "High": 0.6, "Critical": 1.0}
-ALIASES = {"isolate_endpoint": "isolate_host", "isolate": "isolate_host", "revoke_credentials": "revoke_access", "revoke_credential": "revoke_access", "disable_user": "revoke_access", "block": "block_ip", "block_source_ip": "block_ip"}
+ALIASES = {
+    "block_ip/domain": "block_ip", "block_source_ip": "block_ip", "isolate_endpoint": "isolate_host", "revoke_credential": "revoke_access", "revoke_credentials": "revoke_access",
+}
+PLAYBOOKS = {"Brute Force": ["block_ip", "revoke_access"], "Credential Theft": ["revoke_access"], "Malware": ["isolate_host"], "Ransomware": ["isolate_host", "revoke_access"], "DDoS": ["block_ip"], "Port Scan": ["block_ip"]}
+BACKUP = {"block_ip": "isolate_host", "isolate_host": "notify_analyst", "revoke_access": "notify_analyst", "deploy_decoy": "notify_analyst"}
 
 
 def lookup(key: Column, table: dict, default: object) -> Column:
@@ -89,11 +93,30 @@ def prepare(df: DataFrame) -> DataFrame:
     return df.withColumns({"score": score}).withColumns({"risk_score": F.coalesce("risk_score", F.col("score") * 100), "confidence": F.coalesce("confidence", "score")})
 
 
+def playbook(attack_type: Column) -> Column:
+    """The actions for a kind of attack; blocking the address by default."""
+    out = F.array(F.lit("block_ip"))
+    for kind, actions in PLAYBOOKS.items():
+        out = F.when(attack_type == kind, F.array(*map(F.lit, actions))).otherwise(out)
+    return out
+
+
+def dashboard_node(node_id: Column, name: Column, risk: Column) -> Column:
+    """A node as a dashboard shows it: label, zone, status, criticality (half-even rounding)."""
+    label = F.substring(F.coalesce(name, F.element_at(F.split(node_id, ":"), -1)), 1, 28)
+    low, r = F.lower(label), F.coalesce(risk, F.lit(0.0))
+    ot = low.contains("plc") | low.contains("scada") | low.contains("pump") | low.contains("sensor")
+    zone = F.when(low.contains("internet"), "external").when(ot, "ot").otherwise("it")
+    status = F.when(r >= 0.85, "compromised").when(r >= 0.5, "at_risk").otherwise("normal")
+    critical = F.when(zone == "ot", 10).otherwise(F.greatest(F.lit(1), F.least(F.lit(9), F.bround(r * 10).cast("int"))))
+    return F.struct(node_id.alias("id"), label.alias("label"), critical.alias("criticality"), zone.alias("zone"), status.alias("status"))
+
+
 #: State and event to the next state (fixed values): containment, verification, retry, backup.
 TRANSITIONS = {
-    ("NEW", "analyse"): "ANALYSING", ("ANALYSING", "approve"): "CONTAINING", ("ANALYSING", "escalate"): "ESCALATED", ("CONTAINING", "done"): "VERIFYING", ("CONTAINING", "fail"): "PARTIALLY_CONTAINED",
-    ("VERIFYING", "quiet"): "RESOLVED", ("VERIFYING", "active"): "RETRYING", ("RETRYING", "done"): "VERIFYING", ("RETRYING", "fail"): "BACKUP", ("BACKUP", "done"): "VERIFYING", ("BACKUP", "fail"): "ESCALATED",
-    ("PARTIALLY_CONTAINED", "done"): "VERIFYING", ("PARTIALLY_CONTAINED", "fail"): "ESCALATED",
+    ("OPEN", "analyse"): "INVESTIGATING", ("INVESTIGATING", "approve"): "CONTAINMENT_IN_PROGRESS", ("INVESTIGATING", "escalate"): "ESCALATED", ("CONTAINMENT_IN_PROGRESS", "done"): "VERIFICATION_PENDING", ("CONTAINMENT_IN_PROGRESS", "fail"): "FAILED",
+    ("VERIFICATION_PENDING", "quiet"): "CONTAINED", ("CONTAINED", "close"): "RESOLVED", ("VERIFICATION_PENDING", "active"): "PARTIALLY_CONTAINED", ("VERIFICATION_PENDING", "timeout"): "FAILED",
+    ("PARTIALLY_CONTAINED", "backup"): "VERIFICATION_PENDING", ("PARTIALLY_CONTAINED", "fail"): "FAILED", ("FAILED", "escalate"): "ESCALATED",
 }
 
 
@@ -108,4 +131,4 @@ def next_state(state: Column, event: Column) -> Column:
 def replay(df: DataFrame, incident: str, order: str, event: str) -> DataFrame:
     """Each incident's state after all its events in order: a fold over its own short history."""
     history = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(event).alias("e"))))
-    return df.groupBy(incident).agg(F.aggregate(history, F.lit("NEW"), lambda s, x: next_state(s, x["e"])).alias("state"), F.count("*").alias("events"))
+    return df.groupBy(incident).agg(F.aggregate(history, F.lit("OPEN"), lambda s, x: next_state(s, x["e"])).alias("state"), F.count("*").alias("events"))

@@ -76,8 +76,19 @@ def evidence_serialize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.max("risk_score"), 6).alias("risk"))
 
 
-@query(f"WITH {_E} SELECT severity_new AS severity, count(*) AS n FROM (SELECT CASE WHEN risk_score >= 0.5 THEN 'CRITICAL' WHEN risk_score >= 0.3 THEN 'HIGH' ELSE 'LOW' END AS severity_new FROM v) GROUP BY 1")
+@query(f"WITH {_E} SELECT severity_new AS severity, count(*) AS n FROM (SELECT CASE WHEN risk_score >= 0.5 THEN 'HIGH' WHEN risk_score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS severity_new FROM v) GROUP BY 1")
 def evidence_from_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detector's scores as evidence."""
     out = op.from_detector(_evidence(spark, sf_dir), "NETWORK", "entity", "USER", "risk_score", "timestamp", 0.9)
     return out.groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'canarytoken' ELSE 'conpot' END AS source, 'critical' AS severity, 'ip:' || CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE '10.0.0.' || user_id END AS entity_id,
+CASE WHEN event_id % 2 = 0 THEN 'Canarytoken triggered: ' || event_type || ' token '' '' accessed from ' ELSE 'OT/ICS honeypot interaction: ' || event_type || ' from ' END || CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE '10.0.0.' || user_id END AS description FROM events""")
+def evidence_honeypot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoys' payloads in the unified schema."""
+    i = F.col("event_id")
+    ip = F.when(i % 5 != 0, F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")))
+    payload = F.create_map(F.lit("source_ip"), ip, F.lit("channel"), F.col("event_type"), F.lit("protocol"), F.col("event_type"), F.lit("memo"), F.lit(" "))
+    both = F.when(i % 2 == 0, op.normalize_honeypot(payload, "canarytoken")).otherwise(op.normalize_honeypot(payload, "conpot"))
+    return events(spark, sf_dir).select("event_id", both.alias("x")).select("event_id", "x.source", "x.severity", "x.entity_id", "x.description")

@@ -125,11 +125,29 @@ def incident_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE o AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'analyse' WHEN 1 THEN 'approve' ELSE 'done' END AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-s AS (SELECT conv_id, p, n, CASE WHEN e = 'analyse' THEN 'ANALYSING' ELSE 'NEW' END AS state FROM o WHERE p = 1
- UNION ALL SELECT o.conv_id, o.p, o.n, CASE WHEN state = 'NEW' AND e = 'analyse' THEN 'ANALYSING' WHEN state = 'ANALYSING' AND e = 'approve' THEN 'CONTAINING' WHEN state = 'CONTAINING' AND e = 'done' THEN 'VERIFYING' ELSE state END FROM s JOIN o ON o.conv_id = s.conv_id AND o.p = s.p + 1)
+s AS (SELECT conv_id, p, n, CASE WHEN e = 'analyse' THEN 'INVESTIGATING' ELSE 'OPEN' END AS state FROM o WHERE p = 1
+ UNION ALL SELECT o.conv_id, o.p, o.n, CASE WHEN state = 'OPEN' AND e = 'analyse' THEN 'INVESTIGATING' WHEN state = 'INVESTIGATING' AND e = 'approve' THEN 'CONTAINMENT_IN_PROGRESS' WHEN state = 'CONTAINMENT_IN_PROGRESS' AND e = 'done' THEN 'VERIFICATION_PENDING' ELSE state END FROM s JOIN o ON o.conv_id = s.conv_id AND o.p = s.p + 1)
 SELECT state, count(*) AS incidents FROM s WHERE p = n GROUP BY state""")
 def incident_state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents' states after their events."""
     t = F.col("turn") % 3
     c = table(spark, sf_dir, "conversations").withColumn("e", F.when(t == 0, "analyse").when(t == 1, "approve").otherwise("done"))
     return op.replay(c, "conv_id", "turn", "e").groupBy("state").agg(F.count("*").alias("incidents"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'error' THEN ['isolate_host'] WHEN 'click' THEN ['block_ip', 'revoke_access'] ELSE ['block_ip'] END AS actions FROM (SELECT DISTINCT event_type FROM events)")
+def playbook_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions for each kind of attack."""
+    t = F.col("event_type")
+    kind = F.when(t == "error", "Malware").when(t == "click", "Brute Force").otherwise("?")
+    return events(spark, sf_dir).select("event_type").distinct().select("event_type", op.playbook(kind).alias("actions"))
+
+
+@query("""WITH r AS (SELECT user_id, max(value) / 500 AS r FROM events GROUP BY 1), l AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'pump-' ELSE 'host-' END || user_id AS label FROM r)
+SELECT label, CASE WHEN user_id % 3 = 0 THEN 'ot' ELSE 'it' END AS zone, CASE WHEN r >= 0.85 THEN 'compromised' WHEN r >= 0.5 THEN 'at_risk' ELSE 'normal' END AS status, CASE WHEN user_id % 3 = 0 THEN 10 ELSE greatest(1, least(9, CAST(round_even(r * 10, 0) AS INT))) END AS criticality FROM l""")
+def dashboard_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes as a dashboard shows them."""
+    u = F.col("user_id")
+    n = events(spark, sf_dir).groupBy("user_id").agg((F.max("value") / 500).alias("r"))
+    name = F.concat(F.when(u % 3 == 0, "pump-").otherwise("host-"), u.cast("string"))
+    return n.select(op.dashboard_node(F.concat(F.lit("HOST:"), name), F.lit(None).cast("string"), F.col("r")).alias("x")).select("x.label", "x.zone", "x.status", "x.criticality")
