@@ -2,11 +2,16 @@
 
 Fitting, on a bounded sample of distinct vectors (`SAMPLE`): principal axes, then a rotation
 found by alternating between binary codes and the rotation closest to them (Procrustes), so that
-the bits are balanced and lose little; `ROTATIONS` such codes from different starts. Every vector
-is coded. The codes are cut into substrings of about the logarithm of the number of vectors;
+the bits are balanced and lose little; at least `ROTATIONS` such codes from different starts. Every
+vector is coded. The codes are cut into substrings of about the logarithm of the number of vectors;
 each substring is one hash table, and vectors that agree in one are compared exactly by cosine
 on the original vectors, in double precision.
 
+Longer substrings agree less often, so there are as many tables as keep the chance to miss a pair
+at `least` under `MISS` if bits agree independently, and codes for as many. The share of links found
+is then measured: `PROBES` vectors are compared with all others; while it is under 1 - `MISS`,
+tables are doubled, `DOUBLINGS` times at most, and a warning says what share is left.
+
 A pair that meets in several tables counts in the first only, which both codes tell, so links
 are counted inside the buckets and pairs are never listed; what leaves a bucket is a link count
 per vector and the edges of a spanning forest. Equal vectors are one class with a multiplicity
@@ -21,6 +26,7 @@ an empty table.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import Spool, map_arrow
 from .components import components
 
-#: Vectors that the codes are fitted on at most; codes; bits of a code at most; a bucket's block.
+#: Vectors that the codes are fitted on at most; codes at least; bits of a code at most; a bucket's block.
 SAMPLE, ROTATIONS, BITS, BLOCK = 10_000, 4, 64, 2_048
+#: Share of links missed at most; vectors that it is measured on; how often tables are doubled for it.
+MISS, PROBES, DOUBLINGS = 0.01, 512, 2
 
 
 def usable(column: str, dim: int) -> F.Column:
@@ -59,7 +67,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def fit(sample: np.ndarray, seed: int = 0, rounds: int = 30) -> list[np.ndarray]:
+def tables_for(width: int, least: float) -> int:
+    """Tables of `width` bits that miss a pair with the cosine `least` with a chance of at most `MISS`."""
+    agree = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** width
+    return int(np.ceil(np.log(MISS) / np.log1p(-agree))) if 0 < agree < 1 else 1
+
+
+def bucket_keys(x: np.ndarray, projections: np.ndarray, tables: int, width: int) -> np.ndarray:
+    """Every unit vector's bucket in each table."""
+    bits = (x @ projections >= 0)[:, : tables * width].reshape(len(x), tables, width)
+    return (bits * (1 << np.arange(width))).sum(2)
+
+
+def fit(sample: np.ndarray, seed: int = 0, rounds: int = 30, rotations: int = ROTATIONS) -> list[np.ndarray]:
     """One projection (dim by bits) for each code; a code's bits are the signs of the products."""
     dim = sample.shape[1]
     bits = min(dim, BITS)
@@ -67,7 +87,7 @@ def fit(sample: np.ndarray, seed: int = 0, rounds: int = 30) -> list[np.ndarray]
     _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, :bits]
     v, rng, out = x @ axes, np.random.default_rng(seed), []
-    for _ in range(ROTATIONS):
+    for _ in range(rotations):
         r, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
@@ -92,18 +112,25 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
         return lonely
     sample = classes.orderBy(F.xxhash64("v"), "rep").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     sample = matrix(sample, dim)
-    projections = np.concatenate(fit(sample), 1)
+    bits = min(dim, BITS)
     width = int(np.clip(round(np.log2(n)) - 3, 6, 16))
-    tables = max(1, projections.shape[1] // width)
+    tables = max(ROTATIONS * bits // width, tables_for(width, least))
+    for attempt in range(DOUBLINGS + 1):
+        projections = np.concatenate(fit(sample, rotations=-(-tables * width // bits)), 1)
+        met, links = _recall(classes, sample[:PROBES], projections, tables, width, dim, least)
+        if met >= (1 - MISS) * links:
+            break
+        if attempt == DOUBLINGS:
+            warnings.warn(f"{met} of {links} links of the probes share a bucket", stacklevel=2)
+        else:
+            tables *= 2
     shared = spark.sparkContext.broadcast(projections)
     kind = "<f4" if dict(df.dtypes)[vector] == "array<float>" else "<f8"  # vectors travel as they are
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(width)
         for batch in batches:
             x = unit(matrix(batch.column(0), dim)) if len(batch) else np.zeros((0, dim))
-            bits = (x @ shared.value >= 0)[:, : tables * width].reshape(len(x), tables, -1)
-            keys = (bits * powers[: bits.shape[2]]).sum(2)
+            keys = bucket_keys(x, shared.value, tables, width)
             raw = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(x), dim)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([r.tobytes() for r in keys.astype(np.uint16)], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32()))], ["k", "copies", "raw", "keys", "buckets"])
 
@@ -143,6 +170,30 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     return out.unionByName(lonely)
 
 
+def _recall(classes: DataFrame, probes: np.ndarray, projections: np.ndarray, tables: int, width: int, dim: int, least: float) -> tuple[int, int]:
+    """How many links of the probes with other vectors share a bucket, and how many there are, by brute force."""
+    probes = unit(probes)
+    shared = classes.sparkSession.sparkContext.broadcast((probes, bucket_keys(probes, projections, tables, width), projections))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes, keys, projections = shared.value
+        met = links = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = unit(matrix(batch.column(0), dim))
+            cosine = x @ probes.T
+            a, b = np.nonzero((cosine >= least) & (cosine < 1 - 1e-12))  # not the probe itself
+            rows, a = np.unique(a, return_inverse=True)
+            own = bucket_keys(x[rows], projections, tables, width)
+            met += int((own[a] == keys[b]).any(1).sum())
+            links += len(a)
+        yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([links])], ["met", "links"])
+
+    found = map_arrow(classes.select("v"), run, "met long, links long").agg(F.sum("met"), F.sum("links")).first()
+    return found[0] or 0, found[1] or 0
+
+
 def _runs(batch: pa.RecordBatch, order: list[str]) -> Iterator[pa.RecordBatch]:
     """A sorted batch's slices of equal keys."""
     if not len(batch):

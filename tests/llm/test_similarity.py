@@ -116,6 +116,29 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(none).count() == 0
 
 
+def test_embedding_dedup_finds_links_at_any_width(spark):
+    """Few dimensions give few bits a code, many rows wide substrings; neither may lose links."""
+    x = np.random.default_rng(4).standard_normal((400, 4)).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = (unit @ unit.T >= 0.9).sum() - len(x)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = sum(r["n_links"] for r in embedding_dedup.near_duplicates(df).collect())
+    assert 0.97 * links <= found <= links
+
+
+@pytest.mark.parametrize("width", [6, 11, 14, 16])
+def test_embedding_tables_bound_misses(width):
+    """Pairs at the smallest cosine share a bucket, at the substring widths of small and large tables."""
+    rng = np.random.default_rng(width)
+    a, other = (embedding_dedup.unit(rng.standard_normal((4000, 64))) for _ in "ab")
+    side = embedding_dedup.unit(other - (other * a).sum(1)[:, None] * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * side
+    tables = embedding_dedup.tables_for(width, 0.9)
+    projections = np.concatenate(embedding_dedup.fit(a, rounds=5, rotations=-(-tables * width // 64)), 1)
+    keys = [embedding_dedup.bucket_keys(v, projections, tables, width) for v in (a, b)]
+    assert (keys[0] == keys[1]).any(1).mean() >= 0.98
+
+
 def test_hilbert_keys_are_a_curve():
     """On a whole grid the keys are a permutation, and neighbours on the curve are neighbours in space."""
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
