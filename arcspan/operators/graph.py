@@ -178,7 +178,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
 
 
 def centrality(nodes: DataFrame, edges: DataFrame, most: int = 20_000) -> DataFrame:
-    """Betweenness and closeness of a graph of at most `most` nodes, by one breadth-first search for
+    """Betweenness and closeness of a graph of at most `most` nodes and 50 times as many edges, by one breadth-first search for
     each node; searches are dealt over the executors, each of which holds the (checked, bounded) graph.
 
     Directed; betweenness is normalised by (n - 1)(n - 2); closeness is by incoming distance,
@@ -189,7 +189,10 @@ def centrality(nodes: DataFrame, edges: DataFrame, most: int = 20_000) -> DataFr
         raise ValueError(f"more than {most} nodes")
     place = {x: k for k, x in enumerate(ids)}
     links: list[list[int]] = [[] for _ in ids]
-    for a, b in edges.select("src", "dst").distinct().orderBy("src", "dst").limit(50 * most).collect():
+    found = edges.select("src", "dst").distinct().orderBy("src", "dst").limit(50 * most + 1).collect()
+    if len(found) > 50 * most:
+        raise ValueError(f"more than {50 * most} edges")
+    for a, b in found:
         if a in place and b in place:
             links[place[a]].append(place[b])
     shared, n = edges.sparkSession.sparkContext.broadcast(links), len(ids)

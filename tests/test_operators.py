@@ -195,3 +195,12 @@ def test_fan_out_isolates_failures(spark):
     each = streaming.fan_out({"bad": (F.lit(True), breaks), "good": (F.col("id") > 3, lambda b: got.append(b.count()))}, lambda name, e: failed.append(name))
     each(spark.range(6), 0)
     assert got == [2] and failed == ["bad"]
+
+
+def test_centrality_refuses_edges_beyond_its_bound(spark):
+    """60 nodes, all linked: 3540 edges, more than 50 for each of 60 nodes."""
+    edges = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", "t") for a in range(60) for b in range(60) if a != b], "src string, dst string, type string")
+    nodes = edges.select(F.col("src").alias("node_id")).distinct()
+    with pytest.raises(ValueError, match="edges"):
+        graph.centrality(nodes, edges, most=60)
+    assert graph.centrality(nodes, edges, most=71).filter("abs(closeness - 1) > 1e-9").count() == 0
