@@ -6,12 +6,16 @@ is written to the shared folder when a loop may be long, which cuts the lineage.
 
 from __future__ import annotations
 
+from itertools import count as numbers
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks import spool
 from .evidence import severity_order
 
+#: Rounds after which what a loop has seen is written anew, so its plan stays small.
+ROUNDS = 8
 # Parts of a variable's name that make it an actuator.
 ACTUATOR_MARKS = ["V", "VALVE", "PUMP"]
 
@@ -126,20 +130,20 @@ def capped(nodes: DataFrame, most: int = 50) -> DataFrame:
     return nodes.orderBy("depth", "node_id").limit(most)
 
 
-def shortest_paths(edges: DataFrame, source: DataFrame, most: int = 16) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: DataFrame) -> DataFrame:
     """A shortest path (undirected) from the source nodes to each reachable one: node_id, length, path.
 
     Of several, the smallest by its ids. The loop ends when no new node is found.
     """
     pairs = spool(both_ways(edges))
     seen = frontier = spool(source.select("node_id", F.lit(0).alias("length"), F.array("node_id").alias("path")))
-    for step in range(1, most + 1):
+    for step in numbers(1):
         reached = frontier.join(pairs, F.col("node_id") == F.col("a")).select(F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"))
         frontier = spool(reached.join(seen.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min("path").alias("path")).select("node_id", F.lit(step).alias("length"), "path"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        seen = seen if step % ROUNDS else spool(seen)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -293,15 +297,16 @@ def attack_neighbourhood(edges: DataFrame, start: DataFrame) -> DataFrame:
     return one.unionByName(two).withColumn("_p", F.row_number().over(place)).filter("_p = 1").drop("_p")
 
 
-def blast_radius(edges: DataFrame, start: DataFrame, most: int = 16) -> DataFrame:
-    """How many nodes each start node reaches along edges; a cycle back counts the node itself."""
+def blast_radius(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """How many nodes each start node reaches along edges, however far; a cycle back counts the node itself."""
     steps = spool(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     frontier = seen = spool(start.select(F.col("node_id").alias("start"), F.col("node_id").alias("at")).join(steps, F.col("at") == F.col("a")).select("start", F.col("b").alias("at")).distinct())
-    for _ in range(most):
+    for step in numbers(1):
         reached = frontier.join(steps, F.col("at") == F.col("a")).select("start", F.col("b").alias("at")).distinct()
         frontier = spool(reached.join(seen, ["start", "at"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        seen = seen if step % ROUNDS else spool(seen)
     counts = seen.groupBy("start").agg(F.count("*").alias("reachable"))
     return start.select("node_id").join(counts, F.col("node_id") == F.col("start"), "left").select("node_id", F.coalesce("reachable", F.lit(0)).alias("reachable"))

@@ -204,3 +204,11 @@ def test_centrality_refuses_edges_beyond_its_bound(spark):
     with pytest.raises(ValueError, match="edges"):
         graph.centrality(nodes, edges, most=60)
     assert graph.centrality(nodes, edges, most=71).filter("abs(closeness - 1) > 1e-9").count() == 0
+
+
+def test_walks_reach_the_end_of_a_chain(spark):
+    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}", "t") for k in range(20)], "src string, dst string, type string")
+    start = spark.createDataFrame([("n00",)], "node_id string")
+    paths = {r["node_id"]: r["length"] for r in graph.shortest_paths(edges, start).collect()}
+    assert paths == {f"n{k:02}": k for k in range(21)}
+    assert graph.blast_radius(edges, start).first()["reachable"] == 20
