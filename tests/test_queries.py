@@ -45,3 +45,11 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = Counter(tuple(_plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["graph_centrality", "graph_communities"])
+def test_whole_graph(spark, name):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    want = {f"c{r[0]}" for r in read("customer").select("c_custkey").collect()} | {f"n{r[0]}" for r in read("nation").select("n_nationkey").collect()} | {f"r{r[0]}" for r in read("nation").select("n_regionkey").collect()}
+    assert {r["node_id"] for r in QUERIES[name](spark, SF).collect()} == want
