@@ -53,3 +53,23 @@ def test_whole_graph(spark, name):
     read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
     want = {f"c{r[0]}" for r in read("customer").select("c_custkey").collect()} | {f"n{r[0]}" for r in read("nation").select("n_nationkey").collect()} | {f"r{r[0]}" for r in read("nation").select("n_regionkey").collect()}
     assert {r["node_id"] for r in QUERIES[name](spark, SF).collect()} == want
+
+
+def test_bm25_whole_uses_all_tokens(spark, tmp_path):
+    """Against brute force; the words and identifiers that decide are longer than four letters."""
+    docs = ["firewall blocked CVE-2024-12345 again", "firewall resting", "exfiltration from 10.0.0.1 blocked", "the", None]
+    asks = ["exfiltration blocked", "cve-2024-12345", "10.0.0.1"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(asks)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    terms = [{"firewall", "block", "cve-2024-12345"}, {"firewall", "rest"}, {"exfiltration", "10.0.0.1", "block"}, set(), set()]
+    wanted = [{"exfiltration", "block"}, {"cve-2024-12345"}, {"10.0.0.1"}]
+    mean, n, want = sum(map(len, terms)) / 5, 5, {}
+    for q, words in enumerate(wanted):
+        for d, has in enumerate(terms):
+            for w in words & has:
+                df = sum(w in t for t in terms)
+                part = math.log((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(has) / mean))
+                want[q, d] = want.get((q, d), 0) + part
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert QUERIES["rrf_fuse_whole"](spark, str(tmp_path)).count() > 0 and QUERIES["rerank_normalise_whole"](spark, str(tmp_path)).count() == len(want)
