@@ -6,9 +6,13 @@ distinct tokens.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks import spool
+
 # Identifiers kept whole, in this order; English stop-words; routes by keyword.
 IDENTIFIERS = [
     r"\bcve-\d{4}-\d{4,7}\b", r"\bt\d{4}(?:\.\d{3})?\b", r"\bd3-[a-zA-Z0-9_-]+\b", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", r"\b[a-f0-9]{32}\b", r"\b[a-f0-9]{64}\b",
@@ -78,11 +82,20 @@ def squared_distance(a: Column, b: Column) -> Column:
 def dense(queries: DataFrame, vectors: DataFrame, query_id: str, id: str, vector: str, k: int, most: int = 10_000) -> DataFrame:
     """The k nearest vectors of each query (query_id, q), exactly: rank and squared distance.
 
-    A stated query set against all rows: at most `most` queries, which are broadcast; each partition
-    keeps its own k best before anything is shuffled.
+    A stated query set against all rows: queries are broadcast in blocks of about `most`, one block
+    after the other; each partition keeps its own k best before anything is shuffled.
     """
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries")
+    n = queries.count()
+    if n <= most:
+        return _dense(queries, vectors, query_id, id, vector, k)
+    blocks = -(-n // most)
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    found = [spool(_dense(queries.filter(block == b), vectors, query_id, id, vector, k)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _dense(queries: DataFrame, vectors: DataFrame, query_id: str, id: str, vector: str, k: int) -> DataFrame:
+    """`dense` of queries that are broadcast at once."""
     met = vectors.join(F.broadcast(queries)).select(query_id, id, squared_distance(F.col("q"), F.col(vector)).alias("distance"))
     part = Window.partitionBy(query_id, "_part").orderBy("distance", id)
     local = met.withColumn("_part", F.spark_partition_id()).withColumn("_p", F.row_number().over(part)).filter(F.col("_p") <= k)

@@ -65,8 +65,18 @@ _KNN = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHE
 @query(f"WITH {_KNN} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) AS INT) AS rank, round(d, 6) AS distance FROM k QUALIFY rank <= 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact nearest ten of a set of query vectors."""
+    return _knn(spark, sf_dir, 50)
+
+
+@query(f"WITH {_KNN.replace('% 50', '% 20')} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) AS INT) AS rank, round(d, 6) AS distance FROM k QUALIFY rank <= 10")
+def knn_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact nearest ten of every vector whose id is divisible by 20."""
+    return _knn(spark, sf_dir, 20)
+
+
+def _knn(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    q = v.filter(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return op.dense(q, v.select("vec_id", "embedding"), "qid", "vec_id", "embedding", 10).select("qid", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 

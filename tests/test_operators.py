@@ -212,3 +212,10 @@ def test_walks_reach_the_end_of_a_chain(spark):
     paths = {r["node_id"]: r["length"] for r in graph.shortest_paths(edges, start).collect()}
     assert paths == {f"n{k:02}": k for k in range(21)}
     assert graph.blast_radius(edges, start).first()["reachable"] == 20
+
+
+def test_dense_answers_more_queries_than_a_block(spark):
+    v = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(30)], "id long, v array<double>")
+    q = v.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    got = {(r["qid"], r["rank"]): r["id"] for r in retrieval.dense(q, v, "qid", "id", "v", 2, most=8).collect()}
+    assert got == {(k, 1): k for k in range(30)} | {(k, 2): k - 1 if k else 1 for k in range(30)}
