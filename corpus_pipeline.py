@@ -5,8 +5,9 @@ as Parquet and read again. The first three return the columns of `documents`, th
 packed pieces.
 
 Edge cases: empty tables pass through all stages; null texts count as empty; a row with a null
-id is never a duplicate of another; of rows that repeat an id one stays; extra columns of
-the input are kept by the first three stages.
+id is never a duplicate of another; of rows that repeat an id and its text one stays, while
+other texts under a repeated id are documents of their own; extra columns of the input are kept
+by the first three stages.
 """
 
 from __future__ import annotations
@@ -38,16 +39,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of the n-gram Jaccard join, that with the smallest id."""
-    groups = Spool(spark).write(ngram_join.similar_components(docs))
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    # A checked number of ids is broadcast, so texts stay where they are; beyond it, they are joined.
-    hint = F.broadcast if gone.count() <= IDS_MOST and again.count() <= IDS_MOST else lambda x: x
-    kept = docs.join(hint(gone), "doc_id", "left_anti").select(docs.columns)
-    once = kept.join(hint(again), "doc_id", "left_anti").select(docs.columns)
-    rows = F.min(F.struct(F.xxhash64("text").alias("_order"), *docs.columns)).alias("_row")
-    repeated = kept.join(hint(again), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(rows)
-    return once.unionByName(repeated.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+    # Rows are told apart by a hash of id and text, as ids may repeat.
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    docs, columns = docs.withColumn("_row", row), docs.columns
+    groups = Spool(spark).write(ngram_join.similar_components(docs, id="_row"))
+    far = groups.filter("_row != component_id").select("_row", "component_id").distinct()
+    again = groups.filter("_row is not null").groupBy("_row").count().filter("count > 1").select("_row")
+    # A checked number of rows is broadcast, so texts stay where they are; beyond it, they are joined.
+    hint = F.broadcast if far.count() <= IDS_MOST // 2 and again.count() <= IDS_MOST else lambda x: x
+    members = far.unionByName(far.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    members = docs.select("_row", "doc_id").join(hint(members), "_row").distinct()
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
+    gone = members.join(hint(first), "component_id").filter("_row != _first._row").select("_row")
+    kept = docs.join(hint(gone), "_row", "left_anti").select("_row", *columns)
+    once = kept.join(hint(again), "_row", "left_anti").select(columns)
+    rows = F.min(F.struct(*columns)).alias("_kept")
+    repeated = kept.join(hint(again), "_row", "left_semi").groupBy("_row").agg(rows)
+    return once.unionByName(repeated.select(*[F.col(f"_kept.`{c}`").alias(c) for c in columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

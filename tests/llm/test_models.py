@@ -142,3 +142,12 @@ def test_pipeline_stage_by_stage(spark, corpus, tmp_path):
     assert {r[0] for r in packed.select("doc_id").collect()} == set(after)
     assert ids(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct()) == after
     assert corpus_pipeline.keep_one_of_similar(spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_other_texts_under_a_repeated_id(spark):
+    """Only the copies of document 1 go; of a row that is there twice, one stays."""
+    text = lambda word: " ".join(f"{word}{k}" for k in range(40))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (7, text("e")), (7, text("e")), (None, text("a")), (8, None), (8, "")]
+    kept = corpus_pipeline.keep_one_of_similar(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = sorted(((r[0] or 0, r[1] or "") for r in kept.collect()))
+    assert got == sorted([(0, text("a")), (1, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (7, text("e")), (8, "")])
