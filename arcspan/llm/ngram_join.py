@@ -1,24 +1,28 @@
 """Similarity self-join of documents on their sets of word shingles (Jaccard), with components.
 
-The product of the document by shingle matrix with its transpose, computed where it can
-matter only. Exactly equal sets are one class from the start. A pair that links must share a
-shingle among the first n - ceil(least * n) + 1 of each set under any one order of all shingles;
-the order here is by hash, with the shingles that are in many sets (`hot`) last. So a
-passage that many documents share starts no comparison between documents that differ
-otherwise. What is in several documents' prefixes is a posting. From each posting its members
-are compared with one member; links are contracted to components, and only members still in
-different components are compared further: with a few members each round, or all with all
-once few are left, so every pair in different components that a link could join is compared.
-
-Overlap counts are first accumulated over the postings that two prefixes share; pairs below the
-bound that their sizes set for them go. A comparison is a block of the sparse product: the rows of up to `BLOCK` documents by one
-document's column; overlap counts are accumulated over the block, and pairs are dropped unless
-the count reaches the bound that the two sizes set, 175 * overlap >= 75 * (size + size) at 0.75.
-Pairs whose sizes alone rule a link out are never compared.
-
-Hot shingles are broadcast (at most `HOT_MOST`, largest first); any others are handled as all
-shingles are, so which are known to be hot bears on the speed only. Hot classes of copies are
-treated likewise. Candidate ids are broadcast up to `IDS_MOST`, beyond that joined.
+The product of the document by shingle matrix with its transpose, computed in blocks and only where
+it can matter. Exactly equal sets (two 64-bit sums agree) are one class from the start.
+
+1. Shingles are counted. Each task packs the (document, shingle) entries of a chunk of documents by
+   parts of the hash range, five bytes an entry; a part finds the shingles that several documents
+   hold and sends each chunk the numbers of documents of these. Shingles of a large share of all
+   documents (`hot`) are known before and are not sent, so no part gets more than its share.
+2. Two sets link only if their overlap reaches ceil(least * n) of either. So a document with fewer
+   shared shingles than that links with nothing and ends here; a passage that many documents share
+   keeps none of them. Of the others, the first n - ceil(least * n) + 1 shingles, rarest first, one
+   of which any partner must have too, become postings.
+3. Classes that a chain of postings joins, at sizes that allow a link, are a cluster. A cluster is a
+   block of the product; one of more than `BLOCK` sets or `ENTRIES` entries is cut into several.
+   A task accumulates the overlap counts of all pairs of a block, slice after slice of shingles,
+   and drops the pairs below the bound that their sizes set, 175 * overlap >= 75 * (size + size) at
+   0.75. What leaves the task is one row a member at most, its component in the block.
+4. Blocks of one cluster first meet a few of its members (pivots), which joins most of what belongs
+   together; members are then dealt anew by component and size, and only pairs of blocks that hold
+   different components at sizes that allow a link are multiplied. That part alone can grow with
+   the square of a group: with its members that no pivot joined, divided by `BLOCK`.
+
+The input is read more than once and must give the same rows in the same order each time, as
+Parquet files do; an input whose plan shuffles is therefore written to the shared folder first.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; texts with fewer
 words than a shingle have their whole sequence as one; repeated rows are copies like any
@@ -32,189 +36,386 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spool, map_arrow
 from .components import components
 from .shingles import mix, shingle_sets
 
-#: Sets in which a shingle is hot; its sets within a task for the task to report it; broadcasts at most.
-HOT, LOCAL, HOT_MOST, IDS_MOST = 64, 4, 4_000_000, 4_000_000
-#: Documents of a block; members compared all with all at once; rounds with `PIVOTS` members each before all are.
-BLOCK, FEW, ROUNDS, PIVOTS = 512, 32, 3, 4
+#: Documents with a hot shingle, at least this many and one in `SHARE` of all; documents of a chunk that
+#: must have it to report it, likewise at least; hot shingles and document ids broadcast at most.
+HOT, SHARE, LOCAL, HOT_MOST, IDS_MOST = 64, 2048, 4, 2_000_000, 1_000_000
+#: Entries of a chunk and of a part, about; documents of a chunk at most.
+CHUNK, PART, CHUNK_DOCS = 4_000_000, 1_000_000, 1 << 16
+#: Sets and entries of a block; pivots of a cluster; cells of a slice of the incidence matrix.
+BLOCK, ENTRIES, PIVOTS, CELLS = 512, 2_000_000, 8, 1 << 22
 
+_SALTS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+_HEAD = np.dtype([("c", "<i8"), ("d", "<i8"), ("n", "<i4"), ("hot", "<i4"), ("listed", "<i4")])
+_ENTRY = np.dtype([("own", "<u2"), ("df", "<u2"), ("h", "<u4")])
 
-def _fingerprints(counts: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each set; 0 for empty ones."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    end = np.cumsum(counts)
-    return np.where(counts > 0, mix((sums[end] - sums[end - counts]) + counts.astype(np.uint64)), np.uint64(0))
 
+def _fingerprints(counts: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit fingerprints of each set; 0 for empty ones."""
+    end, out = np.cumsum(counts), []
+    for salt in _SALTS:
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ salt), dtype=np.uint64)])
+        whole = mix((sums[end] - sums[end - counts]) + counts.astype(np.uint64))
+        out.append(np.where(counts > 0, whole, np.uint64(0)).view(np.int64))
+    return out
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs of a batch of (id, text): ids, set sizes, fingerprints (int64), hashes (uint64)."""
+
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of a batch of (id, text): ids, set sizes, both fingerprints, hashes (uint64)."""
     for first, counts, h in shingle_sets(batch.column(1).to_pylist(), size):
-        yield batch.column(0).slice(first, len(counts)), counts, _fingerprints(counts, h).view(np.int64), h
+        c, d = _fingerprints(counts, h)
+        yield batch.column(0).slice(first, len(counts)), counts, c, d, h
+
+
+class _Classes:
+    """Tells which sets of a chunk are the first of their class there."""
+
+    def __init__(self) -> None:
+        self.known: set[tuple[int, int]] = set()
+
+    def new(self, counts: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(counts), bool)
+        for k, key in enumerate(zip(c.tolist(), d.tolist())):
+            if counts[k] and key not in self.known:
+                self.known.add(key)
+                out[k] = True
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with the same key, of batches in its order."""
+    held, now = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and k[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = k[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blobs(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """`data` cut into binary values of `counts` elements."""
+    end = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(data.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(end), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """Of each document its set's size n and fingerprint c; and shingles h that many sets of a task have."""
+    """Of each document its set's size n and fingerprints c, d; and shingles h that many sets of a
+    chunk hold, with their number in n."""
+    most, local, share = CHUNK, LOCAL, SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, total = [], set(), 0
+        held, classes, total, sets = [], _Classes(), 0, 0
 
         def heavy() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            h, n = h[n >= LOCAL].view(np.int64), n[n >= LOCAL]
-            none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, pa.array(h)], ["id", "n", "c", "h"])
+            many = n >= max(local, sets // share)
+            none = pa.nulls(int(many.sum()), pa.int64())
+            columns = [none, pa.array(n[many].astype(np.int64)), none, none, pa.array(h[many].view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "n", "c", "d", "h"])
 
         for batch in batches:
-            for ids, counts, c, h in _sets(batch, size):
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(c), pa.nulls(len(c), pa.int64())], ["id", "n", "c", "h"])
-                new = np.array([not (x in known or known.add(x)) for x in c.tolist()], bool)
-                if len(known) > 1_000_000:
-                    known.clear()
+            for ids, counts, c, d, h in _sets(batch, size):
+                columns = [ids, pa.array(counts.astype(np.int64)), pa.array(c), pa.array(d), pa.nulls(len(c), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c", "d", "h"])
+                new = classes.new(counts, c, d)
                 held.append(h[np.repeat(new, counts)])
-                total += len(held[-1])
-            if total > 4_000_000:
+                total, sets = total + len(held[-1]), sets + int(new.sum())
+            if total > most:
                 yield heavy()
-                held, total = [], 0
+                held, classes, total, sets = [], _Classes(), 0, 0
         yield heavy()
 
-    return map_arrow(docs, run, "id long, n long, c long, h long")
-
+    return map_arrow(docs, run, "id long, n long, c long, d long, h long")
 
-def _top(df: DataFrame, column: str, count: str, most: int) -> np.ndarray:
-    """The values with the largest counts, ascending."""
-    rows = df.orderBy(F.desc(count), column).limit(most).select(column).toArrow()
-    return np.sort(rows[column].to_numpy())
 
+def _deal(docs: DataFrame, hot: np.ndarray, least: int, size: int, parts: int) -> DataFrame:
+    """The entries of chunks of documents by parts of the hash range.
 
-def _prefixes(docs: DataFrame, hot: np.ndarray, copies: dict[int, int], least: int, size: int) -> DataFrame:
-    """Rows h, c, n: the shingles of each set's prefix, hot ones last."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot.view(np.uint64)[np.argsort(hot.view(np.uint64))], copies))
+    Rows part, chunk, head, own (steps of the documents' numbers in the chunk), h (32 bits of the
+    hash each); a row with `head` describes the chunk's documents and lists their hot shingles.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
+    most, most_docs = CHUNK, CHUNK_DOCS
+
+    def packed(chunk: int, heads: list[np.ndarray], lists: list[np.ndarray], own: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        part = (h >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+        per = np.bincount(part.astype(np.int64), minlength=parts)
+        filled = np.flatnonzero(per)
+        begin, own = np.cumsum(per)[filled] - per[filled], own[order]
+        steps = np.diff(own, prepend=0)
+        steps[begin] = own[begin]
+        steps = steps.astype(np.uint8 if not len(steps) or steps.max() < 256 else np.uint16)
+        head, listed = np.concatenate(heads), np.concatenate(lists)
+        columns = [
+            pa.array(np.append(filled, chunk % parts).astype(np.int32)),
+            pa.array(np.full(len(filled) + 1, chunk)),
+            pa.array(np.append(np.zeros(len(filled), bool), True)),
+            pa.concat_arrays([_blobs(steps, per[filled]), pa.array([head.tobytes()], pa.binary())]),
+            pa.concat_arrays([_blobs(h[order].astype(np.uint32), per[filled]), pa.array([listed.tobytes()], pa.binary())]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["part", "chunk", "head", "own", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, copies = shared.value
+        hot, chunk = shared.value, TaskContext.get().partitionId() << 20
+        classes, heads, lists, owns, held, total, docs_held = _Classes(), [], [], [], [], 0, 0
         for batch in batches:
-            for ids, counts, c, h in _sets(batch, size):
-                # of a class with many copies only its first document speaks
-                out = np.array([i is None or copies.get(k, i) != i for i, k in zip(ids.to_pylist(), c.tolist())], bool) | (counts == 0)
-                once = np.flatnonzero(~out)[np.unique(c[~out], return_index=True)[1]]
-                out[:] = True
-                out[once] = False
+            for ids, counts, c, d, h in _sets(batch, size):
+                if docs_held and (total > most or docs_held + len(counts) > most_docs):
+                    yield packed(chunk, heads, lists, np.concatenate(owns), np.concatenate(held))
+                    classes, heads, lists, owns, held, total, docs_held = _Classes(), [], [], [], [], 0, 0
+                    chunk += 1
+                new = classes.new(counts, c, d)
+                h, counts, c, d = h[np.repeat(new, counts)], counts[new], c[new], d[new]
                 owner = np.repeat(np.arange(len(counts)), counts)
-                begin = np.cumsum(counts) - counts
-                at = np.searchsorted(hot, h)
-                is_hot = (hot[np.minimum(at, len(hot) - 1)] == h) if len(hot) else np.zeros(len(h), bool)
-                cold_before = np.concatenate([[0], np.cumsum(~is_hot)])
-                cold_rank = cold_before[:-1] - cold_before[begin][owner]
-                cold = np.bincount(owner, ~is_hot, len(counts)).astype(np.int64)
-                hot_rank = np.arange(len(h)) - begin[owner] - cold_rank
-                prefix = counts - -(-least * counts // 100) + 1
-                use = np.where(is_hot, cold[owner] + hot_rank, cold_rank) < prefix[owner]
-                use &= ~out[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(c[owner[use]]), pa.array(counts[owner[use]].astype(np.int32))], ["h", "c", "n"])
-
-    return map_arrow(docs, run, "h long, c long, n int")
-
-
-def _postings(entries: DataFrame) -> DataFrame:
-    """Rows h, c, n of the shingles that several classes have in their prefixes."""
+                at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+                is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+                head = np.zeros(len(counts), _HEAD)
+                head["c"], head["d"], head["n"] = c, d, counts
+                head["hot"] = np.bincount(owner[is_hot], minlength=len(counts))
+                # As many hot ones as a prefix can hold are listed.
+                rank = np.arange(is_hot.sum()) - (np.cumsum(head["hot"]) - head["hot"])[owner[is_hot]]
+                take = rank < (counts - -(-least * counts // 100) + 1)[owner[is_hot]]
+                head["listed"] = np.bincount(owner[is_hot][take], minlength=len(counts))
+                heads.append(head)
+                lists.append(at[is_hot][take].astype(np.int32))
+                owns.append(owner[~is_hot] + docs_held)
+                held.append(h[~is_hot])
+                total, docs_held = total + len(held[-1]), docs_held + len(counts)
+        if docs_held:
+            yield packed(chunk, heads, lists, np.concatenate(owns), np.concatenate(held))
+
+    out = map_arrow(docs, run, "part int, chunk long, head boolean, own binary, h binary")
+    return out.repartitionById(parts, "part").sortWithinPartitions("part")
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """Of each part and chunk the entries that other documents hold too, with how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shown = None, False  # the row before, and whether it has been given out
-        for batch in batches:
-            h, c, n = (batch.column(k).to_numpy() for k in range(3))
-            if last is not None:
-                h, c, n = (np.concatenate([[a], b]) for a, b in zip(last, (h, c, n)))
-            if not len(h):
+        names = ["chunk", "part", "head", "data", "hot"]
+        for table in _groups(batches, "part"):
+            part, chunk, head = (table[k].to_numpy() for k in ("part", "chunk", "head"))
+            rows, blobs = table["own"].to_pylist(), table["h"].to_pylist()
+            for k in np.flatnonzero(head).tolist():
+                columns = [pa.array(chunk[k : k + 1]), pa.array(part[k : k + 1]), pa.array([True]), pa.array([rows[k]]), pa.array([blobs[k]])]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            rows, blobs = ([x for x, y in zip(z, head.tolist()) if not y] for z in (rows, blobs))
+            part, chunk = part[~head], chunk[~head]
+            if not len(blobs):
                 continue
-            keep = np.ones(len(h), bool)
-            keep[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            h, c, n = h[keep], c[keep], n[keep]
-            same = h[1:] == h[:-1]
-            several = np.zeros(len(h), bool)
-            several[1:] |= same
-            several[:-1] |= same
-            if last is not None and shown:
-                several[0] = False
-            out = several
-            yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(c[out]), pa.array(n[out].astype(np.int32))], ["h", "c", "n"])
-            shown = bool(several[-1]) or (len(h) == 1 and last is not None and shown)
-            last = (h[-1], c[-1], n[-1])
-
-    return map_arrow(entries.repartition("h").sortWithinPartitions("h", "c"), run, "h long, c long, n int")
-
-
-def _fetch(docs: DataFrame, wanted: DataFrame, size: int, spool: Spool) -> DataFrame:
-    """Rows c, s (hashes, packed) of the wanted classes; `wanted`: c and the id of one document."""
+            per = np.array([len(x) // 4 for x in blobs])
+            h = np.frombuffer(b"".join(blobs), "<u4")
+            at = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+            at.sort()
+            run_of = np.cumsum(np.diff(at >> np.uint64(32), prepend=np.uint64(0)) != 0)
+            df = np.empty(len(h), np.int64)
+            df[(at & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.bincount(run_of)[run_of]
+            more = df > 1
+            own = np.concatenate([np.cumsum(np.frombuffer(x, "<u1" if len(x) == n else "<u2"), dtype=np.int64) for x, n in zip(rows, per.tolist())])
+            entries = np.zeros(int(more.sum()), _ENTRY)
+            entries["own"], entries["df"], entries["h"] = own[more], np.minimum(df[more], 65535), h[more]
+            left = np.bincount(np.repeat(np.arange(len(per)), per)[more], minlength=len(per))
+            some = left > 0
+            columns = [pa.array(chunk[some]), pa.array(part[some]), pa.array(np.zeros(int(some.sum()), bool)), _blobs(entries, left[some]), pa.nulls(int(some.sum()), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    found = map_arrow(dealt, run, "chunk long, part int, head boolean, data binary, hot binary")
+    # Chunks are numbered by the task that read them; dealt in turn, each task here gets as many.
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.shiftright("chunk", 20) + 7 * F.col("chunk").bitwiseAND((1 << 20) - 1), F.lit(parts)).cast("int")
+    return found.repartitionById(parts, turn).sortWithinPartitions("chunk")
+
+
+def _prefixes(shared: DataFrame, least: int) -> DataFrame:
+    """Of each document that has shared shingles enough for a link: c, d, n and gs, its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "chunk"):
+            is_head = table["head"].to_numpy()
+            top = table.filter(pa.array(is_head))
+            head, listed = np.frombuffer(top["data"][0].as_py(), _HEAD), np.frombuffer(top["hot"][0].as_py(), "<i4")
+            table = table.filter(pa.array(~is_head))
+            data = table["data"].to_pylist()
+            entries = np.frombuffer(b"".join(data), _ENTRY)
+            per = np.array([len(x) // _ENTRY.itemsize for x in data], np.int64)
+            g = (np.repeat(table["part"].to_numpy().astype(np.int64), per) << 32) | entries["h"].astype(np.int64)
+            own, df, n = entries["own"].astype(np.int64), entries["df"], head["n"].astype(np.int64)
+            s = np.bincount(own, minlength=len(head))
+            bound = -(-least * n // 100)
+            good = s + head["hot"] >= bound
+            alone, prefix = n - s - head["hot"], n - bound + 1
+            keep = good[own]
+            own, df, g = own[keep], df[keep], g[keep]
+            order = np.lexsort((g, df, own))
+            own, g = own[order], g[order]
+            held = np.bincount(own, minlength=len(head))
+            rank = np.arange(len(own)) - (np.cumsum(held) - held)[own]
+            use = alone[own] + rank < prefix[own]
+            hot_own = np.repeat(np.arange(len(head)), head["listed"])
+            hot_rank = np.arange(len(hot_own)) - np.repeat(np.cumsum(head["listed"]) - head["listed"], head["listed"])
+            use_hot = good[hot_own] & ((alone + s)[hot_own] + hot_rank < prefix[hot_own])
+            own = np.concatenate([own[use], hot_own[use_hot]])
+            g = np.concatenate([g[use], -1 - listed[use_hot].astype(np.int64)])
+            order = np.argsort(own, kind="stable")
+            count = np.bincount(own, minlength=len(head))
+            some = count > 0
+            ends = np.concatenate([[0], np.cumsum(count[some])]).astype(np.int32)
+            gs = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[order]))
+            columns = [pa.array(head["c"][some]), pa.array(head["d"][some]), pa.array(head["n"][some]), gs]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "d", "n", "gs"])
+
+    return map_arrow(shared, run, "c long, d long, n int, gs array<long>")
+
+
+def _fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Rows k, s (hashes, packed) of the wanted classes; `wanted`: k, c, d and the id of one document."""
     ids = wanted.select(F.col("rep").alias("id")).distinct()
     few = docs.join(F.broadcast(ids) if wanted.count() <= IDS_MOST else ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, counts, c, h in _sets(batch, size):
-                end = np.cumsum(counts)
-                made = [h[a:b].tobytes() for a, b in zip(end - counts, end)]
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(made, pa.binary())], ["c", "s"])
+            for _, counts, c, d, h in _sets(batch, size):
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(d), _blobs(h, counts)], ["c", "d", "s"])
 
-    sets = map_arrow(few, run, "c long, s binary").join(wanted.select("c"), "c", "left_semi")
-    return spool.write(sets.groupBy("c").agg(F.first("s").alias("s")))
+    sets = map_arrow(few, run, "c long, d long, s binary").join(wanted.select("c", "d", "k"), ["c", "d"])
+    return sets.groupBy("k").agg(F.first("s").alias("s"))
 
 
-def _promising(pairs: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap count within their prefixes allows a link.
-
-    The prefix that ends first leaves ceil(least * n) - 1 shingles of its set; so the counted
-    overlap must make up for the rest of the bound that both sizes set.
-    """
-    n = F.col("na") + F.col("nb")
-    bound = F.ceil(least * n / (100 + least)) - F.ceil(least * F.greatest("na", "nb") / 100) + 1
-    both = pairs.join(prefixes.select(F.col("c").alias("a"), F.col("hs").alias("ha")), "a").join(prefixes.select(F.col("c").alias("b"), F.col("hs").alias("hb")), "b")
-    return both.filter(F.size(F.array_intersect("ha", "hb")) >= bound).select("a", "b")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs a, b that link: blocks of the sparse product, one column and up to BLOCK rows each."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets, F.col("b") == F.col("c")).select("a", "block", F.lit(1).alias("kind"), "b", "s")
-    columns = counts.join(sets, F.col("a") == F.col("c")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("a").alias("b"), "s")
-    order = ["a", "block"]
-    dealt = columns.unionByName(rows).repartition(*order).sortWithinPartitions(*order, "kind")
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, cells: int) -> np.ndarray:
+    """Overlap counts of sets with sets (`b` None: with themselves): a block of the product,
+    accumulated over slices of the shingles."""
+    h, own = np.concatenate(a), np.repeat(np.arange(len(a)), [len(x) for x in a])
+    columns, place, held = np.unique(h, return_inverse=True, return_counts=True)
+    if b is None:
+        use = held[place] > 1
+        sides = [(own[use], place[use], len(a))]
+    else:
+        other, owner = np.concatenate(b), np.repeat(np.arange(len(b)), [len(x) for x in b])
+        at = np.minimum(np.searchsorted(columns, other), len(columns) - 1)
+        there = columns[at] == other
+        both = np.zeros(len(columns), bool)
+        both[at[there]] = True
+        sides = [(own[both[place]], place[both[place]], len(a)), (owner[there], at[there], len(b))]
+    live, total = np.unique(sides[0][1]), np.zeros((len(a), len(a if b is None else b)))
+    dealt = []
+    for o, p, m in sides:
+        p = np.searchsorted(live, p)
+        order = np.argsort(p, kind="stable")
+        dealt.append((o[order], p[order], m))
+    width = max(cells // sum(m for _, _, m in sides), 64)
+    for first in range(0, len(live), width):
+        blocks = []
+        for o, p, m in dealt:
+            x, y = np.searchsorted(p, [first, first + width])
+            block = np.zeros((m, width), np.float32)
+            block[o[x:y], p[x:y] - first] = 1
+            blocks.append(block)
+        total += blocks[0] @ blocks[-1].T
+    return total
+
+
+def _labels(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, of the links a, b."""
+    label = np.arange(nodes)
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def _multiply(dealt: DataFrame, least: int) -> DataFrame:
+    """Links a, b of blocks of the product: rows blk, side, root, s; both sides of a block are
+    compared with one another, a block with side 0 alone with itself. Sets of the same root are
+    joined already; links are between roots, one a member at most."""
+    cells = CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = np.zeros(0, np.uint64)
-        for batch in batches:
-            a, kind, b, s = (batch.column(k) for k in (0, 2, 3, 4))
-            a, kind, b, links = a.to_numpy(), kind.to_numpy(), b.to_numpy(), []
-            edges = [0, *np.flatnonzero(kind == 0).tolist(), len(batch)]
-            for first, last in zip(edges, edges[1:]):
-                if first == last:
-                    continue
-                if kind[first] == 0:
-                    column = np.frombuffer(s[first].as_py(), np.uint64)
-                    first += 1
-                if first == last:
-                    continue
-                data = [x.as_py() for x in s.slice(first, last - first)]
-                sizes = np.array([len(x) // 8 for x in data])
-                h = np.frombuffer(b"".join(data), np.uint64)
-                there = column[np.minimum(np.searchsorted(column, h), len(column) - 1)] == h
-                overlap = np.bincount(np.repeat(np.arange(len(data)), sizes), there, len(data)).astype(np.int64)
-                good = (100 + least) * overlap >= least * (sizes + len(column))
-                links += [(x, y) for x, y in zip(a[first:last][good].tolist(), b[first:last][good].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return map_arrow(dealt, run, "a long, b long")
-
-
-def _near(a: str, b: str, least: int) -> Column:
-    """Whether two sizes allow a link."""
-    return 100 * F.least(a, b) >= least * F.greatest(a, b)
+        for table in _groups(batches, "blk"):
+            if len(table) < 2:
+                continue
+            side, root = table["side"].to_numpy(), table["root"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(x):
+                continue
+            alone = not len(y)
+            n = np.array([len(s) for s in sets])
+            overlap = _overlaps([sets[k] for k in x], None if alone else [sets[k] for k in y], cells)
+            y = x if alone else y
+            p, q = np.nonzero((100 + least) * overlap >= least * (n[x][:, None] + n[y][None]))
+            p, q = x[p], y[q]
+            p, q = p[root[p] != root[q]], q[root[p] != root[q]]
+            if not len(p):
+                continue
+            nodes, at = np.unique(root, return_inverse=True)
+            label = _labels(len(nodes), at[p], at[q])
+            moved = label != np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
+
+    return map_arrow(dealt.repartition("blk").sortWithinPartitions("blk"), run, "a long, b long")
+
+
+def _cut(members: DataFrame, by: list[str]) -> DataFrame:
+    """`members` with blocks, the number of blocks of each group, and block, the member's own by hash."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ENTRIES)).cast("int")
+    sizes = members.groupBy(*by).agg(blocks.alias("blocks"))
+    return members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+
+
+def _links(members: DataFrame, sets: DataFrame, least: int, spool: Spool) -> DataFrame:
+    """Links a, b of the classes of each cluster; `members`: cluster, k, n, band."""
+    blk = F.xxhash64("cluster", "band", "block")
+    first = members.join(members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w")), "cluster")
+    whole = (F.col("m") <= BLOCK) & (F.col("w") <= ENTRIES)
+    large = spool.write(_cut(first.filter(~whole).drop("m", "w"), ["cluster", "band"]))
+    rows = first.filter(whole).select(F.col("cluster").alias("blk"), "k")
+    some = not large.isEmpty()
+    if some:
+        own = large.select("cluster", blk.alias("blk"), "k")
+        # A few members by hash meet every block of their cluster.
+        lead = large.groupBy("cluster", F.pmod(F.xxhash64("k"), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("k", F.lit(1)), "k")).alias("p"))
+        pivots = own.select("cluster", "blk").distinct().join(lead.select("cluster", F.col("p.k").alias("k")), "cluster")
+        rows = rows.unionByName(own.unionByName(pivots).select("blk", "k").distinct())
+    dealt = rows.join(sets, "k").select("blk", F.lit(0).alias("side"), F.col("k").alias("root"), "s")
+    links = spool.write(_multiply(dealt, least))
+    if not some:
+        return links
+    roots = components(links, spool)
+    now = large.select("cluster", "k", "n", "band").join(roots, F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k"))
+    # Large components have blocks of their own; the rest of a cluster share theirs.
+    pure = now.groupBy("cluster", "root").agg(F.count("*").alias("m")).filter(F.col("m") >= BLOCK).select("cluster", "root", F.col("root").alias("of"))
+    now = spool.write(_cut(now.join(pure, ["cluster", "root"], "left").withColumn("of", F.coalesce("of", F.lit(-1))), ["cluster", "of", "band"]))
+    blocks = spool.write(now.select("cluster", "of", "band", "block").distinct())
+    left, right = (blocks.select("cluster", *[F.col(c).alias(f"{c}{k}") for c in ("of", "band", "block")]) for k in (0, 1))
+    ordered = F.struct("of0", "band0", "block0") <= F.struct("of1", "band1", "block1")
+    pairs = left.join(right, "cluster").filter(ordered & (F.abs(F.col("band0") - F.col("band1")) <= 1) & ((F.col("of0") == -1) | (F.col("of0") != F.col("of1"))))
+    pairs = pairs.withColumn("blk", F.xxhash64("cluster", *[f"{c}{k}" for k in (0, 1) for c in ("of", "band", "block")]))
+    same = F.struct("of0", "band0", "block0") == F.struct("of1", "band1", "block1")
+    ends = pairs.select("cluster", "blk", F.lit(0).alias("side"), F.col("of0").alias("of"), F.col("band0").alias("band"), F.col("block0").alias("block"))
+    ends = ends.unionByName(pairs.filter(~same).select("cluster", "blk", F.lit(1).alias("side"), F.col("of1").alias("of"), F.col("band1").alias("band"), F.col("block1").alias("block")))
+    dealt = ends.join(now, ["cluster", "of", "band", "block"]).join(sets, "k").select("blk", "side", "root", "s")
+    return links.unionByName(spool.write(_multiply(dealt, least)))
 
 
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 75, size: int = 5) -> DataFrame:
@@ -222,60 +423,39 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     spool = Spool(spark)
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = spool.write(docs)
     told = spool.write(_describe(docs, size))
-    own = told.filter("h is null").select("id", "n", "c")
-    told_hot = spool.write(told.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT))
-    classes = spool.write(own.filter("n > 0 and id is not null").groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
-    hot = _top(told_hot, "h", "n", HOT_MOST)
-    many = classes.filter(F.col("n_copies") >= HOT).orderBy(F.desc("n_copies"), "c").limit(HOT_MOST // 4).select("c", "rep").toArrow()
-    copies = dict(zip(many["c"].to_pylist(), many["rep"].to_pylist()))
-    for attempt in range(4):
-        postings = spool.write(_postings(_prefixes(docs, hot, copies, least, size)))
-        crowded = postings.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
-        more = np.setdiff1d(_top(crowded, "h", "n", HOT_MOST), hot)
-        if not len(more) or attempt == 3 or len(hot) + len(more) > HOT_MOST:
-            break
-        hot = np.sort(np.concatenate([hot, more]))
-        spool.drop(postings)
-    spool.drop(told_hot)
-    prefixes = spool.write(postings.groupBy("c").agg(F.collect_list("h").alias("hs")))
-    # Postings with the same members are one.
-    lists = postings.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.xxhash64("c", F.lit(1)) % (1 << 40)).alias("y"))
-    once = lists.groupBy("m", "x", "y").agg(F.min("h").alias("h")).select("h")
-    members = spool.write(postings.join(once, "h", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("c"))))
-    spool.drop(postings)
-    links, roots, done, seen = None, None, 0, 0
-    while True:
-        now = members.filter(F.col("place") > seen)  # the first `seen` members are compared with all
-        now = now.withColumn("root", F.col("c")) if roots is None else now.join(roots, now["c"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "c"))
-        open_ = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low != high").select("h", "m")
-        now = spool.write(now.join(open_, "h"))
-        if now.isEmpty():
-            break
-        # The first member is compared with all others; later, all with all where few are left.
-        whole = F.lit(False) if not done else (F.col("m") <= FEW) if done < ROUNDS else F.lit(True)
-        upto = seen + (PIVOTS if done else 1)
-        lead = now.filter((F.col("place") <= upto) | whole).select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa"))
-        pairs = now.join(lead, "h").filter((F.col("place") > F.col("pa")) & (F.col("root") != F.col("ra")) & _near("n", "na", least))
-        pairs = pairs.select("a", F.col("c").alias("b"), "na", F.col("n").alias("nb")).distinct()
-        pairs = spool.write(_promising(pairs, prefixes, least))
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes, "c").select("c", "rep")
-            sets = _fetch(docs, wanted, size, spool)
-            found = spool.write(_verify(pairs, sets, least))
-            spool.drop(sets)
-            links = found if links is None else spool.write(links.unionByName(found))
-            roots = spool.write(components(links, spool))
-        finished = now.filter(whole).select("h").distinct()
-        members = members if not done else spool.write(members.join(finished, "h", "left_anti"))
-        spool.drop(now)
-        spool.drop(pairs)
-        done, seen = done + 1, upto
-    if roots is None:
-        joined = classes.withColumn("root", F.col("c"))
-    else:
-        joined = classes.join(roots, classes["c"] == roots["node"], "left").withColumn("root", F.coalesce("root", "c"))
+    own = told.filter("h is null").select("id", "n", "c", "d")
+    total = own.agg(F.count("*").alias("docs"), F.sum("n").alias("entries")).first()
+    enough = max(HOT, total["docs"] // SHARE)
+    hot = told.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= enough)
+    hot = hot.orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").toArrow()["h"].to_numpy()
+    grouped = own.filter("n > 0 and id is not null").groupBy("c", "d").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
+    classes = spool.write(grouped.withColumn("k", F.monotonically_increasing_id()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["entries"] or 0) // PART))
+    prefixes = spool.write(_prefixes(_shared(_deal(docs.filter("id is not null"), hot, least, size, parts)), least))
+    # A document may speak in several chunks' name for its class; its prefix is the same everywhere.
+    once = prefixes.groupBy("c", "d").agg(F.first("n").alias("n"), F.first("gs").alias("gs"))
+    live = spool.write(once.join(classes.select("c", "d", "k", "rep"), ["c", "d"]))
+    spool.drop(prefixes)
+    # Sizes in neighbouring bands of a factor of least at least can link; others can't.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.5 / least))).cast("int") if least < 100 else F.col("n")
+    live = live.withColumn("band", band)
+    postings = live.select("k", "band", F.explode("gs").alias("g"))
+    heads = spool.write(postings.groupBy("g", "band").agg(F.min("k").alias("head"), F.count("*").alias("m")))
+    joined = postings.join(heads.filter("m > 1"), ["g", "band"]).select(F.col("k").alias("a"), F.col("head").alias("b"))
+    above = heads.select("g", (F.col("band") - 1).alias("band"), F.col("head").alias("b"))
+    joined = joined.unionByName(heads.join(above, ["g", "band"]).select(F.col("head").alias("a"), "b"))
+    clusters = spool.write(components(joined.filter("a != b").distinct(), spool))
+    members = live.drop("gs").join(clusters, F.col("k") == F.col("node")).withColumnRenamed("root", "cluster").drop("node")
+    members = spool.write(members)
+    sets = spool.write(_fetch(docs, members, size))
+    roots = spool.write(components(_links(members.select("cluster", "k", "n", "band"), sets, least, spool), spool))
+    spool.drop(sets)
+    joined = classes.join(roots, classes["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k"))
     least_id = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = joined.join(least_id, "root").select("c", "component_id", "n_copies")
-    out = own.join(by_class.withColumnRenamed("c", "k"), (F.col("c") == F.col("k")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+    by_class = joined.join(least_id, "root").select(F.col("c").alias("c1"), F.col("d").alias("d1"), "component_id", "n_copies")
+    same = (F.col("c") == F.col("c1")) & (F.col("d") == F.col("d1")) & (F.col("n") > 0) & F.col("id").isNotNull()
+    out = own.join(by_class, same, "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))

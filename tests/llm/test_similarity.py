@@ -67,9 +67,13 @@ def _near_copies(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot,few", [(64, 32), (3, 2)])
+#: Of the join: all in one block; hot shingles, many chunks and parts; clusters cut into many blocks.
+SETTINGS = [(64, {}), (3, {"HOT": 3, "LOCAL": 2, "CHUNK": 800, "PART": 100}), (4, {"BLOCK": 3, "PIVOTS": 1, "CHUNK": 500, "CELLS": 1000}), (5, {"BLOCK": 2, "ENTRIES": 300, "PIVOTS": 2, "HOT": 5})]
+
+
+@pytest.mark.parametrize("hot,few", SETTINGS)
 def test_ngram_join(spark, monkeypatch, hot, few):
-    for name, value in (("HOT", hot), ("FEW", few), ("LOCAL", 2), ("ROUNDS", 2)):
+    for name, value in few.items():
         monkeypatch.setattr(ngram_join, name, value)
     texts = _near_copies(random.Random(hot))
     sets = [_set(t) for t in texts]
