@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +15,6 @@ from ..session import ship
 
 #: Rows and bytes of an Arrow batch at most; texts are long, so batches are kept small.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: MB that an operator broadcasts at most; beyond it each has a path without a broadcast.
-BROADCAST_MB = 64
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -44,9 +41,12 @@ def map_arrow(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share; a local one only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='arcspan-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -73,17 +73,10 @@ class Spool:
         atexit.register(_delete, spark, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
-        """Write `df`; the table, read again.
-
-        Shuffle files of plans that nothing refers to any more are freed at once, not whenever the
-        driver next happens to collect its garbage.
-        """
+        """Write `df`; the table, read again."""
         self.n += 1
         path, schema = f"{self.root}/{self.n}", df.schema
         df.write.parquet(path)
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(schema).parquet(path)
         out.spooled = path
         return out
