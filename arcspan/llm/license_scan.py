@@ -1,21 +1,22 @@
 """Licence scan: MinHash bands over overlapping windows of a text, then exact containment.
 
-DataFrame functions only. A text's words are hashed in pairs; windows of 16 pairs, one every 8,
-cover it whole. A window's signature is that of one-permutation MinHash: the hash range is cut into
-`BINS` bands, and each band that has hashes keeps the smallest. Templates are cut into fragments
-of at most 10 words, whose pairs always lie in one window together. A pair of a fragment is its
-band's minimum unless one of the window's 15 others falls into the band below it, so with a
-probability of at least 1 - 15 / (2 * BINS), 94 %; a fragment is missed if none of its pairs is, for
-the shortest notices (4 pairs) 0.0012 % of the time, and less for all others. The templates' band
-values (templates are few and fixed) are literals of the plan, so a window that retrieves nothing
-costs no row.
+DataFrame functions only. A text's runs of five words (shingles) are hashed; windows of 16 shingles,
+one every 8, cover it whole. A window's signature is that of one-permutation MinHash: the hash
+range is cut into `BINS` bands, and each band that has hashes keeps the smallest. A shingle of a
+template is its band's minimum in a window that holds it unless one of the window's 15 others falls
+into the band below it, so it is found with a probability of at least 1 - 15 / (2 * BINS), 99.98 %.
+A template is retrieved by any one of its shingles; a text that matches holds at least 75 % of them,
+so a template of n shingles is missed with (15 / (2 * BINS)) ** ceil(0.75 * n) at most: 0.012 % for
+the shortest notices (one shingle), nothing that counts for all others. The templates' hashes
+(templates are few and fixed) are literals of the plan, so a window that retrieves nothing costs no
+row, and words that many texts share retrieve nothing.
 
 What is retrieved is verified exactly over the whole document: of all stretches of the template's
-number of five-word shingles plus a quarter, the one that holds most of them must hold 75 %.
+number of shingles plus a quarter, the one that holds most of them must hold 75 %.
 
 Edge cases: null, empty and blank texts, and texts of fewer than five words, match nothing;
-repeated rows give repeated results; an empty table gives an empty table; columns of the input
-other than id and text are not used. Templates need five words at least.
+repeated rows give repeated results, also under one id or none; an empty table gives an empty
+table; columns of the input other than id and text are not used. Templates need five words at least.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .license_texts import LICENSES
 
-#: Bands, as bits of the hash; pairs from window to window (half a window); words of a fragment; words of a shingle; least percentage.
-BAND_BITS, STEP, FRAGMENT, SHINGLE, LEAST = 7, 8, 10, 5, 75
+#: Bands, as bits of the hash; shingles from window to window (half a window); words of a shingle; least percentage.
+BAND_BITS, STEP, SHINGLE, LEAST = 16, 8, 5, 75
 BINS = 1 << BAND_BITS
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Signs that are dropped from words (fixed values): quotes, brackets, list and comment marks.
@@ -36,15 +37,9 @@ _DROPPED = ".,;:!?()[]{}<>\"'`*#/\\|"
 
 
 def words(text: str | Column) -> Column:
-    """Words of a text, A-Z lower-cased and without marks."""
+    """Words of a text, A-Z lower-cased and without marks; of a blank one, an empty word."""
     plain = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), _UPPER + _DROPPED, _LOWER)
-    return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def pairs(column: str) -> Column:
-    """Hashes of neighbouring words."""
-    w = F.col(column)
-    return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<long>"))
+    return F.split(F.btrim(plain, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
 def shingles(column: str) -> Column:
@@ -60,51 +55,49 @@ def signature(ordered: Column) -> Column:
 
 
 def templates(spark: SparkSession, licenses: list[tuple[str, str]]) -> tuple[DataFrame, dict[int, list[int]]]:
-    """The template table (t, license, marks: its distinct shingles), and the templates of each
-    band value; the number of templates bounds both."""
+    """The template table (t, license, marks: its distinct shingles), and the templates that hold
+    each shingle; the number of templates bounds both."""
     rows = [(k, name, text) for k, (name, text) in enumerate(licenses)]
     table = spark.createDataFrame(rows, "t int, license string, text string").withColumn("w", words("text"))
-    local = table.select("t", "license", F.array_distinct(shingles("w")).alias("marks"), "w").collect()
-    if any(not r["marks"] for r in local):
-        raise ValueError("a template has fewer than five words")
-    fragments = []
-    for r in local:
-        last = max(len(r["w"]) - FRAGMENT, 0)
-        fragments += [(r["t"], r["w"][s : s + FRAGMENT]) for s in sorted({*range(0, last, FRAGMENT // 2), last})]
+    table = table.select("t", "license", F.array_distinct(shingles("w")).alias("marks"))
     found: dict[int, list[int]] = {}
-    cut = spark.createDataFrame(fragments, "t int, f array<string>").withColumn("h", pairs("f"))
-    for t, values in cut.select("t", F.transform(F.array(F.array_sort("h")), signature)[0]).collect():
-        for v in values:
-            found.setdefault(v, []).append(t)
-    return spark.createDataFrame([tuple(r)[:3] for r in local], "t int, license string, marks array<long>"), {v: sorted(set(ts)) for v, ts in found.items()}
+    local = table.collect()
+    for r in local:
+        if not r["marks"]:
+            raise ValueError("a template has fewer than five words")
+        for v in r["marks"]:
+            found.setdefault(v, []).append(r["t"])
+    return spark.createDataFrame([tuple(r) for r in local], "t int, license string, marks array<long>"), found
 
 
 def scan(df: DataFrame, licenses: list[tuple[str, str]] | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns id, license, containment (of the best template and stretch), first_word (from 0)."""
     spark = df.sparkSession
     known, by_value = templates(spark, licenses or LICENSES)
-    docs = df.select(F.col(id).alias("id"), words(text).alias("w")).withColumn("h", pairs("w"))
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size("h") - 1) / STEP), F.lit(0)).cast("int"))
-    windows = F.transform(starts, lambda b: F.array_sort(F.slice("h", b * STEP + 1, 2 * STEP)))
-    bands = F.flatten(F.transform(windows, signature))
-    hits = F.array_distinct(F.filter(bands, lambda x: x.isin(list(by_value))))
-    docs = docs.withColumn("hits", hits)
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), words(text).alias("w"))
+    docs = docs.select("row", "id", shingles("w").alias("s"))
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size("s") - 1) / STEP), F.lit(0)).cast("int"))
+    windows = F.transform(starts, lambda b: F.sort_array(F.slice("s", b * STEP + 1, 2 * STEP)))
+    hits = F.flatten(F.transform(windows, lambda x: F.filter(signature(x), lambda v: v.isin(list(by_value)))))
+    docs = docs.withColumn("hits", F.array_distinct(hits))
     # A row for each template that a text's bands retrieve. Rows that retrieve none end here, by
     # an explode: a filter would be pushed below the columns above and compute them again.
     lookup = F.from_json(F.lit(json.dumps({str(v): ts for v, ts in by_value.items()})), "map<string,array<int>>")
     found = F.flatten(F.transform("hits", lambda v: F.element_at(lookup, v.cast("string"))))
-    met = docs.select("id", "w", F.explode(F.array_distinct(found)).alias("t"))
-    met = met.join(F.broadcast(known), "t").withColumn("s", shingles("w"))
+    met = docs.select("row", "id", "s", F.explode(F.array_distinct(found)).alias("t"))
+    met = met.join(F.broadcast(known), "t")
     span = F.size("marks") + F.ceil(F.size("marks") / 4).cast("int")
     at = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains(F.col("marks"), F.element_at("s", i + 1)))
-    met = met.withColumn("at", F.when(F.size("s") > 0, at).otherwise(F.array().cast("array<int>"))).withColumn("span", span)
+    met = met.withColumn("at", at).withColumn("span", span)
     held = lambda p: F.size(F.array_intersect(F.slice("s", p + 1, F.col("span")), F.col("marks")))
-    met = met.withColumn("best", F.array_max(F.transform("at", lambda p: F.struct(held(p).alias("n"), (-p).alias("p")))))
+    # Where too few positions hold a mark at all, no stretch is looked at.
+    some = F.when(100 * F.size("at") >= LEAST * F.size("marks"), F.col("at")).otherwise(F.array().cast("array<int>"))
+    met = met.withColumn("best", F.array_max(F.transform(some, lambda p: F.struct(held(p).alias("n"), (-p).alias("p")))))
     good = F.filter(F.array("best"), lambda b: 100 * b["n"] >= LEAST * F.size("marks"))
-    one = met.select("id", "license", F.size("marks").alias("of"), F.explode(good).alias("b"))
+    one = met.select("row", "id", "license", F.size("marks").alias("of"), F.explode(good).alias("b"))
     # Templates of one licence: the best containment, then the earliest stretch.
     best = F.max(F.struct((F.col("b.n") / F.col("of")).alias("containment"), F.col("b.p").alias("p")))
-    out = one.groupBy("id", "license").agg(best.alias("b"))
+    out = one.groupBy("row", "license").agg(F.first("id").alias("id"), best.alias("b"))
     return out.select(F.col("id").alias(id), "license", F.col("b.containment").alias("containment"), (-F.col("b.p")).cast("long").alias("first_word"))
 
 
