@@ -284,17 +284,22 @@ def _prefixes(shared: DataFrame, least: int) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Rows k, s (hashes, packed) of the wanted classes; `wanted`: k, c, d and the id of one document."""
-    ids = wanted.select(F.col("rep").alias("id")).distinct()
-    few = docs.join(F.broadcast(ids) if wanted.count() <= IDS_MOST else ids, "id", "left_semi")
+    """Rows blk, k, s (hashes, packed): the sets of the wanted classes; `wanted`: blk, k, c, d and rep, the
+    id of a document. Other documents of that id are left out; repeated rows give repeated sets."""
+    ids = wanted.select(F.col("rep").alias("id"), "blk", "k", F.col("c").alias("c1"), F.col("d").alias("d1"))
+    few = docs.join(F.broadcast(ids) if wanted.count() <= IDS_MOST else ids, "id").select("id", "text", "blk", "k", "c1", "d1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            c1, d1, done = batch.column(4).to_numpy(), batch.column(5).to_numpy(), 0
             for _, counts, c, d, h in _sets(batch, size):
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(d), _blobs(h, counts)], ["c", "d", "s"])
+                rows = slice(done, done + len(counts))
+                done += len(counts)
+                own = pa.array((c == c1[rows]) & (d == d1[rows]))
+                columns = [batch.column(2)[rows], batch.column(3)[rows], _blobs(h, counts)]
+                yield pa.RecordBatch.from_arrays([x.filter(own) for x in columns], ["blk", "k", "s"])
 
-    sets = map_arrow(few, run, "c long, d long, s binary").join(wanted.select("c", "d", "k"), ["c", "d"])
-    return sets.groupBy("k").agg(F.first("s").alias("s"))
+    return map_arrow(few, run, "blk long, k long, s binary")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, cells: int) -> np.ndarray:
@@ -344,7 +349,7 @@ def _labels(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-def _multiply(dealt: DataFrame, least: int) -> DataFrame:
+def _multiply(dealt: DataFrame, least: int, parts: int) -> DataFrame:
     """Links a, b of blocks of the product: rows blk, side, root, s; both sides of a block are
     compared with one another, a block with side 0 alone with itself. Sets of the same root are
     joined already; links are between roots, one a member at most."""
@@ -373,7 +378,7 @@ def _multiply(dealt: DataFrame, least: int) -> DataFrame:
             moved = label != np.arange(len(nodes))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
 
-    return map_arrow(dealt.repartition("blk").sortWithinPartitions("blk"), run, "a long, b long")
+    return map_arrow(dealt.repartition(parts, "blk").sortWithinPartitions("blk"), run, "a long, b long")
 
 
 def _cut(members: DataFrame, by: list[str]) -> DataFrame:
@@ -383,22 +388,27 @@ def _cut(members: DataFrame, by: list[str]) -> DataFrame:
     return members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
 
 
-def _links(members: DataFrame, sets: DataFrame, least: int, spool: Spool) -> DataFrame:
-    """Links a, b of the classes of each cluster; `members`: cluster, k, n, band."""
+def _links(members: DataFrame, docs: DataFrame, least: int, size: int, spool: Spool) -> DataFrame:
+    """Links a, b of the classes of each cluster; `members`: cluster, k, c, d, n, band, rep."""
     blk = F.xxhash64("cluster", "band", "block")
     first = members.join(members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w")), "cluster")
     whole = (F.col("m") <= BLOCK) & (F.col("w") <= ENTRIES)
-    large = spool.write(_cut(first.filter(~whole).drop("m", "w"), ["cluster", "band"]))
-    rows = first.filter(whole).select(F.col("cluster").alias("blk"), "k")
+    keep = ["blk", "k", "c", "d", "rep"]
+    wanted = first.filter(whole).withColumn("blk", F.col("cluster")).select(keep)
+    large = spool.write(_cut(first.filter(~whole).drop("m", "w"), ["cluster", "band"]).withColumn("blk", blk))
     some = not large.isEmpty()
+    entries = members.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // PART))
+    sets = _fetch(docs, wanted.unionByName(large.select(keep)) if some else wanted, size)
+    sets = spool.write(sets) if some else sets
+    dealt = sets.select("blk", F.lit(0).alias("side"), F.col("k").alias("root"), "s")
+    sets = sets.select("k", "s")
     if some:
-        own = large.select("cluster", blk.alias("blk"), "k")
-        # A few members by hash meet every block of their cluster.
-        lead = large.groupBy("cluster", F.pmod(F.xxhash64("k"), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("k", F.lit(1)), "k")).alias("p"))
-        pivots = own.select("cluster", "blk").distinct().join(lead.select("cluster", F.col("p.k").alias("k")), "cluster")
-        rows = rows.unionByName(own.unionByName(pivots).select("blk", "k").distinct())
-    dealt = rows.join(sets, "k").select("blk", F.lit(0).alias("side"), F.col("k").alias("root"), "s")
-    links = spool.write(_multiply(dealt, least))
+        # A few members by hash meet every other block of their cluster.
+        lead = large.groupBy("cluster", F.pmod(F.xxhash64("k"), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("k", F.lit(1)), "k", "blk")).alias("p"))
+        pivots = large.select("cluster", "blk").distinct().join(lead.select("cluster", F.col("p.k").alias("k"), F.col("p.blk").alias("own")), "cluster").filter("blk != own")
+        dealt = dealt.unionByName(pivots.join(sets, "k").select("blk", F.lit(0).alias("side"), F.col("k").alias("root"), "s"))
+    links = spool.write(_multiply(dealt, least, parts))
     if not some:
         return links
     roots = components(links, spool)
@@ -415,7 +425,7 @@ def _links(members: DataFrame, sets: DataFrame, least: int, spool: Spool) -> Dat
     ends = pairs.select("cluster", "blk", F.lit(0).alias("side"), F.col("of0").alias("of"), F.col("band0").alias("band"), F.col("block0").alias("block"))
     ends = ends.unionByName(pairs.filter(~same).select("cluster", "blk", F.lit(1).alias("side"), F.col("of1").alias("of"), F.col("band1").alias("band"), F.col("block1").alias("block")))
     dealt = ends.join(now, ["cluster", "of", "band", "block"]).join(sets, "k").select("blk", "side", "root", "s")
-    return links.unionByName(spool.write(_multiply(dealt, least)))
+    return links.unionByName(spool.write(_multiply(dealt, least, parts)))
 
 
 def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 75, size: int = 5) -> DataFrame:
@@ -450,9 +460,7 @@ def similar_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     clusters = spool.write(components(joined.filter("a != b").distinct(), spool))
     members = live.drop("gs").join(clusters, F.col("k") == F.col("node")).withColumnRenamed("root", "cluster").drop("node")
     members = spool.write(members)
-    sets = spool.write(_fetch(docs, members, size))
-    roots = spool.write(components(_links(members.select("cluster", "k", "n", "band"), sets, least, spool), spool))
-    spool.drop(sets)
+    roots = spool.write(components(_links(members, docs, least, size, spool), spool))
     joined = classes.join(roots, classes["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k"))
     least_id = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = joined.join(least_id, "root").select(F.col("c").alias("c1"), F.col("d").alias("d1"), "component_id", "n_copies")
