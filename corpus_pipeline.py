@@ -6,8 +6,8 @@ packed pieces.
 
 Edge cases: empty tables pass through all stages; null texts count as empty; a row with a null
 id is never a duplicate of another; of rows that repeat an id and its text one stays, while
-other texts under a repeated id are documents of their own; extra columns of the input are kept
-by the first three stages.
+other texts under a repeated id are documents of their own; extra columns of the input, whatever
+their names and types, are kept by the first three stages.
 """
 
 from __future__ import annotations
@@ -19,43 +19,52 @@ from pyspark.sql import functions as F
 from arcspan.llm import labelled, ngram_join, packing, quality, toxicity
 from arcspan.llm.common import Spool, remainder
 
-#: Scores from which a document is toxic, or good (those of the operators' queries), and ids broadcast at most.
-TOXIC, GOOD, IDS_MOST = 0.7, 0.7, 4_000_000
+#: Scores from which a document is toxic, or good (those of the operators' queries), and rows broadcast at most.
+TOXIC, GOOD, IDS_MOST = 0.7, 0.7, 1_000_000
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that the table does not have."""
+    there = {c.lower() for c in docs.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(labelled.sample(docs, labels, "toxic", remainder("_id", 3) != 1))
-    return toxicity.score(docs, model, out="_toxicity").filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    out = _free(docs, "_toxicity")
+    return toxicity.score(docs, model, out=out).filter(F.col(out) < TOXIC).drop(out)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(labelled.sample(docs, labels, "quality", remainder("_id", 4) != 2))
-    return quality.score(docs, model, out="_quality").filter(F.col("_quality") >= GOOD).drop("_quality")
+    out = _free(docs, "_quality")
+    return quality.score(docs, model, out=out).filter(F.col(out) >= GOOD).drop(out)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of the n-gram Jaccard join, that with the smallest id."""
     # Rows are told apart by a hash of id and text, as ids may repeat.
-    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    docs, columns = docs.withColumn("_row", row), docs.columns
-    groups = Spool(spark).write(ngram_join.similar_components(docs, id="_row"))
-    far = groups.filter("_row != component_id").select("_row", "component_id").distinct()
-    again = groups.filter("_row is not null").groupBy("_row").count().filter("count > 1").select("_row")
+    columns, row = docs.columns, _free(docs, "_row")
+    docs = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
+    groups = Spool(spark).write(ngram_join.similar_components(docs, id=row))
+    far = groups.filter(F.col(row) != F.col("component_id")).select(row, "component_id").distinct()
+    again = groups.filter(F.col(row).isNotNull()).groupBy(row).count().filter("count > 1").select(row)
     # A checked number of rows is broadcast, so texts stay where they are; beyond it, they are joined.
     hint = F.broadcast if far.count() <= IDS_MOST // 2 and again.count() <= IDS_MOST else lambda x: x
-    members = far.unionByName(far.select(F.col("component_id").alias("_row"), "component_id").distinct())
-    members = docs.select("_row", "doc_id").join(hint(members), "_row").distinct()
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
-    gone = members.join(hint(first), "component_id").filter("_row != _first._row").select("_row")
-    kept = docs.join(hint(gone), "_row", "left_anti").select("_row", *columns)
-    once = kept.join(hint(again), "_row", "left_anti").select(columns)
-    rows = F.min(F.struct(*columns)).alias("_kept")
-    repeated = kept.join(hint(again), "_row", "left_semi").groupBy("_row").agg(rows)
-    return once.unionByName(repeated.select(*[F.col(f"_kept.`{c}`").alias(c) for c in columns]))
+    members = far.unionByName(far.select(F.col("component_id").alias(row), "component_id").distinct())
+    members = docs.select(row, "doc_id").join(hint(members), row).distinct()
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", F.col(row).alias("r"))).alias("first"))
+    gone = members.join(hint(first), "component_id").filter(F.col(row) != F.col("first.r")).select(row)
+    kept = docs.join(hint(gone), row, "left_anti")
+    once = kept.join(hint(again), row, "left_anti").select(columns)
+    # Of repeated rows any one stays; they differ in extra columns at most.
+    return once.unionByName(kept.join(hint(again), row, "left_semi").dropDuplicates([row]).select(columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
