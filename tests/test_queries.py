@@ -55,7 +55,7 @@ def test_whole_graph(spark, name):
     assert {r["node_id"] for r in QUERIES[name](spark, SF).collect()} == want
 
 
-def test_bm25_whole_uses_all_tokens(spark, tmp_path):
+def test_bm25_uses_all_tokens(spark, tmp_path):
     """Against brute force; the words and identifiers that decide are longer than four letters."""
     docs = ["firewall blocked CVE-2024-12345 again", "firewall resting", "exfiltration from 10.0.0.1 blocked", "the", None]
     asks = ["exfiltration blocked", "cve-2024-12345", "10.0.0.1"]
@@ -70,6 +70,18 @@ def test_bm25_whole_uses_all_tokens(spark, tmp_path):
                 df = sum(w in t for t in terms)
                 part = math.log((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(has) / mean))
                 want[q, d] = want.get((q, d), 0) + part
-    got = {(r["item_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
-    assert QUERIES["rrf_fuse_whole"](spark, str(tmp_path)).count() > 0 and QUERIES["rerank_normalise_whole"](spark, str(tmp_path)).count() == len(want)
+    assert QUERIES["rerank_normalise"](spark, str(tmp_path)).count() == len(want)
+
+
+def test_entry_survives_what_the_operators_lack(monkeypatch):
+    """Without a library that the training-data operators need, all other queries are still there."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("arcspan.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLES)
