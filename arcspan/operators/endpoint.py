@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import basename, coalesce_alias, entropy, to_int
+from ..session import ship
 
 # Names of field aliases, programs and spawns that rules refer to.
 ALIASES = {
-    "timestamp": ["UtcTime", "@timestamp", "timestamp", "TimeCreated", "SystemTime", "time", "creation_time"],
+    "timestamp": [
+        "UtcTime", "@timestamp", "timestamp", "TimeCreated", "SystemTime", "time", "creation_time",
+        "TimeCreated.SystemTime", "TimeCreated.@SystemTime", "TimeCreated.timestamp",
+    ],
     "host": ["Computer", "host.name", "computer_name", "ComputerName", "host_name", "host"],
     "user": ["User", "user.name", "user_name", "username", "SubjectUserName", "user"],
+    "provider": ["ProviderName", "provider", "event.provider", "Provider_Name", "provider_name"],
+    "channel": ["Channel", "winlog.channel", "channel", "ChannelName"],
     "event_id": ["EventID", "event_id", "event.code", "EventId", "event_code"],
     "process_name": ["Image", "process.executable", "process.name", "process_name", "process_path", "SourceImage"],
     "parent_process_name": ["ParentImage", "process.parent.executable", "process.parent.name", "parent_process_name", "parent_process_path"],
     "process_id": ["ProcessId", "process.pid", "process_id", "ProcessID", "SourceProcessId", "SourceProcessID"],
+    "parent_process_id": ["ParentProcessId", "process.parent.pid", "parent_process_id", "ParentProcessID"],
     "command_line": ["CommandLine", "process.command_line", "command_line", "process_command_line"],
+    "parent_command_line": ["ParentCommandLine", "process.parent.command_line", "parent_command_line", "process_parent_command_line"],
+    "image_path": ["Image", "process.executable", "process_path", "SourceImage"],
+    "hashes": ["Hashes", "process.hash", "hashes", "process_hash"],
     "integrity_level": ["IntegrityLevel", "integrity_level", "process.integrity_level"],
     "target_process": ["TargetImage", "process.target.executable", "target_image", "process_target_image", "TargetProcessAddress"],
     "granted_access": ["GrantedAccess", "granted_access", "AccessMask", "granted_access_mask"],
     "destination_ip": ["DestinationIp", "destination.ip", "destination_ip", "DestinationIP"],
     "destination_port": ["DestinationPort", "destination.port", "destination_port", "DestinationPortValue"],
+    "dns_query": ["QueryName", "dns.question.name", "dns_query", "dns_name", "QueryNameValue"],
+    "registry_path": ["TargetObject", "registry.path", "registry_path", "registry_key", "TargetObjectValue"],
+    "file_path": ["TargetFilename", "file.path", "file_path", "TargetFile", "TargetFilenameValue"],
     "image_loaded": ["ImageLoaded", "process.thread.image_loaded", "image_loaded"],
 }
 SCRIPT_INTERPRETERS = ["cmd.exe", "powershell.exe", "pwsh.exe", "wscript.exe", "cscript.exe", "bash", "sh", "python.exe", "python", "perl.exe", "regini.exe"]
@@ -39,39 +56,65 @@ COMMON_SPAWNS = [
 def normalize(df: DataFrame, record: str = "record") -> DataFrame:
     """Canonical fields of raw records (a map of strings), and why a record is discarded.
 
-    The first alias that a record holds counts, even if its value is null. `reason` is null for
-    good events.
+    The first alias that a record holds counts, a plain one even if its value is null. `reason` is
+    null for good events.
     """
     r = F.col(record)
     out = df.select("*", *[coalesce_alias(r, names).alias(f"n_{field}") for field, names in ALIASES.items()])
     time = F.coalesce(F.col("n_timestamp").try_cast("timestamp"), F.try_to_timestamp(F.col("n_timestamp")))
     plain = {f: F.col(f"n_{f}") for f in ALIASES}
     plain |= {f: basename(plain[f]) for f in ("process_name", "parent_process_name", "target_process")}
-    plain |= {"timestamp": time, "process_id": to_int(plain["process_id"]), "destination_port": to_int(plain["destination_port"])}
+    plain |= {"timestamp": time} | {f: to_int(plain[f]) for f in ("process_id", "parent_process_id", "destination_port")}
     out = out.withColumns(plain).drop(*[f"n_{f}" for f in ALIASES])
     missing = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     reason = F.when(missing("timestamp"), "missing_timestamp").when(missing("host"), "missing_host").when(missing("event_id"), "missing_event_id")
     return out.withColumn("reason", reason)
 
 
-def anchored_windows(df: DataFrame, keys: list[str], us: str, tie: str, width_us: int) -> DataFrame:
+def window_starts(times: DataFrame, key: str, us: str, width_us: int) -> DataFrame:
+    """Rows key, us, window_index: where each key's anchored windows start.
+
+    A key's times are sorted by Spark and pass as a stream of batches; only the current window's
+    start is held, and each window costs one search in its batch, however many events it has.
+    """
+    ship(times.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, index = None, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, t = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(t)]
+            found: list[tuple[str, int, int]] = []
+            for a, b in zip(cuts, cuts[1:]):
+                at = a
+                if keys[a] != last:
+                    last, start, index = keys[a], int(t[a]), 0
+                    found.append((last, start, index))
+                while (at := at + int(np.searchsorted(t[at:b], start + width_us, "right"))) < b:
+                    start, index = int(t[at]), index + 1
+                    found.append((last, start, index))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32())], [key, us, "window_index"])
+
+    sorted_ = times.select(F.col(key), F.col(us).cast("long").alias(us)).repartition(key).sortWithinPartitions(key, us)
+    return sorted_.mapInArrow(run, f"{key} string, {us} long, window_index int")
+
+
+def anchored_windows(df: DataFrame, keys: list[str], us: str, width_us: int) -> DataFrame:
     """`df` with window_index and window_start: windows anchored at their first event.
 
     An event more than `width_us` after its window's first event opens the next one; exactly at the
-    width it still belongs. The fold runs over a key's sorted times, in the JVM; only (time, tie)
-    pairs of a key are gathered, and the rows themselves get their window by a join on the key
-    and the windows' disjoint intervals.
+    width it still belongs. Rows without a time are left out. The starts are found on times alone;
+    rows then get theirs by a sorted sweep over rows and starts, the last start carried on, so
+    nothing of a key is gathered, however busy it is.
     """
-    t = F.col(us)
-    starts = F.aggregate(
-        F.sort_array(F.collect_set(t)),
-        F.array().cast("array<long>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > width_us), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    windows = df.filter(t.isNotNull()).groupBy(*keys).agg(starts.alias("_starts"))
-    out = df.filter(t.isNotNull()).join(windows, keys)
-    index = F.size(F.filter("_starts", lambda s: s <= t)) - 1
-    return out.withColumn("window_index", index).withColumn("window_start", F.element_at("_starts", F.col("window_index") + 1)).drop("_starts")
+    rows = df.filter(F.col(us).isNotNull()).withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    starts = window_starts(rows.select("_k", F.col(us).alias("_us")), "_k", "_us", width_us)
+    both = rows.withColumns({"_us": F.col(us).cast("long"), "_row": F.lit(1)}).unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy("_k").orderBy("_us", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumns({"window_index": F.last("window_index", True).over(upto), "window_start": F.last(F.when(F.col("_row") == 0, F.col("_us")), True).over(upto)})
+    return carried.filter("_row = 1").select(*df.columns, "window_index", "window_start")
 
 
 def describe_windows(df: DataFrame, keys: list[str], us: str, tie: str, parent: str) -> DataFrame:
@@ -144,6 +187,28 @@ def parent_child_frequency(df: DataFrame, keys: list[str], order: Column) -> Dat
     return df.join(own, keys).groupBy(*keys).agg(F.count_if(same).cast("double").alias("parent_child_frequency"))
 
 
+def all_features(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """`window_features` and the frequency of each window's own parent and child: all 26 features."""
+    return window_features(df, keys, order).join(parent_child_frequency(df, keys, order), keys)
+
+
+def rule_field(columns: list[str], record: str | None = None) -> Callable[[str], Column]:
+    """How rules find a field: a key of the raw record (a map of strings) whatever its case, else the
+    canonical column that has the name as an alias, whatever its case; null without either."""
+    there = set(columns)
+
+    def get(name: str) -> Column:
+        low = name.lower()
+        known = [F.col(field).cast("string") for field, names in ALIASES.items() if field in there and low in [n.lower() for n in names]]
+        known += [F.col(c).cast("string") for c in columns if c.lower() == low and c not in ALIASES]
+        if record is None:
+            return F.coalesce(*known, F.lit(None).cast("string"))
+        held = F.filter(F.map_entries(F.col(record)), lambda e: F.lower(e["key"]) == low)
+        return F.when(F.size(held) > 0, F.get(held, F.lit(0))["value"]).otherwise(F.coalesce(*known, F.lit(None).cast("string")))
+
+    return get
+
+
 def heuristic_label(attack_processes: list[str] | None = None) -> Column:
     """Whether a window's features look malicious: any of six signs."""
     f = F.col

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def confusion(df: DataFrame, truth: Column, predicted: Column, keys: list[str] | None = None) -> DataFrame:
     """Counts and rates of a binary decision, by `keys` if given; undefined rates are 0."""
@@ -25,23 +27,20 @@ def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve: the chance that a positive scores above a negative, ties half.
 
-    Rows are first combined by score, so the running sum passes over distinct scores only.
+    Rows are first combined by score, so the running sum passes over distinct scores only, and
+    those are sorted by ranges.
     """
     steps = _by_score(df, truth, score).withColumn("neg", F.col("n") - F.col("p"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = steps.withColumn("w", F.col("p") * (below + F.col("neg") / 2))
+    won = running(steps, [F.col("s")], {"below": F.col("neg")}).withColumn("w", F.col("p") * (F.col("below") + F.col("neg") / 2))
     return won.agg((F.sum("w") / (F.sum("p") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Average precision (steps) and the trapezoid area under the precision-recall curve."""
-    by = Window.orderBy(F.desc("s"))
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    curve = _by_score(df, truth, score).withColumns({"tp": F.sum("p").over(upto), "all": F.sum("n").over(upto)})
-    total = F.sum("p").over(Window.partitionBy(F.lit(1)))
-    curve = curve.withColumns({"pr": F.col("tp") / F.col("all"), "re": F.col("tp") / total})
-    before = lambda c, first: F.lag(c, 1, first).over(by)
-    curve = curve.withColumns({"step": F.col("re") - before("re", 0.0), "last": before("pr", 1.0)})
+    curve = running(_by_score(df, truth, score), [F.desc("s")], {"tp": F.col("p"), "seen": F.col("n")})
+    precision = (F.col("tp") + F.col("p")) / (F.col("seen") + F.col("n"))
+    last = F.when(F.col("seen") > 0, F.col("tp") / F.col("seen")).otherwise(1.0)
+    curve = curve.withColumns({"pr": precision, "step": F.col("p") / F.col("tp_all"), "last": last})
     return curve.agg(F.sum(F.col("step") * F.col("pr")).alias("average_precision"), F.sum(F.col("step") * (F.col("pr") + F.col("last")) / 2).alias("pr_auc"))
 
 

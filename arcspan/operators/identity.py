@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks import spool
+
 HOUR_US = 3_600_000_000
 #: Windows of history that a z-score needs; the least deviation that counts; the clip.
 LEAST_HISTORY, LEAST_STD, CLIP = 3, 1e-4, 10.0
@@ -74,11 +76,12 @@ def zscores(hours: DataFrame) -> DataFrame:
 def temporal_split(hours: DataFrame, share: float = 0.8, order: str = "window_id") -> DataFrame:
     """`hours` with split: train up to the window at `share` of the distinct windows, then test.
 
-    The cut-off is one row; it is joined by broadcast.
+    The hours are written once; the cut-off is one aggregate over them (distinct windows are as many
+    as the data has hours) and one row, joined by broadcast.
     """
-    ordered = hours.select(order).distinct()
-    ranked = ordered.select(order, F.row_number().over(Window.orderBy(order)).alias("place"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("total"))
-    cut = ranked.filter(F.col("place") == F.greatest(F.floor(F.col("total") * share), F.lit(1))).select(F.col(order).alias("_cut"))
+    hours = spool(hours)
+    windows = F.array_sort(F.collect_set(order))
+    cut = hours.agg(F.element_at(windows, F.greatest(F.floor(F.size(windows) * share), F.lit(1)).cast("int")).alias("_cut"))
     return hours.join(F.broadcast(cut)).withColumn("split", F.when(F.col(order) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
 
 

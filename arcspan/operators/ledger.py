@@ -6,22 +6,43 @@ case of one constant key.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 GENESIS = "0" * 64
 
 
 def chain(df: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
-    """`df` with prev_hash and hash: SHA-256 of the previous hash and the payload, in order.
+    """Rows key, order, payload, prev_hash and hash: SHA-256 of the previous hash and the payload.
 
-    The fold runs over each key's own entries, in the JVM.
+    Each hash needs the one before, so a chain is a fold: Spark sorts the entries, a stream of batches
+    passes, and one hash is held, however long a chain is. Entries of one place go by payload; a null
+    payload counts as empty.
     """
-    entries = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), payload.alias("p"))))
-    step = lambda acc, e: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), e["p"]), 256)))
-    hashed = df.groupBy(key).agg(entries.alias("_e")).withColumn("_h", F.aggregate("_e", F.array(F.lit(GENESIS)), step))
-    out = hashed.select(key, F.posexplode("_e").alias("_i", "_x"), "_h")
-    return out.select(key, F.col("_x.o").alias(order), F.col("_x.p").alias("payload"), F.col("_h")[F.col("_i")].alias("prev_hash"), F.col("_h")[F.col("_i") + 1].alias("hash"))
+    ship(df.sparkSession)
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            for k, p in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
+                if k != now:
+                    now, last = k, GENESIS
+                before.append(last)
+                last = hashlib.sha256((last + p).encode("utf-8", "surrogatepass")).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before, pa.string()), pa.array(after, pa.string())], [key, order, "payload", "prev_hash", "hash"])
+
+    rows = df.select(key, order, F.coalesce(payload, F.lit("")).alias("payload"), F.to_json(F.struct(key), {"ignoreNullFields": "false"}).alias("_k"))
+    ordered = rows.repartition("_k").sortWithinPartitions("_k", order, "payload")
+    return ordered.mapInArrow(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, payload string, prev_hash string, hash string")
 
 
 def verify(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import clean_name, finite
+from .ranks import placed
 
 
 def clean_frame(df: DataFrame, numeric: list[str]) -> DataFrame:
@@ -46,17 +47,29 @@ def band(score: Column) -> Column:
 
 
 def chronological_split(df: DataFrame, order: list[str], key: str | None = None) -> DataFrame:
-    """70 / 15 / 15 by time, cut at int(0.7 n) and int(0.85 n)."""
-    keys = [key] if key else [F.lit(1)]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    total = F.count("*").over(Window.partitionBy(*keys))
-    out = df.withColumns({"_p": place, "_n": total})
-    return out.withColumn("split", F.when(F.col("_p") < F.floor(F.col("_n") * 0.7), "train").when(F.col("_p") < F.floor(F.col("_n") * 0.85), "validation").otherwise("test")).drop("_p", "_n")
+    """70 / 15 / 15 by time, cut at int(0.7 n) and int(0.85 n), over all rows or within each `key`.
+
+    Rows are sorted by ranges of (key, order), so neither the whole table nor a large key is one task.
+    """
+    return _split(_within(df, key, [F.col(c) for c in order]))
+
+
+def _within(df: DataFrame, key: str | None, order: list[Column]) -> DataFrame:
+    """`df` with _p, a row's place within its key from 0, and _n, the key's rows."""
+    if key is None:
+        return placed(df, order).withColumnRenamed("_p_all", "_n")
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.lit(True).alias("_c"))
+    first = placed(df, [F.col(key), *order]).drop("_p_all")
+    start = first.groupBy(key).agg(F.min("_p").alias("_first"))
+    same = start.join(counts, start[key].eqNullSafe(counts[key])).select(start[key].alias("_key"), "_first", "_n")
+    out = first.join(same, F.col(key).eqNullSafe(F.col("_key")))
+    return out.withColumn("_p", F.col("_p") - F.col("_first")).drop("_key", "_first")
+
+
+def _split(df: DataFrame) -> DataFrame:
+    return df.withColumn("split", F.when(F.col("_p") < F.floor(F.col("_n") * 0.7), "train").when(F.col("_p") < F.floor(F.col("_n") * 0.85), "validation").otherwise("test")).drop("_p", "_n")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """70 / 15 / 15 within each class, by a seeded hash of the key; classes below 7 rows are left out."""
-    of = Window.partitionBy(label)
-    place = F.row_number().over(of.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1
-    out = df.withColumns({"_p": place, "_n": F.count("*").over(of)}).filter("_n >= 7")
-    return out.withColumn("split", F.when(F.col("_p") < F.floor(F.col("_n") * 0.7), "train").when(F.col("_p") < F.floor(F.col("_n") * 0.85), "validation").otherwise("test")).drop("_p", "_n")
+    return _split(_within(df, label, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]).filter("_n >= 7"))

@@ -19,7 +19,7 @@ KEYS = ["user_id", "event_type"]
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.anchored_windows(events(spark, sf_dir), KEYS, "us", "event_id", 24 * HOUR)
+    return op.anchored_windows(events(spark, sf_dir), KEYS, "us", 24 * HOUR)
 
 
 @query(f"{_WINDOWS} SELECT user_id, event_type, i AS window_index, arg_min(k, (us, event_id)) AS parent, min(us) AS window_start, max(us) AS window_end, count(*) AS event_count FROM w GROUP BY 1, 2, 3")

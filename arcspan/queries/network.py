@@ -46,9 +46,10 @@ def network_chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type", "split").agg(F.count("*").alias("n_rows"))
 
 
-@query()
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 7) SELECT event_type, 'train' AS split, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS n_rows FROM c
+UNION ALL SELECT event_type, 'validation', CAST(floor(n * 0.85::DOUBLE) - floor(n * 0.7::DOUBLE) AS BIGINT) FROM c UNION ALL SELECT event_type, 'test', CAST(n - floor(n * 0.85::DOUBLE) AS BIGINT) FROM c""")
 def network_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified, seeded split; its rows are this engine's own."""
+    """Stratified, seeded split, by its counts; which rows go where is this engine's own."""
     return op.stratified_split(events(spark, sf_dir), "event_type", "event_id").groupBy("event_type", "split").agg(F.count("*").alias("n_rows"))
 
 

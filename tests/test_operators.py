@@ -50,7 +50,7 @@ def test_alias_that_is_present_but_null(spark):
 
 def test_anchored_windows(spark):
     rows = [("h", t * 1_000_000) for t in (0, 10, 30, 60, 61, 120, 122)]
-    out = endpoint.anchored_windows(spark.createDataFrame(rows, "k string, us long"), ["k"], "us", "us", 60_000_000)
+    out = endpoint.anchored_windows(spark.createDataFrame(rows, "k string, us long"), ["k"], "us", 60_000_000)
     assert [(r["us"] // 1_000_000, r["window_index"]) for r in out.orderBy("us").collect()] == [(0, 0), (10, 0), (30, 0), (60, 0), (61, 1), (120, 1), (122, 2)]
 
 
