@@ -18,13 +18,19 @@ IDENTIFIERS = [
     r"\bcve-\d{4}-\d{4,7}\b", r"\bt\d{4}(?:\.\d{3})?\b", r"\bd3-[a-zA-Z0-9_-]+\b", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", r"\b[a-f0-9]{32}\b", r"\b[a-f0-9]{64}\b",
     r"\b[a-zA-Z0-9._-]+\.[a-zA-Z]{2,6}\b", r"\binc-[\w-]+\b", r"\bpb-\d+\b", r"\bpol-\d+\b",
 ]
-STOP_WORDS = (
-    "a about above after again against all am an and any are aren't as at be because been before being below between both but by can't cannot could couldn't did didn't do does doesn't doing don't down "
-    "during each few for from further had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's "
-    "its itself let's me more most mustn't my myself no nor not of off on once only or other ought our ours ourselves out over own same shan't she she'd she'll she's should shouldn't so some such than "
-    "that that's the their theirs them themselves then there there's these they they'd they'll they're they've this those through to too under until up very was wasn't we we'd we'll we're we've were "
-    "weren't what what's when when's where where's which while who who's whom why why's with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves"
-).split()
+STOP_WORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "aren't", "as", "at", "be", "because", "been",
+    "before", "being", "below", "between", "both", "but", "by", "can't", "cannot", "could", "couldn't", "did", "didn't", "do", "does", "doesn't",
+    "doing", "don't", "down", "during", "each", "few", "for", "from", "further", "had", "hadn't", "has", "hasn't", "have", "haven't", "having", "he",
+    "he'd", "he'll", "he's", "her", "here", "here's", "hers", "herself", "him", "himself", "his", "how", "how's", "i", "i'd", "i'll", "i'm", "i've",
+    "if", "in", "into", "is", "isn't", "it", "it's", "its", "itself", "let's", "me", "more", "most", "mustn't", "my", "myself", "no", "nor", "not",
+    "of", "off", "on", "once", "only", "or", "other", "ought", "our", "ours", "ourselves", "out", "over", "own", "same", "shan't", "she", "she'd",
+    "she'll", "she's", "should", "shouldn't", "so", "some", "such", "than", "that", "that's", "the", "their", "theirs", "them", "themselves", "then",
+    "there", "there's", "these", "they", "they'd", "they'll", "they're", "they've", "this", "those", "through", "to", "too", "under", "until", "up",
+    "very", "was", "wasn't", "we", "we'd", "we'll", "we're", "we've", "were", "weren't", "what", "what's", "when", "when's", "where", "where's",
+    "which", "while", "who", "who's", "whom", "why", "why's", "with", "won't", "would", "wouldn't", "you", "you'd", "you'll", "you're", "you've",
+    "your", "yours", "yourself", "yourselves",
+]
 ROUTES = [
     (["cve", "vulnerability", "exploit"], ["cve", "kev"]), (["mitigat", "defend", "prevent", "d3fend"], ["d3fend"]), (["yara", "signature"], ["yara"]), (["sigma", "log", "detect"], ["sigma"]),
     (["playbook", "remediat", "containment"], ["playbook"]), (["policy", "corporate", "compliance"], ["policy"]), (["report", "intel", "actor"], ["threat_report"]), (["past", "history", "previous", "incident"], ["historical_incident"]),
@@ -52,15 +58,32 @@ def tokens(text: Column) -> Column:
 
 
 def index(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (id, term) and lengths (id, length) of a corpus."""
-    made = docs.select(F.col(id), tokens(F.col(text)).alias("_t"))
-    return made.select(id, F.explode("_t").alias("term")), made.select(id, F.size("_t").alias("length"))
+    """Postings (id, term, length) and lengths (id, length) of a corpus, written to the shared folder.
 
+    Texts are tokenised once; documents without a token have a length and no posting. Both tables
+    can be kept by `sinks.write_index` and changed by `update_index`.
+    """
+    made = spool(docs.select(F.col(id), tokens(F.col(text)).alias("_t")))
+    return made.select(id, F.explode("_t").alias("term"), F.size("_t").alias("length")), made.select(id, F.size("_t").alias("length"))
+
+
+def update_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, gone: DataFrame | None, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """An index with the documents of `changed` (id, text) added or replaced and those of `gone` (id)
+    removed; only changed documents are tokenised."""
+    new_postings, new_lengths = index(changed, id, text)
+    out = changed.select(id) if gone is None else changed.select(id).union(gone.select(id))
+    kept = [df.join(out.distinct(), id, "left_anti") for df in (postings, lengths)]
+    added = [new_postings, new_lengths]
+    if gone is not None:  # a document that is both changed and gone is gone
+        added = [df.join(gone.select(id).distinct(), id, "left_anti") for df in added]
+    return kept[0].unionByName(added[0]), kept[1].unionByName(added[1])
 
-def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id: str, id: str, k: int) -> DataFrame:
+
+def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id: str, id: str, k: int, only: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query (query_id, term): rank, score, ties by id.
 
-    Document frequencies are taken for the queries' terms only, by a semi-join before the count.
+    Document frequencies are taken for the queries' terms only, by a semi-join before the count;
+    `only` (id): the documents that may be hits, which does not change the frequencies.
     """
     size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
     terms = queries.select("term").distinct()
@@ -68,8 +91,12 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id:
     df = few.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = queries.join(few, "term").join(df, "term").join(lengths, id).join(F.broadcast(size))
-    scores = hits.groupBy(query_id, id).agg(F.sum(idf * weight).alias("score"))
+    if "length" not in postings.columns:
+        few = few.join(lengths, id)
+    if only is not None:
+        few = few.join(only.select(id).distinct(), id, "left_semi")
+    hits = queries.join(df.join(F.broadcast(size)).select("term", "mean", idf.alias("_idf")), "term").join(few, "term")
+    scores = hits.groupBy(query_id, id).agg(F.sum(F.col("_idf") * weight).alias("score"))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id))
     return scores.withColumn("rank", place).filter(F.col("rank") <= k)
 
@@ -104,16 +131,20 @@ def _dense(queries: DataFrame, vectors: DataFrame, query_id: str, id: str, vecto
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, keys: list[str], weights: dict[str, float] | None = None, k: int = 60, dense_weight: float = 1.0, lexical_weight: float = 0.8) -> DataFrame:
-    """Reciprocal rank fusion of hits with rank (and distance, score): rrf and how each was found."""
-    d = dense_hits.select(*keys, F.col("rank").alias("dense_rank"), "distance")
-    x = lexical_hits.select(*keys, F.col("rank").alias("lexical_rank"), "score")
+    """Reciprocal rank fusion of hits with rank (and distance, score): rrf and how each was found.
+
+    Hits may carry the document's confidence, which weighs their part; without one it is 1.
+    """
+    sure = lambda df: F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in df.columns else F.lit(1.0)
+    d = dense_hits.select(*keys, F.col("rank").alias("dense_rank"), "distance", sure(dense_hits).alias("_dense_sure"))
+    x = lexical_hits.select(*keys, F.col("rank").alias("lexical_rank"), "score", sure(lexical_hits).alias("_lexical_sure"))
     both = d.join(x, keys, "full")
-    part = lambda rank, w: F.when(F.col(rank).isNull(), 0.0).otherwise(w / (k + F.col(rank)))
+    part = lambda kind, w: F.when(F.col(f"{kind}_rank").isNull(), 0.0).otherwise(w * F.col(f"_{kind}_sure") / (k + F.col(f"{kind}_rank")))
     scale = F.lit(1.0)
     for source, w in (weights or {}).items():
         scale = F.when(F.col("source") == source, w).otherwise(scale)
     method = F.when(F.col("dense_rank").isNotNull() & F.col("lexical_rank").isNotNull(), "hybrid").when(F.col("dense_rank").isNotNull(), "dense").otherwise("lexical")
-    return both.withColumns({"rrf": (part("dense_rank", dense_weight) + part("lexical_rank", lexical_weight)) * scale, "method": method})
+    return both.withColumns({"rrf": (part("dense", dense_weight) + part("lexical", lexical_weight)) * scale, "method": method}).drop("_dense_sure", "_lexical_sure")
 
 
 def order_fused(fused: DataFrame, query_id: str, id: str, limit: int) -> DataFrame:
@@ -137,17 +168,23 @@ def _any(text: Column, words: list[str]) -> Column:
     return out
 
 
-def matches(metadata: dict[str, Column], filters: dict[str, object]) -> Column:
-    """Whether metadata (scalars or arrays) meets filters (scalars or lists)."""
-    out = F.lit(True)
+def matches(df: DataFrame, filters: dict[str, object]) -> Column:
+    """Whether a row of `df` meets filters: a column's value, or any element of a list column (by the
+    schema), is the wanted value or one of the wanted ones. Nulls meet nothing."""
+    kinds, out = dict(df.dtypes), F.lit(True)
     for name, wanted in filters.items():
-        column, many = metadata[name], isinstance(wanted, (list, tuple))
-        values = list(wanted) if many else [wanted]
-        is_list = name.endswith("s")
-        out = out & (F.arrays_overlap(column, F.array(*map(F.lit, values))) if is_list else column.isin(values))
+        values = list(wanted) if isinstance(wanted, (list, tuple)) else [wanted]
+        column = F.col(name)
+        out = out & (F.arrays_overlap(column, F.array(*map(F.lit, values))) if kinds[name].startswith("array") else column.isin(values))
     return F.coalesce(out, F.lit(False))
 
 
+def merge_lists(a: Column, b: Column) -> Column:
+    """Tags or references of the same document from two hits, each once; null counts as none."""
+    none = F.array().cast("array<string>")
+    return F.array_union(F.coalesce(a, none), F.coalesce(b, none))
+
+
 def rerank(hits: DataFrame, query_id: str, score: str) -> DataFrame:
     """A reranker's scores (null without a model: then the fused score) normalised to 0..1."""
     own = Window.partitionBy(query_id)
@@ -167,6 +204,15 @@ def remove(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dedup_hits(hits: DataFrame, keys: list[str], distance: str) -> DataFrame:
-    """Each document's nearest hit."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(distance))
+    """Each document's nearest hit; of equally near ones the first by all columns."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(distance, F.to_json(F.struct(*sorted(hits.columns)))))
     return hits.withColumn("_p", place).filter("_p = 1").drop("_p")
+
+
+def attack_lookup(hits: DataFrame, nodes: DataFrame, technique: str) -> DataFrame:
+    """Hits with the knowledge-graph node of their technique id, whatever its case; null without one.
+
+    The side of nodes is joined by size: Spark broadcasts it only where it is small.
+    """
+    known = nodes.select(F.upper("external_id").alias("_x"), F.col("node_id").alias("stix_id"), F.col("name").alias("stix_name"))
+    return hits.join(known, F.upper(F.col(technique)) == F.col("_x"), "left").drop("_x")

@@ -9,96 +9,82 @@ from ..operators import retrieval as op
 from .registry import query, table
 
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in op.STOP_WORDS) + "]"
-_PLAIN = "list_distinct(list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w != '' AND length(w) <= 4))"
-_BM = f"""d AS (SELECT doc_id, {_PLAIN.format(x='text')} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term FROM d), l AS (SELECT doc_id, len(t) AS length FROM d),
-q AS (SELECT item_id, unnest({_PLAIN.format(x='text')}) AS term FROM benchmark), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), s AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
-h AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h QUALIFY rank <= 5)"""
+_STEM = """CASE WHEN length(w) <= 4 THEN w WHEN ends_with(w, 'ing') THEN w[:-4] WHEN ends_with(w, 'edly') THEN w[:-5] WHEN ends_with(w, 'ed') THEN w[:-3]
+WHEN ends_with(w, 'es') AND NOT (ends_with(w, 'aes') OR ends_with(w, 'ees') OR ends_with(w, 'oes')) THEN w[:-3] WHEN ends_with(w, 's') AND NOT (ends_with(w, 'ss') OR ends_with(w, 'us') OR ends_with(w, 'is')) THEN w[:-2] ELSE w END"""
 
 
-def _short(text: str):
-    """Short plain words, for the parts of both engines that tokenise alike."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " "), lambda w: (w != "") & (F.length(w) <= 4)))
+def _tokens_sql(name: str, source: str, id: str) -> str:
+    """CTEs that end in `name` (id, t: the distinct tokens): identifiers whole, then stems."""
+    steps = [f"{name}0 AS (SELECT {id}, lower(coalesce(text, '')) AS x, [] AS kept FROM {source})"]
+    for k, p in enumerate(op.IDENTIFIERS):
+        steps.append(f"{name}{k + 1} AS (SELECT {id}, regexp_replace(x, '{p}', ' ', 'g') AS x, list_concat(kept, regexp_extract_all(x, '{p}')) AS kept FROM {name}{k})")
+    words = "list_filter(string_split_regex(regexp_replace(x, '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w != '' AND NOT list_contains(" + _STOP + ", w))"
+    steps.append(f"{name} AS (SELECT {id}, list_distinct(list_concat(kept, list_transform({words}, lambda w: {_STEM}))) AS t FROM {name}{len(op.IDENTIFIERS)})")
+    return ", ".join(steps)
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", _short("text").alias("t"))
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(_short("text")).alias("term"))
-    return op.bm25(q, d.select("doc_id", F.explode("t").alias("term")), d.select("doc_id", F.size("t").alias("length")), "item_id", "doc_id", 5)
+_BM = f"""{_tokens_sql("d", "documents", "doc_id")}, {_tokens_sql("b", "benchmark", "item_id")}, p AS (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM d), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+q AS (SELECT item_id, unnest(t) AS term FROM b), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+h AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h QUALIFY rank <= 5)"""
 
 
-def _bm25_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 of the operator's own tokens and index, which SQL doesn't express."""
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 of passages against the index of whole documents."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(op.tokens(F.col("text"))).alias("term"))
     return op.bm25(q, *op.index(table(spark, sf_dir, "documents"), "doc_id", "text"), "item_id", "doc_id", 5)
 
 
-@query()
-def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best five documents of each passage by BM25, over all tokens (tested against brute force)."""
-    return _bm25_whole(spark, sf_dir).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
-
-
 @query(f"WITH {_BM} SELECT item_id, doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM r")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five documents of each passage by BM25."""
     return _bm25(spark, sf_dir).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("SELECT item_id, CAST(len(list_distinct(list_filter(string_split_regex(regexp_replace(t, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w != '' AND NOT list_contains(" + _STOP + ", w) AND (length(w) <= 4 OR NOT (ends_with(w, 'ing') OR ends_with(w, 'edly') OR ends_with(w, 'ed') OR ends_with(w, 's')))))) AS INT) AS unstemmed FROM (SELECT item_id, regexp_replace(lower(text), '\\b[a-zA-Z0-9._-]+\\.[a-zA-Z]{2,6}\\b', ' ', 'g') AS t FROM benchmark)")
+@query(f"WITH {_tokens_sql('b', 'benchmark', 'item_id')} SELECT item_id, list_sort(t) AS tokens FROM b")
 def tokenize_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that are words as they stand (stems are tested on examples)."""
-    b = table(spark, sf_dir, "benchmark")
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower("text"), op.IDENTIFIERS[6], " "), r"[^a-zA-Z0-9\s]", " "), r"\s+"), lambda w: w != ""))
-    return _unstemmed(b, words)
+    """All tokens of each passage: identifiers and stems."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(op.tokens(F.col("text"))).alias("tokens"))
 
 
-def _unstemmed(b: DataFrame, words) -> DataFrame:
-    plain = lambda w: (F.length(w) <= 4) | ~(w.endswith("ing") | w.endswith("edly") | w.endswith("ed") | w.endswith("s"))
-    own = F.array_intersect(F.filter(words, lambda w: plain(w) & ~w.isin(op.STOP_WORDS)), op.tokens(F.col("text")))
-    return b.select("item_id", F.size(own).alias("unstemmed"))
+@query(f"WITH {_tokens_sql('d', 'documents', 'doc_id')}, c AS (SELECT doc_id, len(t) AS length FROM d WHERE doc_id % 3 != 0) SELECT count(*) AS documents, CAST(sum(length) AS BIGINT) AS postings FROM c")
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of which parts were added, replaced and removed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, "old words here").otherwise(F.col("text"))).filter("doc_id % 5 != 1")
+    postings, lengths = op.index(old, "doc_id", "text")
+    postings, lengths = op.update_index(postings, lengths, d.filter("doc_id % 2 = 0 or doc_id % 5 = 1"), d.filter("doc_id % 3 = 0").select("doc_id"), "doc_id", "text")
+    return lengths.agg(F.count("*").alias("documents")).join(postings.agg(F.count("*").alias("postings")))
 
 
-_KNN = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT qid, vec_id, list_sum(list_transform(range(1, 65), lambda i: (q[i] - e[i]) * (q[i] - e[i]))) AS d FROM q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v)"
+_KNN = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), k AS (SELECT qid, vec_id, list_sum(list_transform(range(1, 65), lambda i: (q[i] - e[i]) * (q[i] - e[i]))) AS d FROM q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v)"
 
 
 @query(f"WITH {_KNN} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) AS INT) AS rank, round(d, 6) AS distance FROM k QUALIFY rank <= 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact nearest ten of a set of query vectors."""
-    return _knn(spark, sf_dir, 50)
-
-
-@query(f"WITH {_KNN.replace('% 50', '% 20')} SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) AS INT) AS rank, round(d, 6) AS distance FROM k QUALIFY rank <= 10")
-def knn_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact nearest ten of every vector whose id is divisible by 20."""
-    return _knn(spark, sf_dir, 20)
-
-
-def _knn(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     return op.dense(q, v.select("vec_id", "embedding"), "qid", "vec_id", "embedding", 10).select("qid", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {_BM}, a AS (SELECT item_id, doc_id, rank, score FROM r), b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM r WHERE doc_id % 2 = 0),
-j AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, b.rank AS rb FROM (SELECT * FROM a WHERE doc_id % 3 != 0) a FULL JOIN b ON a.item_id = b.item_id AND a.doc_id = b.doc_id)
-SELECT item_id, doc_id, round(coalesce(1.0 / (60 + rb), 0) + coalesce(0.8 / (60 + ra), 0), 9)::DOUBLE AS rrf, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 'hybrid' WHEN rb IS NOT NULL THEN 'dense' ELSE 'lexical' END AS method FROM j""")
-def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings fused."""
-    return _fused(_bm25(spark, sf_dir))
-
+_SIDE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), z AS (SELECT item_id, doc_id, list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - c.e[i]) * (a.e[i] - c.e[i]))) AS distance FROM benchmark JOIN v a ON a.vec_id = item_id, documents JOIN v c ON c.vec_id = doc_id),
+y AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id) AS rank FROM z QUALIFY rank <= 5)"""
 
-@query()
-def rrf_fuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings fused, over all tokens."""
-    return _fused(_bm25_whole(spark, sf_dir))
 
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents nearest to each passage, by the vectors of the same numbers."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    q = table(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("_v")).select("item_id", F.col("embedding").alias("q"))
+    d = table(spark, sf_dir, "documents").select("doc_id").join(v, F.col("doc_id") == F.col("_v")).select("doc_id", "embedding")
+    return op.dense(q, d, "item_id", "doc_id", "embedding", 5)
 
-def _fused(r: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
 
-    other = r.filter("doc_id % 2 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).withColumn("distance", F.lit(1.0))
-    f = op.fuse(other, r.filter("doc_id % 3 != 0"), ["item_id", "doc_id"])
+@query(f"""WITH {_BM}, {_SIDE}, j AS (SELECT coalesce(r.item_id, y.item_id) AS item_id, coalesce(r.doc_id, y.doc_id) AS doc_id, r.rank AS ra, y.rank AS rb FROM r FULL JOIN y ON r.item_id = y.item_id AND r.doc_id = y.doc_id)
+SELECT item_id, doc_id, round(coalesce(1.0 / (60 + rb), 0) + coalesce(0.8 / (60 + ra), 0), 9)::DOUBLE AS rrf, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 'hybrid' WHEN rb IS NOT NULL THEN 'dense' ELSE 'lexical' END AS method FROM j""")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and dense ranking of each passage, fused."""
+    f = op.fuse(_dense(spark, sf_dir), _bm25(spark, sf_dir), ["item_id", "doc_id"])
     return f.select("item_id", "doc_id", F.round("rrf", 9).alias("rrf"), "method")
 
 
@@ -116,23 +102,13 @@ def route_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that meet filters on their metadata."""
     d = table(spark, sf_dir, "documents")
-    return d.filter(op.matches({"lang": F.col("lang"), "source": F.col("source")}, {"lang": ["de", "fr"], "source": "src3"})).select("doc_id")
+    return d.filter(op.matches(d, {"lang": ["de", "fr"], "source": "src3"})).select("doc_id")
 
 
 @query(f"WITH {_BM}, m AS (SELECT item_id, doc_id, score, min(score) OVER (PARTITION BY item_id) AS lo, max(score) OVER (PARTITION BY item_id) AS hi FROM r) SELECT item_id, doc_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 5) AS rerank FROM m")
 def rerank_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores normalised within each query, as after a reranker."""
-    return _normalised(_bm25(spark, sf_dir))
-
-
-@query()
-def rerank_normalise_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores normalised within each query, over all tokens."""
-    return _normalised(_bm25_whole(spark, sf_dir))
-
-
-def _normalised(r: DataFrame) -> DataFrame:
-    r = r.withColumn("rrf", F.col("score"))
+    r = _bm25(spark, sf_dir).withColumn("rrf", F.col("score"))
     return op.rerank(r, "item_id", "score").select("item_id", "doc_id", F.round("rerank", 5).alias("rerank"))
 
 
