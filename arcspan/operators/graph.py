@@ -251,7 +251,10 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, most: int = 2_000) ->
     ids = [r[0] for r in nodes.select("node_id").distinct().orderBy("node_id").limit(most + 1).collect()]
     if len(ids) > most:
         raise ValueError(f"more than {most} nodes")
-    pairs = {(min(a, b), max(a, b)) for a, b in both_ways(edges).limit(most * most).collect()}
+    found = both_ways(edges).join(nodes.select(F.col("node_id").alias("a")), "a", "left_semi").join(nodes.select(F.col("node_id").alias("b")), "b", "left_semi").select("a", "b").limit(most * most + 1).collect()
+    if len(found) > most * most:
+        raise ValueError(f"more than {most * most} edges")
+    pairs = {(min(a, b), max(a, b)) for a, b in found}
     m = len(pairs)
     groups = {k: {x} for k, x in enumerate(ids)}
     of = {x: k for k, x in enumerate(ids)}
@@ -285,6 +288,76 @@ def validate(nodes: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:
     return out.unionByName(count(nodes.filter("first_seen is null or last_seen is null"), "missing time"))
 
 
+def by_type(nodes: DataFrame, kind: str) -> DataFrame:
+    """Nodes of a type, whatever its case."""
+    return nodes.filter(F.lower("type") == kind.lower())
+
+
+def by_risk(nodes: DataFrame, least: float = 0.5) -> DataFrame:
+    """Nodes from a risk on, highest first, ties by id. The filter is first, so only those are sorted."""
+    return nodes.filter(F.col("risk") >= least).orderBy(F.desc("risk"), "node_id")
+
+
+def by_detector(edges: DataFrame, detector: str) -> DataFrame:
+    """Edges that a detector established, whatever its case."""
+    return edges.filter(F.upper("source_detector") == detector.upper())
+
+
+def recent(nodes: DataFrame, edges: DataFrame, now_us: Column, minutes: int = 10) -> DataFrame:
+    """Nodes and edges seen in the last minutes: kind, id (or src > dst by type), last_seen; newest first.
+
+    What lies after `now_us` counts as recent, as it is no older than the window.
+    """
+    since = F.col("last_seen") >= now_us - minutes * 60_000_000
+    n = nodes.filter(since).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "last_seen")
+    e = edges.filter(since).select(F.lit("edge").alias("kind"), F.format_string("%s > %s (%s)", "src", "dst", "type").alias("id"), "last_seen")
+    return n.unionByName(e).orderBy(F.desc("last_seen"), "kind", "id")
+
+
+def indexes(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The lookups of a loaded graph, as tables sorted for pruning: nodes by risk and by type, edges by
+    detector, and all by time. Written by `sinks.write_sorted`, their files' statistics are the index."""
+    by_time = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), "last_seen")
+    by_time = by_time.unionByName(edges.select(F.lit("edge").alias("kind"), "src", "dst", "last_seen"))
+    return {"risk": nodes.select("risk", "node_id"), "type": nodes.select("type", "node_id"), "detector": edges.select(F.upper("source_detector").alias("detector"), "src", "dst", "type"), "time": by_time}
+
+
+def attack_chain(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Nodes within `depth` steps of the start, and the lines (us, description, risk) of the edges among
+    them, by time."""
+    near = ego(edges, start.join(nodes.select("node_id"), "node_id", "left_semi"), depth)
+    lines = induced(edges, near).select(F.col("last_seen").alias("us"), F.format_string("%s --[%s]--> %s", "src", "type", "dst").alias("description"), "risk")
+    return nodes.join(near, "node_id"), lines.orderBy("us", "description")
+
+
+def topology(nodes: DataFrame, edges: DataFrame, most_nodes: int = 80, most_edges: int = 140, top: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a dashboard draws: the first nodes (id, criticality), the edges among them out of the first
+    `most_edges`, and the `top` nodes by criticality as the attack path (a view's own limits)."""
+    shown = nodes.orderBy("id").limit(most_nodes)
+    links = edges.select("src", "dst").distinct().orderBy("src", "dst").limit(most_edges).filter("src != dst")
+    ids = shown.select(F.col("id").alias("node_id"))
+    path = shown.orderBy(F.desc("criticality"), "id").limit(top)
+    return shown, induced(links, ids), path
+
+
+#: Buckets of the knowledge graph's node types (fixed values).
+CATEGORIES = {"group": "groups", "malware": "software", "tool": "software", "mitigation": "mitigations", "campaign": "campaigns", "tactic": "tactics", "sub-technique": "subtechniques"}
+
+
+def categories(walked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What `attack_neighbourhood` found, by category: start, category, and the entities (depth, id, name,
+    relation, confidence, path), nearest first. A technique that a sub-technique belongs to is its parent;
+    other techniques are in no category."""
+    kind = F.col("type")
+    bucket = F.lit(None).cast("string")
+    for k, c in CATEGORIES.items():
+        bucket = F.when(kind == k, c).otherwise(bucket)
+    bucket = F.when((kind == "technique") & (F.col("relation") == "subtechnique-of"), "parent_technique").otherwise(bucket)
+    known = nodes.select(F.col("node_id").alias("node"), "external_id", "name", "type")
+    item = F.struct("depth", F.col("external_id").alias("id"), "name", "relation", F.bround(F.greatest(F.lit(0.1), 1 - 0.2 * F.col("depth")), 2).alias("confidence"), "path")
+    return walked.join(known, "node").withColumn("category", bucket).filter("category is not null").groupBy("start", "category").agg(F.array_sort(F.collect_list(item)).alias("entities"))
+
+
 def attack_neighbourhood(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Knowledge-graph walk of two steps both ways: label (reverse- against the arrow), depth, path.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as op
@@ -40,22 +40,15 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.merge_edges(_rows(spark, sf_dir)).select("src", "dst", "occurrence_count", "first_seen", "last_seen", "source_detector")
 
 
-_G = "g AS (SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer WHERE c_custkey % 7 != 0 UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey != 24)"
+_G = "g AS (SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation)"
 _V = f"{_G}, v AS (SELECT DISTINCT unnest([src, dst]) AS node_id FROM g)"
 
 
-def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph of all customers and nations."""
-    return _graph(spark, sf_dir, F.lit(True), F.lit(True))
-
-
-def _graph(spark: SparkSession, sf_dir: str, customers: Column | None = None, nations: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges; without the customers and the nation that the queries' SQL leaves out, unless told."""
-    customers = F.expr("c_custkey % 7 != 0") if customers is None else customers
-    nations = F.expr("n_nationkey != 24") if nations is None else nations
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges: regions to nations to all their customers."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     id = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
-    edges = c.filter(customers).select(id("n", "c_nationkey").alias("src"), id("c", "c_custkey").alias("dst")).unionByName(n.filter(nations).select(id("r", "n_regionkey").alias("src"), id("n", "n_nationkey").alias("dst")))
+    edges = c.select(id("n", "c_nationkey").alias("src"), id("c", "c_custkey").alias("dst")).unionByName(n.select(id("r", "n_regionkey").alias("src"), id("n", "n_nationkey").alias("dst")))
     nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
     return nodes, edges
 
@@ -101,22 +94,26 @@ def graph_wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.components(*_graph(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, o AS (SELECT src, count(*) AS out FROM (SELECT DISTINCT src, dst FROM g) GROUP BY src), n AS (SELECT count(*) AS n FROM v),
+l AS (SELECT DISTINCT g.src, g.dst, o.out FROM g JOIN o ON o.src = g.src),
+p AS (SELECT 0 AS i, node_id, 1.0::DOUBLE / n AS rank FROM v, n
+ UNION ALL SELECT p.i + 1, p.node_id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce((SELECT sum(q.rank / l.out) FROM p q JOIN l ON l.src = q.node_id WHERE l.dst = p.node_id), 0) + (SELECT sum(q.rank) FROM p q WHERE q.node_id NOT IN (SELECT src FROM o)) / n.n) FROM p, n WHERE p.i < 20)
+SELECT node_id, round(rank, 9) AS rank FROM p WHERE i = 20""")
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PageRank (iterative; tested against the plain power iteration)."""
-    return op.pagerank(*_whole(spark, sf_dir), rounds=20)
+    """PageRank after twenty rounds of the power iteration."""
+    return op.pagerank(*_graph(spark, sf_dir), rounds=20, tolerance=0.0).select("node_id", F.round("rank", 9).alias("rank"))
 
 
 @query()
 def graph_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Betweenness and closeness of all nodes (tested on a small graph); refused beyond the operator's bound."""
-    return op.centrality(*_whole(spark, sf_dir))
+    return op.centrality(*_graph(spark, sf_dir))
 
 
 @query()
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy modularity communities of all nodes (tested on a small graph); refused beyond the operator's bound."""
-    found = op.greedy_communities(*_whole(spark, sf_dir))
+    found = op.greedy_communities(*_graph(spark, sf_dir))
     return spark.createDataFrame([(k, x) for k, g in enumerate(found) for x in g], "community long, node_id string")
 
 
@@ -158,3 +155,66 @@ def graph_attack_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = _graph(spark, sf_dir)
     out = op.attack_neighbourhood(edges.withColumn("relation", F.lit("uses")), spark.range(1).select(F.lit("n3").alias("node_id")))
     return out.select("node", "depth")
+
+
+@query(f"WITH {_ROWS}, m AS (SELECT node_id, max(risk) AS risk FROM n GROUP BY 1) SELECT node_id, round(risk, 6) AS risk FROM m WHERE risk >= 0.5")
+def graph_high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes from a risk on, highest first."""
+    return op.by_risk(op.merge_nodes(_rows(spark, sf_dir)), 0.5).select("node_id", F.round("risk", 6).alias("risk"))
+
+
+@query(f"WITH {_ROWS}, m AS (SELECT node_id, max(us) AS last_seen FROM n GROUP BY 1), t AS (SELECT max(last_seen) AS now FROM m) SELECT node_id, last_seen FROM m, t WHERE last_seen >= now - 86400000000")
+def graph_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes seen in the last day of the data."""
+    rows = _rows(spark, sf_dir)
+    nodes, edges = op.merge_nodes(rows), op.merge_edges(rows)
+    now = nodes.agg(F.max("last_seen").alias("now"))
+    found = op.recent(nodes.join(F.broadcast(now)), edges.join(F.broadcast(now)), F.col("now"), 1440)
+    return found.filter("kind = 'node'").select(F.col("id").alias("node_id"), "last_seen")
+
+
+@query(f"""WITH {_ROWS}, g AS (SELECT CASE detector WHEN 'IDENTITY' THEN 'user:' WHEN 'OT' THEN 'plc:' ELSE 'host:' END || entity AS src,
+ CASE WHEN detector IN ('NETWORK', 'IDENTITY') THEN 'host:' || target WHEN detector = 'ENDPOINT' THEN 'process:' || target WHEN variable LIKE 'FV%' THEN 'actuator:' || variable ELSE 'sensor:' || variable END AS dst, min(detector) AS d FROM v GROUP BY 1, 2)
+SELECT src, dst FROM g WHERE d = 'IDENTITY'""")
+def graph_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that one detector established."""
+    return op.by_detector(op.merge_edges(_rows(spark, sf_dir)), "identity").select("src", "dst")
+
+
+@query(f"WITH {_V} SELECT node_id FROM v WHERE node_id LIKE 'n%'")
+def graph_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of one type."""
+    nodes, _ = _graph(spark, sf_dir)
+    return op.by_type(nodes.withColumn("type", F.substring("node_id", 1, 1)), "N").select("node_id")
+
+
+@query(f"WITH RECURSIVE {_U}, w AS (SELECT 'r1' AS node_id, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN u ON a = node_id WHERE depth < 1), s AS (SELECT DISTINCT node_id FROM w) SELECT src || ' --[has]--> ' || dst AS description FROM g WHERE src IN (SELECT node_id FROM s) AND dst IN (SELECT node_id FROM s)")
+def graph_attack_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the edges around a node."""
+    nodes, edges = _graph(spark, sf_dir)
+    told = edges.withColumns({"type": F.lit("has"), "last_seen": F.lit(0), "risk": F.lit(0.0)})
+    return op.attack_chain(nodes, told, spark.range(1).select(F.lit("r1").alias("node_id")), 1)[1].select("description")
+
+
+@query(f"WITH {_V}, c AS (SELECT node_id AS id, ascii(substr(node_id, 1, 1)) AS criticality FROM v), s AS (SELECT * FROM c ORDER BY id LIMIT 80), l AS (SELECT DISTINCT src, dst FROM g ORDER BY src, dst LIMIT 140) SELECT 'edge' AS part, src || '>' || dst AS what FROM l WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s) UNION ALL SELECT 'path', id FROM (SELECT id FROM s ORDER BY criticality DESC, id LIMIT 3) UNION ALL SELECT 'node', id FROM s")
+def dashboard_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dashboard draws of a graph (the view's own limits)."""
+    nodes, edges = _graph(spark, sf_dir)
+    shown, links, path = op.topology(nodes.select(F.col("node_id").alias("id"), F.ascii(F.substring("node_id", 1, 1)).alias("criticality")), edges)
+    part = lambda df, name, x: df.select(F.lit(name).alias("part"), x.alias("what"))
+    return part(links, "edge", F.concat("src", F.lit(">"), "dst")).unionByName(part(path, "path", F.col("id"))).unionByName(part(shown, "node", F.col("id")))
+
+
+@query(f"""WITH {_G}, s AS (SELECT src AS a, dst AS b, 'uses' AS relation FROM g UNION ALL SELECT dst, src, 'reverse-uses' FROM g),
+o AS (SELECT b, 1 AS depth, relation, 'n3>' || b AS path FROM s WHERE a = 'n3'), t AS (SELECT s.b, 2 AS depth, s.relation, o.path || '>' || s.b AS path FROM o JOIN s ON s.a = o.b WHERE s.b != 'n3'),
+w AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY depth, path, relation) AS p FROM (SELECT * FROM o UNION ALL SELECT * FROM t) QUALIFY p = 1),
+k AS (SELECT *, CASE substr(b, 1, 1) WHEN 'c' THEN 'software' WHEN 'r' THEN 'groups' ELSE 'campaigns' END AS category FROM w)
+SELECT category, count(*) AS n, CAST(sum(depth) AS BIGINT) AS depths, max(relation) AS relation, round(min(greatest(0.1, 1 - 0.2 * depth))::DOUBLE, 2) AS least FROM k GROUP BY category""")
+def graph_attack_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A knowledge-graph walk by category, with labels and confidences."""
+    nodes, edges = _graph(spark, sf_dir)
+    walked = op.attack_neighbourhood(edges.withColumn("relation", F.lit("uses")), spark.range(1).select(F.lit("n3").alias("node_id")))
+    first = F.substring("node_id", 1, 1)
+    known = nodes.select("node_id", F.col("node_id").alias("external_id"), F.col("node_id").alias("name"), F.when(first == "c", "tool").when(first == "r", "group").otherwise("campaign").alias("type"))
+    e = op.categories(walked, known).select("category", F.explode("entities").alias("e"))
+    return e.groupBy("category").agg(F.count("*").alias("n"), F.sum("e.depth").alias("depths"), F.max("e.relation").alias("relation"), F.min("e.confidence").alias("least"))
