@@ -45,8 +45,29 @@ def entropy(text: Column) -> Column:
 
 
 def coalesce_alias(record: Column, names: list[str]) -> Column:
-    """The first alias that a record (a map) holds: a plain key counts even if its value is null."""
+    """The first alias that a record (a map) holds.
+
+    A plain key counts even if its value is null. A dotted key stands for a nested value (readers
+    flatten records so) or a plain key of that name; where its value is null the search goes on.
+    """
     out = F.lit(None).cast("string")
     for name in reversed(names):
-        out = F.when(F.map_contains_key(record, F.lit(name)), record[name]).otherwise(out)
+        there = record[name].isNotNull() if "." in name else F.map_contains_key(record, F.lit(name))
+        out = F.when(there, record[name]).otherwise(out)
     return out
+
+
+def parse_time(text: Column) -> Column:
+    """An ISO time as a timestamp: with `Z`, an offset or neither (then UTC by the session); else null."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(text), "[zZ]$", "+00:00"))
+
+
+def age_days(text: Column, now: Column) -> Column:
+    """Whole days (rounded down) from a time given as text until `now`; null if it cannot be read."""
+    seconds = F.unix_micros(now) - F.unix_micros(parse_time(text))
+    return F.floor(seconds / 86_400_000_000).cast("int")
+
+
+def nested(text: Column, path: str) -> Column:
+    """The value at a dotted path of JSON text as a string; null where the path leads nowhere."""
+    return F.try_variant_get(F.try_parse_json(text), "$." + path, "string")

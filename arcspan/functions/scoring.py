@@ -42,6 +42,40 @@ def contributions(features: list[str], importance: dict[str, float]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*[F.when(total > 0, part[f] / total).otherwise(1.0 / len(features)) for f in features]))
 
 
+#: Features by the group that their shares are summed in (fixed values).
+GROUPS = {
+    "network": ["network_score", "network_confidence", "network_severity"],
+    "identity": ["identity_score", "identity_confidence", "identity_severity"],
+    "endpoint": ["endpoint_score", "endpoint_confidence", "endpoint_severity", "sigma_match_count"],
+    "ot": ["ot_score", "ot_confidence", "ot_severity"],
+    "graph": [
+        "degree_centrality", "betweenness_centrality", "closeness_centrality", "pagerank", "weakly_connected_components_count", "communities_count", "community_size", "node_degree",
+    ],
+    "threat_intel": ["threat_intel_match_count", "max_threat_intel_score"],
+    "deception": ["honeypot_touched"],
+    "other": ["evidence_diversity", "evidence_count", "historical_incident_frequency", "temporal_activity", "monitoring_queue_size", "monitoring_latency"],
+}
+
+
+def group_shares(shares: Column) -> Column:
+    """Each group's share, as a map; shares of features in no group are left out of the total."""
+    # One-element arrays bind a value to a name, so it is computed once.
+    held = lambda m: F.struct(*[sum(F.coalesce(F.try_element_at(m, F.lit(f)), F.lit(0.0)) for f in names).alias(g) for g, names in GROUPS.items()])
+    total = lambda p: sum(p[g] for g in GROUPS)
+    parts = F.transform(F.transform(F.array(shares), held), lambda p: F.struct(p.alias("p"), total(p).alias("t")))
+    share = lambda x: F.create_map(*[y for g in GROUPS for y in (F.lit(g), F.when(x["t"] > 0, x["p"][g] / x["t"]).otherwise(x["p"][g]))])
+    return F.get(F.transform(parts, share), F.lit(0))
+
+
+def model_confidence(score: Column) -> Column:
+    """Confidence in a model's (softened) score: half its certainty, half the mean confidence of the
+    detectors that have a score, from columns <detector>_score and <detector>_confidence."""
+    has = [F.coalesce(F.col(f"{d}_score"), F.lit(0.0)) > 0 for d in WEIGHTS]
+    sure = sum(F.when(h, F.coalesce(F.col(f"{d}_confidence"), F.lit(1.0))).otherwise(0.0) for h, d in zip(has, WEIGHTS))
+    n = sum(h.cast("int") for h in has)
+    return 0.5 * (2.0 * F.abs(score - 0.5)) + 0.5 * F.when(n > 0, sure / n).otherwise(1.0)
+
+
 def top_features(shares: Column, n: int = 5) -> Column:
     """The names with the largest shares, ties by name."""
     pairs = F.transform(F.map_entries(shares), lambda e: F.struct((-F.round(e["value"], 12)).alias("v"), e["key"].alias("k")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import clip01
+from .ranks import placed
 
 # The closed sets of the evidence contract. Deception evidence is accepted, too.
 DETECTORS = ["NETWORK", "IDENTITY", "ENDPOINT", "OT", "CLOUD", "EMAIL", "DNS", "HONEYPOT"]
@@ -53,6 +54,66 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.withColumns(up | {"entity": F.trim("entity"), "confidence": clip01(F.col("confidence")), "risk_score": clip01(F.col("risk_score")), "time": F.try_to_timestamp("timestamp"), "top_reasons": F.coalesce("top_reasons", F.array().cast("array<string>"))})
 
 
+#: Fields of each class of evidence, and what missing ones become (fixed values).
+CLASS_FIELDS = {
+    "NETWORK": {"attack_family": "string", "protocol": "string", "source_ip": "string", "destination_ip": "string", "flow_duration": "double"},
+    "IDENTITY": {"user": "string", "auth_count": "int", "computer_fanout": "int", "new_computer_ratio": "double", "off_hours": "boolean"},
+    "ENDPOINT": {"process": "string", "sigma_hits": "array<string>", "mitre_candidates": "array<string>"},
+    "OT": {"top_shifted_variables": "array<string>", "anomaly_score": "double", "attack_probability": "double"},
+}
+
+
+def coerce(df: DataFrame, detector: str) -> DataFrame:
+    """Evidence of one class with that class's fields in their types: numbers 0, flags false, lists
+    empty, texts empty where missing or unreadable; fields that `df` lacks are added."""
+    out = {}
+    for name, kind in CLASS_FIELDS[detector].items():
+        there = F.col(name) if name in df.columns else F.lit(None)
+        if kind.startswith("array"):
+            held = there if dict(df.dtypes).get(name, "").startswith("array") else F.lit(None)
+            out[name] = F.coalesce(held.cast(kind), F.array().cast(kind))
+        else:
+            default = {"string": "", "boolean": False}.get(kind, 0)
+            out[name] = F.coalesce(there.cast("string") if kind == "string" else there.try_cast(kind), F.lit(default).cast(kind))
+    return df.withColumns(out)
+
+
+#: Priority of a severity (fixed values); any other is NORMAL.
+BY_SEVERITY = {"CRITICAL": "CRITICAL", "HIGH": "HIGH", "MEDIUM": "NORMAL", "LOW": "LOW", "INFO": "LOW"}
+
+
+def priority(severity: Column) -> Column:
+    """The priority's name for a severity."""
+    out = F.lit("NORMAL")
+    for s, p in BY_SEVERITY.items():
+        out = F.when(F.upper(severity) == s, p).otherwise(out)
+    return out
+
+
+def wrap(df: DataFrame, now: Column) -> DataFrame:
+    """Evidence as events of the stream: id, time, detector, entity, priority, status, payload (JSON).
+
+    The id comes from the content and the time, so a retried task gives the same one.
+    """
+    made = evidence_hash(df)
+    id = F.concat(F.lit("EVT-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "hash", F.col("timestamp").cast("string")), 256), 1, 12)))
+    payload = F.to_json(F.struct(*df.columns))
+    return made.select(id.alias("event_id"), now.alias("wrapped_at"), "detector", "entity", priority(F.col("severity")).alias("priority"), F.lit("PENDING").alias("status"), payload.alias("payload"), "hash")
+
+
+def ingest(df: DataFrame, us: str, ttl_us: int = TTL_US, now: Column | None = None) -> DataFrame:
+    """Evidence as it is taken in: valid rows, normal form, first copies only, as wrapped events in
+    the order of the queue (place).
+
+    `df` needs the contract's columns, top_reasons and `us`.
+    """
+    good = normalize(df.withColumn("_e", errors()).filter(F.size("_e") == 0).drop("_e"))
+    first = ttl_dedup(evidence_hash(good).withColumnRenamed("hash", "_h"), "_h", us, ttl_us).filter("not is_duplicate").drop("_h", "is_duplicate")
+    events = wrap(first, F.current_timestamp() if now is None else now)
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv]), F.col("priority"))
+    return priority_order(events, rank, ["wrapped_at", "event_id"])
+
+
 def subscriber_filter(detectors: list[str] | None = None, entity_types: list[str] | None = None, severities: list[str] | None = None, entity: str | None = None, least_risk: float | None = None, least_confidence: float | None = None, since: str | None = None, until: str | None = None) -> Column:
     """A subscriber's conjunction of optional predicates; a time that cannot be read passes."""
     out = F.lit(True)
@@ -72,12 +133,32 @@ def subscriber_filter(detectors: list[str] | None = None, entity_types: list[str
     return F.coalesce(out, F.lit(False))
 
 
-def content_hash(columns: list[str], scores: list[str], lists: list[str]) -> Column:
-    """SHA-256 of the fields that make evidence the same: scores to 6 places, lists sorted, no time."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    parts += [F.coalesce(F.format_number(F.col(c), 6), F.lit("")) for c in scores]
-    parts += [F.coalesce(F.array_join(F.array_sort(c), ","), F.lit("")) for c in lists]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def content_hash(columns: list[str], scores: list[str], lists: list[str], maps: list[str] | None = None) -> Column:
+    """SHA-256 of the fields that make evidence the same: scores to 6 places, lists and maps sorted.
+
+    It is taken of the fields as JSON, so null, empty text and any sign in a value stay apart.
+    """
+    parts = [F.col(c).cast("string").alias(c) for c in columns]
+    parts += [F.round(F.col(c).cast("double"), 6).alias(c) for c in scores]
+    parts += [F.array_sort(F.coalesce(F.col(c), F.array().cast("array<string>"))).alias(c) for c in lists]
+    parts += [F.array_sort(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>")))).alias(c) for c in maps or []]
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
+def evidence_hash(df: DataFrame) -> DataFrame:
+    """`df` with hash, of the ten core fields: names in their normal form, both window ends, both
+    scores, severity, sorted reasons and metadata; the time of the evidence itself is left out."""
+    kinds = dict(df.dtypes)
+    string = {c: F.col(c).cast("string") if c in kinds else F.lit(None).cast("string") for c in ("window_start", "window_end")}
+    none = {"top_reasons": F.array().cast("array<string>"), "metadata": F.create_map().cast("map<string,string>")}
+    fields = {
+        "detector": F.upper("detector"), "entity": F.trim("entity"), "entity_type": F.upper("entity_type"), **string, "risk_score": F.col("risk_score"), "confidence": F.col("confidence"), "severity": F.upper("severity"),
+        **{c: F.col(c) if c in kinds else empty for c, empty in none.items()},
+    }
+    made = df.withColumns({f"_h_{c}": x for c, x in fields.items()})
+    h = lambda *names: [f"_h_{c}" for c in names]
+    of = content_hash(h("detector", "entity", "entity_type", "window_start", "window_end", "severity"), h("risk_score", "confidence"), h("top_reasons"), h("metadata"))
+    return made.withColumn("hash", of).drop(*h(*fields))
 
 
 def ttl_dedup(df: DataFrame, key: str, us: str, ttl_us: int = TTL_US) -> DataFrame:
@@ -88,15 +169,20 @@ def ttl_dedup(df: DataFrame, key: str, us: str, ttl_us: int = TTL_US) -> DataFra
     """
     from .endpoint import anchored_windows
 
-    w = anchored_windows(df, [key], us, us, ttl_us)
+    w = anchored_windows(df, [key], us, ttl_us)
     place = F.row_number().over(Window.partitionBy(key, "window_index").orderBy(us, F.xxhash64(*df.columns)))
     return w.withColumn("is_duplicate", place > 1).drop("window_index", "window_start")
 
 
 def priority_order(df: DataFrame, priority: Column, arrival: list[str], partitions: list[str] | None = None) -> DataFrame:
-    """`df` with place: by priority, highest first, then arrival; within `partitions` if given."""
-    own = Window.partitionBy(*(partitions or [F.lit(1)])).orderBy(priority.desc(), *arrival)
-    return df.withColumn("place", F.row_number().over(own))
+    """`df` with place: by priority, highest first, then arrival; within `partitions` if given.
+
+    One queue of all rows is sorted by ranges, not in one task.
+    """
+    order = [priority.desc(), *map(F.col, arrival)]
+    if not partitions:
+        return placed(df, order).withColumn("place", (F.col("_p") + 1).cast("int")).drop("_p", "_p_all")
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*partitions).orderBy(*order)))
 
 
 def from_detector(df: DataFrame, detector: str, entity: str, entity_type: str, score: str, time: str, confidence: float, high: float = 0.5, medium: float | None = 0.3) -> DataFrame:
@@ -117,6 +203,38 @@ def deserialize(text: Column, schema: str) -> Column:
     return F.from_json(text, schema)
 
 
+def serialize_as(columns: list[str], kind: str) -> Column:
+    """A row as `json` text, UTF-8 `bytes` or a `dict` (struct). `msgpack` needs a library that this
+    engine does not require: ValueError, like any unknown kind."""
+    if kind not in ("json", "bytes", "dict"):
+        raise ValueError(f"unsupported serialisation: {kind}")
+    return F.struct(*columns) if kind == "dict" else serialize(columns) if kind == "json" else F.encode(serialize(columns), "UTF-8")
+
+
+def deserialize_any(df: DataFrame, column: str, schema: str) -> Column:
+    """A struct, JSON text or its UTF-8 bytes in `column`, told apart by the column's type."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("struct"):
+        return F.col(column).cast(f"struct<{', '.join(':'.join(f.split(' ', 1)) for f in schema.split(', '))}>")
+    if kind not in ("string", "binary"):
+        raise ValueError(f"cannot read evidence from {kind}")
+    return deserialize(F.decode(F.col(column), "UTF-8") if kind == "binary" else F.col(column), schema)
+
+
+#: Detectors' entity types, confidences and cut-offs for severities (fixed values).
+DETECTED = {"NETWORK": ("NETWORK_FLOW", 0.9, 0.5, 0.3), "IDENTITY": ("USER", 0.9, 0.5, 0.3), "ENDPOINT": ("HOST", 0.85, 0.75, None), "OT": ("PLC", 0.8, 0.5, 0.3)}
+
+
+def from_detectors(outputs: dict[str, DataFrame], entity: str, score: str, time: str) -> DataFrame:
+    """All detectors' outputs (by name) as one table of evidence."""
+    out = None
+    for name, df in outputs.items():
+        kind, confidence, high, medium = DETECTED[name]
+        made = from_detector(df, name, entity, kind, score, time, confidence, high, medium)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def normalize_honeypot(payload: Column, kind: str) -> Column:
     """A decoy's raw payload (a map of strings) in the unified event schema; `kind`: canarytoken or conpot.
 

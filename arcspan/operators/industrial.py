@@ -117,9 +117,32 @@ def dynamics(df: DataFrame, keys: list[str], order: str, value: str) -> DataFram
         F.coalesce(F.sum("_turn"), F.lit(0)).alias("oscillations"),
         F.count_if(F.col("_d") != 0).alias("state_changes"),
         (F.count_if(F.col("_d") != 0) / F.count("*")).alias("transition_rate"),
+        F.coalesce(F.var_samp(x), F.lit(0.0)).alias("variance"),
     )
 
 
+#: Features of a role's tags that `dynamics` gives, and their names there (fixed values).
+CONTROLLER = {"variance": "variance", "state_changes": "change_count"}
+
+
+def controller(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Variance and number of changes of each group's series."""
+    return dynamics(df, keys, order, value).select(*keys, *[F.col(a).alias(b) for a, b in CONTROLLER.items()])
+
+
+def correlated_pairs(df: DataFrame, columns: list[str], least: float = 0.85, top: int = 10, most: int = 30) -> DataFrame:
+    """The `top` pairs among the first `most` columns whose correlation reaches `least` in either
+    direction: variable_1, variable_2, correlation (absolute), in one pass; ties by name."""
+    few = columns[:most]
+    pairs = [(a, b) for k, a in enumerate(few) for b in few[k + 1 :]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "variable_1 string, variable_2 string, correlation double")
+    one = df.agg(*[F.corr(F.col(a), F.col(b)).alias(f"_{k}") for k, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.abs(F.col(f"_{k}")).alias("correlation")) for k, (a, b) in enumerate(pairs)])
+    long = one.select(F.explode(rows).alias("x")).select("x.*")
+    return long.filter(~F.isnan("correlation") & (F.col("correlation") >= least)).orderBy(F.desc("correlation"), "variable_1", "variable_2").limit(top)
+
+
 def histogram_entropy(df: DataFrame, keys: list[str], value: str, bins: int = 10) -> DataFrame:
     """Entropy in bits over equal bins of each group's range, the last one closed; constant series 0."""
     own = Window.partitionBy(*keys)
@@ -166,6 +189,11 @@ def percentiles(df: DataFrame, tag: str, value: str, at: tuple[float, ...] = (0.
     return df.groupBy(tag).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("p"))
 
 
+def top_shifts(shifts: DataFrame, tag: str, top: int = 30) -> DataFrame:
+    """The tags of `shift` that moved most (a report of `top`)."""
+    return shifts.orderBy(F.desc("normalised_shift"), tag).limit(top)
+
+
 def shift(df: DataFrame, tag: str, value: str, attack: str) -> DataFrame:
     """How far attack rows lie from normal ones: by mean, by normal deviation, ratio of deviations."""
     x, bad = F.col(value), F.col(attack) == 1

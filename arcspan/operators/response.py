@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,10 +89,86 @@ def monitor(risk_score: Column, statuses: Column) -> Column:
     return F.when(risk_score > 90, "ESCALATED").when(F.exists(statuses, lambda s: F.coalesce(s, F.lit("FAILED")) != "SUCCESS"), "PERSISTING").otherwise("RESOLVED")
 
 
+#: Keys of an incident's entities that may hold its address and its user, in order (fixed values).
+IP_KEYS, USER_KEYS = ["source_ip", "src_ip", "attacker_ip"], ["user", "username"]
+
+
 def prepare(df: DataFrame) -> DataFrame:
-    """Incidents with score, risk and confidence filled in."""
-    score = F.coalesce("score", F.when(F.coalesce("is_malicious", F.lit(True)), 0.75).otherwise(0.15))
-    return df.withColumns({"score": score}).withColumns({"risk_score": F.coalesce("risk_score", F.col("score") * 100), "confidence": F.coalesce("confidence", "score")})
+    """Incidents with what dispatch needs filled in; columns that `df` lacks count as null.
+
+    score: 0.75, or 0.15 where is_malicious is false; risk_score: 100 times it; confidence: the
+    hypothesis's, the incident's, else the score; incident_id, asset and attack_type from entity_id
+    and classification; attacker_ip from entities (a map), ips (a list), then network_features (a
+    map); username from a user entity, users (a list), then entities.
+    """
+    kinds = dict(df.dtypes)
+    have = lambda c, kind="string": F.col(c) if c in kinds else F.lit(None).cast(kind)
+    blank = lambda x: F.when(F.length(x) > 0, x)
+    held = lambda c, keys: [blank(F.try_element_at(F.col(c), F.lit(k))) for k in keys] if c in kinds else []
+    first = lambda c: [blank(F.get(F.col(c), F.lit(0)))] if c in kinds else []
+    none = F.lit(None).cast("string")
+    score = F.coalesce(have("score", "double"), F.when(F.coalesce(have("is_malicious", "boolean"), F.lit(True)), 0.75).otherwise(0.15))
+    entity = F.coalesce(have("entity_id"), F.lit("UNKNOWN"))
+    user = F.when(have("entity_type") == "user", entity)
+    out = df.withColumn("score", score)
+    return out.withColumns({
+        "risk_score": F.col("score") * 100 if "risk_score" not in kinds else F.coalesce("risk_score", F.col("score") * 100),
+        "confidence": F.coalesce(have("hypothesis_confidence", "double"), have("confidence", "double"), F.greatest("score", F.lit(0.0))),
+        "incident_id": F.coalesce(have("incident_id").cast("string"), F.concat(F.lit("INC-"), entity)), "asset": F.coalesce(have("asset"), entity),
+        "attack_type": F.coalesce(have("attack_type"), have("classification"), F.lit("Unknown")),
+        "attacker_ip": F.coalesce(have("attacker_ip"), *held("entities", IP_KEYS), *first("ips"), *held("network_features", IP_KEYS[:2]), none),
+        "username": F.coalesce(have("username"), user, *first("users"), *held("entities", USER_KEYS), none),
+    })
+
+
+def actions(decoy: Column, planned: Column, attack_type: Column) -> Column:
+    """An incident's actions, each once, in order: a decoy where the strategy can be tested, the plan's
+    known actions, or without any the playbook's."""
+    known = F.filter(F.transform(F.coalesce(planned, F.array().cast("array<string>")), canonical_action), lambda a: a.isin([*ACTIONS, "deploy_decoy"]))
+    chosen = F.concat(F.when(F.coalesce(decoy, F.lit(False)), F.array(F.lit("deploy_decoy"))).otherwise(F.array().cast("array<string>")), known)
+    return F.array_distinct(F.when(F.size(chosen) > 0, chosen).otherwise(playbook(attack_type)))
+
+
+class Registry:
+    """Response actions by name; each is an expression of its outcome, without side effects.
+
+    An action is a function of the incident's columns (`have`: name to column) that gives a struct
+    (action, status, message); one that is not known fails.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[str, Callable[[], Column]] = {}
+
+    def add(self, name: str, outcome: Callable[[], Column]) -> None:
+        self.known[name] = outcome
+
+    def outcomes(self, actions: Column) -> Column:
+        """The outcome of each of a list of actions."""
+        made = lambda a: F.struct(a.alias("action"), F.lit("FAILED").alias("status"), F.lit("Unknown action").alias("message"))
+
+        def one(a: Column) -> Column:
+            out = made(a)
+            for name, outcome in self.known.items():
+                out = F.when(a == name, outcome()).otherwise(out)
+            return out
+
+        return F.transform(actions, one)
+
+
+def standard_actions(ip: str = "attacker_ip", host: str = "asset", user: str = "username") -> Registry:
+    """The four actions: each succeeds if the incident has what it acts on."""
+    out = Registry()
+
+    def add(name: str, column: str, done: str, missing: str) -> None:
+        there = F.coalesce(F.col(column), F.lit("")) != ""
+        made = lambda status, text: F.struct(F.lit(name).alias("action"), F.lit(status).alias("status"), text.alias("message"))
+        out.add(name, lambda: F.when(there, made("SUCCESS", F.concat(F.lit(done), F.col(column)))).otherwise(made("FAILED", F.lit(missing))))
+
+    add("block_ip", ip, "Blocked ", "No address to block")
+    add("isolate_host", host, "Isolated ", "No host to isolate")
+    add("revoke_access", user, "Revoked access of ", "No user to revoke")
+    add("deploy_decoy", host, "Decoy placed on ", "No host for a decoy")
+    return out
 
 
 def playbook(attack_type: Column) -> Column:
@@ -112,11 +190,13 @@ def dashboard_node(node_id: Column, name: Column, risk: Column) -> Column:
     return F.struct(node_id.alias("id"), label.alias("label"), critical.alias("criticality"), zone.alias("zone"), status.alias("status"))
 
 
-#: State and event to the next state (fixed values): containment, verification, retry, backup.
+#: State and event to the next state (fixed values). The states and the order in which they follow each
+#: other are those of dispatch and of verification; the events' names are this engine's own.
 TRANSITIONS = {
-    ("OPEN", "analyse"): "INVESTIGATING", ("INVESTIGATING", "approve"): "CONTAINMENT_IN_PROGRESS", ("INVESTIGATING", "escalate"): "ESCALATED", ("CONTAINMENT_IN_PROGRESS", "done"): "VERIFICATION_PENDING", ("CONTAINMENT_IN_PROGRESS", "fail"): "FAILED",
-    ("VERIFICATION_PENDING", "quiet"): "CONTAINED", ("CONTAINED", "close"): "RESOLVED", ("VERIFICATION_PENDING", "active"): "PARTIALLY_CONTAINED", ("VERIFICATION_PENDING", "timeout"): "FAILED",
-    ("PARTIALLY_CONTAINED", "backup"): "VERIFICATION_PENDING", ("PARTIALLY_CONTAINED", "fail"): "FAILED", ("FAILED", "escalate"): "ESCALATED",
+    ("OPEN", "dispatch"): "INVESTIGATING", ("INVESTIGATING", "escalate"): "ESCALATED", ("INVESTIGATING", "allow"): "RESOLVED", ("INVESTIGATING", "monitor"): "INVESTIGATING",
+    ("INVESTIGATING", "contain"): "CONTAINMENT_IN_PROGRESS", ("INVESTIGATING", "persist"): "PARTIALLY_CONTAINED", ("INVESTIGATING", "fail"): "FAILED",
+    ("CONTAINMENT_IN_PROGRESS", "executed"): "VERIFICATION_PENDING", ("VERIFICATION_PENDING", "quiet"): "CONTAINED", ("VERIFICATION_PENDING", "active"): "PARTIALLY_CONTAINED",
+    ("VERIFICATION_PENDING", "fail"): "FAILED", ("VERIFICATION_PENDING", "timeout"): "FAILED", ("CONTAINED", "close"): "RESOLVED", ("PARTIALLY_CONTAINED", "escalate"): "ESCALATED", ("FAILED", "escalate"): "ESCALATED",
 }
 
 

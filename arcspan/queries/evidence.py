@@ -61,11 +61,17 @@ def evidence_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.ttl_dedup(v, "hash", "us", _TTL).groupBy("detector", "severity", "is_duplicate").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_E} SELECT detector, event_id, CAST(row_number() OVER (PARTITION BY detector ORDER BY CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END DESC, us, event_id) AS INT) AS place FROM v QUALIFY place <= 20")
+@query(f"WITH {_E} SELECT detector, event_id, CAST(row_number() OVER (PARTITION BY detector ORDER BY CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END DESC, us, event_id) AS INT) AS place FROM v")
 def evidence_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty of each detector's queue."""
+    """Each detector's queue, whole."""
     v = op.priority_order(_evidence(spark, sf_dir), op.severity_order(F.col("severity")), ["us", "event_id"], ["detector"])
-    return v.filter("place <= 20").select("detector", "event_id", "place")
+    return v.select("detector", "event_id", "place")
+
+
+@query(f"WITH {_E} SELECT event_id, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END DESC, us, event_id) AS INT) AS place FROM v")
+def evidence_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One queue of all evidence, sorted by ranges."""
+    return op.priority_order(_evidence(spark, sf_dir), op.severity_order(F.col("severity")), ["us", "event_id"]).select("event_id", "place")
 
 
 @query(f"WITH {_E} SELECT entity, count(*) AS n, round(max(risk_score), 6) AS risk FROM v GROUP BY entity")

@@ -50,15 +50,17 @@ def identity_temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_Z} SELECT "user", window_id, list_filter([
-CASE WHEN new_computer_ratio > 0.5 THEN printf('%.1f%% of accessed computers are new for this user', new_computer_ratio * 100) END,
-CASE WHEN za > 3 THEN 'authentication volume is ' || 'above user baseline' END,
-CASE WHEN off_hours = 1 THEN 'activity occurred outside configured normal hours' END], lambda x: x IS NOT NULL) AS reasons FROM z""")
+CASE WHEN new_computer_ratio > 0.5 THEN '# of accessed computers are new for this user' END,
+CASE WHEN za > 3 THEN 'authentication volume is # standard deviations above user baseline' END,
+CASE WHEN zu > 3 THEN 'computer traversal is # standard deviations above user baseline' END,
+CASE WHEN off_hours = 1 THEN 'activity occurred outside configured normal hours' END,
+CASE WHEN fanout_rate > 10 THEN 'high host traversal velocity: # computers/hour' END,
+CASE WHEN zg > 3 THEN 'authentication timing gap is # standard deviations above user baseline' WHEN zg < -3 THEN 'authentication timing gap is # standard deviations below user baseline' END,
+CASE WHEN zf > 3 THEN 'host traversal velocity is # standard deviations above user baseline' END], lambda x: x IS NOT NULL) AS reasons FROM z""")
 def identity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why an hour stands out: new computers, volume, off hours."""
+    """Why an hour stands out, all seven rules; figures, which engines print differently, as #."""
     z = op.reasons(op.zscores(op.user_hours(events(spark, sf_dir))))
-    few = F.filter("reasons", lambda x: x.contains("new for this user") | x.startswith("authentication volume") | x.startswith("activity"))
-    plain = F.transform(few, lambda x: F.when(x.startswith("authentication volume"), "authentication volume is above user baseline").otherwise(x))
-    return z.select("user", "window_id", plain.alias("reasons"))
+    return z.select("user", "window_id", F.transform("reasons", lambda x: F.regexp_replace(x, r"-?[0-9]+\.[0-9]%?", "#")).alias("reasons"))
 
 
 _COHORT = f"""{_HOURS}, u AS (SELECT "user", sum(auth_count) AS total, count(*) AS hours, max(auth_count) AS busiest FROM g GROUP BY "user"),

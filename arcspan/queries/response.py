@@ -124,14 +124,14 @@ def incident_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.prepare(d).select("user_id", "score", "risk_score")
 
 
-@query("""WITH RECURSIVE o AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'analyse' WHEN 1 THEN 'approve' ELSE 'done' END AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
-s AS (SELECT conv_id, p, n, CASE WHEN e = 'analyse' THEN 'INVESTIGATING' ELSE 'OPEN' END AS state FROM o WHERE p = 1
- UNION ALL SELECT o.conv_id, o.p, o.n, CASE WHEN state = 'OPEN' AND e = 'analyse' THEN 'INVESTIGATING' WHEN state = 'INVESTIGATING' AND e = 'approve' THEN 'CONTAINMENT_IN_PROGRESS' WHEN state = 'CONTAINMENT_IN_PROGRESS' AND e = 'done' THEN 'VERIFICATION_PENDING' ELSE state END FROM s JOIN o ON o.conv_id = s.conv_id AND o.p = s.p + 1)
+@query("""WITH RECURSIVE o AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'dispatch' WHEN 1 THEN 'contain' ELSE 'executed' END AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+s AS (SELECT conv_id, p, n, CASE WHEN e = 'dispatch' THEN 'INVESTIGATING' ELSE 'OPEN' END AS state FROM o WHERE p = 1
+ UNION ALL SELECT o.conv_id, o.p, o.n, CASE WHEN state = 'OPEN' AND e = 'dispatch' THEN 'INVESTIGATING' WHEN state = 'INVESTIGATING' AND e = 'contain' THEN 'CONTAINMENT_IN_PROGRESS' WHEN state = 'CONTAINMENT_IN_PROGRESS' AND e = 'executed' THEN 'VERIFICATION_PENDING' ELSE state END FROM s JOIN o ON o.conv_id = s.conv_id AND o.p = s.p + 1)
 SELECT state, count(*) AS incidents FROM s WHERE p = n GROUP BY state""")
 def incident_state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents' states after their events."""
     t = F.col("turn") % 3
-    c = table(spark, sf_dir, "conversations").withColumn("e", F.when(t == 0, "analyse").when(t == 1, "approve").otherwise("done"))
+    c = table(spark, sf_dir, "conversations").withColumn("e", F.when(t == 0, "dispatch").when(t == 1, "contain").otherwise("executed"))
     return op.replay(c, "conv_id", "turn", "e").groupBy("state").agg(F.count("*").alias("incidents"))
 
 

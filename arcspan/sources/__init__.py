@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import placed
 from ..session import ship
 
 #: Files of an archive that are telemetry (fixed values).
@@ -92,16 +93,19 @@ def parse_telemetry(name: str, text: str) -> list[dict]:
 
 
 def _flat(record: dict) -> dict[str, str]:
-    """A record's plain keys, and dotted ones for what is nested, as strings."""
+    """A record's plain keys, and dotted ones for what is nested and not null, as strings.
+
+    A plain key with a dot in it is kept before a nested value of the same name.
+    """
     out: dict[str, str] = {}
     stack = [("", record)]
     while stack:
-        prefix, value = stack.pop()
+        prefix, value = stack.pop(0)
         for k, v in value.items():
             if isinstance(v, dict):
                 stack.append((f"{prefix}{k}.", v))
-            else:
-                out.setdefault(prefix + str(k), None if v is None else v if isinstance(v, str) else json.dumps(v))
+            elif v is not None or not prefix:
+                out.setdefault(prefix + str(k), v if v is None or isinstance(v, str) else json.dumps(v))
     return out
 
 
@@ -135,6 +139,78 @@ def discover(spark: SparkSession, path: str, pattern: str = "*", segment: str |
     return out.filter(F.array_contains(F.split(F.lower("path"), "/"), segment.lower())) if segment else out
 
 
+# Names by which a time or a label column is known.
+TIME_NAMES, LABEL_NAMES = ["timestamp", "time", "date", "datetime"], ["attack", "label", "class", "is_attack", "anomaly"]
+#: Bytes of a file's beginning that are looked at, and lines of them; bytes of a row where none can be seen.
+HEAD, LINES, ROW_BYTES = 30_000, 100, 120
+
+
+def describe_head(text: str, bytes: int) -> tuple[int, int, str | None, str | None]:
+    """Rows (estimated by the mean length of the first lines), columns, time and label column of a
+    delimited file, from its beginning and its size."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    if not lines:
+        return 0, 0, None, None
+    sep = ";" if ";" in lines[0] else ","
+    names = [x.strip().strip('"') for x in lines[0].rstrip("\r").split(sep)]
+    body = lines[1 : LINES + 1] if len(text) < HEAD or len(lines) < 3 else lines[1:-1][:LINES]
+    mean = sum(len(x.encode()) + 1 for x in body) / len(body) if body else ROW_BYTES
+    find = lambda known: next((n for n in reversed(names) if n.lower() in known), None)
+    return int(bytes / mean), len(names), find(TIME_NAMES), find(LABEL_NAMES)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What data a folder holds: file, format, bytes, row_estimate, columns, time_column, label_column.
+
+    CSV files and CSV members of archives are looked at by their beginning, Parquet files by their
+    footer (rows are exact then). Archives are opened by executors, one at a time; other files
+    are not opened. Files that cannot be read are left out.
+    """
+    ship(spark)
+    schema = "file string, format string, bytes long, row_estimate long, columns int, time_column string, label_column string"
+    look = lambda pattern: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for archive, content in zip(frame["path"], frame["content"]):
+                try:
+                    opened = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                for info in opened.infolist():
+                    kind = info.filename.lower().rsplit(".", 1)[-1]
+                    if not info.is_dir() and kind in ("csv", "txt"):
+                        with opened.open(info) as member:
+                            head = member.read(HEAD).decode("utf-8", "ignore")
+                        rows.append((f"{archive}::{info.filename}", kind, info.file_size, *describe_head(head, info.file_size)))
+            yield pd.DataFrame(rows, columns=["file", "format", "bytes", "row_estimate", "columns", "time_column", "label_column"])
+
+    out = look("*.zip").select("path", "content").mapInPandas(members, schema)
+    # The beginning of a CSV file: its first lines, as Spark reads them (a file is read no further than it has to).
+    firsts = [(r["path"], r["length"]) for r in look("*.csv").select("path", "length").collect()]
+    rows = []
+    for file, size in sorted(firsts):
+        head = "\n".join(r[0] for r in spark.read.text(file).limit(LINES + 1).collect())
+        rows.append((file, "csv", size, *describe_head(head, size)))
+    for r in look("*.parquet").select("path", "length").collect():
+        df = spark.read.parquet(r["path"])
+        find = lambda known: next((c for c in reversed(df.columns) if c.lower() in known), None)  # noqa: E731, B023
+        rows.append((r["path"], "parquet", r["length"], df.count(), len(df.columns), find(TIME_NAMES), find(LABEL_NAMES)))
+    return out.unionByName(spark.createDataFrame(rows, schema))
+
+
+def discover_hosts(spark: SparkSession, path: str) -> DataFrame:
+    """Endpoint archives: ZIP files with a folder `host` on their path."""
+    return discover(spark, path, "*.zip", "host")
+
+
+def chunks(df: DataFrame, order: list[str], size: int = 10_000) -> DataFrame:
+    """`df` with chunk, so that each chunk has `size` rows in the order (the last fewer): what a reader
+    of row groups gives one after the other, here for grouped work in parallel."""
+    return placed(df, [F.col(c) for c in order]).withColumn("chunk", F.floor(F.col("_p") / size)).drop("_p", "_p_all")
+
+
 # STIX object types by their short names, and types that are no node.
 STIX_TYPES = {"attack-pattern": "technique", "intrusion-set": "group", "malware": "malware", "tool": "tool", "course-of-action": "mitigation", "campaign": "campaign"}
 STIX_SKIPPED = ["relationship", "marking-definition", "identity"]

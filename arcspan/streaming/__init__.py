@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import evidence
@@ -36,11 +37,19 @@ def sessions(df: DataFrame, time: str, keys: list[str], gap: str, late: str) ->
     return out.select(F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), *keys, "n")
 
 
-def baselines(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Running count, mean and sum of squared deviations of each key (Welford, merged by batch)."""
+def baselines(df: DataFrame, key: str, value: str, idle_ms: int | None = None) -> DataFrame:
+    """Running count, mean and sum of squared deviations of each key (Welford, merged by batch).
+
+    With `idle_ms` a key that had no rows for so long is forgotten; without it state is kept, as a
+    baseline is meant to last.
+    """
     ship(df.sparkSession)
+    kept = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         for frame in frames:
             x = frame[value].dropna()
@@ -51,31 +60,42 @@ def baselines(df: DataFrame, key: str, value: str) -> DataFrame:
                 mean += away * len(x) / total
                 n = total
         state.update((n, mean, m2))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: [k[0]], "n": [n], "mean": [mean], "m2": [m2]})
 
     kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, mean double, m2 double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, mean double, m2 double", "n long, mean double, m2 double", "update", kept)
 
 
-def ttl_dedup(df: DataFrame, key: str, us: str, ttl_us: int = evidence.TTL_US) -> DataFrame:
+def ttl_dedup(df: DataFrame, key: str, us: str, ttl_us: int = evidence.TTL_US, late: str = "10 minutes") -> DataFrame:
     """First copies only: a copy within the time to live of the key's last first copy is dropped, and
-    does not renew it. State is one time per key, dropped after the time to live in event time."""
+    does not renew it. A row older than that first copy has none before it and is kept.
+
+    State is one time per key. A timer in event time removes it when the watermark (`late` behind
+    the latest row) has passed the time to live, so state is bounded by the keys of that span.
+    """
     ship(df.sparkSession)
     names, kinds = df.columns, dict(df.dtypes)
 
     def keep(_k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         anchor = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(us, kind="stable")
         out = []
         for place, t in enumerate(rows[us].tolist()):
-            if anchor is None or t - anchor > ttl_us:
-                anchor = t
+            if anchor is None or t - anchor > ttl_us or t < anchor:
+                anchor = t if anchor is None else max(anchor, t)
                 out.append(place)
         state.update((int(anchor),))
+        state.setTimeoutTimestamp(max((anchor + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[out][names]
 
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    return df.groupBy(key).applyInPandasWithState(keep, schema, "anchor long", "append", GroupStateTimeout.NoTimeout)
+    timed = df.withColumn("_event_time", F.timestamp_micros(us)).withWatermark("_event_time", late)
+    return timed.groupBy(key).applyInPandasWithState(keep, schema, "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def approximate_dedup(df: DataFrame, time: str, keys: list[str], ttl: str) -> DataFrame:
@@ -83,11 +103,32 @@ def approximate_dedup(df: DataFrame, time: str, keys: list[str], ttl: str) -> Da
     return df.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", ttl).dropDuplicatesWithinWatermark(keys).drop("_t")
 
 
-def ingest(df: DataFrame) -> DataFrame:
-    """Evidence as it comes: valid rows in their normal form with a priority and a content hash."""
+def ingest(df: DataFrame, us: str | None = None, ttl_us: int = evidence.TTL_US, late: str = "10 minutes") -> DataFrame:
+    """Evidence as it comes: valid rows in their normal form with a priority and a hash; with `us` first
+    copies only, wrapped as events."""
     good = df.withColumn("errors", evidence.errors()).filter(F.size("errors") == 0).drop("errors")
-    out = evidence.normalize(good)
-    return out.withColumns({"priority": evidence.severity_order(F.col("severity")), "hash": evidence.content_hash(["detector", "entity", "entity_type", "severity"], ["confidence", "risk_score"], ["top_reasons"])})
+    out = evidence.evidence_hash(evidence.normalize(good))
+    if us is None:
+        return out.withColumn("priority", evidence.severity_order(F.col("severity")))
+    return evidence.wrap(ttl_dedup(out, "hash", us, ttl_us, late).drop("hash"), F.current_timestamp())
+
+
+def latency(events: DataFrame, wrapped: str, now: Column) -> DataFrame:
+    """How many events there are and the mean and largest time since they were wrapped, in milliseconds."""
+    ms = (F.unix_micros(now) - F.unix_micros(wrapped)) / 1000.0
+    return events.agg(F.count("*").alias("events_published"), F.avg(ms).alias("average_latency"), F.max(ms).alias("largest_latency"))
+
+
+def counters(query: StreamingQuery) -> dict[str, float]:
+    """A query's own measures so far: batches, rows, rows a second, mean duration of a batch in ms, and
+    rows that its stateful operators hold or dropped as late."""
+    seen = [p for p in query.recentProgress if p is not None]
+    state = [s for p in seen[-1:] for s in p["stateOperators"]]
+    durations = [p["durationMs"].get("triggerExecution", 0) for p in seen]
+    return {
+        "batches": len(seen), "rows": sum(p["numInputRows"] for p in seen), "rows_per_second": float(seen[-1]["processedRowsPerSecond"] or 0.0) if seen else 0.0,
+        "average_ms": sum(durations) / len(durations) if durations else 0.0, "state_rows": sum(s["numRowsTotal"] for s in state), "late_rows": sum(s.get("numRowsDroppedByWatermark", 0) for s in state),
+    }
 
 
 def fan_out(subscribers: dict[str, tuple[object, Callable[[DataFrame], None]]], failed: Callable[[str, Exception], None]) -> Callable[[DataFrame, int], None]:
