@@ -81,7 +81,7 @@ def test_language_model(spark):
     rng = random.Random(9)
     texts = [None, "", "Unseen wörd", "a a a\tA b"] + ["".join(rng.choice("ab ") + rng.choice(["the ", "of ", "rare" + str(rng.randrange(50)) + " "]) for _ in range(30)) for _ in range(60)]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, h string")
-    out = {r["doc_id"]: r for r in pitman_yor.score(df, F.col("doc_id") % 4 != 2, frequent=64, heads=16).collect()}
+    out = {r["doc_id"]: r for r in pitman_yor.score(df, F.col("doc_id") % 4 != 2, frequent=64).collect()}
     low = [(t or "").translate({c: c + 32 for c in range(65, 91)}).split() for t in texts]
     counts = collections.Counter(w for k, ws in enumerate(low) if k % 4 != 2 for w in ws)
     ends = sum(k % 4 != 2 for k in range(len(texts)))
@@ -97,27 +97,111 @@ def test_language_model(spark):
 
 def test_language_model_sums_to_one():
     rng = np.random.default_rng(1)
-    pairs = np.unique(rng.integers(0, 100, 60))
-    p = pitman_yor.fit_symbols(pairs, rng.integers(1, 500, len(pairs)), 10, np.arange(8))
-    assert np.allclose(p.sum(1), 1) and (p > 0).all()
+    symbols, contexts = 12, 5
+    u, w = np.divmod(np.unique(rng.integers(0, symbols * contexts, 30)), symbols)
+    c = rng.integers(1, 500, len(u))
+    base = rng.random(symbols)
+    base /= base.sum()
+    t, of = pitman_yor.seat(c, u, base[w], pitman_yor.Seats(0.6, 500), rng, np.zeros(contexts))
+    p = np.array([pitman_yor.predictive(0, 0, c[u == k].sum(), of[k], base, 0.6) for k in range(contexts)])
+    p[u, w] = pitman_yor.predictive(c, t, np.bincount(u, c)[u], of[u], base[w], 0.6)
+    assert np.allclose(p.sum(1), 1) and (p > 0).all() and (t >= 1).all() and (t <= c).all()
+    root = pitman_yor.fit_root(np.array([5.4, 0.0, 1.0, 900.0]))
+    assert abs(root.sum() - 1) < 1e-9 and (root > 0).all() and root[3] > root[0] > root[1]
     c, words = np.array([1, 2, 5, 40]), np.array([300, 40, 10, 2])
     tail, unknown = pitman_yor.fit_tail(c, words)
     assert abs((tail * words).sum() + unknown - 1) < 1e-9 and (np.diff(tail) > 0).all()
 
 
-def test_seating_is_that_of_the_restaurant():
-    """With a parent that gives the dish surely, tables follow the Chinese restaurant process."""
-    rng = np.random.default_rng(2)
-    c, d, theta = 40, 0.5, 1.0
-    mean = np.mean(pitman_yor.reseat(np.full(4000, c), np.ones(4000), np.zeros(4000), d, theta, rng))
-    want = 1.0
-    sums = np.zeros(4000)
+def _customers(counts, base, d, theta, rng, burn, keep):
+    """Mean tables of dishes {dish: customers} of one restaurant, by moving one customer after another."""
+    tables = {w: [c] for w, c in counts.items()}
+    mean = dict.fromkeys(counts, 0.0)
+    for sweep in range(burn + keep):
+        for w, c in counts.items():
+            for _ in range(c):
+                sizes = tables[w]
+                k = rng.choices(range(len(sizes)), sizes)[0]
+                sizes[k] -= 1
+                if not sizes[k]:
+                    sizes.pop(k)
+                new = (theta + d * sum(map(len, tables.values()))) * base[w]
+                k = rng.choices(range(len(sizes) + 1), [*(x - d for x in sizes), new])[0]
+                if k == len(sizes):
+                    sizes.append(1)
+                else:
+                    sizes[k] += 1
+        if sweep >= burn:
+            for w in counts:
+                mean[w] += len(tables[w]) / keep
+    return mean
+
+
+def test_seating_agrees_with_one_customer_after_another():
+    rng, d = random.Random(3), 0.6
+    counts, base = {0: 2, 1: 7, 2: 30, 3: 1, 4: 2}, [0.3, 0.05, 0.4, 0.05, 0.2]
+    want = _customers(counts, base, d, 1.0, rng, 200, 4000)
+    c = np.array(list(counts.values()))
+    got, of = pitman_yor.seat(c, np.zeros(5, int), np.array(base), pitman_yor.Seats(d, 30), np.random.default_rng(0), np.zeros(1), (200, 4000))
+    assert abs(of[0] - got.sum()) < 1e-9 and np.allclose(got, list(want.values()), rtol=0.03, atol=0.03)
+
+
+def test_stirling_numbers():
+    s = pitman_yor.Seats(0.5, 40_000)
+    assert np.allclose(np.exp(s.log[2, :3]), [0.5 * 1.5, 3 * 0.5, 1.0]) and s.sizes[-1] == pitman_yor.LARGEST
+    # One dish that its parent gives surely: the Chinese restaurant process itself.
+    rng, c = np.random.default_rng(2), 40
     t = np.ones(4000)
     for i in range(1, c):
-        t += rng.random(4000) < (theta + d * t) / (theta + i)
-    sums += t
-    want = sums.mean()
-    assert abs(mean - want) / want < 0.05
+        t += rng.random(4000) < (1 + 0.5 * t) / (1 + i)
+    got = s.draw(np.full(4000, c), np.zeros(4000), np.ones(4000), rng)
+    assert abs(got.mean() - t.mean()) / t.mean() < 0.03 and abs(s.draw(np.full(4000, c), 0.0, 1.0, rng).mean() - t.mean()) / t.mean() < 0.03
+    # Rows a tenth apart differ little, and in the end not at all.
+    means = [s.draw(np.full(20_000, n), 30.0, 0.1, rng).mean() for n in (128, 131, 8_000, 16_384, 65_536)]
+    assert abs(means[1] / means[0] - 1) < 0.03 and abs(means[3] / means[2] - 1) < 0.02 and abs(means[4] / means[3] - 1) < 0.02
+
+
+def _bigrams(rng):
+    texts = []
+    for _ in range(70):
+        w, out = 0, []
+        for _ in range(rng.randrange(1, 30)):
+            w = (w * 3 + rng.choice([1, 1, 1, 2, 5])) % 11
+            out.append(f"w{w}")
+        texts.append(" ".join(out))
+    return texts
+
+
+@pytest.mark.parametrize("small", [{}, {"HELD": 200, "CHUNK_TEXTS": 9, "PART": 100}])
+def test_language_model_against_one_customer_after_another(spark, monkeypatch, small):
+    """Every text's score, against restaurants seated customer by customer."""
+    for name, value in small.items():
+        monkeypatch.setattr(pitman_yor, name, value)
+    rng = random.Random(5)
+    texts = _bigrams(rng)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = {r["doc_id"]: r for r in pitman_yor.score(df, F.col("doc_id") % 5 != 1).collect()}
+    steps = [list(zip(["<", *t.split()], [*t.split(), ">"])) for t in texts]
+    pairs = collections.Counter(s for k, ss in enumerate(steps) if k % 5 != 1 for s in ss)
+    seen = collections.Counter(w for (_, w), c in pairs.items() for _ in range(c))
+    symbols = [*sorted(w for w in seen if w != ">"), "?", ">"]
+    n = {w: max(seen[w], 1) for w in symbols}
+    d = pitman_yor.discount(np.array(list(pairs.values())))
+    base = {w: n[w] / sum(n.values()) for w in symbols}
+    of = lambda u: {w: c for (x, w), c in pairs.items() if x == u}
+    contexts = sorted({u for u, _ in pairs})
+    first = [_customers(of(u), base, d, 1.0, rng, 20, 60) for u in contexts]
+    root = dict(zip(symbols, pitman_yor.fit_root(np.array([sum(t.get(w, 0) for t in first) for w in symbols]))))
+    tables = {u: _customers(of(u), root, d, 1.0, rng, 20, 60) for u in contexts}
+    for k, ss in enumerate(steps):
+        want = 0.0
+        for u, w in ss:
+            c, t = of(u), tables.get(u, {})
+            want += math.log10((c.get(w, 0) - d * t.get(w, 0) + (1 + d * sum(t.values())) * root[w]) / (1 + sum(c.values())))
+        assert abs(out[k]["score"] - want) < 0.02 * len(ss) + 0.02, (k, out[k]["score"], want)
+    scored = spark.createDataFrame([tuple(r) for r in out.values()], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    held = pitman_yor.perplexity(scored, F.col("doc_id") % 5 == 1)
+    assert 1 < held < 11 and math.isnan(pitman_yor.perplexity(scored.filter("false")))
 
 
 def test_pipeline_stage_by_stage(spark, corpus, tmp_path):
