@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +36,38 @@ from .vocab import is_byte_level, library, read_tokenizer, specials
 FREQUENT, SUMMARY, CACHED, CACHED_CHARS, FAN_IN = 65_536, 16_384, 400_000, 48, 32
 
 
+_worker: dict = {}
+
+
+def _lengths(data: str, table: dict[str, int]) -> tuple[Callable[[str], int], Callable[[str], int]]:
+    """This worker's functions from a pre-token, and from a whole text, to its tokens under the file.
+
+    The cache outlives the task: later tasks of the worker go on with it. What it holds is right for the
+    file whatever the table.
+    """
+    key = (hash(data), len(data))
+    if key in _worker:
+        return _worker[key]
+    own = library(data)
+
+    def whole(text: str) -> int:
+        return len(own.encode(text, add_special_tokens=False).ids)
+
+    class Lengths(dict):
+        def __missing__(self, piece: str) -> int:
+            n = whole(piece)
+            if len(piece) <= CACHED_CHARS:
+                if len(self) >= CACHED:
+                    self.clear()
+                    self.update(table)
+                self[piece] = n
+            return n
+
+    _worker.clear()
+    _worker[key] = Lengths(table).__getitem__, whole
+    return _worker[key]
+
+
 def _shrink(counts: Counter, size: int) -> None:
     """Keep the `size` largest, lowered by the largest of the rest."""
     if len(counts) > size:
@@ -89,32 +121,20 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", out: str = "
     if is_byte_level(config):
         known, own = frequent_pretokens(df, text, frequent), library(data)
         table = {k: len(e.ids) for k, e in zip(known, own.encode_batch(known, add_special_tokens=False))}
+    marks, plain = specials(config), is_byte_level(config)
     shared = df.sparkSession.sparkContext.broadcast((data, table))
     kept = [f for f in df.schema.fields if f.name != out]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, table = shared.value
-        config, own = json.loads(data), library(data)
-        marks, split, plain = specials(config), splitter(), is_byte_level(config)
-        del config
-
-        class Lengths(dict):
-            def __missing__(self, piece: str) -> int:
-                n = len(own.encode(piece, add_special_tokens=False).ids)
-                if len(piece) <= CACHED_CHARS:
-                    if len(self) >= CACHED:
-                        self.clear()
-                        self.update(table)
-                    self[piece] = n
-                return n
-
-        of = Lengths(table).__getitem__
+        of, whole = _lengths(data, table)
+        split = splitter()
 
         def n_tokens(x: str) -> int:
             if plain and settled(x) and not any(m in x for m in marks):
                 return sum(map(of, split(x)))
-            return len(own.encode(x, add_special_tokens=False).ids)
+            return whole(x)
 
         for batch in batches:
             at = batch.schema.get_field_index
