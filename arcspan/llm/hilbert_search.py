@@ -12,7 +12,8 @@ The window is fitted: for a bounded sample of queries (`PROBES`) the true neighb
 brute force over all rows, and the window is the distance in ranks at which a share of `RECALL`
 of them is in reach. So recall is measured on each input, and the window grows with it as far
 as the data's dimension demands. Ranks, not keys, make the blocks, so equal or crowded vectors
-spread over as many tasks as any others.
+spread over as many tasks as any others; a block's queries are cut into pieces, so a task holds
+`MOST_BLOCK` vectors and as many queries at most.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, nor do rows with a null id; a query finds every row but its
@@ -34,7 +35,7 @@ from .embedding_dedup import dimension, matrix, usable, _runs, _same
 
 #: Curves; directions and bits of each; queries that the window is fitted on; share of their neighbours in reach.
 CURVES, DIMENSIONS, BITS, PROBES, RECALL = 12, 4, 8, 128, 0.96
-#: Vectors that the scale of the projections is taken from; ranks of a block.
+#: Vectors that the scale of the projections is taken from; ranks of a block, and queries that it is compared with at once.
 SAMPLE, LEAST_BLOCK, MOST_BLOCK = 5_000, 256, 8_192
 
 
@@ -146,7 +147,11 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vec
     first, last = F.floor((F.col("rank") - window) / block).cast("long"), F.floor((F.col("rank") + window) / block).cast("long")
     stored = ranked.filter("not asks").select("curve", mine.alias("block"), "asks", "r")
     asked = ranked.filter("asks").select("curve", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)).alias("block"), "asks", "r")
-    order = ["curve", "block"]
+    # Many queries of a block are cut into pieces, each of which meets all of the block's vectors.
+    pieces = asked.groupBy("curve", "block").agg(F.ceil(F.count("*") / MOST_BLOCK).cast("int").alias("pieces"))
+    stored = stored.join(pieces, ["curve", "block"]).select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "asks", "r")
+    asked = asked.join(pieces, ["curve", "block"]).select("curve", "block", F.pmod(F.xxhash64("r"), F.col("pieces")).cast("int").alias("piece"), "asks", "r")
+    order = ["curve", "block", "piece"]
     met = stored.unionByName(asked).join(base.select("r", "id", "v"), "r").repartition(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
