@@ -235,3 +235,31 @@ def test_pipeline_keeps_other_texts_under_a_repeated_id(spark):
     kept = corpus_pipeline.keep_one_of_similar(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     got = sorted(((r[0] or 0, r[1] or "") for r in kept.collect()))
     assert got == sorted([(0, text("a")), (1, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (7, text("e")), (8, "")])
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    got = sorted((r["text"], r["label"]) for r in labelled.sample(docs, labels, "quality").collect())
+    assert got == [("", 1), ("text 9", 1)] and labelled.sample(docs, labels, "quality", bound=1).count() == 1
+
+
+def test_language_model_of_repeated_rows_and_long_texts(spark):
+    rows = [(1, "a b a"), (1, "a b a"), (None, "a b"), (2, "word " * 300_000), (3, None)]
+    out = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
+    assert len(out) == 5 and all(r["train_tokens"] == 4 + 4 + 3 + 300_001 + 1 for r in out)
+    twice = [r for r in out if r["doc_id"] == 1]
+    assert len(twice) == 2 and twice[0]["score"] == twice[1]["score"] and next(r for r in out if r["doc_id"] == 2)["n_tokens"] == 300_001
+
+
+def test_pipeline_keeps_odd_columns_and_rows(spark, corpus, tmp_path):
+    _, labels = corpus
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    good = _words(random.Random(1), 80)
+    rows = [(1, good, "t", {"a": "b"}, 5), (1, good, "t", {"a": "c"}, 6), (None, good, "t", None, 7), (None, good, "t", None, 8), (2, None, "t", None, 9), (3, " ", "t", None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _toxicity string, m map<string,string>, _ROW long")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_good, corpus_pipeline.keep_one_of_similar):
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, -1, 1, 2, 3] and all(r["_toxicity"] == "t" for r in kept)
+    assert {r["_toxicity"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == {"t"}

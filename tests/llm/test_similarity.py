@@ -191,3 +191,84 @@ def test_license_scan(spark):
     assert license_scan.scan(df.filter("false")).count() == 0
     with pytest.raises(ValueError):
         license_scan.scan(df, [("X", "too short")])
+
+
+def test_license_scan_keeps_repeated_rows_and_long_texts(spark):
+    mit, filler = "Released under the MIT License.", "word " * 250_000
+    rows = [(1, mit), (1, mit), (1, "x y z a b c"), (None, mit), (None, mit), (2, f"{filler}{mit} {filler}"), (3, f"{mit} " * 400), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["first_word"]) for r in license_scan.scan(df).collect()), key=str)
+    assert got == sorted([(1, 0), (1, 0), (None, 0), (None, 0), (2, 250_000), (3, 0)], key=str)
+
+
+def test_license_scan_finds_whole_texts(spark):
+    """Each licence's own text, alone, inside others and with a few words changed."""
+    from arcspan.llm.license_texts import LICENSES
+
+    rng, rows = random.Random(3), []
+    for k, (_, text) in enumerate(LICENSES):
+        words = text.split()
+        rows.append((k, text))
+        rows.append((1000 + k, f"a b c d {text.upper()} e f g h"))
+        if len(words) > 60:
+            for _ in range(len(words) // 60):
+                words[rng.randrange(len(words))] = "changed"
+            rows.append((2000 + k, " ".join(words)))
+    got = {(r["doc_id"], r["license"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((k, LICENSES[k % 1000][0]) in got for k, _ in rows)
+
+
+def _sql(oracle, **tables):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        con.register(name, pd.DataFrame(rows, columns=["doc_id", "text"]))
+    return con.execute(oracle).fetchall()
+
+
+def test_license_scan_against_sql(spark):
+    from arcspan.llm.license_texts import LICENSES
+
+    rng = random.Random(8)
+    filler = lambda n: [rng.choice(["the", "this", "software", "license", "free", "under", "of", "any", "use"]) for _ in range(n)]
+    rows = [(k, " ".join([*filler(rng.randrange(30)), *rng.choice(LICENSES)[1].split()[rng.randrange(2) :], *filler(rng.randrange(30))])) for k in range(120)]
+    got = {(r["doc_id"], r["license"], round(r["containment"], 9), r["first_word"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(a, b, round(c, 9), d) for a, b, c, d in _sql(license_scan.oracle_sql(), documents=rows)} and len(got) > 100
+
+
+@pytest.mark.parametrize("most", [64, 8192])
+def test_many_equal_vectors(spark, monkeypatch, most):
+    """A large group of equal vectors: all links counted, all candidates alike, ties by id."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(hilbert_search, "MOST_BLOCK", most)
+    monkeypatch.setattr(hilbert_search, "LEAST_BLOCK", 32)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    x[100:] = x[100]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert all(got[k]["n_links"] == near[k] for k in range(100, 400)) and len({got[k]["component_id"] for k in range(100, 400)}) == 1
+    from pyspark.sql import functions as F
+
+    found = {}
+    for r in hilbert_search.search(df, F.col("vec_id") % 20 == 0, 20).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    s = x.astype(float) @ x[100].astype(float)
+    above = [int(v) for v in np.argsort(-s, kind="stable") if s[v] > s[100] + 1e-9]
+    for q in range(100, 400, 20):
+        ids = [v for _, v in sorted(found[q])]
+        tied = [v for v in range(100, 400) if v != q]
+        assert len(ids) == 20 and [v for v in ids if v >= 100] == tied[: 20 - len([v for v in ids if v < 100])] and set(v for v in ids if v < 100) <= set(above)
+
+
+def test_long_and_repeated_texts_join(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    rows = [(1, long), (2, long + " and more"), (3, long.upper()), (4, "other words " * 3), (4, "other words " * 3), (4, long), (None, long)]
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # One id under two texts: each row is in the component of its own text.
+    assert got == [(-1, -1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 4), (4, 4)]

@@ -138,3 +138,27 @@ def test_empty_tables(spark, docs):
     assert bpe.encode(none, bpe.read_ranks(RANKS)).count() == 0
     assert token_counts.token_counts(none, JSON).count() == 0
     assert packing.pack(packing.cut(none, JSON)).count() == 0
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte and more, of words, of one word, and of characters that go to the library."""
+    long = ["word and more " * 90_000, "x" * 1_200_000, "é " * 600_000, "\u0378 odd " * 150_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    own, ranks = Tokenizer.from_file(JSON), bpe.read_ranks(RANKS)
+    want = {k: own.encode(t, add_special_tokens=False).ids for k, t in enumerate(long)}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, JSON).collect()}
+    assert counts == {k: len(v) for k, v in want.items()}
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(bpe.encode(df, ranks, pattern=public_tokenizers.PATTERN), ranks).collect()}
+    assert back == {k: t.encode() for k, t in enumerate(long)}
+    pieces = {}
+    for r in packing.pack(packing.cut(df, JSON)).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["length"], r["start"]))
+    for k, ids in want.items():
+        assert sum(n for _, n, _ in pieces[k]) == len(ids) + 1 and sorted(pieces[k])[0][2] == 0 and len({p for p, _, _ in pieces[k]}) == len(pieces[k])
+
+
+def test_packing_of_clashing_names_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8), (1, "a b", 7, 8), (None, "c", 7, 8), (2, None, 7, 8)], "doc_id long, text string, sequence_id long, offset long")
+    rows = packing.pack(packing.cut(df, JSON)).collect()
+    assert sorted((r["doc_id"] or -1) for r in rows) == [-1, 1, 1, 2]
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 4 and len({r["sequence_id"] for r in rows}) == 1
