@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,27 @@ def remainder(column: str | Column, modulus: int) -> Column:
 def texts(column: pa.Array) -> list[str]:
     """The column's strings; null is empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with the same key, of batches in its order."""
+    held, now = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and k[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = k[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def blobs(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """`data` cut into binary values of `counts` elements."""
+    end = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(data.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(end), pa.py_buffer(np.ascontiguousarray(data))])

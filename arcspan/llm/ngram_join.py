@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spool, map_arrow
+from .common import Spool, blobs, groups, map_arrow
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -89,30 +89,6 @@ class _Classes:
         return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of rows with the same key, of batches in its order."""
-    held, now = [], None
-    for batch in batches:
-        if not len(batch):
-            continue
-        k = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and k[a] != now:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = k[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _blobs(data: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """`data` cut into binary values of `counts` elements."""
-    end = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.int32(data.dtype.itemsize)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(end), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def _describe(docs: DataFrame, size: int) -> DataFrame:
     """Of each document its set's size n and fingerprints c, d; and shingles h that many sets of a
     chunk hold, with their number in n."""
@@ -166,8 +142,8 @@ def _deal(docs: DataFrame, hot: np.ndarray, least: int, size: int, parts: int) -
             pa.array(np.append(filled, chunk % parts).astype(np.int32)),
             pa.array(np.full(len(filled) + 1, chunk)),
             pa.array(np.append(np.zeros(len(filled), bool), True)),
-            pa.concat_arrays([_blobs(steps, per[filled]), pa.array([head.tobytes()], pa.binary())]),
-            pa.concat_arrays([_blobs(h[order].astype(np.uint32), per[filled]), pa.array([listed.tobytes()], pa.binary())]),
+            pa.concat_arrays([blobs(steps, per[filled]), pa.array([head.tobytes()], pa.binary())]),
+            pa.concat_arrays([blobs(h[order].astype(np.uint32), per[filled]), pa.array([listed.tobytes()], pa.binary())]),
         ]
         return pa.RecordBatch.from_arrays(columns, ["part", "chunk", "head", "own", "h"])
 
@@ -209,7 +185,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["chunk", "part", "head", "data", "hot"]
-        for table in _groups(batches, "part"):
+        for table in groups(batches, "part"):
             part, chunk, head = (table[k].to_numpy() for k in ("part", "chunk", "head"))
             rows, blobs = table["own"].to_pylist(), table["h"].to_pylist()
             for k in np.flatnonzero(head).tolist():
@@ -232,7 +208,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
             entries["own"], entries["df"], entries["h"] = own[more], np.minimum(df[more], 65535), h[more]
             left = np.bincount(np.repeat(np.arange(len(per)), per)[more], minlength=len(per))
             some = left > 0
-            columns = [pa.array(chunk[some]), pa.array(part[some]), pa.array(np.zeros(int(some.sum()), bool)), _blobs(entries, left[some]), pa.nulls(int(some.sum()), pa.binary())]
+            columns = [pa.array(chunk[some]), pa.array(part[some]), pa.array(np.zeros(int(some.sum()), bool)), blobs(entries, left[some]), pa.nulls(int(some.sum()), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     found = map_arrow(dealt, run, "chunk long, part int, head boolean, data binary, hot binary")
@@ -246,7 +222,7 @@ def _prefixes(shared: DataFrame, least: int) -> DataFrame:
     """Of each document that has shared shingles enough for a link: c, d, n and gs, its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, "chunk"):
+        for table in groups(batches, "chunk"):
             is_head = table["head"].to_numpy()
             top = table.filter(pa.array(is_head))
             head, listed = np.frombuffer(top["data"][0].as_py(), _HEAD), np.frombuffer(top["hot"][0].as_py(), "<i4")
@@ -296,7 +272,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 rows = slice(done, done + len(counts))
                 done += len(counts)
                 own = pa.array((c == c1[rows]) & (d == d1[rows]))
-                columns = [batch.column(2)[rows], batch.column(3)[rows], _blobs(h, counts)]
+                columns = [batch.column(2)[rows], batch.column(3)[rows], blobs(h, counts)]
                 yield pa.RecordBatch.from_arrays([x.filter(own) for x in columns], ["blk", "k", "s"])
 
     return map_arrow(few, run, "blk long, k long, s binary")
@@ -356,7 +332,7 @@ def _multiply(dealt: DataFrame, least: int, parts: int) -> DataFrame:
     cells = CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, "blk"):
+        for table in groups(batches, "blk"):
             if len(table) < 2:
                 continue
             side, root = table["side"].to_numpy(), table["root"].to_numpy()
