@@ -187,16 +187,16 @@ def _shared(dealt: DataFrame) -> DataFrame:
         names = ["chunk", "part", "head", "data", "hot"]
         for table in groups(batches, "part"):
             part, chunk, head = (table[k].to_numpy() for k in ("part", "chunk", "head"))
-            rows, blobs = table["own"].to_pylist(), table["h"].to_pylist()
+            rows, packed = table["own"].to_pylist(), table["h"].to_pylist()
             for k in np.flatnonzero(head).tolist():
-                columns = [pa.array(chunk[k : k + 1]), pa.array(part[k : k + 1]), pa.array([True]), pa.array([rows[k]]), pa.array([blobs[k]])]
+                columns = [pa.array(chunk[k : k + 1]), pa.array(part[k : k + 1]), pa.array([True]), pa.array([rows[k]]), pa.array([packed[k]])]
                 yield pa.RecordBatch.from_arrays(columns, names)
-            rows, blobs = ([x for x, y in zip(z, head.tolist()) if not y] for z in (rows, blobs))
+            rows, packed = ([x for x, y in zip(z, head.tolist()) if not y] for z in (rows, packed))
             part, chunk = part[~head], chunk[~head]
-            if not len(blobs):
+            if not packed:
                 continue
-            per = np.array([len(x) // 4 for x in blobs])
-            h = np.frombuffer(b"".join(blobs), "<u4")
+            per = np.array([len(x) // 4 for x in packed])
+            h = np.frombuffer(b"".join(packed), "<u4")
             at = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
             at.sort()
             run_of = np.cumsum(np.diff(at >> np.uint64(32), prepend=np.uint64(0)) != 0)
