@@ -172,7 +172,7 @@ def _bigrams(rng):
     return texts
 
 
-@pytest.mark.parametrize("small", [{}, {"HELD": 200, "CHUNK_TEXTS": 9, "PART": 100}])
+@pytest.mark.parametrize("small", [{}, {"HELD": 200, "CHUNK": 200, "CHUNK_TEXTS": 9, "PART": 100}])
 def test_language_model_against_one_customer_after_another(spark, monkeypatch, small):
     """Every text's score, against restaurants seated customer by customer."""
     for name, value in small.items():
