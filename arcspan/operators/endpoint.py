@@ -267,6 +267,11 @@ def field_availability(df: DataFrame) -> DataFrame:
     return long.withColumn("rating", F.when(F.col("share") >= 0.8, "available").when(F.col("share") >= 0.2, "partial").otherwise("unavailable"))
 
 
+def provider_counts(df: DataFrame, provider: str, n: int = 10) -> DataFrame:
+    """The most frequent providers and how often they occur, ties by name (a report of `n`)."""
+    return df.groupBy(F.col(provider).alias("provider")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "provider").limit(n)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """`df` with each row's place within its key."""
     return df.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -120,3 +120,13 @@ def deviation(value: Column, count: Column, mean: Column, std: Column) -> Column
     """Deviations from a baseline: null below three observations; without spread 0 or infinite."""
     flat = F.when(value == mean, 0.0).otherwise(F.lit(float("inf")))
     return F.when(count < 3, None).when(std == 0, flat).otherwise(F.abs(value - mean) / std)
+
+
+def reset_baselines(df: DataFrame, gone: DataFrame, entity: str) -> DataFrame:
+    """Observations, or baselines, without those of the entities named."""
+    return df.join(gone.select(entity).distinct(), entity, "left_anti")
+
+
+def baseline_counts(df: DataFrame, entity: str, metric: str) -> DataFrame:
+    """How many entities, metrics and baselines there are."""
+    return df.agg(F.count_distinct(entity).alias("entities"), F.count_distinct(metric).alias("metrics"), F.count_distinct(entity, metric).alias("baselines"))

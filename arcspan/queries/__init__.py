@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import endpoint, evaluation, evidence, graph, identity, industrial, jobs, knowledge, ledger, network, operations, relational, response, retrieval, streams  # noqa: F401
+from . import endpoint, evaluation, evidence, graph, identity, industrial, jobs, knowledge, ledger, network, operations, relational, response, retrieval, storage, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "identity_user_hour_zscores"

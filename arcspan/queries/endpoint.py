@@ -137,7 +137,7 @@ def sigma_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS provider, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, provider LIMIT 3")
 def endpoint_provider_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent providers."""
-    return events(spark, sf_dir).groupBy(F.col("event_type").alias("provider")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "provider").limit(3)
+    return op.provider_counts(events(spark, sf_dir), "event_type", 3)
 
 
 @query("SELECT f AS field, s AS share, CASE WHEN s >= 0.8 THEN 'available' WHEN s >= 0.2 THEN 'partial' ELSE 'unavailable' END AS rating FROM (SELECT unnest(['event_id', 'odd', 'few']) AS f, unnest([avg(CASE WHEN event_id IS NOT NULL THEN 1.0 ELSE 0 END), avg(CASE WHEN event_id % 2 = 1 THEN 1.0 ELSE 0 END), avg(CASE WHEN event_id % 10 = 1 THEN 1.0 ELSE 0 END)]) AS s FROM events)")

@@ -100,7 +100,7 @@ def baseline_counts_after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many baselines stay when those of some entities are reset (an anti-join)."""
     e = events(spark, sf_dir)
     gone = e.filter(F.col("user_id") % 10 == 0).select("user_id").distinct()
-    return e.join(gone, "user_id", "left_anti").agg(F.countDistinct("user_id").alias("entities"), F.countDistinct("event_type").alias("metrics"), F.countDistinct("user_id", "event_type").alias("baselines"))
+    return op.baseline_counts(op.reset_baselines(e, gone, "user_id"), "user_id", "event_type")
 
 
 @query(f"WITH {_HOURS}, r AS (SELECT min(mean_gap) AS lo, max(mean_gap) AS hi FROM g) SELECT \"user\", window_id, round(greatest(0, least(1, (hi - mean_gap) / (hi - lo))), 6) AS score FROM g, r")
