@@ -321,3 +321,62 @@ def test_latency(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-01 00:00:01",)], "t string").select(F.col("t").cast("timestamp").alias("w"))
     r = streaming.latency(df, "w", F.lit("2024-01-01 00:00:02").cast("timestamp")).first()
     assert (r["events_published"], r["average_latency"], r["largest_latency"]) == (2, 1500.0, 2000.0)
+
+
+def test_all_industrial_reasons(spark):
+    from arcspan.operators import industrial
+
+    names = {
+        "sensor_A_flatline_duration": 46.0, "sensor_B_oscillation_count": 16.0, "sensor_C_rate_of_change": 6.0, "sensor_D_rate_of_change": -6.0, "cross_corr_sensor_E_sensor_F": 0.2,
+        "actuator_FCV1_state_changes": 0.0, "actuator_X_state_changes": 0.0, "sensor_G_flatline_duration": 45.0, "cross_corr_sensor_H_sensor_I": 0.0,
+    }
+    want = [
+        "Control loop state locked: actuator FCV1 failed to transition", "Cross-sensor correlation dropped for pair: E_F", "Rapid value decrease observed for sensor: D", "Rapid value increase observed for sensor: C",
+        "Sensor flatline detected: A remained constant for 46s", "Unexpected process oscillation detected for sensor: B", "Window deviates strongly from historical normal industrial baseline",
+    ]
+    df = spark.createDataFrame([(1, n, v, 0.75) for n, v in names.items()] + [(2, n, v, 0.6) for n, v in names.items()], "w long, name string, value double, risk double")
+    got = {r["w"]: r["reasons"] for r in industrial.reasons(df, ["w"], "risk").collect()}
+    assert got[1] == want and got[2] == want[1:-1]
+
+
+def test_multiclass_forest(spark):
+    from arcspan import models
+
+    df = spark.createDataFrame([(float(k % 3), float(k % 3 * 10 + k % 2), "abc"[k % 3]) for k in range(90)], "x double, y double, label string")
+    out = models.fit_multiclass(df, ["x", "y"], "label", trees=5, depth=3).transform(df)
+    assert out.filter(F.col("prediction") != F.col("x")).count() == 0
+
+
+def test_stream_ingest_wraps_first_copies(spark, tmp_path):
+    begin = 1_700_000_000_000_000
+    row = lambda entity, t, severity="high": {"detector": "network", "entity": entity, "entity_type": "host", "timestamp": "2024-01-01 00:00:00", "confidence": 0.5, "risk_score": 0.5, "severity": severity, "top_reasons": ["r"], "us": begin + t * 1_000_000}
+    schema = "detector string, entity string, entity_type string, timestamp string, confidence double, risk_score double, severity string, top_reasons array<string>, us long"
+    rows = [row("a", 0), row("a", 5), row("b", 6), row("b", 700, "critical"), {**row("c", 8), "detector": "zz"}]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    query = streaming.ingest(stream, "us").writeStream.format("memory").queryName("wrapped").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("wrapped").collect()
+    assert sorted((r["entity"], r["priority"], r["status"]) for r in got) == [("a", "HIGH", "PENDING"), ("b", "CRITICAL", "PENDING"), ("b", "HIGH", "PENDING")]
+    assert len({r["event_id"] for r in got}) == 3 and all(json.loads(r["payload"])["detector"] == "NETWORK" for r in got)
+
+    class Sub:
+        name, condition = "s", F.col("entity") == "a"
+
+        def receive(self, batch):
+            self.got = batch.count()
+
+        def health(self):
+            return "Healthy"
+
+    sub = Sub()
+    assert isinstance(sub, protocols.Subscriber)
+    streaming.fan_out(protocols.subscriptions([sub]), lambda n, e: None)(spark.table("wrapped"), 0)
+    assert sub.got == 1
+
+
+def test_capped_and_ordered(spark):
+    near = spark.createDataFrame([("b", 1), ("a", 1), ("c", 0)], "node_id string, depth int")
+    assert [r["node_id"] for r in graph.capped(near, 2).collect()] == ["c", "a"]
+    fused = spark.createDataFrame([(1, "a", 0.5, 1.0, None), (1, "b", 0.5, None, 2.0), (1, "c", 0.9, None, 1.0)], "q long, id string, rrf double, distance double, score double")
+    assert [(r["id"], r["place"]) for r in retrieval.order_fused(fused, "q", "id", 2).orderBy("place").collect()] == [("c", 1), ("a", 2)]
