@@ -8,6 +8,7 @@ each round is written to the shared folder, which cuts the lineage.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,17 @@ def components(edges: DataFrame, spool: Spool) -> DataFrame:
         if tuple(found) == mark or not found[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = tuple(found)
+
+
+def local_labels(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, of the links a, b."""
+    label = np.arange(nodes)
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after

@@ -12,6 +12,11 @@ at `least` under `MISS` if bits agree independently, and codes for as many. The
 is then measured: `PROBES` vectors are compared with all others; while it is under 1 - `MISS`,
 tables are doubled, `DOUBLINGS` times at most, and a warning says what share is left.
 
+What the tables are dealt by first are codes, not vectors: an entry has its vector's number and
+`SIGNATURE` bits of its code. In each bucket the Hamming distances of these are taken, and an entry
+goes on only if another is within `radius` of it, which a pair at `least` exceeds with a chance of
+1 in 10,000 at most. Vectors travel to the tables of such entries alone, where they are reranked.
+
 A pair that meets in several tables counts in the first only, which both codes tell, so links
 are counted inside the buckets and pairs are never listed; what leaves a bucket is a link count
 per vector and the edges of a spanning forest. Equal vectors are one class with a multiplicity
@@ -26,6 +31,7 @@ an empty table.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 
@@ -35,12 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spool, map_arrow
-from .components import components
+from .components import components, local_labels
 
 #: Vectors that the codes are fitted on at most; codes at least; bits of a code at most; a bucket's block.
 SAMPLE, ROTATIONS, BITS, BLOCK = 10_000, 4, 64, 2_048
 #: Share of links missed at most; vectors that it is measured on; how often tables are doubled for it.
 MISS, PROBES, DOUBLINGS = 0.01, 512, 2
+#: Bits of a code that an entry carries, and the chance to lose a pair at the least cosine by them.
+SIGNATURE, LOST = 64, 1e-4
 
 
 def usable(column: str, dim: int) -> F.Column:
@@ -73,6 +81,16 @@ def tables_for(width: int, least: float) -> int:
     return int(np.ceil(np.log(MISS) / np.log1p(-agree))) if 0 < agree < 1 else 1
 
 
+def radius(least: float, bits: int = SIGNATURE) -> int:
+    """The Hamming distance that codes of a pair with the cosine `least` exceed with a chance of at most
+    `LOST`, if bits agree independently."""
+    apart, chance, out = np.arccos(np.clip(least, -1, 1)) / np.pi, 1.0, -1
+    while chance > LOST and out < bits:
+        out += 1
+        chance -= math.comb(bits, out) * apart**out * (1 - apart) ** (bits - out)
+    return out
+
+
 def bucket_keys(x: np.ndarray, projections: np.ndarray, tables: int, width: int) -> np.ndarray:
     """Every unit vector's bucket in each table."""
     bits = (x @ projections >= 0)[:, : tables * width].reshape(len(x), tables, width)
@@ -131,31 +149,32 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
         for batch in batches:
             x = unit(matrix(batch.column(0), dim)) if len(batch) else np.zeros((0, dim))
             keys = bucket_keys(x, shared.value, tables, width)
+            signs = np.packbits(x @ shared.value[:, :SIGNATURE] >= 0, axis=1)
+            signs = np.pad(signs, ((0, 0), (0, SIGNATURE // 8 - signs.shape[1]))).copy().view("<i8")[:, 0]
             raw = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(x), dim)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([r.tobytes() for r in keys.astype(np.uint16)], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32()))], ["k", "copies", "raw", "keys", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([r.tobytes() for r in keys.astype(np.uint16)], pa.binary()), pa.array(signs), pa.array(keys.tolist(), pa.list_(pa.int32()))], ["k", "copies", "raw", "keys", "signs", "buckets"])
 
-    coded = map_arrow(classes.select("v", "k", "copies"), code, "k long, copies long, raw binary, keys binary, buckets array<int>")
-    entries = coded.select("k", "copies", "raw", "keys", F.posexplode("buckets").alias("t", "bucket"))
-    sizes = entries.groupBy("t", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    entries = entries.join(sizes, ["t", "bucket"]).withColumn("blocks", blocks).withColumn("block", own)
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "t", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "copies", "raw", "keys"
-    )
+    coded = spool.write(map_arrow(classes.select("v", "k", "copies"), code, "k long, copies long, raw binary, keys binary, signs long, buckets array<int>"))
+    near = radius(least, min(SIGNATURE, projections.shape[1]))
     order = ["t", "bucket", "i", "j"]
-    dealt = entries.repartition(*order).sortWithinPartitions(*order, "k")
+
+    def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, order):
+            k, signs = table["k"].to_numpy(), table["signs"].to_numpy().view(np.uint64)
+            met = np.zeros(len(k), bool)
+            for start in range(0, len(k), 512):
+                close = np.bitwise_count(signs[start : start + 512, None] ^ signs[None]) <= near
+                met[start : start + 512] = close.sum(1) > 1  # itself is one
+            if met.any():
+                yield pa.RecordBatch.from_arrays([table["t"].combine_chunks().filter(pa.array(met)), table["bucket"].combine_chunks().filter(pa.array(met)), pa.array(k[met])], ["t", "bucket", "k"])
+
+    few = _in_blocks(coded.select("k", "signs", F.posexplode("buckets").alias("t", "bucket")), order, ["k", "signs"])
+    met = spool.write(map_arrow(few, retrieve, "t int, bucket int, k long").distinct())
+    dealt = _in_blocks(met.join(coded.select("k", "copies", "raw", "keys"), "k"), order, ["block", "k", "copies", "raw", "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            for part in _runs(batch, order):
-                if held and not _same(held[-1], part, order):
-                    yield from _links(held, dim, kind, least)
-                    held = []
-                held.append(part)
-        if held:
-            yield from _links(held, dim, kind, least)
+        for table in _grouped(batches, order):
+            yield from _links(table, dim, kind, least)
 
     found = map_arrow(dealt, compare, "a long, b long, n long")
     found = spool.write(found)
@@ -170,6 +189,30 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     return out.unionByName(lonely)
 
 
+def _in_blocks(entries: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """Entries (t, bucket, k, ...) of buckets of two and more, dealt and sorted by pairs of their blocks."""
+    sizes = entries.groupBy("t", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
+    entries = entries.join(sizes, ["t", "bucket"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", own)
+    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    return entries.select("t", "bucket", *pair, *columns).repartition(*order).sortWithinPartitions(*order, "k")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal keys of sorted batches, of two rows and more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for part in _runs(batch, order):
+            if held and not _same(held[-1], part, order):
+                if sum(map(len, held)) > 1:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(part)
+    if sum(map(len, held)) > 1:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _recall(classes: DataFrame, probes: np.ndarray, projections: np.ndarray, tables: int, width: int, dim: int, least: float) -> tuple[int, int]:
     """How many links of the probes with other vectors share a bucket, and how many there are, by brute force."""
     probes = unit(probes)
@@ -212,41 +255,27 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch, order: list[str]) -> bool:
     return all(a.column(at(n))[0].as_py() == b.column(at(n))[0].as_py() for n in order)
 
 
-def _links(parts: list[pa.RecordBatch], dim: int, kind: str, least: float) -> Iterator[pa.RecordBatch]:
+def _links(table: pa.Table, dim: int, kind: str, least: float) -> Iterator[pa.RecordBatch]:
     """Link counts and a spanning forest of one bucket, or of two of its blocks."""
-    if sum(map(len, parts)) < 2:
-        return
-    table = pa.Table.from_batches(parts).combine_chunks()
     get = lambda name: table[name].to_numpy()
     k, copies, block = get("k"), get("copies"), get("block")
     x = unit(np.frombuffer(b"".join(table["raw"].to_pylist()), kind).astype(np.float64).reshape(-1, dim))
     keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint16).reshape(len(k), -1)
     t, i, j = table["t"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
     n = np.zeros(len(k), np.int64)
-    root = list(range(len(k)))
-
-    def top(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    edges = []
+    label = np.arange(len(k))
     for start in range(0, len(k), 512):
         a, b = np.nonzero(x[start : start + 512] @ x.T >= least)
         a = a + start
         use = (a < b) & (True if i == j else block[a] != block[b])
         a, b = a[use], b[use]
         first = ~(keys[a, :t] == keys[b, :t]).any(1)
-        np.add.at(n, a[first], copies[b[first]])
-        np.add.at(n, b[first], copies[a[first]])
-        for p, q in zip(a.tolist(), b.tolist()):
-            p, q = top(p), top(q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                edges.append((p, q))
+        n += np.bincount(a[first], copies[b[first]], len(k)).astype(np.int64) + np.bincount(b[first], copies[a[first]], len(k)).astype(np.int64)
+        if len(a):
+            label = local_labels(len(k), np.append(np.arange(len(k)), a), np.append(label, b))
+    moved = np.flatnonzero(label != np.arange(len(k)))
     some = np.flatnonzero(n)
-    ends = np.array(edges, np.int64).reshape(-1, 2)
+    ends = np.stack([moved, label[moved]], 1)
     if len(some) or len(ends):
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([k[some], k[ends[:, 0]]])),

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spool, blobs, groups, map_arrow
-from .components import components
+from .components import components, local_labels
 from .shingles import mix, shingle_sets
 
 #: Documents with a hot shingle, at least this many and one in `SHARE` of all; documents of a chunk that
@@ -311,20 +311,6 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, cells: int) -> np
     return total
 
 
-def _labels(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component, of the links a, b."""
-    label = np.arange(nodes)
-    while True:
-        low = np.minimum(label[a], label[b])
-        after = label.copy()
-        np.minimum.at(after, a, low)
-        np.minimum.at(after, b, low)
-        after = after[after]
-        if (after == label).all():
-            return label
-        label = after
-
-
 def _multiply(dealt: DataFrame, least: int, parts: int) -> DataFrame:
     """Links a, b of blocks of the product: rows blk, side, root, s; both sides of a block are
     compared with one another, a block with side 0 alone with itself. Sets of the same root are
@@ -350,7 +336,7 @@ def _multiply(dealt: DataFrame, least: int, parts: int) -> DataFrame:
             if not len(p):
                 continue
             nodes, at = np.unique(root, return_inverse=True)
-            label = _labels(len(nodes), at[p], at[q])
+            label = local_labels(len(nodes), at[p], at[q])
             moved = label != np.arange(len(nodes))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
 

@@ -272,3 +272,14 @@ def test_long_and_repeated_texts_join(spark):
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     # One id under two texts: each row is in the component of its own text.
     assert got == [(-1, -1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 4), (4, 4)]
+
+
+def test_signatures_lose_no_links():
+    """Codes of pairs at the least cosine lie within the radius, those of other pairs mostly outside."""
+    rng = np.random.default_rng(3)
+    a, other = (embedding_dedup.unit(rng.standard_normal((20_000, 64))) for _ in "ab")
+    side = embedding_dedup.unit(other - (other * a).sum(1)[:, None] * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * side
+    projection = embedding_dedup.fit(a[:4000], rounds=5, rotations=1)[0]
+    apart = lambda x, y: ((x @ projection >= 0) != (y @ projection >= 0)).sum(1)
+    assert (apart(a, b) > embedding_dedup.radius(0.9)).mean() < 5e-4 and (apart(a, a[::-1]) > embedding_dedup.radius(0.9)).mean() > 0.95
