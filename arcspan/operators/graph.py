@@ -59,6 +59,30 @@ def merge_edges(rows: DataFrame, order: Column | None = None) -> DataFrame:
     )
 
 
+def update_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Merged nodes and later merged ones as one table, as if all evidence had been merged at once."""
+    both = old.unionByName(new)
+    return both.groupBy("node_id", "type").agg(
+        F.max("risk").alias("risk"), F.max("confidence").alias("confidence"), F.max_by(F.upper("severity"), severity_order(F.col("severity"))).alias("severity"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("observations").alias("observations"),
+    )
+
+
+def update_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The same for edges; the first detector is that of the table that saw the edge first."""
+    both = old.unionByName(new)
+    return both.groupBy("src", "dst", "type").agg(
+        F.sum("occurrence_count").alias("occurrence_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("risk").alias("risk"),
+        F.min_by("source_detector", F.struct("first_seen", "source_detector")).alias("source_detector"),
+    )
+
+
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those named (src, dst, and type where `gone` has it)."""
+    keys = [c for c in ("src", "dst", "type") if c in gone.columns]
+    return edges.join(gone.select(keys).distinct(), keys, "left_anti").select(edges.columns)
+
+
 def complete_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`nodes` (node_id, type) and those that only edges name; their type is the id's first part."""
     ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()

@@ -218,3 +218,33 @@ def graph_attack_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = nodes.select("node_id", F.col("node_id").alias("external_id"), F.col("node_id").alias("name"), F.when(first == "c", "tool").when(first == "r", "group").otherwise("campaign").alias("type"))
     e = op.categories(walked, known).select("category", F.explode("entities").alias("e"))
     return e.groupBy("category").agg(F.count("*").alias("n"), F.sum("e.depth").alias("depths"), F.max("e.relation").alias("relation"), F.min("e.confidence").alias("least"))
+
+
+@query(f"WITH {_ROWS} SELECT node_id, round(max(risk), 6) AS risk, CASE max(CASE severity WHEN 'LOW' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END) WHEN 1 THEN 'LOW' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, min(us) AS first_seen, max(us) AS last_seen, count(*) AS observations FROM n GROUP BY node_id")
+def graph_nodes_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes merged in two batches of evidence."""
+    rows = _rows(spark, sf_dir)
+    early = F.pmod(F.xxhash64("us"), F.lit(2)) == 0
+    n = op.update_nodes(op.merge_nodes(rows.filter(early)), op.merge_nodes(rows.filter(~early)))
+    return n.select("node_id", F.round("risk", 6).alias("risk"), "severity", "first_seen", "last_seen", "observations")
+
+
+@query(f"""WITH {_ROWS} SELECT CASE detector WHEN 'IDENTITY' THEN 'user:' WHEN 'OT' THEN 'plc:' ELSE 'host:' END || entity AS src,
+ CASE WHEN detector IN ('NETWORK', 'IDENTITY') THEN 'host:' || target WHEN detector = 'ENDPOINT' THEN 'process:' || target WHEN variable LIKE 'FV%' THEN 'actuator:' || variable ELSE 'sensor:' || variable END AS dst, count(*) AS occurrence_count, min(us) AS first_seen, max(us) AS last_seen FROM v WHERE detector != 'NETWORK' GROUP BY 1, 2""")
+def graph_edges_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges merged in two batches, then some of them removed."""
+    rows = _rows(spark, sf_dir)
+    early = F.pmod(F.xxhash64("us"), F.lit(2)) == 0
+    e = op.update_edges(op.merge_edges(rows.filter(early)), op.merge_edges(rows.filter(~early)))
+    return op.remove_edges(e, e.filter("type = 'connects_to'").select("src", "dst", "type")).select("src", "dst", "occurrence_count", "first_seen", "last_seen")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'stix' || n_nationkey END AS stix_id FROM nation")
+def attack_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits joined to the knowledge graph by technique, whatever its case."""
+    from ..operators.retrieval import attack_lookup as lookup
+
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey").cast("string")
+    nodes = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("T"), k).alias("external_id"), F.concat(F.lit("stix"), k).alias("node_id"), F.col("n_name").alias("name"))
+    return lookup(n.select("n_nationkey", F.concat(F.lit("t"), k).alias("technique")), nodes, "technique").select("n_nationkey", "stix_id")
