@@ -235,6 +235,32 @@ def from_detectors(outputs: dict[str, DataFrame], entity: str, score: str, time:
     return out
 
 
+def parse_payload(body: Column, content_type: Column) -> Column:
+    """A webhook's body as a map of strings: JSON (values that are no text as JSON) or a form's fields;
+    null if it is empty or cannot be read."""
+    fields = F.transform_values(F.str_to_map(body, F.lit("&"), F.lit("=")), lambda _k, v: F.try_url_decode(F.coalesce(v, F.lit(""))))
+    form = F.transform_keys(fields, lambda k, _v: F.try_url_decode(k))
+    found = F.when(F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("application/json")), F.from_json(body, "map<string,string>")).otherwise(F.when(F.contains(body, F.lit("=")), form))
+    return F.when(F.size(found) > 0, found)
+
+
+def received(requests: DataFrame, key: str | None = None, limit: int | None = None) -> DataFrame:
+    """Webhook requests (id, kind, address, us, api_key, content_type, body) as decoy events with the
+    status that a receiver answers: 200, 400 (empty or unreadable), 401 (wrong key), 429 (too many).
+
+    Requests of an address are limited as `limits.admitted` does; a batch or micro-batch is given its
+    own requests only, so a stream's limit is one of each batch.
+    """
+    from . import limits
+
+    ok = limits.admitted(requests, "address", "us", "id", limit or limits.BY_ADDRESS[0], limits.BY_ADDRESS[1]).select(F.col("id").alias("_id"), "accepted")
+    out = requests.join(ok, F.col("id").cast("string") == F.col("_id"), "left").withColumn("_p", parse_payload(F.col("body"), F.col("content_type")))
+    wrong = F.lit(False) if key is None else ~F.col("api_key").eqNullSafe(key)
+    status = F.when(~F.coalesce("accepted", F.lit(True)), 429).when(wrong, 401).when(F.col("_p").isNull(), 400).otherwise(200)
+    event = F.when(F.col("kind") == "canarytoken", normalize_honeypot(F.col("_p"), "canarytoken")).otherwise(normalize_honeypot(F.col("_p"), "conpot"))
+    return out.withColumn("status", status).withColumn("event", F.when(F.col("status") == 200, event)).drop("_id", "_p", "accepted")
+
+
 def normalize_honeypot(payload: Column, kind: str) -> Column:
     """A decoy's raw payload (a map of strings) in the unified event schema; `kind`: canarytoken or conpot.
 

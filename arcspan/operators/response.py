@@ -129,6 +129,22 @@ def actions(decoy: Column, planned: Column, attack_type: Column) -> Column:
     return F.array_distinct(F.when(F.size(chosen) > 0, chosen).otherwise(playbook(attack_type)))
 
 
+def top_hypothesis(hypotheses: Column) -> Column:
+    """The hypothesis that a response acts on: of an array of (title, description, confidence,
+    is_malicious, mitre_techniques) the surest malicious one, else the surest, else an unknown
+    benign one; ties go to the first. A missing flag counts as malicious, a missing confidence as 0."""
+    mapped = F.transform(
+        F.coalesce(hypotheses, F.array().cast("array<struct<title:string,description:string,confidence:double,is_malicious:boolean,mitre_techniques:array<string>>>")),
+        lambda h, i: F.struct(
+            (~F.coalesce(h["is_malicious"], F.lit(True))).alias("is_benign"), (-F.coalesce(h["confidence"], F.lit(0.0))).alias("minus"), i.alias("place"),
+            h["title"].alias("hypothesis"), F.get(h["mitre_techniques"], F.lit(0)).alias("technique_id"), h["description"].alias("reasoning"),
+        ),
+    )
+    made = lambda h: F.struct(h["hypothesis"].alias("hypothesis"), h["technique_id"].alias("technique_id"), (-h["minus"]).alias("confidence"), h["reasoning"].alias("reasoning"), h["is_benign"].alias("is_benign"))
+    none = F.struct(F.lit("Unknown threat").alias("hypothesis"), F.lit(None).cast("string").alias("technique_id"), F.lit(0.1).alias("confidence"), F.lit("No hypotheses generated").alias("reasoning"), F.lit(True).alias("is_benign"))
+    return F.coalesce(F.get(F.transform(F.slice(F.array_sort(mapped), 1, 1), made), F.lit(0)), none)
+
+
 class Registry:
     """Response actions by name; each is an expression of its outcome, without side effects.
 

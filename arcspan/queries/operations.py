@@ -277,3 +277,24 @@ def ledger_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sinks import tail
 
     return tail(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"], 20)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Unknown threat' WHEN 1 THEN 'low' WHEN 2 THEN 'b' ELSE 'high' END AS hypothesis, CASE event_id % 4 WHEN 1 THEN 'T1' WHEN 3 THEN 'T2' END AS technique_id,
+CASE event_id % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 WHEN 2 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence, event_id % 4 IN (0, 2) AS is_benign FROM events""")
+def top_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a response acts on: the surest malicious hypothesis, else the surest, else none."""
+    h = lambda title, p, bad, *t: F.struct(F.lit(title).alias("title"), F.lit("d").alias("description"), F.lit(p).alias("confidence"), F.lit(bad).alias("is_malicious"), F.array(*map(F.lit, t)).cast("array<string>").alias("mitre_techniques"))
+    i = F.col("event_id") % 4
+    given = F.when(i == 1, F.array(h("b", 0.9, False), h("low", 0.2, True, "T1"))).when(i == 2, F.array(h("a", 0.5, False), h("b", 0.9, False))).when(i == 3, F.array(h("mid", 0.5, None), h("high", 0.8, None, "T2", "T3"), h("same", 0.8, True)))
+    return events(spark, sf_dir).select("event_id", response.top_hypothesis(given).alias("h")).select("event_id", "h.hypothesis", "h.technique_id", "h.confidence", "h.is_benign")
+
+
+@query("""WITH r AS (SELECT event_id, event_id % 5 AS m, event_type FROM events) SELECT event_id, CASE m WHEN 0 THEN 401 WHEN 1 THEN 400 ELSE 200 END AS status, CASE WHEN m >= 2 THEN 'ip:10.0.0.1' END AS entity_id, CASE WHEN m >= 2 THEN event_type || ' &' END AS channel FROM r""")
+def decoy_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook requests, as JSON and as forms, some without a key or a body."""
+    e, m = events(spark, sf_dir), F.col("event_id") % 5
+    channel = F.concat("event_type", F.lit(" &"))
+    body = F.when(m == 1, "").when(m == 2, F.to_json(F.struct(channel.alias("channel"), F.lit("10.0.0.1").alias("src_ip")))).otherwise(F.concat(F.lit("src_ip=10.0.0.1&channel="), F.url_encode(channel)))
+    r = e.select(F.col("event_id").alias("id"), F.lit("canarytoken").alias("kind"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("address"), "us", F.when(m != 0, "secret").alias("api_key"), F.when(m == 2, "application/json").otherwise("application/x-www-form-urlencoded").alias("content_type"), body.alias("body"))
+    out = evidence.received(r, "secret")
+    return out.select(F.col("id").alias("event_id"), "status", "event.entity_id", "event.channel")
