@@ -70,11 +70,13 @@ def index_rows(df: DataFrame, tag: str, order: list[str]) -> DataFrame:
 def sliding_windows(df: DataFrame, tag: str, length: int = LENGTH, stride: int = STRIDE) -> DataFrame:
     """A row for each window that a row is in: exactly `length` rows, one every `stride`; what is
     left at a tag's end is dropped. Only the columns given are repeated (length / stride times)."""
-    total = F.count("*").over(Window.partitionBy(tag))
+    # The number of a tag's rows comes by a join on their counts: no tag is gathered for it.
+    total = df.groupBy(F.col(tag).alias("_tag")).agg(F.count("*").alias("_total"))
     first = F.greatest(F.ceil((F.col("idx") - length + 1) / stride), F.lit(0))
-    last = F.least(F.floor(F.col("idx") / stride), F.floor((total - length) / stride))
+    last = F.least(F.floor(F.col("idx") / stride), F.floor((F.col("_total") - length) / stride))
     windows = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
-    return df.withColumn("_w", windows).withColumn("window_id", F.explode("_w")).drop("_w")
+    out = df.join(total, F.col(tag).eqNullSafe(F.col("_tag")))
+    return out.select(*df.columns, F.explode(windows).alias("window_id"))
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
