@@ -380,3 +380,24 @@ def test_capped_and_ordered(spark):
     assert [r["node_id"] for r in graph.capped(near, 2).collect()] == ["c", "a"]
     fused = spark.createDataFrame([(1, "a", 0.5, 1.0, None), (1, "b", 0.5, None, 2.0), (1, "c", 0.9, None, 1.0)], "q long, id string, rrf double, distance double, score double")
     assert [(r["id"], r["place"]) for r in retrieval.order_fused(fused, "q", "id", 2).orderBy("place").collect()] == [("c", 1), ("a", 2)]
+
+
+class _Cluster:
+    """What `shared_dir` asks of a session on a cluster that names no shared folder."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext, self.conf, self.sparkSession = self, self, self
+        self.master, self.folder = master, folder
+
+    def get(self, _key, _default=None):
+        return self.folder
+
+    def set(self, _key, value):
+        self.folder = value
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    for master in ("yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            sinks.shared_dir(_Cluster(master))
+    assert sinks.shared_dir(_Cluster("yarn", "hdfs:///x/")) == "hdfs:///x" and sinks.shared_dir(_Cluster("local[2]")).startswith("file:///")
