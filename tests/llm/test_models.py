@@ -263,3 +263,14 @@ def test_pipeline_keeps_odd_columns_and_rows(spark, corpus, tmp_path):
     kept = corpus_pipeline.keep_one_of_similar(spark, docs, str(tmp_path)).collect()
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, -1, 1, 2, 3] and all(r["_toxicity"] == "t" for r in kept)
     assert {r["_toxicity"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == {"t"}
+
+
+def test_no_machine_local_spool_on_a_cluster():
+    from types import SimpleNamespace
+
+    from arcspan.llm.common import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda *_: folder, set=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn", None))
+    assert shared_dir(session("yarn", "hdfs:///x/")) == "hdfs:///x" and shared_dir(session("local[2]", None)).startswith("file:///")
