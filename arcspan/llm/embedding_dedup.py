@@ -121,7 +121,9 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"))
     dim = dimension(rows, "v")
     good = usable("v", dim) & F.col("id").isNotNull()
-    classes = rows.filter(good).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    # Equal vectors are told by two 64-bit hashes, so only those, not vectors, are keys of joins.
+    hashed = rows.filter(good).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
+    classes = hashed.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = spool.write(classes.withColumn("k", F.monotonically_increasing_id()))
     n = classes.count()
     alone = rows.filter(~good)
@@ -184,8 +186,8 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     linked = linked.withColumn("root", F.coalesce("root", "k"))
     ids = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = linked.join(ids, "root").select("k", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    by_vector = classes.select("v", "k").join(by_class, "k").drop("k")
-    out = rows.filter(good).join(by_vector, "v").select(F.col("id").alias(id), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    by_vector = classes.select("h1", "h2", "k").join(by_class, "k").drop("k")
+    out = hashed.drop("v").join(by_vector, ["h1", "h2"]).select(F.col("id").alias(id), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     return out.unionByName(lonely)
 
 
