@@ -122,7 +122,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     dim = dimension(rows, "v")
     good = usable("v", dim) & F.col("id").isNotNull()
     # Equal vectors are told by two 64-bit hashes, so only those, not vectors, are keys of joins.
-    hashed = rows.filter(good).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
+    hashed = rows.filter(good).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     classes = hashed.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = spool.write(classes.withColumn("k", F.monotonically_increasing_id()))
     n = classes.count()
