@@ -36,12 +36,17 @@ def clean_name(name: str) -> str:
 
 
 def entropy(text: Column) -> Column:
-    """Entropy in bits of a text's characters; 0 for null and empty texts."""
+    """Entropy in bits of a text's characters; 0 for null and empty texts.
+
+    One pass over the sorted characters: the lengths of their runs are their counts.
+    """
     chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    weigh = lambda n: n * F.log2(n)
+    state = lambda last, run, total: F.struct(last.alias("last"), run.alias("run"), total.alias("total"))
+    step = lambda s, c: F.when(c == s["last"], state(c, s["run"] + 1.0, s["total"])).otherwise(state(c, F.lit(1.0), s["total"] + weigh(s["run"])))
     n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(total)
+    sums = F.aggregate(chars, state(F.lit(""), F.lit(1.0), F.lit(0.0)), step, lambda s: s["total"] + weigh(s["run"]))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.log2(n) - sums / n))
 
 
 def coalesce_alias(record: Column, names: list[str]) -> Column:
