@@ -47,14 +47,35 @@ def _stem(w: Column) -> Column:
     return F.when(F.length(w) <= 4, w).when(w.endswith("ing"), cut(3)).when(w.endswith("edly"), cut(4)).when(w.endswith("ed"), cut(2)).when(es, cut(2)).when(s, cut(1)).otherwise(w)
 
 
+#: What every text that holds an identifier has somewhere.
+_HINT = r"cve-|d3-|inc-|pb-|pol-|t\d{4}|\d\.\d|[a-f0-9]{32}|[a-z0-9._-]\.[a-z]{2}"
+#: Bytes (as planned) up to which a corpus is dealt over all cores before it is tokenised.
+SMALL = 256 << 20
+
+
+def _stems(text: Column) -> Column:
+    """Stems of a lower-case text's distinct words without stop-words."""
+    return F.transform(F.filter(F.array_distinct(F.split(text, "[^a-z0-9]+")), lambda w: (w != "") & ~w.isin(STOP_WORDS)), _stem)
+
+
 def tokens(text: Column) -> Column:
-    """Distinct tokens: identifiers whole, then stemmed words without stop-words; null gives none."""
-    rest, kept = F.lower(F.coalesce(text, F.lit(""))), []
+    """Distinct tokens: identifiers whole, then stemmed words without stop-words; null gives none.
+
+    One search tells texts that can hold no identifier at all; only the others are searched for each
+    kind of them.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    rest, kept = low, []
     for pattern in IDENTIFIERS:
         kept.append(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)))
         rest = F.regexp_replace(rest, pattern, " ")
-    words = F.filter(F.split(F.regexp_replace(rest, r"[^a-zA-Z0-9\s]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.array_distinct(F.concat(*kept, F.transform(words, _stem)))
+    return F.array_distinct(F.when(low.rlike(_HINT), F.concat(*kept, _stems(rest))).otherwise(_stems(low)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table (by its plan's estimate) dealt over all cores: a file of one row group is one task."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
 def index(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +84,7 @@ def index(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
     Texts are tokenised once; documents without a token have a length and no posting. Both tables
     can be kept by `sinks.write_index` and changed by `update_index`.
     """
-    made = spool(docs.select(F.col(id), tokens(F.col(text)).alias("_t")))
+    made = spool(spread(docs.select(F.col(id), F.col(text).alias("_text"))).select(id, tokens(F.col("_text")).alias("_t")))
     return made.select(id, F.explode("_t").alias("term"), F.size("_t").alias("length")), made.select(id, F.size("_t").alias("length"))
 
 
@@ -79,23 +100,28 @@ def update_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, go
     return kept[0].unionByName(added[0]), kept[1].unionByName(added[1])
 
 
+#: Query terms that are broadcast at most; more are joined by a shuffle.
+TERMS = 1_000_000
+
+
 def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id: str, id: str, k: int, only: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query (query_id, term): rank, score, ties by id.
 
-    Document frequencies are taken for the queries' terms only, by a semi-join before the count;
+    Queries are tokenised and written once; of the postings those of their terms are read, first for
+    the document frequencies, then for the scores, with the (counted) side of the queries broadcast.
     `only` (id): the documents that may be hits, which does not change the frequencies.
     """
+    asked = spool(queries.select(query_id, "term").distinct())
+    small = F.broadcast if asked.count() <= TERMS else lambda df: df
     size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    terms = queries.select("term").distinct()
-    few = postings.join(terms, "term", "left_semi")
-    df = few.groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    if "length" not in postings.columns:
-        few = few.join(lengths, id)
+    weights = asked.join(df, "term").join(F.broadcast(size)).select(query_id, "term", "mean", idf.alias("_idf"))
+    few = postings if "length" in postings.columns else postings.join(lengths, id)
     if only is not None:
         few = few.join(only.select(id).distinct(), id, "left_semi")
-    hits = queries.join(df.join(F.broadcast(size)).select("term", "mean", idf.alias("_idf")), "term").join(few, "term")
+    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    hits = few.join(small(weights), "term")
     scores = hits.groupBy(query_id, id).agg(F.sum(F.col("_idf") * weight).alias("score"))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id))
     return scores.withColumn("rank", place).filter(F.col("rank") <= k)

@@ -27,7 +27,7 @@ FAR = 999.0
 
 def corpus_index(corpus: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
     """Postings (source, document_id, term, length) and sizes (source, n, mean) of all providers."""
-    made = spool(corpus.select("source", "document_id", retrieval.tokens(text).alias("_t")))
+    made = spool(retrieval.spread(corpus.select("source", "document_id", text.alias("_text"))).select("source", "document_id", retrieval.tokens(F.col("_text")).alias("_t")))
     sizes = made.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean"))
     return made.select("source", "document_id", F.explode("_t").alias("term"), F.size("_t").alias("length")), sizes
 
@@ -35,12 +35,14 @@ def corpus_index(corpus: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]
 def lexical(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k: int = PER_PROVIDER) -> DataFrame:
     """Each provider's best documents by BM25 for each query routed to it (query_id, text, providers)."""
     terms = queries.select("query_id", F.explode("providers").alias("source"), retrieval.tokens(F.col("text")).alias("_t"))
-    terms = terms.select("query_id", "source", F.explode("_t").alias("term"))
-    few = postings.join(terms.select("source", "term").distinct(), ["source", "term"], "left_semi")
+    terms = spool(terms.select("query_id", "source", F.explode("_t").alias("term")))
+    small = F.broadcast if terms.count() <= retrieval.TERMS else lambda df: df
+    few = postings.join(small(terms.select("source", "term").distinct()), ["source", "term"], "left_semi")
     df = few.groupBy("source", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "source")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = (retrieval.K1 + 1) / (1 + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("length") / F.col("mean")))
-    hits = terms.join(df.select("source", "term", "mean", idf.alias("_idf")), ["source", "term"]).join(few, ["source", "term"])
+    weights = terms.join(df.select("source", "term", "mean", idf.alias("_idf")), ["source", "term"])
+    hits = postings.join(small(weights), ["source", "term"])
     scores = hits.groupBy("query_id", "source", "document_id").agg(F.sum(F.col("_idf") * weight).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc(F.round("score", 9)), "document_id"))
     return scores.withColumn("_p", place).filter(F.col("_p") <= k)
