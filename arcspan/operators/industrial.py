@@ -124,12 +124,12 @@ def dynamics(df: DataFrame, keys: list[str], order: str, value: str) -> DataFram
 
 
 #: Features of a role's tags that `dynamics` gives, and their names there (fixed values).
-CONTROLLER = {"variance": "variance", "state_changes": "change_count"}
+OF_CONTROLLERS = {"variance": "variance", "state_changes": "change_count"}
 
 
 def controller(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Variance and number of changes of each group's series."""
-    return dynamics(df, keys, order, value).select(*keys, *[F.col(a).alias(b) for a, b in CONTROLLER.items()])
+    return dynamics(df, keys, order, value).select(*keys, *[F.col(a).alias(b) for a, b in OF_CONTROLLERS.items()])
 
 
 def correlated_pairs(df: DataFrame, columns: list[str], least: float = 0.85, top: int = 10, most: int = 30) -> DataFrame:
