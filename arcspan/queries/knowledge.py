@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import memory
 from ..plans import context, search
 from .registry import query, table
+from .retrieval import ROUTE_SQL, tokens_sql
 
 _SOURCES = {"src0": "attack", "src1": "sigma", "src2": "playbook", "src3": "policy"}
 
@@ -28,9 +29,30 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(v, F.col("query_id") == F.col("_v")).drop("_v")
 
 
-@query()
+_CASE = "CASE source " + " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in _SOURCES.items()) + " ELSE 'historical_incident' END"
+_ORDER = "[" + ", ".join(f"'{p}'" for p in search.PROVIDERS) + "]"
+_DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - u.e[i]) * (v.e[i] - u.e[i])))"
+_SEARCH = f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT {_CASE} AS source, doc_id, lang, text, e FROM documents JOIN e ON vec_id = doc_id), {tokens_sql("d", "c", "doc_id")},
+x AS (SELECT item_id, text, lower(coalesce(text, '')) AS t, e FROM benchmark JOIN e ON vec_id = item_id), {tokens_sql("b", "x", "item_id")},
+w AS (SELECT item_id, list_filter({ROUTE_SQL}, lambda p: list_contains(have, p)) AS ps FROM x, (SELECT list(DISTINCT source) AS have FROM c)), a AS (SELECT item_id, unnest(CASE WHEN len(ps) > 0 THEN ps ELSE ['attack'] END) AS source FROM w),
+z AS (SELECT a.item_id, a.source, doc_id, {_DISTANCE} AS distance FROM a JOIN x u ON u.item_id = a.item_id JOIN c v ON v.source = a.source),
+y AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY distance, doc_id) AS p FROM z QUALIFY p <= 5),
+p AS (SELECT source, doc_id, unnest(d.t) AS term, len(d.t) AS length FROM d JOIN c USING (doc_id)), s AS (SELECT source, count(*) AS n, avg(len(d.t)) AS mean FROM d JOIN c USING (doc_id) GROUP BY 1),
+f AS (SELECT source, term, count(*) AS df FROM p GROUP BY 1, 2), q AS (SELECT item_id, source, unnest(b.t) AS term FROM b JOIN a USING (item_id)),
+h AS (SELECT item_id, source, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (source, term) JOIN f USING (source, term) JOIN s USING (source) GROUP BY 1, 2, 3),
+l AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY round(score, 9) DESC, doc_id) AS p FROM h QUALIFY p <= 5),
+rd AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY list_position({_ORDER}, source), p) AS rank FROM y), rl AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY list_position({_ORDER}, source), p) AS rank FROM l),
+m AS (SELECT coalesce(rd.item_id, rl.item_id) AS item_id, coalesce(rd.source, rl.source) AS source, coalesce(rd.doc_id, rl.doc_id) AS doc_id, rd.rank AS a, rl.rank AS b, distance, score,
+ coalesce(1.0::DOUBLE / (60 + rd.rank), 0) + coalesce(0.8::DOUBLE / (60 + rl.rank), 0) AS rrf FROM rd FULL JOIN rl ON rd.item_id = rl.item_id AND rd.source = rl.source AND rd.doc_id = rl.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, coalesce(distance, 999), coalesce(score, 0) DESC, doc_id DESC) AS place FROM m QUALIFY place <= 5)
+SELECT item_id AS query_id, CAST(place AS INT) AS rank, o.source, o.doc_id AS document_id, round(rrf, 9) AS rrf, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'hybrid' WHEN a IS NOT NULL THEN 'dense' ELSE 'lexical' END AS method,
+round(least(1, CASE o.source WHEN 'attack' THEN 1.0 WHEN 'sigma' THEN 0.8 ELSE 0.95 END + 0.2 + 0.1 * ((CASE WHEN length(text) > 0 THEN 1 ELSE 0 END + 1) / 4))::DOUBLE, 4) AS trust_score, 'fresh' AS freshness_category, '[' || o.source || ':' || o.doc_id || ']' AS citation
+FROM o JOIN c ON c.doc_id = o.doc_id"""
+
+
+@query(_SEARCH)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best documents of all providers for each passage (tested on a small corpus)."""
+    """The five best documents of all providers for each passage."""
     out = search.search(_asked(spark, sf_dir), _corpus(spark, sf_dir), F.col("text"), "vector", now=F.lit("2024-06-01").cast("timestamp"))
     return out.select("query_id", "rank", "source", "document_id", F.round("rrf", 9).alias("rrf"), "method", "trust_score", "freshness_category", "citation")
 
@@ -63,9 +85,20 @@ def incident_memory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("incident_id", "resolved_threat", "timestamp")
 
 
-@query()
+_STORED = "SELECT doc_id, doc_id % 100 / 100::DOUBLE AS s, CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS sure, e, concat_ws(' ', 'threat ' || lang, text, CASE WHEN doc_id % 3 = 0 THEN 't1059' ELSE '' END, upper(lang) || ' ' || source) AS text FROM documents JOIN e ON vec_id = doc_id"
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS ({_STORED}), {tokens_sql("d", "c", "doc_id")}, x AS (SELECT item_id, text, e FROM benchmark JOIN e ON vec_id = item_id), {tokens_sql("b", "x", "item_id")},
+z AS (SELECT item_id, doc_id, {_DISTANCE} AS distance FROM x u, c v WHERE s >= 0.5), y AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id) AS rank FROM z QUALIFY rank <= 3),
+p AS (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM d), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id, unnest(t) AS term FROM b),
+h AS (SELECT item_id, p.doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN c ON c.doc_id = p.doc_id, n WHERE s >= 0.5 GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h QUALIFY rank <= 3),
+m AS (SELECT coalesce(y.item_id, l.item_id) AS item_id, coalesce(y.doc_id, l.doc_id) AS doc_id, y.rank AS a, l.rank AS b, distance, score FROM y FULL JOIN l ON y.item_id = l.item_id AND y.doc_id = l.doc_id),
+r AS (SELECT m.*, coalesce(1.0::DOUBLE * sure / (60 + a), 0) + coalesce(0.8::DOUBLE * sure / (60 + b), 0) AS rrf FROM m JOIN c USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, coalesce(distance, 999), coalesce(score, 0) DESC, doc_id DESC) AS place FROM r QUALIFY place <= 3)
+SELECT item_id AS query_id, CAST(place AS INT) AS rank, doc_id AS incident_id, round(rrf, 9) AS rrf, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'hybrid' WHEN a IS NOT NULL THEN 'dense' ELSE 'lexical' END AS method, 'Historical Incident Recall: ' || doc_id AS citation FROM o""")
 def incident_memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best past incidents for each passage among those above a score (tested on a small set)."""
+    """The three best past incidents for each passage among those above a score."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
     i = _incidents(spark, sf_dir).join(v, F.col("incident_id") == F.col("_v")).drop("_v")
     out = memory.search(_asked(spark, sf_dir), i, "vector", 3, memory.meets(least_score=0.5))

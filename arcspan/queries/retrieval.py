@@ -13,7 +13,7 @@ _STEM = """CASE WHEN length(w) <= 4 THEN w WHEN ends_with(w, 'ing') THEN w[:-4]
 WHEN ends_with(w, 'es') AND NOT (ends_with(w, 'aes') OR ends_with(w, 'ees') OR ends_with(w, 'oes')) THEN w[:-3] WHEN ends_with(w, 's') AND NOT (ends_with(w, 'ss') OR ends_with(w, 'us') OR ends_with(w, 'is')) THEN w[:-2] ELSE w END"""
 
 
-def _tokens_sql(name: str, source: str, id: str) -> str:
+def tokens_sql(name: str, source: str, id: str) -> str:
     """CTEs that end in `name` (id, t: the distinct tokens): identifiers whole, then stems."""
     steps = [f"{name}0 AS (SELECT {id}, lower(coalesce(text, '')) AS x, [] AS kept FROM {source})"]
     for k, p in enumerate(op.IDENTIFIERS):
@@ -23,7 +23,7 @@ def _tokens_sql(name: str, source: str, id: str) -> str:
     return ", ".join(steps)
 
 
-_BM = f"""{_tokens_sql("d", "documents", "doc_id")}, {_tokens_sql("b", "benchmark", "item_id")}, p AS (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM d), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+_BM = f"""{tokens_sql("d", "documents", "doc_id")}, {tokens_sql("b", "benchmark", "item_id")}, p AS (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM d), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
 q AS (SELECT item_id, unnest(t) AS term FROM b), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 h AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h QUALIFY rank <= 5)"""
@@ -41,13 +41,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_tokens_sql('b', 'benchmark', 'item_id')} SELECT item_id, list_sort(t) AS tokens FROM b")
+@query(f"WITH {tokens_sql('b', 'benchmark', 'item_id')} SELECT item_id, list_sort(t) AS tokens FROM b")
 def tokenize_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tokens of each passage: identifiers and stems."""
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(op.tokens(F.col("text"))).alias("tokens"))
 
 
-@query(f"WITH {_tokens_sql('d', 'documents', 'doc_id')}, c AS (SELECT doc_id, len(t) AS length FROM d WHERE doc_id % 3 != 0) SELECT count(*) AS documents, CAST(sum(length) AS BIGINT) AS postings FROM c")
+@query(f"WITH {tokens_sql('d', 'documents', 'doc_id')}, c AS (SELECT doc_id, len(t) AS length FROM d WHERE doc_id % 3 != 0) SELECT count(*) AS documents, CAST(sum(length) AS BIGINT) AS postings FROM c")
 def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of which parts were added, replaced and removed."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,11 +88,15 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("item_id", "doc_id", F.round("rrf", 9).alias("rrf"), "method")
 
 
-@query("""SELECT conv_id, turn, list_filter([CASE WHEN contains(t, 'cve') OR contains(t, 'vulnerability') OR contains(t, 'exploit') THEN 'cve' END, CASE WHEN contains(t, 'cve') OR contains(t, 'vulnerability') OR contains(t, 'exploit') THEN 'kev' END,
+#: Providers of a lower-case text t.
+ROUTE_SQL = """list_filter([CASE WHEN contains(t, 'cve') OR contains(t, 'vulnerability') OR contains(t, 'exploit') THEN 'cve' END, CASE WHEN contains(t, 'cve') OR contains(t, 'vulnerability') OR contains(t, 'exploit') THEN 'kev' END,
 CASE WHEN contains(t, 'mitigat') OR contains(t, 'defend') OR contains(t, 'prevent') OR contains(t, 'd3fend') THEN 'd3fend' END, CASE WHEN contains(t, 'yara') OR contains(t, 'signature') THEN 'yara' END, CASE WHEN contains(t, 'sigma') OR contains(t, 'log') OR contains(t, 'detect') THEN 'sigma' END,
 CASE WHEN contains(t, 'playbook') OR contains(t, 'remediat') OR contains(t, 'containment') THEN 'playbook' END, CASE WHEN contains(t, 'policy') OR contains(t, 'corporate') OR contains(t, 'compliance') THEN 'policy' END, CASE WHEN contains(t, 'report') OR contains(t, 'intel') OR contains(t, 'actor') THEN 'threat_report' END,
 CASE WHEN contains(t, 'past') OR contains(t, 'history') OR contains(t, 'previous') OR contains(t, 'incident') THEN 'historical_incident' END,
-CASE WHEN NOT regexp_matches(t, 'cve|vulnerability|exploit|mitigat|defend|prevent|yara|signature|sigma|log|detect|playbook|remediat|containment|policy|corporate|compliance|report|intel|actor|past|history|previous|incident') OR regexp_matches(t, 'technique|t1|ssh|power|login|malicious|attack') THEN 'attack' END], lambda x: x IS NOT NULL) AS providers FROM (SELECT *, lower(coalesce(text, '')) AS t FROM conversations)""")
+CASE WHEN NOT regexp_matches(t, 'cve|vulnerability|exploit|mitigat|defend|prevent|yara|signature|sigma|log|detect|playbook|remediat|containment|policy|corporate|compliance|report|intel|actor|past|history|previous|incident') OR regexp_matches(t, 'technique|t1|ssh|power|login|malicious|attack') THEN 'attack' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"SELECT conv_id, turn, {ROUTE_SQL} AS providers FROM (SELECT *, lower(coalesce(text, '')) AS t FROM conversations)")
 def route_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each message would be looked up."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", op.route(F.col("text")).alias("providers"))
