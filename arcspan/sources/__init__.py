@@ -164,7 +164,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
     CSV files and CSV members of archives are looked at by their beginning, Parquet files by their
     footer (rows are exact then). Archives are opened by executors, one at a time; other files
-    are not opened. Files that cannot be read are left out.
+    are not opened. Archives that cannot be read are left out. The driver asks for the beginnings of
+    CSV and Parquet files one by one, so this is for folders of thousands of files, not millions.
     """
     ship(spark)
     schema = "file string, format string, bytes long, row_estimate long, columns int, time_column string, label_column string"
