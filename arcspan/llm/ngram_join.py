@@ -5,7 +5,7 @@ it can matter. Exactly equal sets (two 64-bit sums agree) are one class from the
 
 1. Shingles are counted. Each task packs the (document, shingle) entries of a chunk of documents by
    parts of the hash range, five bytes an entry; a part finds the shingles that several documents
-   hold and sends each chunk the numbers of documents of these. Shingles of a large share of all
+   hold and sends each chunk a code of these, four bytes an entry, which tells how common they are. Shingles of a large share of all
    documents (`hot`) are known before and are not sent, so no part gets more than its share.
 2. Two sets link only if their overlap reaches ceil(least * n) of either. So a document with fewer
    shared shingles than that links with nothing and ends here; a passage that many documents share
@@ -48,13 +48,14 @@ from .shingles import mix, shingle_sets
 #: must have it to report it, likewise at least; hot shingles and document ids broadcast at most.
 HOT, SHARE, LOCAL, HOT_MOST, IDS_MOST = 64, 2048, 4, 2_000_000, 1_000_000
 #: Entries of a chunk and of a part, about; documents of a chunk at most.
-CHUNK, PART, CHUNK_DOCS = 4_000_000, 1_000_000, 1 << 16
+CHUNK, PART, CHUNK_DOCS = 4_000_000, 2_000_000, 1 << 16
 #: Sets and entries of a block; pivots of a cluster; cells of a slice of the incidence matrix.
 BLOCK, ENTRIES, PIVOTS, CELLS = 512, 2_000_000, 8, 1 << 22
 
 _SALTS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 _HEAD = np.dtype([("c", "<i8"), ("d", "<i8"), ("n", "<i4"), ("hot", "<i4"), ("listed", "<i4")])
-_ENTRY = np.dtype([("own", "<u2"), ("df", "<u2"), ("h", "<u4")])
+#: Documents up to which a shared shingle is of the rarest, the next and the third kind; of the fourth beyond.
+_COMMON = np.array([2, 4, 16])
 
 
 def _fingerprints(counts: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -132,11 +133,8 @@ def _deal(docs: DataFrame, hot: np.ndarray, least: int, size: int, parts: int) -
         part = (h >> np.uint64(32)) % np.uint64(parts)
         order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
         per = np.bincount(part.astype(np.int64), minlength=parts)
-        filled = np.flatnonzero(per)
-        begin, own = np.cumsum(per)[filled] - per[filled], own[order]
-        steps = np.diff(own, prepend=0)
-        steps[begin] = own[begin]
-        steps = steps.astype(np.uint8 if not len(steps) or steps.max() < 256 else np.uint16)
+        filled, own = np.flatnonzero(per), own[order]
+        steps = _steps(own, per)
         head, listed = np.concatenate(heads), np.concatenate(lists)
         columns = [
             pa.array(np.append(filled, chunk % parts).astype(np.int32)),
@@ -180,16 +178,31 @@ def _deal(docs: DataFrame, hot: np.ndarray, least: int, size: int, parts: int) -
     return out.repartitionById(parts, "part").sortWithinPartitions("part")
 
 
+def _steps(own: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Ascending numbers, `per` for each row, as steps from the one before (a row begins at 0)."""
+    steps = np.diff(own, prepend=0)
+    begin = (np.cumsum(per) - per)[per > 0]
+    steps[begin] = own[begin]
+    return steps.astype(np.uint8 if not len(steps) or steps.max() < 256 else np.uint16)
+
+
+def _numbers(rows: list[bytes], per: np.ndarray) -> np.ndarray:
+    """What `_steps` took, of rows of it with `per` numbers each."""
+    made = [np.cumsum(np.frombuffer(x, "<u1" if len(x) == n else "<u2"), dtype=np.int64) for x, n in zip(rows, per.tolist())]
+    return np.concatenate(made) if made else np.zeros(0, np.int64)
+
+
 def _shared(dealt: DataFrame) -> DataFrame:
-    """Of each part and chunk the entries that other documents hold too, with how many do."""
+    """Of each part and chunk the entries that other documents hold too: the document (steps) and the
+    shingle's code in the part, three bytes (w0 to w2) of which the top two bits tell how common it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "part", "head", "data", "hot"]
+        names, none = ["chunk", "part", "head", "own", "w0", "w1", "w2", "hot"], pa.nulls(1, pa.binary())
         for table in groups(batches, "part"):
             part, chunk, head = (table[k].to_numpy() for k in ("part", "chunk", "head"))
             rows, packed = table["own"].to_pylist(), table["h"].to_pylist()
             for k in np.flatnonzero(head).tolist():
-                columns = [pa.array(chunk[k : k + 1]), pa.array(part[k : k + 1]), pa.array([True]), pa.array([rows[k]]), pa.array([packed[k]])]
+                columns = [pa.array(chunk[k : k + 1]), pa.array(part[k : k + 1]), pa.array([True]), pa.array([rows[k]]), none, none, none, pa.array([packed[k]])]
                 yield pa.RecordBatch.from_arrays(columns, names)
             rows, packed = ([x for x, y in zip(z, head.tolist()) if not y] for z in (rows, packed))
             part, chunk = part[~head], chunk[~head]
@@ -200,18 +213,19 @@ def _shared(dealt: DataFrame) -> DataFrame:
             at = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
             at.sort()
             run_of = np.cumsum(np.diff(at >> np.uint64(32), prepend=np.uint64(0)) != 0)
-            df = np.empty(len(h), np.int64)
-            df[(at & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.bincount(run_of)[run_of]
-            more = df > 1
-            own = np.concatenate([np.cumsum(np.frombuffer(x, "<u1" if len(x) == n else "<u2"), dtype=np.int64) for x, n in zip(rows, per.tolist())])
-            entries = np.zeros(int(more.sum()), _ENTRY)
-            entries["own"], entries["df"], entries["h"] = own[more], np.minimum(df[more], 65535), h[more]
+            df = np.bincount(run_of)
+            code = np.where(df > 1, (np.searchsorted(_COMMON, df) << 22) | ((np.cumsum(df > 1) - 1) & ((1 << 22) - 1)), -1)
+            own_code = np.empty(len(h), np.int64)
+            own_code[(at & np.uint64(0xFFFFFFFF)).astype(np.int64)] = code[run_of]
+            more = own_code >= 0
             left = np.bincount(np.repeat(np.arange(len(per)), per)[more], minlength=len(per))
-            some = left > 0
-            columns = [pa.array(chunk[some]), pa.array(part[some]), pa.array(np.zeros(int(some.sum()), bool)), blobs(entries, left[some]), pa.nulls(int(some.sum()), pa.binary())]
+            some, found = left > 0, own_code[more]
+            steps = _steps(_numbers(rows, per)[more], left)
+            columns = [pa.array(chunk[some]), pa.array(part[some]), pa.array(np.zeros(int(some.sum()), bool)), blobs(steps, left[some])]
+            columns += [blobs((found >> 8 * k).astype(np.uint8), left[some]) for k in range(3)] + [pa.nulls(int(some.sum()), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = map_arrow(dealt, run, "chunk long, part int, head boolean, data binary, hot binary")
+    found = map_arrow(dealt, run, "chunk long, part int, head boolean, own binary, w0 binary, w1 binary, w2 binary, hot binary")
     # Chunks are numbered by the task that read them; dealt in turn, each task here gets as many.
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = F.pmod(F.shiftright("chunk", 20) + 7 * F.col("chunk").bitwiseAND((1 << 20) - 1), F.lit(parts)).cast("int")
@@ -225,20 +239,21 @@ def _prefixes(shared: DataFrame, least: int) -> DataFrame:
         for table in groups(batches, "chunk"):
             is_head = table["head"].to_numpy()
             top = table.filter(pa.array(is_head))
-            head, listed = np.frombuffer(top["data"][0].as_py(), _HEAD), np.frombuffer(top["hot"][0].as_py(), "<i4")
+            head, listed = np.frombuffer(top["own"][0].as_py(), _HEAD), np.frombuffer(top["hot"][0].as_py(), "<i4")
             table = table.filter(pa.array(~is_head))
-            data = table["data"].to_pylist()
-            entries = np.frombuffer(b"".join(data), _ENTRY)
-            per = np.array([len(x) // _ENTRY.itemsize for x in data], np.int64)
-            g = (np.repeat(table["part"].to_numpy().astype(np.int64), per) << 32) | entries["h"].astype(np.int64)
-            own, df, n = entries["own"].astype(np.int64), entries["df"], head["n"].astype(np.int64)
+            planes = [table[f"w{k}"].to_pylist() for k in range(3)]
+            per = np.array([len(x) for x in planes[0]], np.int64)
+            code = sum(np.frombuffer(b"".join(x), np.uint8).astype(np.int64) << 8 * k for k, x in enumerate(planes))
+            # A shingle's number: by how common it is, then its part and its code there.
+            g = ((code >> 22) << 58) | (np.repeat(table["part"].to_numpy().astype(np.int64), per) << 24) | code
+            own, n = _numbers(table["own"].to_pylist(), per), head["n"].astype(np.int64)
             s = np.bincount(own, minlength=len(head))
             bound = -(-least * n // 100)
             good = s + head["hot"] >= bound
             alone, prefix = n - s - head["hot"], n - bound + 1
             keep = good[own]
-            own, df, g = own[keep], df[keep], g[keep]
-            order = np.lexsort((g, df, own))
+            own, g = own[keep], g[keep]
+            order = np.lexsort((g, own))
             own, g = own[order], g[order]
             held = np.bincount(own, minlength=len(head))
             rank = np.arange(len(own)) - (np.cumsum(held) - held)[own]
