@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, hilbert_search, labelled, license_scan, ngram_join, packing, pitman_yor, quality, token_counts, toxicity
+from . import bpe, drake_kmeans, embedding_dedup, hilbert_search, labelled, license_scan, line_dedup, ngram_join, packing, pitman_yor, quality, token_counts, toxicity, whitening
 from .common import remainder
 
 
@@ -87,6 +87,24 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_drake_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 components after ten rounds."""
+    return drake_kmeans.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that at least three documents hold, but for the last of these."""
+    docs, index = _table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.LineIndex(spark)
+    index.insert(docs)
+    out = index.clean(docs, rows=index.references())
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 first principal axes, scaled to unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_pitman_yor_scores": op2_pitman_yor_scores,
@@ -98,6 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op11_drake_kmeans": op11_drake_kmeans,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_tsqr_whitening": op13_tsqr_whitening,
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": license_scan.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op4_license_scan": license_scan.oracle_sql(),
+    "op11_drake_kmeans": drake_kmeans.oracle_sql(),
+    "op12_line_dedup": line_dedup.oracle_sql(),
+}

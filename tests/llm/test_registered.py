@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op9_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op10_hilbert_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+    "op11_drake_kmeans": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op12_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op13_tsqr_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
 }
 FOLDS = {"op2_pitman_yor_scores": (10, 0), "op3_quality_classifier": (4, 2), "op5_toxicity": (3, 1)}
 
@@ -41,6 +44,10 @@ def test_registered(spark, name):
         assert {r["query_id"] for r in rows} == {v for v in ids if v % 20 == 0} and all(r["vec_id"] != r["query_id"] for r in rows)
     elif name == "op7_embedding_near_dedup":
         assert {r["vec_id"] for r in rows} == {r["vec_id"] for r in read("embeddings").collect()} and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
+    elif name == "op11_drake_kmeans":
+        assert {r["vec_id"] for r in rows} == {r["vec_id"] for r in read("embeddings").collect()} and sum(r["distance"] for r in rows) == rows[0]["inertia"]
+    elif name == "op13_tsqr_whitening":
+        assert {(r["vec_id"], r["component"]) for r in rows} == {(r["vec_id"], c) for r in read("embeddings").collect() for c in range(1, 17)}
     elif name not in ("op4_license_scan", "op9_best_fit_packing"):
         assert sorted(r["doc_id"] for r in rows) == sorted(texts)
     if name in FOLDS:
