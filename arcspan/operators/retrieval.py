@@ -6,12 +6,11 @@ distinct tokens.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks import spool
+from . import nearest
 
 # Identifiers kept whole, in this order; English stop-words; routes by keyword.
 IDENTIFIERS = [
@@ -127,33 +126,9 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id:
     return scores.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
-
-
-def dense(queries: DataFrame, vectors: DataFrame, query_id: str, id: str, vector: str, k: int, most: int = 10_000) -> DataFrame:
-    """The k nearest vectors of each query (query_id, q), exactly: rank and squared distance.
-
-    A stated query set against all rows: queries are broadcast in blocks of about `most`, one block
-    after the other; each partition keeps its own k best before anything is shuffled.
-    """
-    n = queries.count()
-    if n <= most:
-        return _dense(queries, vectors, query_id, id, vector, k)
-    blocks = -(-n // most)
-    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    found = [spool(_dense(queries.filter(block == b), vectors, query_id, id, vector, k)) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _dense(queries: DataFrame, vectors: DataFrame, query_id: str, id: str, vector: str, k: int) -> DataFrame:
-    """`dense` of queries that are broadcast at once."""
-    met = vectors.join(F.broadcast(queries)).select(query_id, id, squared_distance(F.col("q"), F.col(vector)).alias("distance"))
-    part = Window.partitionBy(query_id, "_part").orderBy("distance", id)
-    local = met.withColumn("_part", F.spark_partition_id()).withColumn("_p", F.row_number().over(part)).filter(F.col("_p") <= k)
-    place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id))
-    return local.withColumn("rank", place).filter(F.col("rank") <= k).select(query_id, id, "rank", "distance")
+def dense(queries: DataFrame, vectors: DataFrame, query_id: str, id: str, vector: str, k: int, most: int = nearest.MOST) -> DataFrame:
+    """The k nearest vectors of each query (query_id, q), exactly: rank and squared distance."""
+    return nearest.nearest(queries, vectors, query_id, id, vector, k, most)
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, keys: list[str], weights: dict[str, float] | None = None, k: int = 60, dense_weight: float = 1.0, lexical_weight: float = 0.8) -> DataFrame:

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.normalize import age_days
-from ..operators import retrieval
+from ..operators import nearest, retrieval
 from ..sinks import spool
 
 #: Providers in the order in which their hits are ranked one after the other (fixed values).
 PROVIDERS = ["attack", "cve", "kev", "d3fend", "yara", "sigma", "playbook", "policy", "threat_report", "historical_incident"]
-#: Hits of a provider and side, candidates to rerank, queries whose vectors are broadcast at once.
-PER_PROVIDER, CANDIDATES, BLOCK = 5, 15, 10_000
+#: Hits of a provider and side, candidates to rerank.
+PER_PROVIDER, CANDIDATES = 5, 15
 #: Distance of a document that no vector found.
 FAR = 999.0
 
@@ -48,21 +48,10 @@ def lexical(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k: int =
     return scores.withColumn("_p", place).filter(F.col("_p") <= k)
 
 
-def dense(queries: DataFrame, corpus: DataFrame, vector: str, k: int = PER_PROVIDER) -> DataFrame:
-    """Each provider's nearest documents for each query routed to it (query_id, q, providers), exactly;
-    queries are broadcast in blocks of about `BLOCK`."""
-    blocks = -(-queries.count() // BLOCK)
-    out = None
-    for b in range(max(blocks, 1)):
-        some = queries if blocks <= 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        asked = F.broadcast(some.select("query_id", "q", "providers"))
-        met = corpus.select("source", "document_id", vector).join(asked, F.expr("array_contains(providers, source)"))
-        met = met.select("query_id", "source", "document_id", retrieval.squared_distance(F.col("q"), F.col(vector)).alias("distance"), F.spark_partition_id().alias("_part"))
-        local = met.withColumn("_l", F.row_number().over(Window.partitionBy("query_id", "source", "_part").orderBy("distance", "document_id"))).filter(F.col("_l") <= k)
-        best = local.withColumn("_p", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("distance", "document_id"))).filter(F.col("_p") <= k).drop("_l", "_part")
-        best = best if blocks <= 1 else spool(best)
-        out = best if out is None else out.unionByName(best)
-    return out
+def dense(queries: DataFrame, corpus: DataFrame, vector: str, k: int = PER_PROVIDER, most: int = nearest.MOST) -> DataFrame:
+    """Each provider's nearest documents for each query routed to it (query_id, q, providers), exactly."""
+    found = nearest.nearest(queries, corpus, "query_id", "document_id", vector, k, most, group="source")
+    return found.withColumnRenamed("rank", "_p")
 
 
 def _ranked(hits: DataFrame) -> DataFrame:
@@ -102,7 +91,8 @@ def search(queries: DataFrame, corpus: DataFrame, text: Column, vector: str, top
     "attack"); `reranker` adds the column `model_score` to candidates (query_id, text, ...).
     """
     if enabled is None:
-        enabled = [r[0] for r in corpus.select("source").distinct().limit(100).collect()]
+        # Only these are ever routed to, so others need not be known.
+        enabled = [r[0] for r in corpus.filter(F.col("source").isin(PROVIDERS)).select("source").distinct().collect()]
     routed = F.filter(retrieval.route(F.col("text")), lambda p: p.isin(enabled))
     asked = spool(queries.withColumn("providers", F.when(F.size(routed) > 0, routed).otherwise(F.array(F.lit("attack")))))
     docs = corpus.withColumns({c: F.lit(None).cast(kind) for c, kind in FIELDS.items() if c not in corpus.columns})
