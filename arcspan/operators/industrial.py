@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sinks import spool
+from . import series
+
 LENGTH, STRIDE = 60, 10
 # Parts of column names that tell a role.
 ACTUATOR = ["fcv", "vlv", "valve", "pump", "state", "status_flag", "pmp", "sv"]
@@ -63,8 +66,8 @@ def limit_tags(roles: dict[str, str], sensors: int = 15, actuators: int = 8, con
 
 
 def index_rows(df: DataFrame, tag: str, order: list[str]) -> DataFrame:
-    """`df` with idx: a tag's rows by time, from 0."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(tag).orderBy(*order)) - 1)
+    """`df` with idx: a tag's rows by time, from 0; a tag's rows are numbered in many tasks."""
+    return series.numbered(df, [tag], order, "idx")
 
 
 def sliding_windows(df: DataFrame, tag: str, length: int = LENGTH, stride: int = STRIDE) -> DataFrame:
@@ -98,29 +101,28 @@ def dynamics(df: DataFrame, keys: list[str], order: str, value: str) -> DataFram
 
     zero_crossings counts changes of the sign about the mean, with 0 a sign of its own;
     flatline is the longest run of zero differences, max_state_duration one more.
+    The series are scanned in segments, so one of any length is spread over many tasks.
     """
-    own = Window.partitionBy(*keys)
-    by = own.orderBy(order)
-    x = F.col(value)
-    rows = df.withColumns({"_d": x - F.lag(x).over(by), "_s": F.signum(x - F.avg(x).over(own))})
+    parts = series.cut(df.select(*keys, order, value), keys, [order])
+    x, at = F.col(value), series.along([order])
+    whole = parts.groupBy(series.KEY).agg(
+        F.avg(x).alias("_mean"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("variance"), F.count("*").alias("_n"),
+        (F.max_by(value, order) - F.min_by(value, order)).alias("_moved"), *[F.first(k).alias(k) for k in keys],
+    )
+    rows = series.with_halo(parts, [order], 2).join(whole.select(series.KEY, "_mean"), series.KEY)
+    rows = rows.withColumns({"_d": x - F.lag(x).over(at), "_s": F.signum(x - F.col("_mean"))})
     rows = rows.withColumns({
-        "_cross": (F.col("_s") != F.lag("_s").over(by)).cast("int"),
-        "_turn": F.when(F.lag("_d").over(by).isNotNull(), (F.signum("_d") != F.signum(F.lag("_d").over(by))).cast("int")),
-        "_run": F.sum(F.when(F.col("_d") == 0, 0).otherwise(1)).over(by),
+        "_cross": (F.col("_s") != F.lag("_s").over(at)).cast("int"),
+        "_turn": F.when(F.lag("_d").over(at).isNotNull(), (F.signum("_d") != F.signum(F.lag("_d").over(at))).cast("int")),
     })
-    runs = Window.partitionBy(*keys, "_run")
-    rows = rows.withColumn("_flat", F.count(F.when(F.col("_d") == 0, 1)).over(runs))
-    return rows.groupBy(*keys).agg(
-        F.coalesce(F.avg(F.abs("_d")), F.lit(0.0)).alias("diff_abs_mean"),
-        ((F.max_by(value, order) - F.min_by(value, order)) / F.count("*")).alias("rate_of_change"),
-        F.coalesce(F.sum("_cross"), F.lit(0)).alias("zero_crossings"),
-        F.max("_flat").alias("flatline"),
-        (F.max("_flat") + 1).alias("max_state_duration"),
-        F.coalesce(F.sum("_turn"), F.lit(0)).alias("oscillations"),
-        F.count_if(F.col("_d") != 0).alias("state_changes"),
-        (F.count_if(F.col("_d") != 0) / F.count("*")).alias("transition_rate"),
-        F.coalesce(F.var_samp(x), F.lit(0.0)).alias("variance"),
-    )
+    d = F.col("_d")
+    sums = {"_abs": F.abs(d), "_ds": d.isNotNull().cast("int"), "_crosses": F.col("_cross"), "_turns": F.col("_turn"), "_moves": F.coalesce(d != 0, F.lit(False)).cast("int")}
+    found = series.runs(rows.filter(f"{series.HALO} = 0"), [order], d == 0, sums).join(whole, series.KEY)
+    return found.select(
+        *keys, F.when(F.col("_ds") > 0, F.col("_abs") / F.col("_ds")).otherwise(0.0).alias("diff_abs_mean"), (F.col("_moved") / F.col("_n")).alias("rate_of_change"),
+        F.coalesce("_crosses", F.lit(0)).alias("zero_crossings"), F.col("longest").alias("flatline"), (F.col("longest") + 1).alias("max_state_duration"),
+        F.coalesce("_turns", F.lit(0)).alias("oscillations"), F.col("_moves").alias("state_changes"), (F.col("_moves") / F.col("_n")).alias("transition_rate"), "variance",
+    )
 
 
 #: Features of a role's tags that `dynamics` gives, and their names there (fixed values).
@@ -168,27 +170,29 @@ def pairwise(df: DataFrame, keys: list[str], columns: list[str], most: int = 6)
 
 def integrity(df: DataFrame, tag: str, us: str) -> DataFrame:
     """A series' order: duplicates, median interval, gaps over 1.5 times it, missing rows."""
-    by = Window.partitionBy(tag).orderBy(us)
-    steps = df.withColumn("_gap", F.col(us) - F.lag(us).over(by))
-    typical = steps.groupBy(tag).agg(F.percentile(F.when(F.col("_gap") > 0, F.col("_gap")), F.lit(0.5)).alias("interval"), F.count("*").alias("n"), F.count_distinct(us).alias("distinct"), (F.max(us) - F.min(us)).alias("span"))
-    gaps = steps.join(typical.select(tag, "interval"), tag).groupBy(tag).agg(F.count_if(F.col("_gap") > 1.5 * F.col("interval")).alias("gaps"))
+    parts = series.with_halo(series.cut(df.select(tag, us), [tag], [us]), [us], 1)
+    steps = parts.withColumn("_gap", F.col(us) - F.lag(us).over(series.along([us]))).filter(f"{series.HALO} = 0")
+    # Gaps repeat, so they are counted before they are ranked or compared.
+    gaps = spool(steps.groupBy(tag, "_gap").agg(F.count("*").alias("_c")))
+    typical = series.percentiles(gaps.withColumn("_gap", F.when(F.col("_gap") > 0, F.col("_gap"))), [tag], "_gap", [0.5], "_c").select(tag, F.col("p")[0].alias("interval"))
+    facts = df.groupBy(tag).agg(F.count("*").alias("n"), F.count_distinct(us).alias("distinct"), (F.max(us) - F.min(us)).alias("span"))
+    wide = gaps.join(typical.withColumnRenamed(tag, "_t"), F.col(tag).eqNullSafe(F.col("_t"))).groupBy(tag, "interval").agg(F.sum(F.when(F.col("_gap") > 1.5 * F.col("interval"), F.col("_c")).otherwise(0)).alias("gaps"))
     expected = F.floor(F.col("span") / F.col("interval")) + 1
-    return typical.join(gaps, tag).select(tag, "n", (F.col("n") - F.col("distinct")).alias("duplicates"), "interval", "gaps", F.greatest(expected - F.col("distinct"), F.lit(0)).alias("missing"))
+    out = facts.join(wide.withColumnRenamed(tag, "_t"), F.col(tag).eqNullSafe(F.col("_t")))
+    return out.select(tag, "n", (F.col("n") - F.col("distinct")).alias("duplicates"), "interval", "gaps", F.greatest(expected - F.col("distinct"), F.lit(0)).alias("missing"))
 
 
 def missing_profile(df: DataFrame, tag: str, order: str, value: str) -> DataFrame:
     """Share of nulls, longest run of them, distinct values, constant (1) and near-constant (5)."""
-    by = Window.partitionBy(tag).orderBy(order)
-    rows = df.withColumn("_run", F.sum(F.col(value).isNotNull().cast("int")).over(by))
-    runs = rows.groupBy(tag, "_run").agg(F.count_if(F.col(value).isNull()).alias("_nulls"))
-    longest = runs.groupBy(tag).agg(F.max("_nulls").alias("longest_missing"))
-    out = df.groupBy(tag).agg(F.avg(F.col(value).isNull().cast("double")).alias("missing_share"), F.count_distinct(value).alias("distinct"))
-    return out.join(longest, tag).withColumns({"constant": F.col("distinct") <= 1, "near_constant": F.col("distinct") <= 5})
+    parts = series.cut(df.select(tag, order, value), [tag], [order])
+    longest = series.runs(parts, [order], F.col(value).isNull()).withColumnRenamed("longest", "longest_missing")
+    out = parts.groupBy(series.KEY, tag).agg(F.avg(F.col(value).isNull().cast("double")).alias("missing_share"), F.count_distinct(value).alias("distinct"))
+    return out.join(longest, series.KEY).drop(series.KEY).withColumns({"constant": F.col("distinct") <= 1, "near_constant": F.col("distinct") <= 5})
 
 
 def percentiles(df: DataFrame, tag: str, value: str, at: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles of each tag."""
-    return df.groupBy(tag).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("p"))
+    """Exact percentiles of each tag, ranked over many tasks."""
+    return series.percentiles(df, [tag], value, list(at))
 
 
 def top_shifts(shifts: DataFrame, tag: str, top: int = 30) -> DataFrame:
