@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import basename, coalesce_alias, entropy, to_int
 from ..session import ship
+from ..sinks import spool
+from . import anchors, series
 
 # Names of field aliases, programs and spawns that rules refer to.
 ALIASES = {
@@ -105,16 +107,36 @@ def anchored_windows(df: DataFrame, keys: list[str], us: str, width_us: int) ->
     """`df` with window_index and window_start: windows anchored at their first event.
 
     An event more than `width_us` after its window's first event opens the next one; exactly at the
-    width it still belongs. Rows without a time are left out. The starts are found on times alone;
-    rows then get theirs by a sorted sweep over rows and starts, the last start carried on, so
-    nothing of a key is gathered, however busy it is.
+    width it still belongs. Rows without a time are left out. The starts are found on times alone, those of
+    a key that is spread over several tasks by `anchors`; rows then get theirs by a sorted sweep over
+    rows and starts, the last start carried on, so nothing of a key is gathered, however busy it is.
     """
-    rows = df.filter(F.col(us).isNotNull()).withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    starts = window_starts(rows.select("_k", F.col(us).alias("_us")), "_k", "_us", width_us)
-    both = rows.withColumns({"_us": F.col(us).cast("long"), "_row": F.lit(1)}).unionByName(starts.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    upto = Window.partitionBy("_k").orderBy("_us", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumns({"window_index": F.last("window_index", True).over(upto), "window_start": F.last(F.when(F.col("_row") == 0, F.col("_us")), True).over(upto)})
-    return carried.filter("_row = 1").select(*df.columns, "window_index", "window_start")
+    rows = df.filter(F.col(us).isNotNull()).withColumn("_us", F.col(us).cast("long"))
+    parts = series.cut(rows, keys, ["_us"])
+    columns = [*df.columns, "window_index", "window_start"]
+    if getattr(parts, "whole", False):
+        return _swept(parts, _own_starts(parts, width_us)).select(columns)
+    # Ranges cut fewer keys than there are partitions.
+    shared = F.broadcast(spool(parts.groupBy(series.KEY).agg(F.min(series.PART).alias("a"), F.max(series.PART).alias("b")).filter("a < b").select(series.KEY)))
+    few, busy = parts.join(shared, series.KEY, "left_anti"), parts.join(shared, series.KEY, "left_semi")
+    times = busy.select(series.KEY, series.PART, F.col("_us").alias("us")).distinct()
+    return _swept(few, _own_starts(few, width_us)).unionByName(_swept(busy, anchors.starts(times, width_us))).select(columns)
+
+
+def _own_starts(parts: DataFrame, width_us: int) -> DataFrame:
+    """The windows of keys that are one segment each, as `anchors.starts` has them."""
+    found = window_starts(parts.select(series.KEY, "_us"), series.KEY, "_us", width_us)
+    part = parts.groupBy(series.KEY).agg(F.first(series.PART).alias(series.PART)) if not getattr(parts, "whole", False) else None
+    found = found.withColumn(series.PART, F.lit(0)) if part is None else found.join(part, series.KEY)
+    return found.select(series.KEY, series.PART, F.col("_us").alias("at"), F.col("_us").alias("window_start"), "window_index")
+
+
+def _swept(parts: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows of segments with the window that is open at their time."""
+    starts = starts.select(series.KEY, series.PART, F.col("at").alias("_us"), F.lit(0).alias("_row"), "window_start", "window_index")
+    both = parts.withColumn("_row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    upto = Window.partitionBy(series.KEY, series.PART).orderBy("_us", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumns({c: F.last(c, True).over(upto) for c in ("window_index", "window_start")}).filter("_row = 1")
 
 
 def describe_windows(df: DataFrame, keys: list[str], us: str, tie: str, parent: str) -> DataFrame:
@@ -159,8 +181,6 @@ def window_features(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
         F.coalesce(F.max(F.when((eid == "10") & has("granted_access"), entropy(F.col("granted_access")))), F.lit(0.0)).alias("granted_access_entropy"),
         (F.count_distinct(F.when(has("integrity_level"), F.col("integrity_level"))) > 1).cast("double").alias("integrity_level_change"),
         distinct("user", has("user")).alias("cross_user_process_count"),
-        F.collect_set(F.when(has("process_name") & has("parent_process_name"), F.struct(F.lower("parent_process_name").alias("p"), F.lower("process_name").alias("c")))).alias("_spawns"),
-        F.max(F.lit(0)).alias("_zero"),
     )
     command, process, parent = F.coalesce("_command", F.lit("")), F.lower(F.coalesce("process", F.lit(""))), F.lower(F.coalesce("parent_process", F.lit("")))
     low = F.lower(command)
@@ -177,7 +197,7 @@ def window_features(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
         "powershell_flag": F.greatest(any_of(process, ["powershell", "pwsh"]), any_of(low, ["powershell", "pwsh"])),
         "script_interpreter_flag": process.isin(SCRIPT_INTERPRETERS).cast("double"),
         "lolbin_flag": process.isin(LOLBINS).cast("double"),
-    }).drop("_command", "_spawns", "_zero")
+    }).drop("_command")
 
 
 def parent_child_frequency(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -170,8 +170,9 @@ def ttl_dedup(df: DataFrame, key: str, us: str, ttl_us: int = TTL_US) -> DataFra
     from .endpoint import anchored_windows
 
     w = anchored_windows(df, [key], us, ttl_us)
-    place = F.row_number().over(Window.partitionBy(key, "window_index").orderBy(us, F.xxhash64(*df.columns)))
-    return w.withColumn("is_duplicate", place > 1).drop("window_index", "window_start")
+    # Only rows at a window's first time can be its first copy.
+    place = F.row_number().over(Window.partitionBy(key, us).orderBy(F.xxhash64(*df.columns)))
+    return w.withColumn("is_duplicate", (F.col(us) != F.col("window_start")) | (place > 1)).drop("window_index", "window_start")
 
 
 def priority_order(df: DataFrame, priority: Column, arrival: list[str], partitions: list[str] | None = None) -> DataFrame:

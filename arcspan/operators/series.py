@@ -68,7 +68,9 @@ def with_halo(segmented: DataFrame, order: list[str], rows: int) -> DataFrame:
     Windows over `along` then see what is up to `rows` rows back, whatever segment it is in.
     """
     if getattr(segmented, "whole", False):
-        return segmented.withColumn(HALO, F.lit(0))
+        out = segmented.withColumn(HALO, F.lit(0))
+        out.whole = True
+        return out
     back = F.row_number().over(_within().orderBy(*[F.desc(c) for c in order]))
     last = segmented.withColumn("_b", back).filter(F.col("_b") <= rows).drop("_b")
     # Each segment has one row here at least and `rows` at most.
