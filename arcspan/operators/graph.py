@@ -6,12 +6,14 @@ is written to the shared folder when a loop may be long, which cuts the lineage.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import count as numbers
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sinks import spool
+from ..sinks import spool, unspool
 from .evidence import severity_order
 
 #: Rounds after which what a loop has seen is written anew, so its plan stays small.
@@ -161,13 +163,19 @@ def shortest_paths(edges: DataFrame, source: DataFrame) -> DataFrame:
     """
     pairs = spool(both_ways(edges))
     seen = frontier = spool(source.select("node_id", F.lit(0).alias("length"), F.array("node_id").alias("path")))
+    held = [seen]
     for step in numbers(1):
         reached = frontier.join(pairs, F.col("node_id") == F.col("a")).select(F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"))
         frontier = spool(reached.join(seen.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min("path").alias("path")).select("node_id", F.lit(step).alias("length"), "path"))
+        held.append(frontier)
         if frontier.isEmpty():
+            unspool(pairs, frontier)
             return seen
         seen = seen.unionByName(frontier)
-        seen = seen if step % ROUNDS else spool(seen)
+        if step % ROUNDS == 0:
+            seen = spool(seen)
+            unspool(*held[:-1])
+            held = [held[-1], seen]
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,128 +189,191 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # A label's own label: chains are halved each round.
         tops = new.select(F.col("node_id").alias("t"), F.col("component").alias("top"))
         new = spool(new.join(tops, F.col("component") == F.col("t"), "left").select("node_id", F.least("component", F.coalesce("top", "component")).alias("component"), "old"))
+        unspool(labels)
         if new.filter("component != old").isEmpty():
+            unspool(pairs)
             return new.select("node_id", "component")
         labels = new.select("node_id", "component")
+        labels.spooled = new.spooled
+
 
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """PageRank on distinct directed pairs; dangling nodes' rank is spread over all.
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """PageRank on distinct directed pairs; dangling nodes' rank is spread over all."""
+    Converged when the ranks of a round differ from those before by less than `tolerance` a node, summed; where
+    `rounds` rounds don't suffice, ValueError.
+    """
     n = nodes.count()
     out = edges.select("src", "dst").distinct()
     links = spool(out.join(out.groupBy("src").agg(F.count("*").alias("out")), "src"))
-    ranks = spool(nodes.select("node_id", F.lit(1.0 / max(n, 1)).alias("rank")))
-    ends = links.select(F.col("src").alias("node_id")).distinct()
+    ends = links.select(F.col("src").alias("node_id")).distinct().withColumn("_links", F.lit(True))
+    ranks = spool(nodes.select("node_id", F.lit(1.0 / max(n, 1)).alias("rank")).join(ends, "node_id", "left").select("node_id", "rank", F.col("_links").isNull().alias("dangles")))
+    spread = F.coalesce(F.sum(F.when(F.col("dangles"), F.col("rank"))), F.lit(0.0))
+    dangling = ranks.agg(spread).first()[0]
     for _ in range(rounds):
-        dangling = ranks.join(ends, "node_id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = links.join(ranks, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("in"))
         rank = (1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + dangling / n)
-        new = spool(ranks.join(got, F.col("node_id") == F.col("dst"), "left").select("node_id", rank.alias("rank"), F.col("rank").alias("old")))
-        away = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        ranks = new.select("node_id", "rank")
-        if away < n * tolerance:
-            break
-    return ranks
+        new = spool(ranks.join(got, F.col("node_id") == F.col("dst"), "left").select("node_id", rank.alias("rank"), "dangles", F.col("rank").alias("old")))
+        unspool(ranks)
+        dangling, away = new.agg(spread, F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()
+        ranks = new.select("node_id", "rank", "dangles")
+        ranks.spooled = new.spooled
+        if away < n * tolerance or not n:
+            unspool(links)
+            return ranks.drop("dangles")
+    raise ValueError(f"ranks still differ by {away} after {rounds} rounds")
+
+
+def numbered_links(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct nodes (node_id, v: a number) and distinct links (a, b: numbers) between them, written."""
+    ids = spool(nodes.select("node_id").filter("node_id is not null").distinct().withColumn("v", F.monotonically_increasing_id()))
+    ends = lambda name: ids.select(F.col("node_id").alias("_id"), F.col("v").alias(name))
+    pairs = edges.select("src", "dst").distinct().join(ends("a"), F.col("src") == F.col("_id")).drop("_id").join(ends("b"), F.col("dst") == F.col("_id")).drop("_id")
+    return ids, spool(pairs.select("a", "b").filter("a != b").distinct())
 
 
-def centrality(nodes: DataFrame, edges: DataFrame, most: int = 20_000) -> DataFrame:
-    """Betweenness and closeness of a graph of at most `most` nodes and 50 times as many edges, by one breadth-first search for
-    each node; searches are dealt over the executors, each of which holds the (checked, bounded) graph.
+#: Pairs of a source and a node that one round of `centrality` may hold, so bounded disk.
+PAIRS = 1_000_000_000
 
-    Directed; betweenness is normalised by (n - 1)(n - 2); closeness is by incoming distance,
-    scaled by the share of nodes that reach the node. Larger graphs raise ValueError.
+
+def sources_for(nodes: int, error: float, sure: float = 0.99) -> int:
+    """Sources to draw so that, with the chance `sure`, no node's normalised betweenness is off by more than
+    `error`: by Hoeffding's bound over all nodes, as a source adds between 0 and 1 to a node's mean."""
+    return nodes if error <= 0 else min(nodes, math.ceil(math.log(2 * nodes / (1 - sure)) / (2 * error**2)))
+
+
+def centrality(nodes: DataFrame, edges: DataFrame, error: float = 0.0, pairs: int = PAIRS) -> DataFrame:
+    """Betweenness and closeness of all nodes: node_id, betweenness, closeness.
+
+    Directed; betweenness is normalised by (n - 1)(n - 2); closeness is by incoming distance, scaled by
+    the share of nodes that reach the node. Searches go from many sources at once, a level a round: rows
+    (source, node) carry the number of shortest paths forwards, and what depends on a node
+    backwards, so each round is a join with the links and an aggregation, and no task holds the graph.
+    Sources are taken in batches of at most `pairs` possible rows; a batch's tables are freed when
+    it is done. With an `error` over 0 only `sources_for` of that error are searched from, chosen by
+    hash of their id, and closeness is an estimate from these.
     """
-    ids = [r[0] for r in nodes.select("node_id").distinct().orderBy("node_id").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {most} nodes")
-    place = {x: k for k, x in enumerate(ids)}
-    links: list[list[int]] = [[] for _ in ids]
-    found = edges.select("src", "dst").distinct().orderBy("src", "dst").limit(50 * most + 1).collect()
-    if len(found) > 50 * most:
-        raise ValueError(f"more than {50 * most} edges")
-    for a, b in found:
-        if a in place and b in place:
-            links[place[a]].append(place[b])
-    shared, n = edges.sparkSession.sparkContext.broadcast(links), len(ids)
-
-    def search(frames):
-        from collections import deque
-
-        import pandas as pd
-
-        links = shared.value
-        for frame in frames:
-            between, reach, far = {}, {}, {}
-            for s in frame["place"]:
-                order, before, paths, depth = [], [[] for _ in links], [0] * len(links), [-1] * len(links)
-                paths[s], depth[s], queue = 1, 0, deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in links[v]:
-                        if depth[w] < 0:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = [0.0] * len(links)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        between[w] = between.get(w, 0.0) + share[w]
-                        reach[w], far[w] = reach.get(w, 0) + 1, far.get(w, 0) + depth[w]
-            keys = sorted({*between, *reach})
-            yield pd.DataFrame({"place": keys, "b": [between.get(k, 0.0) for k in keys], "r": [reach.get(k, 0) for k in keys], "f": [far.get(k, 0) for k in keys]})
-
-    spark = edges.sparkSession
-    parts = spark.range(n).select(F.col("id").alias("place")).repartition(max(1, min(n // 32 + 1, 512))).mapInPandas(search, "place long, b double, r long, f long")
-    sums = parts.groupBy("place").agg(F.sum("b").alias("b"), F.sum("r").alias("r"), F.sum("f").alias("f"))
-    named = spark.createDataFrame([(k, x) for k, x in enumerate(ids)], "place long, node_id string").join(sums, "place", "left")
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    r = F.coalesce("r", F.lit(0))
-    close = F.when(F.coalesce("f", F.lit(0)) > 0, r / F.col("f") * r / max(n - 1, 1)).otherwise(0.0)
-    return named.select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"), close.alias("closeness"))
-
-
-def greedy_communities(nodes: DataFrame, edges: DataFrame, most: int = 2_000) -> list[list[str]]:
-    """Communities by greedy modularity on a graph of at most `most` nodes, on the driver.
-
-    Undirected and simple; the pair of communities whose union gains most is joined until none
-    gains. Larger graphs raise ValueError: use `components` or a sampled subgraph.
+    ids, links = numbered_links(nodes, edges)
+    n = ids.count()
+    drawn = sources_for(n, error)
+    chosen = ids.select(F.col("v").alias("s")) if drawn == n else ids.orderBy(F.xxhash64("node_id"), "node_id").limit(drawn).select(F.col("v").alias("s"))
+    batches = max(1, -(-drawn * n // pairs))
+    sums = [_dependencies(chosen if batches == 1 else chosen.filter(F.pmod(F.xxhash64("s"), F.lit(batches)) == b), links) for b in range(batches)]
+    total = reduce(DataFrame.unionByName, sums).groupBy("v").agg(F.sum("b").alias("b"), F.sum("r").alias("r"), F.sum("f").alias("f"))
+    scale = (n / drawn if drawn else 1.0) / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    r, f = (F.coalesce(c, F.lit(0)) * (n / drawn if drawn else 1.0) for c in ("r", "f"))
+    r, f = (F.coalesce("r", F.lit(0)), F.coalesce("f", F.lit(0))) if drawn == n else (r, f)
+    close = F.when(f > 0, r / f * r / max(n - 1, 1)).otherwise(0.0)
+    return ids.join(total, "v", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"), close.alias("closeness"))
+
+
+def _dependencies(chosen: DataFrame, links: DataFrame) -> DataFrame:
+    """What searches from the chosen nodes (s) add: v, b (dependencies), r (sources that reach v), f (their distances), written."""
+    levels = [spool(chosen.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))]
+    seen, held = levels[0].select("s", "v"), []
+    while True:
+        reached = levels[-1].join(links, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+        level = spool(reached.join(seen, ["s", "v"], "left_anti"))
+        if level.isEmpty():
+            unspool(level)
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("s", "v"))
+        if len(levels) % ROUNDS == 0:
+            seen = spool(seen)
+            held.append(seen)
+    parts, later = [], None
+    for depth in range(len(levels) - 1, 0, -1):
+        level = levels[depth]
+        if later is None:
+            level = level.withColumn("d", F.lit(0.0))
+        else:
+            # A link from this level to the next one is on shortest paths: its end was found from here.
+            share = links.join(later.select("s", F.col("v").alias("b"), F.col("paths").alias("_p"), F.col("d").alias("_d")), "b").select("s", F.col("a").alias("v"), ((1 + F.col("_d")) / F.col("_p")).alias("_x"))
+            share = share.join(level, ["s", "v"]).groupBy("s", "v").agg(F.sum("_x").alias("_x"))
+            level = spool(level.join(share, ["s", "v"], "left").select("s", "v", "paths", F.coalesce(F.col("_x") * F.col("paths"), F.lit(0.0)).alias("d")))
+            held.append(level)
+        parts.append(level.groupBy("v").agg(F.sum("d").alias("b"), F.count("*").alias("r"), (F.count("*") * depth).alias("f")))
+        later = level
+    none = chosen.select(F.col("s").alias("v"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("f")).limit(0)
+    out = spool(reduce(DataFrame.unionByName, parts, none).groupBy("v").agg(F.sum("b").alias("b"), F.sum("r").alias("r"), F.sum("f").alias("f")))
+    unspool(*levels, *held)
+    return out
+
+
+#: Share of nodes that may move in a round at first, and the least; gains of a move and of a round that count.
+MOVING, LEAST_MOVING, GAIN, RAISED = 0.5, 1 / 64, 1e-9, 1e-6
+
+
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Communities by local moves that raise modularity, then contraction, again and again: node_id, community
+    (its smallest node id).
+
+    The graph is taken as undirected and simple. In a round every node's weight to each neighbouring community
+    is summed by a join, and nodes move to where modularity gains most. As moves at the same time can spoil
+    each other, a hash lets only a share of the nodes move in a round; a round that did not raise modularity (by
+    `RAISED`) is taken back and the share halved; when it is small, the best move of all is made alone. Once that
+    gains nothing either, communities become nodes and their links are summed. It ends when a level joins
+    nothing. All state is in tables; totals alone reach the driver. Nodes without links are
+    communities of their own.
     """
-    ids = [r[0] for r in nodes.select("node_id").distinct().orderBy("node_id").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {most} nodes")
-    found = both_ways(edges).join(nodes.select(F.col("node_id").alias("a")), "a", "left_semi").join(nodes.select(F.col("node_id").alias("b")), "b", "left_semi").select("a", "b").limit(most * most + 1).collect()
-    if len(found) > most * most:
-        raise ValueError(f"more than {most * most} edges")
-    pairs = {(min(a, b), max(a, b)) for a, b in found}
-    m = len(pairs)
-    groups = {k: {x} for k, x in enumerate(ids)}
-    of = {x: k for k, x in enumerate(ids)}
-    degree: dict[int, int] = dict.fromkeys(groups, 0)
-    between: dict[tuple[int, int], int] = {}
-    for a, b in pairs:
-        i, j = of[a], of[b]
-        degree[i] += 1
-        degree[j] += 1
-        between[min(i, j), max(i, j)] = between.get((min(i, j), max(i, j)), 0) + 1
-    while between:
-        gain, (i, j) = max((n / m - degree[a] * degree[b] / (2 * m * m), (-a, -b)) for (a, b), n in between.items())
-        i, j = -i, -j
-        if gain <= 0:
+    ids, links = numbered_links(nodes, edges)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = spool(both.withColumn("w", F.lit(1.0)))
+    unspool(links)
+    of = ids.select("node_id", F.col("v").alias("c"))
+    loops = ids.select("v", F.lit(0.0).alias("loop"))
+    total = near.agg(F.sum("w")).first()[0] or 0.0
+    while total:
+        degree = near.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k"))
+        start = loops.join(degree, "v", "left").select("v", "loop", (F.coalesce("k", F.lit(0.0)) + F.col("loop")).alias("k"), F.col("v").alias("c"))
+        moved = _local_moves(start, near, total)
+        if moved is None:
             break
-        groups[i] |= groups.pop(j)
-        degree[i] += degree.pop(j)
-        merged: dict[tuple[int, int], int] = {}
-        for (a, b), n in between.items():
-            a, b = (i if x == j else x for x in (a, b))
-            if a != b:
-                merged[min(a, b), max(a, b)] = merged.get((min(a, b), max(a, b)), 0) + n
-        between = merged
-    return sorted((sorted(g) for g in groups.values()), key=lambda g: (-len(g), g))
+        own = moved.select("v", "c")
+        of = spool(of.withColumnRenamed("c", "v").join(own, "v").select("node_id", "c"))
+        ends = near.join(own.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(own.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+        joined = spool(ends.groupBy("ca", "cb").agg(F.sum("w").alias("w")))
+        inside = joined.filter("ca = cb").select(F.col("ca").alias("v"), "w").unionByName(moved.select(F.col("c").alias("v"), F.col("loop").alias("w")))
+        loops = spool(inside.groupBy("v").agg(F.sum("w").alias("loop")))
+        unspool(near, moved)
+        near = joined.filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w")
+        near.spooled = joined.spooled
+    return of.join(of.groupBy("c").agg(F.min("node_id").alias("community")), "c").select("node_id", "community")
+
+
+def _local_moves(start: DataFrame, near: DataFrame, total: float) -> DataFrame | None:
+    """Nodes (v, loop, k, c) after moves that raise modularity; None if none does."""
+    state, best, high, first, share, movers = spool(start), None, None, True, MOVING, 0
+    for turn in numbers():
+        sums = state.groupBy("c").agg(F.sum("k").alias("sum"))
+        weights = near.join(state.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), F.col("c").alias("to")).agg(F.sum("w").alias("w"))
+        asked = weights.join(state.select("v", "k", "c"), "v").join(sums.select(F.col("c").alias("to"), F.col("sum").alias("to_sum")), "to")
+        here, worth = F.col("to") == F.col("c"), F.col("w") - F.col("k") * F.col("to_sum") / total
+        found = asked.groupBy("v").agg(F.max(F.when(~here, F.struct(worth.alias("g"), (-F.col("to")).alias("to")))).alias("_best"), F.max(F.when(here, F.col("w"))).alias("own"))
+        told = state.select("v", "loop", "k", "c").join(found, "v", "left").join(sums, "c")
+        stay = F.coalesce("own", F.lit(0.0)) - F.col("k") * (F.col("sum") - F.col("k")) / total
+        table = spool(told.select("v", "loop", "k", "c", F.coalesce("own", F.lit(0.0)).alias("own"), (F.col("_best.g") - stay).alias("gain"), (-F.col("_best.to")).alias("to")))
+        unspool(state)
+        spread = table.groupBy("c").agg(F.sum("k").alias("s"), F.sum(F.col("own") + F.col("loop")).alias("i"), F.count_if(F.col("gain") > GAIN).alias("n"))
+        now, n = spread.agg(F.sum(F.col("i") / total - (F.col("s") / total) * (F.col("s") / total)), F.sum("n")).first()
+        if high is None or now > high + RAISED:
+            first = high is None
+            unspool(*([] if first else [best]))
+            best, high, movers, share = table, now, n, min(MOVING, 2 * max(share, LEAST_MOVING))
+        else:
+            unspool(table)
+            share = share / 2 if share > 0 else None
+        if not movers or share is None:
+            unspool(*([best] if first else []))
+            return None if first else best
+        if share < LEAST_MOVING:  # one node alone
+            share = 0
+            one = best.agg(F.max_by("v", F.struct("gain", -F.col("v")))).first()[0]
+            chosen = F.col("v") == one
+        else:
+            chosen = (F.col("gain") > GAIN) & (F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) < int(share * (1 << 20)))
+        state = best.select("v", "loop", "k", F.when(chosen, F.col("to")).otherwise(F.col("c")).alias("c"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:

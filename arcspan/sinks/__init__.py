@@ -35,7 +35,9 @@ def spool(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df)}/spool-{uuid.uuid4().hex}"
     atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.spooled = path
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -46,10 +48,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def unspool(df: DataFrame) -> None:
-    """Remove a table that `spool` wrote and that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/spool-" in path:
+def unspool(*tables: DataFrame) -> None:
+    """Remove tables that `spool` returned and that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "spooled", None):
             _remove(df.sparkSession, path)
 
 
@@ -146,7 +148,9 @@ def export_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def report(metrics: DataFrame, title: str, most: int = 1_000) -> str:
-    """A small table of metrics as Markdown."""
-    rows = metrics.limit(most).collect()
+    """A small table of metrics as Markdown; one of more than `most` rows raises ValueError."""
+    rows = metrics.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write the table as Parquet")
     head = "| " + " | ".join(metrics.columns) + " |\n|" + "---|" * len(metrics.columns) + "\n"
     return f"# {title}\n\n{head}" + "".join("| " + " | ".join(str(v) for v in r) + " |\n" for r in rows)
