@@ -15,15 +15,19 @@ n AS (SELECT CASE detector WHEN 'IDENTITY' THEN 'user:' WHEN 'OT' THEN 'plc:' EL
  UNION ALL SELECT CASE WHEN detector IN ('NETWORK', 'IDENTITY') THEN 'host:' || target WHEN detector = 'ENDPOINT' THEN 'process:' || target WHEN variable LIKE 'FV%' THEN 'actuator:' || variable ELSE 'sensor:' || variable END, CASE WHEN detector IN ('NETWORK', 'IDENTITY') THEN risk * 0.5 ELSE risk END, severity, us FROM v)"""
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as evidence."""
     e = events(spark, sf_dir)
     top = e.agg(F.max("value").alias("t"))
     kind, k = F.col("event_type"), F.col("k")
     detector = F.when(kind == "error", "ENDPOINT").when(kind == "click", "NETWORK").when(kind == "view", "IDENTITY").when(kind == "signup", "OT")
     severity = F.when(k < 25, "LOW").when(k < 75, "HIGH").otherwise("CRITICAL")
     ks = k.cast("string")
-    ev = e.join(F.broadcast(top)).select(detector.alias("detector"), F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("entity"), F.concat(F.lit("t"), ks).alias("target"), F.concat(F.lit("t"), ks).alias("process"), F.concat(F.when(k % 2 == 0, "FV").otherwise("T"), ks).alias("variable"), (F.col("value") / F.col("t")).alias("risk_score"), F.lit(0.9).alias("confidence"), severity.alias("severity"), "us")
-    return op.extract(ev)
+    return e.join(F.broadcast(top)).select(detector.alias("detector"), F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("entity"), F.concat(F.lit("t"), ks).alias("target"), F.concat(F.lit("t"), ks).alias("process"), F.concat(F.when(k % 2 == 0, "FV").otherwise("T"), ks).alias("variable"), (F.col("value") / F.col("t")).alias("risk_score"), F.lit(0.9).alias("confidence"), severity.alias("severity"), "us")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.extract(evidence_rows(spark, sf_dir))
 
 
 @query(f"WITH {_ROWS} SELECT node_id, round(max(risk), 6) AS risk, CASE max(CASE severity WHEN 'LOW' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END) WHEN 1 THEN 'LOW' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, min(us) AS first_seen, max(us) AS last_seen, count(*) AS observations FROM n GROUP BY node_id")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..sinks import shared_dir
-from .registry import query, table
+from ..streaming import stateful
+from .graph import evidence_rows
+from .registry import ORACLES, events, query, table
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,50 @@ def stream_replay_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", "n", F.round("mean", 4).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("n")), 4).alias("std"))
 
 
+def _in_files(df: DataFrame, files: int = 3) -> DataFrame:
+    """A table as a stream of `files` micro-batches, its rows dealt by hash, so times come in any order."""
+    path = f"{shared_dir(df)}/feed-{uuid.uuid4().hex}"
+    df.repartition(files, F.xxhash64(*df.columns)).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(ORACLES["identity_user_hour_zscores"])
+def stream_replay_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User-hours with scores against each user's history, streamed in several batches."""
+    e = events(spark, sf_dir).select("user_id", "us", "k")
+    out = _replay(stateful.behaviour(_in_files(e), "user_id", "us", "k", "400 days"), "update", e)
+    names = [n for n in stateful.FIELDS if n not in ("window_id", "new_computers", "active_hours")]
+    last = out.groupBy("user", "window_id").agg(F.max_by(F.struct(*names), "_batch").alias("x")).select("user", "window_id", "x.*")
+    return last.withColumns({n: F.round(n, 4) for n in names if n.endswith("_zscore")})
+
+
+def _graph_tables(spark: SparkSession, sf_dir: str) -> stateful.GraphTables:
+    """Evidence streamed into a graph's tables, every batch of it twice, as after a failure."""
+    rows = evidence_rows(spark, sf_dir)
+    tables = stateful.GraphTables(spark, f"{shared_dir(rows)}/graph-{uuid.uuid4().hex}", every=2)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        tables.add(batch, number)
+        tables.add(batch, number)
+
+    root = f"{shared_dir(rows)}/stream-{uuid.uuid4().hex}"
+    _in_files(rows).writeStream.option("checkpointLocation", root).trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    return tables
+
+
+@query(ORACLES["graph_nodes"])
+def stream_replay_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes merged batch by batch."""
+    n = _graph_tables(spark, sf_dir).nodes()
+    return n.select("node_id", F.round("risk", 6).alias("risk"), "severity", "first_seen", "last_seen", "observations")
+
+
+@query(ORACLES["graph_edges"])
+def stream_replay_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges merged batch by batch."""
+    return _graph_tables(spark, sf_dir).edges().select("src", "dst", "occurrence_count", "first_seen", "last_seen", "source_detector")
+
+
 _TTL = 6 * 3_600_000_000
 
 
