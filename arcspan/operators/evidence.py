@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -285,3 +288,30 @@ def route(kind: Column, routes: dict[str, Column]) -> Column:
     for name, adapted in routes.items():
         out = F.when(kind == name, adapted).otherwise(out)
     return out
+
+
+#: What an event without an entity is, by telemetry type (fixed values).
+UNKNOWN = {"network": "unknown-host", "identity": "unknown-user"}
+
+
+def adapt(df: DataFrame, kind: str) -> DataFrame:
+    """Telemetry of a type as what its detector takes: entity_id, timestamp and features.
+
+    `df`: entity_id and timestamp (or without them) and data, the features as they were computed; an
+    event without data is an error.
+    """
+    there = set(df.columns)
+    text = lambda name, default: F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in there else F.lit(default)
+    data = F.coalesce(F.col("data"), F.raise_error(F.lit("an event without data")))
+    return df.select(text("entity_id", UNKNOWN.get(kind, "unknown")).alias("entity_id"), text("timestamp", "").alias("timestamp"), data.alias("features"))
+
+
+def dispatch(df: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]], kind: str = "telemetry_type") -> DataFrame:
+    """Each event to the detector of its type, as `adapt` gives it; all detectors' rows, which have the same columns.
+
+    A type without a detector raises ValueError, before any detector runs.
+    """
+    known = F.coalesce(F.col(kind).isin(list(detectors)), F.lit(False))
+    if unknown := df.filter(~known).select(kind).first():
+        raise ValueError(f"unknown telemetry type: {unknown[0]}")
+    return reduce(DataFrame.unionByName, [detect(adapt(df.filter(F.col(kind) == name), name)) for name, detect in detectors.items()])

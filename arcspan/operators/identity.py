@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks import spool
+from . import series
 
 HOUR_US = 3_600_000_000
 #: Windows of history that a z-score needs; the least deviation that counts; the clip.
@@ -130,3 +131,23 @@ def reset_baselines(df: DataFrame, gone: DataFrame, entity: str) -> DataFrame:
 def baseline_counts(df: DataFrame, entity: str, metric: str) -> DataFrame:
     """How many entities, metrics and baselines there are."""
     return df.agg(F.count_distinct(entity).alias("entities"), F.count_distinct(metric).alias("metrics"), F.count_distinct(entity, metric).alias("baselines"))
+
+
+def masks(scored: DataFrame) -> DataFrame:
+    """`zscores` rows with service_like, low_activity and strong_deviation.
+
+    Like a service account: as busy as the busiest hundredth of hours, yet close to its own history and
+    with few new computers. Low activity: nothing that could stand out. Strong deviation: far above the
+    user's history, or many new computers among several or out of hours.
+    """
+    busy = series.percentiles(scored.select(F.lit(0).alias("_all"), "auth_count"), ["_all"], "auth_count", [0.99]).select(F.col("p")[0].alias("_busy"))  # one row
+    z = lambda name: F.abs(F.col(f"{name}_zscore"))
+    far = F.lit(False)
+    for name in ("auth_count", "unique_computers", "fanout_rate"):
+        far = far | (F.col(f"raw_{name}_zscore") >= 5.0)
+    new, computers, off = F.col("new_computer_ratio"), F.col("unique_computers"), F.col("off_hours") == 1
+    return scored.join(F.broadcast(busy)).withColumns({
+        "service_like": (F.col("auth_count") >= F.col("_busy")) & (z("auth_count") < 2) & (z("unique_computers") < 2) & (new < 0.2),
+        "low_activity": (F.col("auth_count") <= 2) & (computers <= 2) & (new == 0.0) & ~off,
+        "strong_deviation": far | ((new >= 0.5) & (computers >= 5)) | (off & (new >= 0.5)),
+    }).drop("_busy")

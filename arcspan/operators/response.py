@@ -228,3 +228,14 @@ def replay(df: DataFrame, incident: str, order: str, event: str) -> DataFrame:
     """Each incident's state after all its events in order: a fold over its own short history."""
     history = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(event).alias("e"))))
     return df.groupBy(incident).agg(F.aggregate(history, F.lit("OPEN"), lambda s, x: next_state(s, x["e"])).alias("state"), F.count("*").alias("events"))
+
+
+#: States of an incident that a person must look at (fixed values).
+PENDING = ["ACTIVE", "ESCALATED"]
+
+
+def approval_queue(incidents: DataFrame, status: str, score: str, id: str) -> DataFrame:
+    """Incidents that wait for a person, with place: by score, highest first (none counts as 0), then id."""
+    from .evidence import priority_order
+
+    return priority_order(incidents.filter(F.col(status).isin(PENDING)), F.coalesce(F.col(score), F.lit(0)), [id])

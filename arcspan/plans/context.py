@@ -22,16 +22,22 @@ TYPES = {"user": "identity", "process": "endpoint", "plc": "ot", "actuator": "ot
 def neighbourhood(edges: DataFrame, entities: DataFrame, radius: int = RADIUS, most: int = NODES) -> DataFrame:
     """Rows entity, node_id, depth, path: the first `most` nodes within `radius` steps, in either
     direction, nearest first; the path is the smallest of the shortest ones."""
-    pairs = graph.both_ways(edges)
-    start = entities.select("entity", F.col("entity").alias("node_id"), F.lit(0).alias("depth"), F.array("entity").alias("path"))
-    seen = frontier = start
+    # Of what a node leads to, only so many can be among the first: at most `most` smaller ids are new, and as
+    # many seen. So a hub is expanded to a bounded number of rows.
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    pairs = graph.both_ways(edges).withColumn("_n", nearest).filter(F.col("_n") <= 2 * most).drop("_n")
+    seen = frontier = entities.select("entity", F.col("entity").alias("node_id"), F.lit(0).alias("depth"), F.array("entity").alias("path"))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy("depth", "node_id"))
     for step in range(1, radius + 1):
         reached = frontier.join(pairs, F.col("node_id") == F.col("a")).select("entity", F.col("b").alias("node_id"), F.concat("path", F.array("b")).alias("path"))
         new = reached.groupBy("entity", "node_id").agg(F.min("path").alias("path"))
-        frontier = new.join(seen.select("entity", "node_id"), ["entity", "node_id"], "left_anti").select("entity", "node_id", F.lit(step).alias("depth"), "path")
-        seen = seen.unionByName(frontier)
-    place = F.row_number().over(Window.partitionBy("entity").orderBy("depth", "node_id"))
-    return seen.withColumn("_p", place).filter(F.col("_p") <= most).drop("_p")
+        fresh = new.join(seen.select("entity", "node_id"), ["entity", "node_id"], "left_anti").select("entity", "node_id", F.lit(step).alias("depth"), "path")
+        seen = seen.unionByName(fresh).withColumn("_p", place).filter(F.col("_p") <= most)
+        # An entity whose context is full needs no further step.
+        full = seen.filter(F.col("_p") == most).select("entity").distinct()
+        frontier = seen.filter(F.col("depth") == step).drop("_p").join(full, "entity", "left_anti")
+        seen = seen.drop("_p")
+    return seen
 
 
 def related(edges: DataFrame, near: DataFrame, most: int = EDGES) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .operators import evidence
@@ -112,10 +112,14 @@ class Publisher:
 
     def publish_if_valid(self, df: DataFrame) -> int:
         """Rows that meet the contract; the others are counted as refused."""
-        checked = df.withColumn("_e", evidence.errors())
-        good = checked.filter(F.size("_e") == 0).drop("_e")
-        self.refused.append(checked.filter(F.size("_e") > 0).count())
-        return self.publish(good)
+        # Both are counted while the one write reads the rows, so they are of what was written.
+        seen, ok = Observation(), F.size("_e") == 0
+        checked = df.withColumn("_e", evidence.errors()).observe(seen, F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
+        self.sink(checked.filter(ok).drop("_e"))
+        counted = seen.get
+        self.refused.append(counted["bad"])
+        self.published.append(counted["good"])
+        return counted["good"]
 
     def publish_stream(self, df: DataFrame, checkpoint: str):
         """A stream's rows, batch by batch, until the query that is returned is stopped."""

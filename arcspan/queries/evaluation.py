@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as op
+from ..operators import response
 from .registry import events, query, table
 
 _L = "l AS (SELECT toxic AS t, (n_chars % 100) / 100 AS s FROM labels JOIN documents USING (doc_id))"
@@ -93,9 +94,9 @@ def eval_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.value_counts(events(spark, sf_dir), "user_id", 10)
 
 
-@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INT) AS place FROM events")
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'ACTIVE' ELSE 'ESCALATED' END AS status, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 10 != 0 THEN value END, 0) DESC, event_id) AS INT) AS place FROM events WHERE event_type IN ('click', 'error')")
 def approval_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's items, the most urgent first."""
-    from ..operators.evidence import priority_order
-
-    return priority_order(events(spark, sf_dir), F.col("value"), ["event_id"], ["user_id"]).select("user_id", "event_id", "place")
+    """Incidents in a state that needs a person, the most urgent first."""
+    status = F.when(F.col("event_type") == "click", "ACTIVE").when(F.col("event_type") == "error", "ESCALATED").when(F.col("event_type") == "view", "RESOLVED")
+    incidents = events(spark, sf_dir).select("event_id", status.alias("status"), F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("score"))
+    return response.approval_queue(incidents, "status", "score", "event_id").select("event_id", "status", "place")

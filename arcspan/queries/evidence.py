@@ -98,3 +98,15 @@ def evidence_honeypot(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.create_map(F.lit("source_ip"), ip, F.lit("channel"), F.col("event_type"), F.lit("protocol"), F.col("event_type"), F.lit("memo"), F.lit(" "))
     both = F.when(i % 2 == 0, op.normalize_honeypot(payload, "canarytoken")).otherwise(op.normalize_honeypot(payload, "conpot"))
     return events(spark, sf_dir).select("event_id", both.alias("x")).select("event_id", "x.source", "x.severity", "x.entity_id", "x.description")
+
+
+@query("""SELECT 'network' AS detector, CASE WHEN event_id % 7 = 0 THEN 'unknown-host' ELSE 'e' || user_id END AS entity_id, '' AS timestamp, round(value / 1000, 6) AS score FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'identity', CASE WHEN event_id % 7 = 0 THEN 'unknown-user' ELSE 'e' || user_id END, '', round(CAST(json_extract_string(props, '$.k') AS BIGINT) / 100, 6) FROM events WHERE event_type = 'view'""")
+def telemetry_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry of two types, adapted and given to the detector of its type."""
+    e = events(spark, sf_dir).filter("event_type in ('click', 'view')")
+    entity = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("e"), F.col("user_id").cast("string")))
+    data = F.create_map(F.lit("value"), F.col("value"), F.lit("k"), F.col("k").cast("double"))
+    telemetry = e.select(F.when(F.col("event_type") == "click", "network").otherwise("identity").alias("telemetry_type"), entity.alias("entity_id"), data.alias("data"))
+    scored = lambda name, x: lambda df: df.select(F.lit(name).alias("detector"), "entity_id", "timestamp", F.round(x, 6).alias("score"))
+    return op.dispatch(telemetry, {"network": scored("network", F.col("features")["value"] / 1000), "identity": scored("identity", F.col("features")["k"] / 100)})

@@ -267,8 +267,12 @@ def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def eval_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detectors and policy on as many scenarios as there are events (tested on a few)."""
-    return harness.evaluate(harness.scenarios(spark, events(spark, sf_dir).count()))
+    """Detectors and policy on events: their kind and number say what was true and what detectors thought."""
+    e = events(spark, sf_dir)
+    scores = {"network": F.col("value") / 1000, "identity": F.col("k") / 100, "endpoint": F.when(F.col("event_type") == "error", 0.9).otherwise(0.1), "ot": F.when(F.col("k") % 3 != 0, F.col("k") / 200)}
+    made = {f"{d}_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) for d, x in scores.items()} | {f"{d}_confidence": F.lit(0.8) for d in scores}
+    df = e.select((F.col("k") >= 75).cast("int").alias("truth"), F.lit(0).alias("honeypot"), *[x.alias(n) for n, x in made.items()])
+    return harness.evaluate(df.withColumn("diversity", sum((F.coalesce(F.col(f"{d}_score"), F.lit(0.0)) > 0.3).cast("int") for d in scores)))
 
 
 @query("SELECT conv_id, turn FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 20")

@@ -30,21 +30,52 @@ def source_events_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy(F.col("user").cast("long").alias("user_id")).agg(F.count("*").alias("n"), F.sum("time").alias("times"))
 
 
-@query("""WITH n AS (SELECT n_nationkey, n_regionkey FROM nation) SELECT 'node' AS part, CASE n_regionkey % 3 WHEN 0 THEN 'technique' WHEN 1 THEN 'group' ELSE 'x-other' END AS kind, count(*) AS n FROM n GROUP BY 2
-UNION ALL SELECT 'edge', 'uses', count(*) FROM n WHERE n_nationkey > 0 AND n_nationkey % 2 = 1""")
-def source_stix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A knowledge bundle written as JSON and read as nodes and edges; edges to nowhere are left out."""
-    n = table(spark, sf_dir, "nation")
-    k, s = F.col("n_nationkey"), lambda x: x.cast("string")
-    kind = F.when(F.col("n_regionkey") % 3 == 0, "attack-pattern").when(F.col("n_regionkey") % 3 == 1, "intrusion-set").otherwise("x-other")
-    none = F.lit(None).cast("string")
-    item = lambda id, kind, a, b: F.struct(id.alias("id"), kind.alias("type"), F.lit("name").alias("name"), F.when(kind == "relationship", "uses").alias("relationship_type"), a.alias("source_ref"), b.alias("target_ref"))
-    objects = n.select(item(F.concat(F.lit("o"), s(k)), kind, none, none).alias("o")).unionByName(n.filter(k > 0).select(item(F.concat(F.lit("r"), s(k)), F.lit("relationship"), F.concat(F.lit("o"), s(k)), F.when(k % 2 == 1, "o0").otherwise("nowhere")).alias("o")))
+_STIX = """k AS (SELECT p_partkey AS k, p_partkey % 7 AS m FROM part),
+v AS (SELECT k, m, CASE m WHEN 0 THEN 'technique' WHEN 1 THEN 'sub-technique' WHEN 2 THEN 'group' WHEN 3 THEN 'mitigation' WHEN 4 THEN 'tactic' WHEN 5 THEN 'data-source' ELSE 'campaign' END AS type,
+ CASE WHEN m = 4 AND (k % 2 = 0 OR k % 5 = 0) THEN 'short' || k WHEN k % 5 = 0 THEN NULL ELSE 'T' || k END AS external_id FROM k)"""
+
+
+def _bundle(spark: SparkSession, sf_dir: str) -> str:
+    """A knowledge bundle of parts: objects of seven types, other references first, links to the part before."""
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    k, m = F.col("k"), F.col("k") % 7
+    text = lambda head, x=k: F.concat(F.lit(head), x.cast("string"))
+    kinds = ["attack-pattern", "attack-pattern", "intrusion-set", "course-of-action", "x-mitre-tactic", "x-mitre-data-source"]
+    kind = F.lit("campaign")
+    for i, name in enumerate(kinds):
+        kind = F.when(m == i, name).otherwise(kind)
+    own = F.when((m != 4) | (k % 2 == 1), F.when(k % 5 != 0, F.struct(F.lit("mitre-attack").alias("source_name"), text("T").alias("external_id"))))
+    refs = F.array_compact(F.array(F.struct(F.lit("capec").alias("source_name"), text("CAPEC-").alias("external_id")), own))
+    phases = F.when(m < 2, F.array(F.struct(F.lit("impact").alias("phase_name"))))
+    node = F.struct(text("o").alias("id"), kind.alias("type"), text("name ").alias("name"), refs.alias("external_references"), (m == 1).alias("x_mitre_is_subtechnique"), F.when(m == 4, text("short")).alias("x_mitre_shortname"), F.when(m < 2, F.array(F.lit("Linux"), F.lit("Windows"))).alias("x_mitre_platforms"), phases.alias("kill_chain_phases"))
+    link = F.struct(text("r").alias("id"), F.lit("relationship").alias("type"), F.when(m == 1, "subtechnique-of").otherwise("uses").alias("relationship_type"), text("o").alias("source_ref"), F.when(k % 11 == 0, "nowhere").otherwise(text("o", k - 1)).alias("target_ref"))
+    odd = F.struct(text("i").alias("id"), F.when(k % 2 == 0, "identity").alias("type"))
+    objects = F.concat(*[F.array(F.to_json(x)) for x in (node, link, odd)])
     path = _folder(n, "stix")
-    objects.agg(F.to_json(F.struct(F.collect_list("o").alias("objects"))).alias("value")).coalesce(1).write.text(path)  # a bundle of nations
-    nodes, edges = sources.read_stix(spark, path)
-    found = nodes.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n")
-    return found.unionByName(edges.groupBy(F.col("relation").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "kind", "n"))
+    # Each file is a bundle of 500 parts.
+    lines = n.select(F.floor(k / 500).alias("g"), F.explode(objects).alias("o")).groupBy("g").agg(F.concat(F.lit('{"objects": ['), F.array_join(F.collect_list("o"), ", "), F.lit("]}")).alias("value"))
+    lines.select("g", "value").repartition("g").write.partitionBy("g").text(path)
+    return path
+
+
+@query(f"""WITH {_STIX} SELECT 'o' || k AS node_id, external_id, 'name ' || k AS name, type, CASE WHEN m < 2 THEN 'Linux,Windows' ELSE '' END AS platforms, CASE WHEN m < 2 THEN 'impact' ELSE '' END AS phases, CASE WHEN k > (SELECT min(k) FROM v) AND k % 11 != 0 THEN 'o' || (k - 1) END AS linked FROM v""")
+def source_stix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A knowledge bundle written as JSON and read as nodes, each with the one that it is linked to;
+    links to nowhere are left out."""
+    nodes, edges = sources.read_stix(spark, _bundle(spark, sf_dir))
+    found = nodes.join(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("linked")), "node_id", "left")
+    return found.select("node_id", "external_id", "name", "type", F.array_join("platforms", ",").alias("platforms"), F.array_join("phase_names", ",").alias("phases"), "linked")
+
+
+@query(f"""WITH {_STIX}, s AS (SELECT k AS a, k - 1 AS b, CASE WHEN m = 1 THEN 'subtechnique-of' ELSE 'uses' END AS r FROM v WHERE k > (SELECT min(k) FROM v) AND k % 11 != 0),
+u AS (SELECT a, b, r FROM s UNION ALL SELECT b, a, 'reverse-' || r FROM s), w AS (SELECT a AS start, b AS node, 1 AS depth, r FROM u UNION ALL SELECT x.a, y.b, 2, y.r FROM u x JOIN u y ON x.b = y.a AND y.b != x.a),
+c AS (SELECT start, node, depth, r, CASE WHEN type = 'group' THEN 'groups' WHEN type = 'mitigation' THEN 'mitigations' WHEN type = 'campaign' THEN 'campaigns' WHEN type = 'tactic' THEN 'tactics' WHEN type = 'sub-technique' THEN 'subtechniques' WHEN type = 'technique' AND r = 'subtechnique-of' THEN 'parent_technique' END AS category, external_id FROM w JOIN v ON v.k = node)
+SELECT 'o' || start AS start, category, count(*) AS n, string_agg(coalesce(external_id, '-'), ',' ORDER BY depth, external_id NULLS FIRST, node) AS ids FROM c WHERE category IS NOT NULL GROUP BY 1, 2""")
+def stix_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within two steps of each object of a bundle, by category."""
+    nodes, edges = sources.read_stix(spark, _bundle(spark, sf_dir))
+    found = graph.categories(graph.attack_neighbourhood(edges, nodes.select("node_id")), nodes)
+    return found.select("start", "category", F.size("entities").cast("long").alias("n"), F.array_join(F.transform("entities", lambda x: F.coalesce(x["id"], F.lit("-"))), ",").alias("ids"))
 
 
 @query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'T' || n_nationkey END AS title, 'T' || n_nationkey AS document_id, CASE WHEN n_nationkey % 3 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, 'unknown' AS entity_type, '1.0' AS version, 0 AS n_tags FROM nation WHERE n_nationkey != 7")
@@ -176,7 +207,8 @@ def graph_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEFAULTS = {"graph": {"radius": 2, "nodes": 50}, "threshold": 0.5}
 
 
-@query("""SELECT '{"graph": {"radius": 2, "nodes": 50}, "threshold": 0.5}' AS settings""")
+@query("SELECT user_id, count(*) AS n FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 GROUP BY user_id")
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings without a file: the defaults."""
-    return spark.createDataFrame([(json.dumps(sources.load_config("/nowhere/at/all.yaml", DEFAULTS)),)], "settings string")
+    """Events over the threshold of the settings; without a file these are the defaults."""
+    found = sources.load_config("/nowhere/at/all.yaml", DEFAULTS)
+    return events(spark, sf_dir).filter(F.col("k") >= 100 * found["threshold"]).groupBy("user_id").agg(F.count("*").alias("n"))

@@ -212,18 +212,32 @@ def chunks(df: DataFrame, order: list[str], size: int = 10_000) -> DataFrame:
     return placed(df, [F.col(c) for c in order]).withColumn("chunk", F.floor(F.col("_p") / size)).drop("_p", "_p_all")
 
 
-# STIX object types by their short names, and types that are no node.
-STIX_TYPES = {"attack-pattern": "technique", "intrusion-set": "group", "malware": "malware", "tool": "tool", "course-of-action": "mitigation", "campaign": "campaign"}
+# STIX object types by their short names, types that are no node, and sources of an object's own id.
+STIX_TYPES = {"attack-pattern": "technique", "intrusion-set": "group", "course-of-action": "mitigation", "x-mitre-data-source": "data-source", "x-mitre-tactic": "tactic"}
 STIX_SKIPPED = ["relationship", "marking-definition", "identity"]
+STIX_SOURCES = ["mitre-attack", "mitre-mobile-attack"]
 
 
 def read_stix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a STIX bundle; an edge stays if both its ends are nodes."""
+    """Nodes and edges of a STIX bundle; an edge stays if both its ends are nodes.
+
+    Nodes: node_id, external_id (of the first reference to one of `STIX_SOURCES`; a tactic without one has its
+    short name), name, type (a flagged technique is a sub-technique), description, platforms,
+    phase_names. Edges: src, dst, relation. Objects without an id or a type are left out.
+    """
     reference = "array<struct<external_id:string,source_name:string>>"
-    schema = f"objects array<struct<id:string,type:string,name:string,description:string,external_references:{reference},relationship_type:string,source_ref:string,target_ref:string>>"
-    objects = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("objects").alias("o")).select("o.*")
+    own = "x_mitre_is_subtechnique:boolean,x_mitre_shortname:string,x_mitre_platforms:array<string>,kill_chain_phases:array<struct<phase_name:string>>"
+    schema = f"objects array<struct<id:string,type:string,name:string,description:string,external_references:{reference},relationship_type:string,source_ref:string,target_ref:string,{own}>>"
+    objects = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("objects").alias("o")).select("o.*").filter("id is not null and type is not null")
     kinds = F.create_map(*[F.lit(x) for kv in STIX_TYPES.items() for x in kv])
-    nodes = objects.filter(~F.col("type").isin(STIX_SKIPPED)).select(F.col("id").alias("node_id"), F.get(F.col("external_references"), F.lit(0))["external_id"].alias("external_id"), "name", F.coalesce(F.try_element_at(kinds, F.col("type")), F.col("type")).alias("type"), "description")
+    kind = F.when((F.col("type") == "attack-pattern") & F.coalesce("x_mitre_is_subtechnique", F.lit(False)), "sub-technique").otherwise(F.coalesce(F.try_element_at(kinds, F.col("type")), F.col("type")))
+    first = F.get(F.filter("external_references", lambda r: r["source_name"].isin(STIX_SOURCES)), F.lit(0))["external_id"]
+    external = F.when((F.coalesce(first, F.lit("")) == "") & (F.col("type") == "x-mitre-tactic"), F.col("x_mitre_shortname")).otherwise(first)
+    none = F.array().cast("array<string>")
+    nodes = objects.filter(~F.col("type").isin(STIX_SKIPPED)).select(
+        F.col("id").alias("node_id"), external.alias("external_id"), F.coalesce("name", F.lit("")).alias("name"), kind.alias("type"), F.coalesce("description", F.lit("")).alias("description"),
+        F.coalesce("x_mitre_platforms", none).alias("platforms"), F.coalesce(F.transform("kill_chain_phases", lambda x: x["phase_name"]), none).alias("phase_names"),
+    )
     edges = objects.filter("type = 'relationship'").select(F.col("source_ref").alias("src"), F.col("target_ref").alias("dst"), F.col("relationship_type").alias("relation"))
     ids = nodes.select("node_id")
     kept = edges.join(ids, edges["src"] == ids["node_id"], "left_semi").join(ids, F.col("dst") == ids["node_id"], "left_semi")

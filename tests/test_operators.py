@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from arcspan import models, sinks, sources, streaming
 from arcspan.functions import normalize, scoring
 from arcspan.operators import endpoint, evidence, graph, identity, industrial, ledger, network, response, retrieval, sigma
+from arcspan.plans import context
 
 
 def _one(spark, *columns):
@@ -164,9 +166,59 @@ def test_sources(spark, tmp_path):
     (tmp_path / "stix.json").write_text(json.dumps(bundle))
     nodes, edges = sources.read_stix(spark, str(tmp_path / "stix.json"))
     assert nodes.count() == 2 and [tuple(r) for r in edges.collect()] == [("m", "a", "uses")]
+    ref = lambda source, x: {"source_name": source, "external_id": x}
+    objects = [
+        {"type": "attack-pattern", "id": "t", "name": "T", "external_references": [ref("mitre-attack", "T1")], "x_mitre_platforms": ["Linux"], "kill_chain_phases": [{"kill_chain_name": "k", "phase_name": "impact"}]},
+        {"type": "attack-pattern", "id": "s", "name": "S", "x_mitre_is_subtechnique": True, "external_references": [ref("capec", "CAPEC-1"), ref("mitre-attack", "T1.001")]},
+        {"type": "x-mitre-tactic", "id": "c", "name": "C", "x_mitre_shortname": "impact"}, {"type": "x-mitre-data-source", "id": "d", "name": "D"}, {"type": "tool", "id": "x"}, {"type": "tool"}, {"id": "y"},
+        *[{"type": "relationship", "id": f"r{a}{b}", "relationship_type": r, "source_ref": a, "target_ref": b} for a, b, r in (("s", "t", "subtechnique-of"), ("t", "c", "in"), ("x", "s", "uses"))],
+    ]
+    (tmp_path / "types.json").write_text(json.dumps({"objects": objects}))
+    nodes, edges = sources.read_stix(spark, str(tmp_path / "types.json"))
+    got = {r["node_id"]: (r["type"], r["external_id"], r["platforms"], r["phase_names"]) for r in nodes.collect()}
+    assert got == {"t": ("technique", "T1", ["Linux"], ["impact"]), "s": ("sub-technique", "T1.001", [], []), "c": ("tactic", "impact", [], []), "d": ("data-source", None, [], []), "x": ("tool", None, [], [])}
+    start = nodes.filter("node_id = 's'").select("node_id")
+    found = {r["category"]: [e["id"] for e in r["entities"]] for r in graph.categories(graph.attack_neighbourhood(edges, start), nodes).collect()}
+    assert found == {"parent_technique": ["T1"], "tactics": ["impact"], "software": [None]}
     assert sources.load_config(str(tmp_path / "none.yaml"), {"a": {"b": 1}}) == {"a": {"b": 1}}
 
 
+def test_telemetry_goes_to_its_detector(spark):
+    df = spark.createDataFrame([("network", None, [1.0]), ("identity", "u", [2.0]), ("identity", None, [3.0])], "telemetry_type string, entity_id string, data array<double>")
+    named = lambda name: lambda rows: rows.withColumn("by", F.lit(name))
+    both = {"network": named("n"), "identity": named("i")}
+    got = sorted(map(tuple, evidence.dispatch(df, both).collect()))
+    assert got == [("u", "", [2.0], "i"), ("unknown-host", "", [1.0], "n"), ("unknown-user", "", [3.0], "i")]
+    with pytest.raises(ValueError, match="identity"):
+        evidence.dispatch(df, {"network": named("n")})
+    with pytest.raises(Exception, match="without data"):
+        evidence.dispatch(df.withColumn("data", F.lit(None).cast("array<double>")), both).collect()
+
+
+def test_context_of_a_hub_is_bounded(spark):
+    """The first nodes by depth and id, as without a bound on what is expanded; paths are the smallest."""
+    rng = random.Random(0)
+    links = [("hub", f"x{i:03d}") for i in range(150)] + [("e1", "hub"), ("e1", "a"), ("e2", "x005"), ("a", "x149"), ("b", "e2"), ("b", "x003")] + [(f"x{rng.randrange(150):03d}", f"y{i}") for i in range(30)]
+    edges = spark.createDataFrame([(*l, "t") for l in links], "src string, dst string, type string")
+    pairs = {(a, b) for x, y in links for a, b in ((x, y), (y, x))}
+    asked = ["e1", "e2", "hub", "y1"]
+    got = {}
+    for r in context.neighbourhood(edges, spark.createDataFrame([(e,) for e in asked], "entity string"), 3, 12).collect():
+        got.setdefault(r["entity"], []).append((r["depth"], r["node_id"], r["path"]))
+    for e in asked:
+        seen, frontier = {e: (0, [e])}, {e: [e]}
+        for depth in (1, 2, 3):
+            reached = {}
+            for node, path in frontier.items():
+                for a, b in pairs:
+                    if a == node and b not in seen:
+                        reached[b] = min(reached.get(b, [*path, b]), [*path, b])
+            frontier = reached
+            seen |= {n: (depth, p) for n, p in reached.items()}
+        want = sorted((d, n, p) for n, (d, p) in seen.items())[:12]
+        assert sorted(got[e]) == want
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.7)], "k long, v string, s double")
     assert sinks.write_features(df, str(tmp_path / "f")) == {"k": "bigint", "v": "string", "s": "double"}
