@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,3 +216,36 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events over the threshold of the settings; without a file these are the defaults."""
     found = sources.load_config("/nowhere/at/all.yaml", DEFAULTS)
     return events(spark, sf_dir).filter(F.col("k") >= 100 * found["threshold"]).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS ks FROM events GROUP BY 1, 2")
+def source_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as members of archives, one a type, in three formats, read back member by member."""
+    e = events(spark, sf_dir).select("event_id", "event_type", "user_id", "k")
+    root = f"{sinks.shared_dir(e)}/archives-{uuid.uuid4().hex}"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder)
+        part = rows[0]["part"]
+        with store.open_output_stream(f"{folder}/{part}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as archive:
+            for kind in sorted({r["event_type"] for r in rows}):
+                own = [{"id": r["event_id"], "event": {"type": kind, "user": r["user_id"]}, "k": r["k"]} for r in rows if r["event_type"] == kind]
+                if kind == "click":
+                    archive.writestr(f"logs/{kind}.csv", "id,event.type,event.user,k\n" + "".join(f"{r['id']},{kind},{r['event']['user']},{r['k']}\n" for r in own))
+                elif kind == "view":
+                    archive.writestr(f"logs/{kind}.json", json.dumps(own, indent=1))
+                else:
+                    archive.writestr(f"logs/{kind}.ndjson", "".join(json.dumps(r) + "\n" for r in own))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], ["part"])
+
+    # Archives of about a thousand events, one a task, so no task holds more.
+    dealt = e.withColumn("part", F.floor(F.col("event_id") / 1000).cast("long"))
+    groups = dealt.groupBy("part").applyInArrow(lambda table: pa.Table.from_batches(pack(iter(table.to_batches()))), "part long")
+    groups.count()
+    r = F.col("record")
+    back = sources.read_archives(spark, root).filter(F.col("path") == F.concat_ws("::", "archive", "member"))
+    return back.groupBy(r["event.type"].alias("event_type"), r["event.user"].alias("user_id")).agg(F.count("*").alias("n"), F.sum(r["id"].cast("long")).alias("ids"), F.sum(r["k"].cast("long")).alias("ks"))

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import placed
 from ..session import ship
+from .archives import INSIDE, TELEMETRY, ArchiveMembers, flat, records
 
-#: Files of an archive that are telemetry (fixed values).
-TELEMETRY = (".json", ".jsonl", ".ndjson", ".csv", ".yaml", ".yml")
 
 
 def read_parquet_union(spark: SparkSession, paths: list[str], label: str, renamed: dict[str, str] | None = None) -> DataFrame:
@@ -65,71 +64,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, order: str | None =
 
 def parse_telemetry(name: str, text: str) -> list[dict]:
     """The records of one telemetry file's text: a JSON array, JSON lines, CSV or YAML; bad lines go."""
-    low = name.lower()
-    if low.endswith((".yaml", ".yml")):
-        import yaml
-
-        try:
-            found = yaml.safe_load(text)
-        except yaml.YAMLError:
-            return []
-        found = found if isinstance(found, list) else [found]
-    elif low.endswith(".csv"):
-        import csv
-
-        found = list(csv.DictReader(io.StringIO(text)))
-    else:
-        try:
-            found = json.loads(text)
-            found = found if isinstance(found, list) else [found]
-        except ValueError:
-            found = []
-            for line in text.splitlines():
-                try:
-                    found.append(json.loads(line))
-                except ValueError:
-                    continue
-    return [x for x in found if isinstance(x, dict)]
-
-
-def _flat(record: dict) -> dict[str, str]:
-    """A record's plain keys, and dotted ones for what is nested and not null, as strings.
-
-    A plain key with a dot in it is kept before a nested value of the same name.
-    """
-    out: dict[str, str] = {}
-    stack = [("", record)]
-    while stack:
-        prefix, value = stack.pop(0)
-        for k, v in value.items():
-            if isinstance(v, dict):
-                stack.append((f"{prefix}{k}.", v))
-            elif v is not None or not prefix:
-                out.setdefault(prefix + str(k), v if v is None or isinstance(v, str) else json.dumps(v))
-    return out
+    return list(records(name, lambda: io.BytesIO(text.encode())))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (archive, member, record: map of strings) of all telemetry in ZIP archives.
+def read_archives(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """Rows (path, archive, member, record: map of strings) of the telemetry in ZIP archives.
 
-    Archives are read whole by executors, one at a time; members are parsed as they come.
+    `path` is a folder, or one archive, or one member as `archive::member`. Each member is read by a task
+    of its own, as a stream (`archives`); files that are no archive are left out.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, content in zip(frame["path"], frame["content"]):
-                try:
-                    members = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for info in members.infolist():
-                    if info.filename.lower().endswith(TELEMETRY):
-                        rows = parse_telemetry(info.filename, members.read(info).decode("utf-8", "ignore"))
-                        yield pd.DataFrame({"archive": archive, "member": info.filename, "record": [_flat(r) for r in rows]}, index=range(len(rows)))
-
-    return files.mapInPandas(run, "archive string, member string, record map<string,string>")
+    spark.dataSource.register(ArchiveMembers)
+    path, _, inside = path.partition(INSIDE)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path")
+    found = [r.path.replace("file:/", "file:///", 1) if r.path.startswith("file:/") and not r.path.startswith("file://") else r.path for r in files.collect()]
+    reader = spark.read.format("archive_members").option("archives", json.dumps(sorted(found)))
+    return (reader.option("member", inside or member) if inside or member else reader).load()
 
 
 def discover(spark: SparkSession, path: str, pattern: str = "*", segment: str | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def test_windows_of_a_busy_key_and_of_null_keys(spark):
 
 
 def test_aliases_skip_nested_nulls(spark):
-    flat = sources._flat({"process": {"executable": None, "name": "x.exe"}, "Image": None, "a": {"b": {"c": 1}}})
+    flat = sources.flat({"process": {"executable": None, "name": "x.exe"}, "Image": None, "a": {"b": {"c": 1}}})
     assert flat == {"Image": None, "process.name": "x.exe", "a.b.c": "1"}
     get = lambda names, m: _one(spark, normalize.coalesce_alias(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]).cast("map<string,string>"), names))[0]
     assert get(["p.a", "p.b"], {"p.a": None, "p.b": "2"}) == "2" and get(["a", "p.b"], {"a": None, "p.b": "2"}) is None and get(["z"], {"a": "1"}) is None
