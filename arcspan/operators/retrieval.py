@@ -103,29 +103,71 @@ def update_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, go
 TERMS = 1_000_000
 
 
+#: Postings, times k, that a query's rarest terms are taken up to for its first threshold; what scores may differ by.
+LEAD, NEAR = 20, 1e-6
+
+
+def _impact(length: Column, mean: Column) -> Column:
+    """What a posting counts, before its term's weight."""
+    return (K1 + 1) / (1 + K1 * (1 - B + B * length / mean))
+
+
 def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id: str, id: str, k: int, only: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query (query_id, term): rank, score, ties by id.
 
-    Queries are tokenised and written once; of the postings those of their terms are read, first for
-    the document frequencies, then for the scores, with the (counted) side of the queries broadcast.
+    Of the postings only those are scored that can matter. Each term has a bound, the impact of its
+    shortest document. The documents of a query's rarest terms give a first threshold: the k-th best of
+    their scores so far. Terms whose bounds together stay under it can't bring in a document by themselves; so
+    candidates come from the other terms, those that can't reach the threshold are dropped, and the weak
+    terms are looked up for the rest only. Queries are written once, their (counted) side is broadcast.
     `only` (id): the documents that may be hits, which does not change the frequencies.
     """
-    asked = spool(queries.select(query_id, "term").distinct())
-    small = F.broadcast if asked.count() <= TERMS else lambda df: df
-    size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    df = postings.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "term").join(F.broadcast(size)).select(query_id, "term", "mean", idf.alias("_idf"))
     few = postings if "length" in postings.columns else postings.join(lengths, id)
+    marked = _marked_terms(queries, few, lengths, query_id, id, k, only)
     if only is not None:
         few = few.join(only.select(id).distinct(), id, "left_semi")
-    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = few.join(small(weights), "term")
-    scores = hits.groupBy(query_id, id).agg(F.sum(F.col("_idf") * weight).alias("score"))
+    strong = _hits(few, marked.filter("strong"), query_id, id).groupBy(query_id, id).agg(F.sum("part").alias("score"), F.first("weak").alias("weak"), F.first("least").alias("least"))
+    strong = spool(strong.filter(F.col("least").isNull() | (F.col("score") + F.col("weak") >= F.col("least") - NEAR)).select(query_id, id, "score"))
+    # A candidate's weak terms are asked for by document and term, so no other document's postings meet a query.
+    asked = strong.select(query_id, id).join(marked.filter("not strong"), query_id)
+    weak = _scored(few.join(asked, [id, "term"]), query_id, id)
+    scores = strong.unionByName(weak.select(query_id, id, F.col("part").alias("score"))).groupBy(query_id, id).agg(F.sum("score").alias("score"))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id))
     return scores.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _hits(postings: DataFrame, terms: DataFrame, query_id: str, id: str) -> DataFrame:
+    """A row for each query, document and term of both: part, what it adds to the score, and the query's facts."""
+    small = F.broadcast if terms.count() <= TERMS else lambda df: df
+    return _scored(postings.join(small(terms), "term"), query_id, id)
+
+
+def _scored(hits: DataFrame, query_id: str, id: str) -> DataFrame:
+    return hits.select(query_id, id, (F.col("idf") * _impact(F.col("length"), F.col("mean"))).alias("part"), "weak", "least")
+
+
+def _marked_terms(queries: DataFrame, few: DataFrame, lengths: DataFrame, query_id: str, id: str, k: int, only: DataFrame | None) -> DataFrame:
+    """Each query's terms, written: idf, mean length, strong (whether it can bring in documents), weak (what all
+    others can add at most) and least (the score that k documents are known to reach, null if unknown)."""
+    asked = spool(queries.select(query_id, "term").distinct())
+    small = F.broadcast if asked.count() <= TERMS else lambda df: df
+    size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    stats = few.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.min("length").alias("shortest"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    terms = asked.join(stats, "term").join(F.broadcast(size)).withColumn("idf", idf).withColumn("bound", F.col("idf") * _impact(F.col("shortest"), F.col("mean")))
+    by_df = Window.partitionBy(query_id).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    by_bound = Window.partitionBy(query_id).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    terms = terms.withColumns({"before": F.coalesce(F.sum("df").over(by_df), F.lit(0)), "upto": F.sum("bound").over(by_bound), "weak": F.lit(0.0), "least": F.lit(None).cast("double")})
+    terms = spool(terms.select(query_id, "term", "mean", "idf", "bound", "before", "upto", "weak", "least"))
+    allowed = few if only is None else few.join(only.select(id).distinct(), id, "left_semi")
+    first = _hits(allowed, terms.filter(F.col("before") < LEAD * k), query_id, id).groupBy(query_id, id).agg(F.sum("part").alias("score"))
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id))
+    least = first.withColumn("p", place).filter(F.col("p") == k).select(query_id, F.col("score").alias("least"))
+    known = terms.drop("weak", "least").join(least, query_id, "left").withColumn("strong", F.col("least").isNull() | (F.col("upto") >= F.col("least") - NEAR))
+    weak = F.sum(F.when(~F.col("strong"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy(query_id))
+    return spool(known.withColumn("weak", weak).select(query_id, "term", "mean", "idf", "strong", "weak", "least"))
+
+
 def dense(queries: DataFrame, vectors: DataFrame, query_id: str, id: str, vector: str, k: int, most: int = nearest.MOST) -> DataFrame:
     """The k nearest vectors of each query (query_id, q), exactly: rank and squared distance."""
     return nearest.nearest(queries, vectors, query_id, id, vector, k, most)
