@@ -103,8 +103,9 @@ def update_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, go
 TERMS = 1_000_000
 
 
-#: Postings, times k, that a query's rarest terms are taken up to for its first threshold; what scores may differ by.
-LEAD, NEAR = 20, 1e-6
+#: Postings, times k, that a query's rarest terms are taken up to for its first threshold; what scores may differ by;
+#: terms a query (in the mean) beyond which bounds add up to so much that hardly any term is weak.
+LEAD, NEAR, LONG = 20, 1e-6, 12
 
 
 def _impact(length: Column, mean: Column) -> Column:
@@ -123,16 +124,23 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id:
     `only` (id): the documents that may be hits, which does not change the frequencies.
     """
     few = postings if "length" in postings.columns else postings.join(lengths, id)
-    marked = _marked_terms(queries, few, lengths, query_id, id, k, only)
-    if only is not None:
-        few = few.join(only.select(id).distinct(), id, "left_semi")
+    asked = spool(queries.select(query_id, "term").distinct())
+    pairs, many = asked.agg(F.count("*"), F.count_distinct(query_id)).first()
+    terms = _weighed_terms(asked, pairs, few, lengths)
+    allowed = few if only is None else few.join(only.select(id).distinct(), id, "left_semi")
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id))
+    if pairs > LONG * many:
+        plain = terms.withColumns({"weak": F.lit(0.0), "least": F.lit(None).cast("double")})
+        scores = _hits(allowed, plain, query_id, id).groupBy(query_id, id).agg(F.sum("part").alias("score"))
+        return scores.withColumn("rank", place).filter(F.col("rank") <= k)
+    marked, few = _marked_terms(terms, allowed, query_id, id, k), allowed
     strong = _hits(few, marked.filter("strong"), query_id, id).groupBy(query_id, id).agg(F.sum("part").alias("score"), F.first("weak").alias("weak"), F.first("least").alias("least"))
     strong = spool(strong.filter(F.col("least").isNull() | (F.col("score") + F.col("weak") >= F.col("least") - NEAR)).select(query_id, id, "score"))
     # A candidate's weak terms are asked for by document and term, so no other document's postings meet a query.
     asked = strong.select(query_id, id).join(marked.filter("not strong"), query_id)
-    weak = _scored(few.join(asked, [id, "term"]), query_id, id)
+    small = F.broadcast if asked.count() <= TERMS else lambda df: df
+    weak = _scored(few.join(small(asked), [id, "term"]), query_id, id)
     scores = strong.unionByName(weak.select(query_id, id, F.col("part").alias("score"))).groupBy(query_id, id).agg(F.sum("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id))
     return scores.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
@@ -146,21 +154,23 @@ def _scored(hits: DataFrame, query_id: str, id: str) -> DataFrame:
     return hits.select(query_id, id, (F.col("idf") * _impact(F.col("length"), F.col("mean"))).alias("part"), "weak", "least")
 
 
-def _marked_terms(queries: DataFrame, few: DataFrame, lengths: DataFrame, query_id: str, id: str, k: int, only: DataFrame | None) -> DataFrame:
-    """Each query's terms, written: idf, mean length, strong (whether it can bring in documents), weak (what all
-    others can add at most) and least (the score that k documents are known to reach, null if unknown)."""
-    asked = spool(queries.select(query_id, "term").distinct())
-    small = F.broadcast if asked.count() <= TERMS else lambda df: df
+def _weighed_terms(asked: DataFrame, pairs: int, few: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Each query's terms that any document has, written: df, idf, mean length, bound (what a document gets for it at most)."""
+    small = F.broadcast if pairs <= TERMS else lambda df: df
     size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
     stats = few.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.min("length").alias("shortest"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     terms = asked.join(stats, "term").join(F.broadcast(size)).withColumn("idf", idf).withColumn("bound", F.col("idf") * _impact(F.col("shortest"), F.col("mean")))
+    return spool(terms.select(*asked.columns, "df", "mean", "idf", "bound"))
+
+
+def _marked_terms(terms: DataFrame, few: DataFrame, query_id: str, id: str, k: int) -> DataFrame:
+    """`_weighed_terms`, written, with strong (whether a term can bring in documents), weak (what all others can
+    add at most) and least (the score that k documents are known to reach, null if unknown)."""
     by_df = Window.partitionBy(query_id).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     by_bound = Window.partitionBy(query_id).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     terms = terms.withColumns({"before": F.coalesce(F.sum("df").over(by_df), F.lit(0)), "upto": F.sum("bound").over(by_bound), "weak": F.lit(0.0), "least": F.lit(None).cast("double")})
-    terms = spool(terms.select(query_id, "term", "mean", "idf", "bound", "before", "upto", "weak", "least"))
-    allowed = few if only is None else few.join(only.select(id).distinct(), id, "left_semi")
-    first = _hits(allowed, terms.filter(F.col("before") < LEAD * k), query_id, id).groupBy(query_id, id).agg(F.sum("part").alias("score"))
+    first = _hits(few, terms.filter(F.col("before") < LEAD * k), query_id, id).groupBy(query_id, id).agg(F.sum("part").alias("score"))
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id))
     least = first.withColumn("p", place).filter(F.col("p") == k).select(query_id, F.col("score").alias("least"))
     known = terms.drop("weak", "least").join(least, query_id, "left").withColumn("strong", F.col("least").isNull() | (F.col("upto") >= F.col("least") - NEAR))

@@ -39,8 +39,9 @@ def brute(docs, asks, k, only=None):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 5, 2000])
-def test_same_rows(corpus, k):
+@pytest.mark.parametrize("k, long", [(1, 12), (5, 12), (2000, 12), (5, 0)])
+def test_same_rows(corpus, monkeypatch, k, long):
+    monkeypatch.setattr(retrieval, "LONG", long)
     docs, asks, postings, lengths, queries = corpus
     got = {(r["q"], r["rank"]): r["id"] for r in retrieval.bm25(queries, postings, lengths, "q", "id", k).collect()}
     assert got == brute(docs, asks, k)
