@@ -138,13 +138,14 @@ def masks(scored: DataFrame) -> DataFrame:
 
     Like a service account: as busy as the busiest hundredth of hours, yet close to its own history and
     with few new computers. Low activity: nothing that could stand out. Strong deviation: far above the
-    user's history, or many new computers among several or out of hours.
+    user's history, or many new computers among several or out of hours. Scores are compared to nine
+    digits, so one that lies on a limit is on the same side whatever the order of sums.
     """
     busy = series.percentiles(scored.select(F.lit(0).alias("_all"), "auth_count"), ["_all"], "auth_count", [0.99]).select(F.col("p")[0].alias("_busy"))  # one row
-    z = lambda name: F.abs(F.col(f"{name}_zscore"))
+    z = lambda name: F.abs(F.round(F.col(f"{name}_zscore"), 9))
     far = F.lit(False)
     for name in ("auth_count", "unique_computers", "fanout_rate"):
-        far = far | (F.col(f"raw_{name}_zscore") >= 5.0)
+        far = far | (F.round(F.col(f"raw_{name}_zscore"), 9) >= 5.0)
     new, computers, off = F.col("new_computer_ratio"), F.col("unique_computers"), F.col("off_hours") == 1
     return scored.join(F.broadcast(busy)).withColumns({
         "service_like": (F.col("auth_count") >= F.col("_busy")) & (z("auth_count") < 2) & (z("unique_computers") < 2) & (new < 0.2),

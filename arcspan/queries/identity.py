@@ -64,8 +64,8 @@ def identity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_Z}, p AS (SELECT quantile_cont(auth_count, 0.99) AS busy FROM z)
-SELECT "user", window_id, auth_count >= busy AND abs(za) < 2 AND abs(zu) < 2 AND new_computer_ratio < 0.2 AS service_like, auth_count <= 2 AND unique_computers <= 2 AND new_computer_ratio = 0 AND off_hours = 0 AS low_activity,
- za >= 5 OR zu >= 5 OR zf >= 5 OR (new_computer_ratio >= 0.5 AND unique_computers >= 5) OR (off_hours = 1 AND new_computer_ratio >= 0.5) AS strong_deviation FROM z, p""")
+SELECT "user", window_id, auth_count >= busy AND abs(round(za, 9)) < 2 AND abs(round(zu, 9)) < 2 AND new_computer_ratio < 0.2 AS service_like, auth_count <= 2 AND unique_computers <= 2 AND new_computer_ratio = 0 AND off_hours = 0 AS low_activity,
+ round(za, 9) >= 5 OR round(zu, 9) >= 5 OR round(zf, 9) >= 5 OR (new_computer_ratio >= 0.5 AND unique_computers >= 5) OR (off_hours = 1 AND new_computer_ratio >= 0.5) AS strong_deviation FROM z, p""")
 def identity_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User-hours that look like service accounts, have little activity, or deviate strongly."""
     return op.masks(op.zscores(op.user_hours(events(spark, sf_dir)))).select("user", "window_id", "service_like", "low_activity", "strong_deviation")
