@@ -121,13 +121,16 @@ def slots(patterns: list[tuple[list[int], int]]) -> np.ndarray:
 
 
 def pack(df: DataFrame, limit: int = 1024, length: str = "length") -> DataFrame:
-    """`df` with sequence_id and offset: where each row's piece lies."""
+    """`df` with sequence_id and offset: where each row's piece lies. Columns of these names are
+    replaced; others are kept, whatever their names."""
     spark = df.sparkSession
     df = df.drop("sequence_id", "offset")
-    names = df.columns
+    given, names = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    # Within, the caller's columns go by number, so none of them is taken for one of the job's own.
+    df, length = df.toDF(*names), names[[c.lower() for c in given].index(length.lower())]
     kept = Spool(spark).write(df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     by_part = kept.groupBy(F.col(length).alias("_length"), "_part").agg(F.count("*").alias("_n"))
-    counts = {r[0]: r[1] for r in by_part.groupBy("_length").agg(F.sum("_n")).collect()} if df.columns else {}
+    counts = {r[0]: r[1] for r in by_part.groupBy("_length").agg(F.sum("_n")).collect()}
     if any(k is None or not 0 < k <= limit for k in counts):
         raise ValueError("a piece is null, empty or longer than the limit")
     shared = spark.sparkContext.broadcast(slots(plan(counts, limit)))
@@ -146,4 +149,4 @@ def pack(df: DataFrame, limit: int = 1024, length: str = "length") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), pa.array(table[k, 2] + rank - table[k, 1]), pa.array(table[k, 3])], [*names, "sequence_id", "offset"])
 
     schema = kept.select(names).schema.add("sequence_id", "long").add("offset", "long")
-    return map_arrow(ranked.select(*names, "_rank"), place, schema)
+    return map_arrow(ranked.select(*names, "_rank"), place, schema).toDF(*given, "sequence_id", "offset")

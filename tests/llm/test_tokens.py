@@ -162,3 +162,16 @@ def test_packing_of_clashing_names_and_repeated_ids(spark):
     rows = packing.pack(packing.cut(df, JSON)).collect()
     assert sorted((r["doc_id"] or -1) for r in rows) == [-1, 1, 1, 2]
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 4 and len({r["sequence_id"] for r in rows}) == 1
+
+
+def test_packing_keeps_columns_named_like_its_own(spark):
+    names = ["_part", "_row", "_length", "_rank", "_before", "_of", "_n", "c0", "C1", "Offset"]
+    df = spark.createDataFrame([(i, 10 + i % 5, *[f"{n}{i}" for n in names]) for i in range(40)], "doc_id long, length long, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    out = packing.pack(df, 64)
+    assert out.columns == ["doc_id", "length", *names[:-1], "sequence_id", "offset"]
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(40)) and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names[:-1])
+    used = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert used.get(r["sequence_id"], 0) == r["offset"] and r["offset"] + r["length"] <= 64
+        used[r["sequence_id"]] = r["offset"] + r["length"]
