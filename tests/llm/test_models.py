@@ -161,6 +161,68 @@ def test_stirling_numbers():
     assert abs(means[1] / means[0] - 1) < 0.03 and abs(means[3] / means[2] - 1) < 0.02 and abs(means[4] / means[3] - 1) < 0.02
 
 
+def _tables_exactly(c, others, base, d):
+    """Mean and spread of the number of tables, by the recurrence over all customers."""
+    t, now = np.arange(1, c + 1), np.full(c, -np.inf)
+    now[0] = 0.0
+    for k in range(1, c):
+        after = now + np.log(np.maximum(k - t * d, 1e-300))
+        after[1:] = np.logaddexp(after[1:], now[:-1])
+        now = np.where(t <= k + 1, after, -np.inf)
+    log = now + t * np.log(base) + np.cumsum(np.log(pitman_yor.THETA + d * (others + t - 1)))
+    p = np.exp(log - log.max())
+    mean = (p * t).sum() / p.sum()
+    return mean, np.sqrt((p * t * t).sum() / p.sum() - mean**2)
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.75, 0.95])
+def test_tables_of_large_dishes(d):
+    """Draws with rows and without, few tables and thousands, against the recurrence."""
+    rng, n = np.random.default_rng(4), 4_000
+    s = pitman_yor.Seats(d, 10**7)
+    for c, others, base in [(300, 5, 1e-3), (300, 2_000, 0.05), (3_000, 3_000, 0.01), (3_000, 30_000, 0.2), (3_000, 10**6, 0.1)]:
+        mean, spread = _tables_exactly(c, others, base, d)
+        args = np.full(n, float(c)), np.full(n, float(others)), np.full(n, base)
+        for got in (s.draw(args[0].astype(np.int64), *args[1:], rng), s.draw(args[0].astype(np.int64), float(others), base, rng), s._contour(*args, rng, np.arange(n))):
+            assert abs(got.mean() - mean) < 0.005 * mean + 5 * spread / n**0.5, (c, others, base)
+            assert got.min() >= 1 and got.max() <= c and abs(got.std() - spread) < 0.1 * spread + 0.02
+    # More customers than rows tell: the recurrence at 20,000; then the limit, which is negative binomial.
+    mean, _ = _tables_exactly(20_000, 20_000, 0.3, d)
+    assert abs(s.draw(np.full(n, 20_000), np.full(n, 20_000.0), np.full(n, 0.3), rng).mean() / mean - 1) < 0.01
+    for others, base in [(50.0, 0.01), (20_000.0, 0.05)]:
+        if d > 0.5:  # where 10^9 customers are near the limit
+            limit = 1 + (pitman_yor.THETA / d + others + 1) * base / (1 - base)
+            assert abs(s.draw(np.full(n, 10**9), np.full(n, others), np.full(n, base), rng).mean() / limit - 1) < 0.03
+    grown = [s.draw(np.full(n, c), np.full(n, 10**5 * 1.0), np.full(n, 0.5), rng).mean() for c in (10**4, 16_384, 16_385, 10**5, 10**6, 10**7)]
+    assert all(b > a * 0.997 for a, b in zip(grown, grown[1:])) and abs(grown[2] / grown[1] - 1) < 0.003
+
+
+def test_tables_of_a_dish_against_one_customer_after_another():
+    """A Gibbs run that moves single customers, from few tables and from many, meets the draws."""
+    c, others, base, d, rng = 1_500, 5_000, 0.05, 0.75, random.Random(3)
+    got = pitman_yor.Seats(d, c).draw(np.full(4_000, c), np.full(4_000, float(others)), np.full(4_000, base), np.random.default_rng(3)).mean()
+    for start in (10, 1_000):
+        seat, seen = [i % start for i in range(c)], []
+        size = {k: seat.count(k) for k in range(start)}
+        for sweep in range(200):
+            for i in range(c):
+                size[seat[i]] -= 1
+                if not size[seat[i]]:
+                    del size[seat[i]]
+                new = (1 + d * (others + len(size))) * base
+                if rng.random() * (c - 1 - d * len(size) + new) < new:
+                    seat[i] = (sweep, i)
+                else:  # another customer's table, unless the share d that each table gives up is met
+                    while True:
+                        j = rng.randrange(c)
+                        if j != i and rng.random() < 1 - d / size[seat[j]]:
+                            break
+                    seat[i] = seat[j]
+                size[seat[i]] = size.get(seat[i], 0) + 1
+            seen.append(len(size))
+        assert abs(np.mean(seen[80:]) / got - 1) < 0.03
+
+
 def _bigrams(rng):
     texts = []
     for _ in range(70):
