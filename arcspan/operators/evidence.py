@@ -248,16 +248,19 @@ def parse_payload(body: Column, content_type: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
-def received(requests: DataFrame, key: str | None = None, limit: int | None = None) -> DataFrame:
+def received(requests: DataFrame, key: str | None = None, limit: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Webhook requests (id, kind, address, us, api_key, content_type, body) as decoy events with the
     status that a receiver answers: 200, 400 (empty or unreadable), 401 (wrong key), 429 (too many).
 
-    Requests of an address are limited as `limits.admitted` does; a batch or micro-batch is given its
-    own requests only, so a stream's limit is one of each batch.
+    Requests of an address are limited as `limits.admitted` does. `earlier` (id, address, us) are requests
+    of batches before that passed and count as such; `streaming.stateful.Receiver` keeps them.
     """
     from . import limits
 
-    ok = limits.admitted(requests, "address", "us", "id", limit or limits.BY_ADDRESS[0], limits.BY_ADDRESS[1]).select(F.col("id").alias("_id"), "accepted")
+    judged = requests.select(F.col("id").cast("string").alias("id"), "address", "us")
+    if earlier is not None:  # under ids that no request has, before all others of their time
+        judged = judged.unionByName(earlier.select(F.concat(F.lit("\u0000"), "id").alias("id"), "address", "us"))
+    ok = limits.admitted(judged, "address", "us", "id", limit or limits.BY_ADDRESS[0], limits.BY_ADDRESS[1]).select(F.col("id").alias("_id"), "accepted")
     out = requests.join(ok, F.col("id").cast("string") == F.col("_id"), "left").withColumn("_p", parse_payload(F.col("body"), F.col("content_type")))
     wrong = F.lit(False) if key is None else ~F.col("api_key").eqNullSafe(key)
     status = F.when(~F.coalesce("accepted", F.lit(True)), 429).when(wrong, 401).when(F.col("_p").isNull(), 400).otherwise(200)

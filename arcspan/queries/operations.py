@@ -296,9 +296,13 @@ def top_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT event_id, event_id % 5 AS m, event_type FROM events) SELECT event_id, CASE m WHEN 0 THEN 401 WHEN 1 THEN 400 ELSE 200 END AS status, CASE WHEN m >= 2 THEN 'ip:10.0.0.1' END AS entity_id, CASE WHEN m >= 2 THEN event_type || ' &' END AS channel FROM r""")
 def decoy_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Webhook requests, as JSON and as forms, some without a key or a body."""
+    out = evidence.received(webhook_requests(spark, sf_dir), "secret")
+    return out.select(F.col("id").alias("event_id"), "status", "event.entity_id", "event.channel")
+
+
+def webhook_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each event, each from an address of its own."""
     e, m = events(spark, sf_dir), F.col("event_id") % 5
     channel = F.concat("event_type", F.lit(" &"))
     body = F.when(m == 1, "").when(m == 2, F.to_json(F.struct(channel.alias("channel"), F.lit("10.0.0.1").alias("src_ip")))).otherwise(F.concat(F.lit("src_ip=10.0.0.1&channel="), F.url_encode(channel)))
-    r = e.select(F.col("event_id").alias("id"), F.lit("canarytoken").alias("kind"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("address"), "us", F.when(m != 0, "secret").alias("api_key"), F.when(m == 2, "application/json").otherwise("application/x-www-form-urlencoded").alias("content_type"), body.alias("body"))
-    out = evidence.received(r, "secret")
-    return out.select(F.col("id").alias("event_id"), "status", "event.entity_id", "event.channel")
+    return e.select(F.col("event_id").alias("id"), F.lit("canarytoken").alias("kind"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("address"), "us", F.when(m != 0, "secret").alias("api_key"), F.when(m == 2, "application/json").otherwise("application/x-www-form-urlencoded").alias("content_type"), body.alias("body"))

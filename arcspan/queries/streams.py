@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..sinks import shared_dir
+from ..sources.requests import stream_requests
 from ..streaming import stateful
 from .graph import evidence_rows
+from .operations import webhook_requests
 from .registry import ORACLES, events, query, table
 
 
@@ -88,6 +90,29 @@ def stream_replay_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph_tables(spark, sf_dir).edges().select("src", "dst", "occurrence_count", "first_seen", "last_seen", "source_detector")
 
 
+@query(ORACLES["decoy_webhooks"])
+def stream_replay_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook requests from the files of a receiver, a batch for each of its two visits."""
+    requests = webhook_requests(spark, sf_dir)
+    root = f"{shared_dir(requests)}/stream-{uuid.uuid4().hex}"
+    receiver = stateful.Receiver(spark, f"{root}/out", "secret")
+    middle = requests.agg(F.expr("(min(us) + max(us)) div 2")).first()[0]
+    for k, early in enumerate((F.col("us") <= middle, ~(F.col("us") <= middle))):
+        requests.filter(early).write.json(f"{root}/written-{k}")
+        _moved(spark, f"{root}/written-{k}", f"{root}/in", f"{k}-")
+        stream_requests(spark, f"{root}/in").writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(receiver.add).start().awaitTermination()
+    return receiver.events().select(F.col("id").cast("long").alias("event_id"), "status", "event.entity_id", "event.channel")
+
+
+def _moved(spark: SparkSession, source: str, target: str, prefix: str) -> None:
+    """Moves a folder's data files, as a receiver does with those that are whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(target))
+    for status in files.globStatus(path(f"{source}/part-*")):
+        files.rename(status.getPath(), path(f"{target}/{prefix}{status.getPath().getName()}"))
+
+
 _TTL = 6 * 3_600_000_000
 
 

@@ -1,7 +1,8 @@
-"""State that lasts across micro-batches: seen-sets and histories by key, and graph tables by batch.
+"""State that lasts across micro-batches: seen-sets and histories by key, graph tables and address limits by batch.
 
 `behaviour` keeps its state in Spark's state store (map states and timers of `transformWithState`);
-`GraphTables` keeps a graph as tables in a folder, to which each micro-batch adds what it saw.
+`GraphTables` keeps a graph as tables in a folder, to which each micro-batch adds what it saw; `Receiver` the
+requests that count against an address's limit.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import graph
+from ..operators import evidence, graph, limits
 from ..operators.identity import CLIP, HOUR_US, LEAST_HISTORY, LEAST_STD
 from ..session import ship
 
@@ -182,3 +183,60 @@ class GraphTables:
             nodes, edges = self.nodes(), self.edges()
             nodes.write.mode("overwrite").parquet(f"{self.path}/base-{number}/nodes")
             edges.write.mode("overwrite").parquet(f"{self.path}/base-{number}/edges")
+
+
+class Receiver:
+    """Webhook requests by micro-batch, with address limits that hold across batches.
+
+    A batch's answers and events are written under its number, over whatever an earlier try of it left; then
+    the requests that still count against their address (at most as many as the limit for each) go to
+    a table that the next batch starts from. A batch is a Spark job, so a busy address is folded
+    burst by burst, in many tasks, and not as one key of a state store.
+
+    Batches are judged in their order, requests of a batch in that of their times. An address that had no
+    request for `forget` seconds before the latest one of all is forgotten. Requests without an
+    address or a time are not limited; ids are taken to be unique.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str | None = None, limit: int = limits.BY_ADDRESS[0], forget: int = 86_400):
+        self.spark, self.path, self.key, self.limit, self.forget = spark, path.rstrip("/"), key, limit, forget
+
+    def _files(self) -> tuple:
+        jvm = self.spark.sparkContext._jvm
+        at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _states(self) -> list[int]:
+        """Numbers of the batches whose state is whole and still there, ascending."""
+        files, at = self._files()
+        if not files.exists(at("passed")):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(at("passed"))]
+        return sorted(int(n.split("=")[1]) for n in names if files.exists(at(f"passed/{n}/_SUCCESS")))
+
+    def events(self) -> DataFrame:
+        """All requests so far with status, event and batch."""
+        return self.spark.read.option("basePath", f"{self.path}/events").parquet(f"{self.path}/events/batch=*")
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """A `foreachBatch` function: requests, as `evidence.received` takes them."""
+        states = self._states()
+        last = max((n for n in states if n < number), default=None)
+        if any(n > number for n in states):  # a later batch has begun from this one: its rows are written
+            return
+        earlier = None if last is None else self.spark.read.parquet(f"{self.path}/passed/batch={last}")
+        out = f"{self.path}/events/batch={number}"
+        evidence.received(batch, self.key, self.limit, earlier).write.mode("overwrite").parquet(out)
+        passed = self.spark.read.parquet(out).filter("status != 429 and address is not null and address != '' and us is not null")
+        passed = passed.select(F.col("id").cast("string").alias("id"), "address", F.col("us").cast("long").alias("us"))
+        passed = passed if earlier is None else passed.unionByName(earlier)
+        newest = passed.groupBy("address").agg(F.max("us").alias("_newest"))
+        latest = newest.agg(F.max("_newest")).first()[0]
+        if latest is not None:
+            newest = newest.filter(F.col("_newest") >= latest - self.forget * 1_000_000)
+        counts = passed.join(newest, "address").filter(F.col("us") > F.col("_newest") - limits.BY_ADDRESS[1] * 1_000_000).drop("_newest")
+        counts.write.mode("overwrite").parquet(f"{self.path}/passed/batch={number}")
+        files, at = self._files()
+        for old in states:
+            if last is not None and old < last:  # the last one stays for another try of this batch
+                files.delete(at(f"passed/batch={old}"), True)
