@@ -14,13 +14,14 @@ ENDINGS = {"smb_share": "share.txt", "credential": "credentials.txt", "database"
 
 
 def deploy(requests: DataFrame) -> DataFrame:
-    """Log rows of new decoys (incident_id, decoy_type, placement_node, us): an id by their content.
+    """Log rows of new decoys (incident_id, decoy_type, placement_node, us): an id by their content, of 128 bits,
+    as two of a million decoys would share one of 32.
 
     Missing kinds are a share on the database server, as the ledger expects them.
     """
     kind, node = F.coalesce("decoy_type", F.lit("smb_share")), F.coalesce("placement_node", F.lit("db_server"))
     incident = F.coalesce(F.col("incident_id").cast("string"), F.lit("UNKNOWN"))
-    id = F.concat(F.lit("DECOY-"), F.upper(F.substring(F.sha2(F.concat_ws("|", incident, kind, node, F.col("us").cast("string")), 256), 1, 8)))
+    id = F.concat(F.lit("DECOY-"), F.upper(F.substring(F.sha2(F.concat_ws("|", incident, kind, node, F.col("us").cast("string")), 256), 1, 32)))
     slug = F.regexp_replace(F.lower(F.trim(node)), " ", "_")
     ending = F.lit("notes.txt")
     for k, e in ENDINGS.items():
