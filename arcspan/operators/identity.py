@@ -87,8 +87,11 @@ def temporal_split(hours: DataFrame, share: float = 0.8, order: str = "window_id
 
 
 def reasons(row: DataFrame) -> DataFrame:
-    """`row` (with `zscores`' columns) and the list of reasons that it stands out."""
-    z = lambda name: F.col(f"raw_{name}_zscore")
+    """`row` (with `zscores`' columns) and the list of reasons that it stands out.
+
+    Scores are compared to nine digits, as in `masks`: one that lies on a limit is not above it.
+    """
+    z = lambda name: F.round(F.col(f"raw_{name}_zscore"), 9)
     above = lambda text, x: F.format_string(text, x)
     rules = [
         F.when(F.col("new_computer_ratio") > 0.5, above("%.1f%% of accessed computers are new for this user", F.col("new_computer_ratio") * 100)),
