@@ -249,15 +249,16 @@ def centrality(nodes: DataFrame, edges: DataFrame, error: float = 0.0, pairs: in
     the share of nodes that reach the node. Searches go from many sources at once, a level a round: rows
     (source, node) carry the number of shortest paths forwards, and what depends on a node
     backwards, so each round is a join with the links and an aggregation, and no task holds the graph.
-    Sources are taken in batches of at most `pairs` possible rows; a batch's tables are freed when
-    it is done. With an `error` over 0 only `sources_for` of that error are searched from, chosen by
+    Nodes without a link of their own reach nothing, so they are not searched from. Sources are taken in
+    batches of at most `pairs` possible rows; a batch's tables are freed when it is done. With an `error` over 0 only `sources_for` of that error are searched from, chosen by
     hash of their id, and closeness is an estimate from these.
     """
     ids, links = numbered_links(nodes, edges)
     n = ids.count()
     drawn = sources_for(n, error)
     chosen = ids.select(F.col("v").alias("s")) if drawn == n else ids.orderBy(F.xxhash64("node_id"), "node_id").limit(drawn).select(F.col("v").alias("s"))
-    batches = max(1, -(-drawn * n // pairs))
+    chosen = spool(chosen.join(links.select(F.col("a").alias("s")).distinct(), "s", "left_semi"))
+    batches = max(1, -(-chosen.count() * links.agg(F.count_distinct("b")).first()[0] // pairs))
     sums = [_dependencies(chosen if batches == 1 else chosen.filter(F.pmod(F.xxhash64("s"), F.lit(batches)) == b), links) for b in range(batches)]
     total = reduce(DataFrame.unionByName, sums).groupBy("v").agg(F.sum("b").alias("b"), F.sum("r").alias("r"), F.sum("f").alias("f"))
     scale = (n / drawn if drawn else 1.0) / ((n - 1) * (n - 2)) if n > 2 else 1.0
