@@ -6,6 +6,7 @@ These are plain declarations that Catalyst plans; the same text runs in DuckDB.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .registry import ORACLES, QUERIES, table
 
@@ -53,3 +54,24 @@ def _bound(sql: str) -> str:
 for _name, _sql in SQL.items():
     QUERIES[_name] = _make(_sql)
     ORACLES[_name] = _sql
+
+
+#: Price difference of `rel_join_range`, and the width of its bins, a bit over it.
+_BAND, _BIN = 5, 6
+
+
+def _join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand and size with those that cost up to `_BAND` more.
+
+    Prices are in bins wider than that, so a part's partners are in its own bin or the next one: only rows of two
+    bins meet, and a large brand and size is many keys. Prices that 5 can't change (from 1e18) have no partner.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice").filter(F.abs("p_retailprice") < 1e18)
+    bin, keys = F.floor(F.col("p_retailprice") / _BIN), ["p_brand", "p_size", "_bin"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # rows are many more than their bytes tell: no merging of partitions
+    a = p.select(F.col("p_partkey").alias("a_key"), "p_brand", "p_size", F.col("p_retailprice").alias("_a"), bin.alias("_bin"))
+    b = p.select(F.col("p_partkey").alias("b_key"), "p_brand", "p_size", F.col("p_retailprice").alias("_b"), F.explode(F.array(bin, bin - 1)).alias("_bin"))
+    return a.repartition(parts, *keys).join(b.repartition(parts, *keys).hint("merge"), keys).filter((F.col("_b") > F.col("_a")) & (F.col("_b") < F.col("_a") + _BAND)).select("a_key", "b_key")
+
+
+QUERIES["rel_join_range"] = _join_range
