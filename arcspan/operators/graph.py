@@ -224,11 +224,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     raise ValueError(f"ranks still differ by {away} after {rounds} rounds")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a loop's join: by a shuffle, as broadcasts of every round would add up on the driver."""
+    return df.hint("merge")
+
+
 def numbered_links(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct nodes (node_id, v: a number) and distinct links (a, b: numbers) between them, written."""
     ids = spool(nodes.select("node_id").filter("node_id is not null").distinct().withColumn("v", F.monotonically_increasing_id()))
     ends = lambda name: ids.select(F.col("node_id").alias("_id"), F.col("v").alias(name))
-    pairs = edges.select("src", "dst").distinct().join(ends("a"), F.col("src") == F.col("_id")).drop("_id").join(ends("b"), F.col("dst") == F.col("_id")).drop("_id")
+    pairs = edges.select("src", "dst").distinct().join(_dealt(ends("a")), F.col("src") == F.col("_id")).drop("_id").join(_dealt(ends("b")), F.col("dst") == F.col("_id")).drop("_id")
     return ids, spool(pairs.select("a", "b").filter("a != b").distinct())
 
 
@@ -327,20 +332,20 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     total = near.agg(F.sum("w")).first()[0] or 0.0
     while total:
         degree = near.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k"))
-        start = loops.join(degree, "v", "left").select("v", "loop", (F.coalesce("k", F.lit(0.0)) + F.col("loop")).alias("k"), F.col("v").alias("c"))
+        start = loops.join(_dealt(degree), "v", "left").select("v", "loop", (F.coalesce("k", F.lit(0.0)) + F.col("loop")).alias("k"), F.col("v").alias("c"))
         moved = _local_moves(start, near, total)
         if moved is None:
             break
         own = moved.select("v", "c")
-        of = spool(of.withColumnRenamed("c", "v").join(own, "v").select("node_id", "c"))
-        ends = near.join(own.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(own.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+        of = spool(of.withColumnRenamed("c", "v").join(_dealt(own), "v").select("node_id", "c"))
+        ends = near.join(_dealt(own.select(F.col("v").alias("a"), F.col("c").alias("ca"))), "a").join(_dealt(own.select(F.col("v").alias("b"), F.col("c").alias("cb"))), "b")
         joined = spool(ends.groupBy("ca", "cb").agg(F.sum("w").alias("w")))
         inside = joined.filter("ca = cb").select(F.col("ca").alias("v"), "w").unionByName(moved.select(F.col("c").alias("v"), F.col("loop").alias("w")))
         loops = spool(inside.groupBy("v").agg(F.sum("w").alias("loop")))
         unspool(near, moved)
         near = joined.filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w")
         near.spooled = joined.spooled
-    return of.join(of.groupBy("c").agg(F.min("node_id").alias("community")), "c").select("node_id", "community")
+    return of.join(_dealt(of.groupBy("c").agg(F.min("node_id").alias("community"))), "c").select("node_id", "community")
 
 
 def _local_moves(start: DataFrame, near: DataFrame, total: float) -> DataFrame | None:
@@ -348,11 +353,11 @@ def _local_moves(start: DataFrame, near: DataFrame, total: float) -> DataFrame |
     state, best, high, first, share, movers = spool(start), None, None, True, MOVING, 0
     for turn in numbers():
         sums = state.groupBy("c").agg(F.sum("k").alias("sum"))
-        weights = near.join(state.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), F.col("c").alias("to")).agg(F.sum("w").alias("w"))
-        asked = weights.join(state.select("v", "k", "c"), "v").join(sums.select(F.col("c").alias("to"), F.col("sum").alias("to_sum")), "to")
+        weights = near.join(_dealt(state.select(F.col("v").alias("b"), "c")), "b").groupBy(F.col("a").alias("v"), F.col("c").alias("to")).agg(F.sum("w").alias("w"))
+        asked = weights.join(_dealt(state.select("v", "k", "c")), "v").join(_dealt(sums.select(F.col("c").alias("to"), F.col("sum").alias("to_sum"))), "to")
         here, worth = F.col("to") == F.col("c"), F.col("w") - F.col("k") * F.col("to_sum") / total
         found = asked.groupBy("v").agg(F.max(F.when(~here, F.struct(worth.alias("g"), (-F.col("to")).alias("to")))).alias("_best"), F.max(F.when(here, F.col("w"))).alias("own"))
-        told = state.select("v", "loop", "k", "c").join(found, "v", "left").join(sums, "c")
+        told = state.select("v", "loop", "k", "c").join(_dealt(found), "v", "left").join(_dealt(sums), "c")
         stay = F.coalesce("own", F.lit(0.0)) - F.col("k") * (F.col("sum") - F.col("k")) / total
         table = spool(told.select("v", "loop", "k", "c", F.coalesce("own", F.lit(0.0)).alias("own"), (F.col("_best.g") - stay).alias("gain"), (-F.col("_best.to")).alias("to")))
         unspool(state)
