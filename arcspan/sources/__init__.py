@@ -70,8 +70,8 @@ def parse_telemetry(name: str, text: str) -> list[dict]:
 def read_archives(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
     """Rows (path, archive, member, record: map of strings) of the telemetry in ZIP archives.
 
-    `path` is a folder, or one archive, or one member as `archive::member`. Each member is read by a task
-    of its own, as a stream (`archives`); files that are no archive are left out.
+    `path` is a folder, or one archive, or one member as `archive::member`. Members are read as
+    streams, a large one by a task of its own, small ones by a task for many (`archives`); files that are no archive are left out.
     """
     ship(spark)
     spark.dataSource.register(ArchiveMembers)

@@ -1,7 +1,8 @@
-"""ZIP archives as a Spark data source: each member is a partition of its own, read as a stream.
+"""ZIP archives as a Spark data source: a partition is one large member or many small ones, read as streams.
 
-The driver reads the archives' directories only; a task opens its archive where it lies (a local or shared
-folder, HDFS or an object store, by the URI), seeks to its member and passes its records on in batches.
+The driver reads the archives' directories only, several at once; a task opens its archives where they lie (a
+local or shared folder, HDFS or an object store, by the URI), seeks to its members and passes their records on in
+batches. Small members of many go together up to `TOGETHER` bytes, so tasks follow the input and not the number of files.
 So what a task holds is one batch, however large the archive or the member; what can't be told from
 its beginning (a YAML file, a JSON value over several lines that is no array) is one value and is held whole.
 """
@@ -13,8 +14,9 @@ import io
 import json
 import zipfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from itertools import islice
+from itertools import groupby, islice
 from typing import IO
 
 import pyarrow as pa
@@ -24,6 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Files of an archive that are telemetry (fixed values); records of a batch; characters read at once.
 TELEMETRY = (".json", ".jsonl", ".ndjson", ".csv", ".yaml", ".yml")
 BATCH, PIECE = 1_000, 1 << 16
+#: Bytes of members (uncompressed) that one task reads at most, unless a single one is larger; tasks that smaller
+#: inputs are dealt over; what opening a member counts; archives whose directories are read at a time.
+TOGETHER, SPREAD, OPENING, READERS = 16 << 20, 256, 1 << 16, 16
 #: Between an archive's path and a member's.
 INSIDE = "::"
 
@@ -159,35 +164,47 @@ def opened(uri: str) -> Iterator[zipfile.ZipFile]:
         yield archive
 
 
-class Member(InputPartition):
-    """One member of one archive."""
+class Members(InputPartition):
+    """Members (archive, name) that one task reads."""
 
-    def __init__(self, archive: str, member: str):
-        self.archive, self.member = archive, member
+    def __init__(self, members: list[tuple[str, str]]):
+        self.members = members
 
 
 class _Reader(DataSourceReader):
     def __init__(self, archives: list[str], endings: tuple[str, ...], member: str | None):
         self.archives, self.endings, self.member = archives, endings, member
 
-    def partitions(self) -> list[Member]:
-        out = []
-        for uri in self.archives:
-            try:
-                with opened(uri) as archive:
-                    out += [Member(uri, n) for n in archive.namelist() if n.lower().endswith(self.endings) and self.member in (None, n)]
-            except (zipfile.BadZipFile, pa.ArrowInvalid):  # the latter for files too short to be one
-                continue
+    def _directory(self, uri: str) -> list[tuple[str, str, int]]:
+        """Archive, name and size of the members to read; none of a file that is no archive."""
+        try:
+            with opened(uri) as archive:
+                return [(uri, i.filename, i.file_size) for i in archive.infolist() if i.filename.lower().endswith(self.endings) and self.member in (None, i.filename)]
+        except (zipfile.BadZipFile, pa.ArrowInvalid):  # the latter for files too short to be one
+            return []
+
+    def partitions(self) -> list[Members]:
+        with ThreadPoolExecutor(READERS) as pool:
+            found = [m for some in pool.map(self._directory, self.archives) for m in some]
+        most = min(TOGETHER, sum(size + OPENING for _, _, size in found) // SPREAD)
+        out, held = [], 0
+        for uri, name, size in found:
+            held += size + OPENING
+            if not out or held > most:
+                out.append(Members([]))
+                held = size + OPENING
+            out[-1].members.append((uri, name))
         return out
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
-        with opened(partition.archive) as archive:
-            found = records(partition.member, lambda: archive.open(partition.member))
-            while batch := list(islice(found, BATCH)):
-                n = len(batch)
-                path = f"{partition.archive}{INSIDE}{partition.member}"
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([partition.archive] * n), pa.array([partition.member] * n), pa.array([list(flat(r).items()) for r in batch], kind)], ["path", "archive", "member", "record"])
+        for uri, own in groupby(partition.members, lambda m: m[0]):
+            with opened(uri) as archive:
+                for _, member in own:
+                    found = records(member, lambda: archive.open(member))
+                    while batch := list(islice(found, BATCH)):
+                        n = len(batch)
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{uri}{INSIDE}{member}"] * n), pa.array([uri] * n), pa.array([member] * n), pa.array([list(flat(r).items()) for r in batch], kind)], ["path", "archive", "member", "record"])
 
 
 class ArchiveMembers(DataSource):
