@@ -1,6 +1,6 @@
 """State that lasts across micro-batches: seen-sets and histories by key, graph tables and address limits by batch.
 
-`behaviour` keeps its state in Spark's state store (map states and timers of `transformWithState`);
+`behaviour` keeps its state in Spark's state store (a value a user, and timers, of `transformWithState`);
 `GraphTables` keeps a graph as tables in a folder, to which each micro-batch adds what it saw; `Receiver` the
 requests that count against an address's limit.
 """
@@ -28,69 +28,94 @@ FIELDS = {
 
 
 def against_history(values: list[float | None]) -> list[float]:
-    """Each value's deviation from those before it, as `identity.zscores` has it; nulls don't count."""
-    x = np.array([np.nan if v is None else v for v in values])
-    out = []
-    for i, v in enumerate(x):
-        past = x[:i][~np.isnan(x[:i])]
-        std = past.std() if len(past) >= LEAST_HISTORY else 0.0
-        out.append(0.0 if std < LEAST_STD or np.isnan(v) else float(np.clip((v - past.mean()) / std, -CLIP, CLIP)))
-    return out
+    """Each value's deviation from those before it, as `identity.zscores` has it; nulls don't count.
+
+    By running sums of the values less the first one, so that nothing large cancels.
+    """
+    x = np.array([np.nan if v is None else v for v in values], np.float64)
+    there = ~np.isnan(x)
+    if there.sum() <= LEAST_HISTORY:
+        return [0.0] * len(x)
+    y = np.where(there, x - x[there][0], 0.0)
+    before = lambda v: np.concatenate([[0.0], np.cumsum(v)[:-1]])
+    n = np.maximum(before(there), 1)
+    mean = before(y) / n
+    std = np.sqrt(np.maximum(before(y * y) / n - mean * mean, 0.0))
+    good = there & (before(there) >= LEAST_HISTORY) & (std >= LEAST_STD)
+    return np.where(good, np.clip((y - mean) / np.where(good, std, 1.0), -CLIP, CLIP), 0.0).tolist()
 
 
 class _Behaviour(StatefulProcessor):
-    """One user's computers (with the hour each was first reached) and hours."""
+    """One user's computers (with the hour each was first reached) and hours, read and written as one value."""
+
+    #: What an hour came to, a list for each over the user's hours; an hour that may still get rows keeps its times and computers.
+    KEPT = ("n", "first", "last", "least", "most", "unique", "new", "times", "computers")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "computer string", "first_hour long")
-        # An hour that may still get rows keeps its times and computers, a closed one what they came to.
-        self.hours = handle.getMapState("hours", "hour long", "n long, first long, last long, least double, most double, unique long, new long, times array<long>, computers array<string>")
+        kinds = ["array<long>"] * 3 + ["array<double>"] * 2 + ["array<long>"] * 2 + ["array<array<long>>", "array<array<string>>"]
+        hours = ", ".join(f"{n} {k}" for n, k in zip(self.KEPT, kinds))
+        self.state = handle.getValueState("history", f"hour array<long>, {hours}, computer array<string>, reached array<long>, timer long")
+
+    def _read(self) -> tuple[dict[int, list], dict[str, int], int | None]:
+        """Hours, computers, and when the next hour is to be closed."""
+        held = self.state.get() if self.state.exists() else None
+        if held is None:
+            return {}, {}, None
+        hour, *facts, computer, reached, timer = held
+        return dict(zip(map(int, hour), map(list, zip(*facts)))), dict(zip(computer, map(int, reached))), timer
+
+    def _write(self, known: dict[int, list], reached: dict[str, int], timer: int | None) -> None:
+        """Keeps the state; one timer is for the earliest hour that is open."""
+        ends = [(h + 1) * (HOUR_US // 1000) for h, v in known.items() if v[7] is not None]
+        if ends and (timer is None or min(ends) < timer):
+            timer = min(ends)
+            self.handle.registerTimer(timer)
+        self.state.update((list(known), *map(list, zip(*known.values())), list(reached), list(reached.values()), timer))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         changed: dict[int, tuple[list[int], set[str]]] = {}
         for frame in rows:
-            for hour, part in frame.groupby("hour"):
-                times, computers = changed.setdefault(int(hour), ([], set()))
-                times += part["us"].tolist()
-                computers |= set(part["computer"].dropna())
-        known: dict[int, list] = {int(k[0]): list(v) for k, v in self.hours.iterator()}
-        reached = {k[0]: int(v[0]) for k, v in self.seen.iterator()}
-        dirty, earlier = set(), set()
+            for hour, us, computer in zip(frame["hour"].tolist(), frame["us"].tolist(), frame["computer"].tolist()):
+                times, computers = changed.setdefault(hour, ([], set()))
+                times.append(us)
+                if isinstance(computer, str):
+                    computers.add(computer)
+        known, reached, timer = self._read()
+        dirty: set[int] = set()
         for hour, (times, computers) in changed.items():
             if hour in known and known[hour][7] is None:
                 continue  # closed by the watermark: these rows came too late
             old = known.get(hour)
             all_times, all_computers = sorted(times + list(old[7] if old else [])), sorted(computers | set(old[8] if old else []))
-            gaps = np.diff(all_times) / 1e6
-            known[hour] = [len(all_times), all_times[0], all_times[-1], float(gaps.min()) if len(gaps) else 0.0, float(gaps.max()) if len(gaps) else 0.0, len(all_computers), 0, all_times, all_computers]
+            gaps = [(b - a) / 1e6 for a, b in zip(all_times, all_times[1:])] or [0.0]
+            known[hour] = [len(all_times), all_times[0], all_times[-1], min(gaps), max(gaps), len(all_computers), 0, all_times, all_computers]
             dirty.add(hour)
             for computer in computers:
                 first = reached.get(computer)
                 if first is None or hour < first:
                     reached[computer] = hour
-                    earlier.add(computer)
                     if first is not None:
                         dirty.add(first)
-            if old is None:
-                self.handle.registerTimer((hour + 1) * (HOUR_US // 1000))
         if not dirty:
             return
-        for computer in earlier:
-            self.seen.updateValue((computer,), (reached[computer],))
         for hour in dirty:
             state = known[hour]
             if state[8] is not None:
                 state[6] = sum(reached[c] == hour for c in state[8])
             else:  # closed, and one of its new computers was reached earlier after all
                 state[6] -= 1
-            self.hours.updateValue((hour,), tuple(state))
+        self._write(known, reached, timer)
         yield self._told(key, known, min(dirty))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        hour = expiredTimerInfo.getExpiryTimeInMs() // (HOUR_US // 1000) - 1
-        if self.hours.containsKey((hour,)):
-            self.hours.updateValue((hour,), (*tuple(self.hours.getValue((hour,)))[:7], None, None))
+        known, reached, timer = self._read()
+        past = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        for hour, state in known.items():
+            if (hour + 1) * (HOUR_US // 1000) <= past:
+                state[7] = state[8] = None
+        if known:
+            self._write(known, reached, None if timer is None or timer <= past else timer)
         return iter(())
 
     def _told(self, key, known: dict[int, list], since: int) -> pd.DataFrame:
@@ -114,13 +139,13 @@ def behaviour(df: DataFrame, user: str, us: str, computer: str, late: str) -> Da
     """Each user's hours (user, window_id, ...) with their scores against the user's own history, as rows come, in any order.
 
     A micro-batch gives, for each user that it has rows of, the hours that they change and all later ones,
-    as these have them in their history; the last row of a user and hour holds. Computers that a user has
-    reached and hours are kept as map states; a timer takes the single times and computers of an hour out of
-    the state once the watermark (`late` behind the latest row) has passed it. Rows for an hour that is
+    as these have them in their history; the last row of a user and hour holds. The computers that a user has
+    reached and the hours are one value of the state, read and written once a batch; a timer takes the single
+    times and computers of an hour out of it once the watermark (`late` behind the latest row) has passed it. Rows for an hour that is
     closed are left out. Rows with a null user or time are left out.
     """
     ship(df.sparkSession)
-    # Map states and timers are offered by this store only.
+    # States and timers are offered by this store only.
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = df.filter(F.col(user).isNotNull() & F.col(us).isNotNull()).select(
         F.col(user).alias("user"), F.col(us).cast("long").alias("us"), F.col(computer).cast("string").alias("computer"), F.floor(F.col(us) / HOUR_US).cast("long").alias("hour"), F.timestamp_micros(us).alias("time"),
