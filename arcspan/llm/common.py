@@ -73,11 +73,11 @@ class Spool:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/arcspan-{uuid.uuid4().hex}", 0
         atexit.register(_delete, spark, self.root)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write `df`; the table, read again."""
         self.n += 1
         path, schema = f"{self.root}/{self.n}", df.schema
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         out = self.spark.read.schema(schema).parquet(path)
         out.spooled = path
         return out

@@ -2,56 +2,59 @@
 
 The model. Every word of the training texts, and the beginning of a text, is a context with a
 restaurant of its own; all of these share the root restaurant as their parent, which draws from a
-uniform base. What they serve are symbols: each word with at least 1/`FREQUENT` of all training
-tokens (so at most `FREQUENT` words), the end of a text, and TAIL for all other words. A TAIL word is
-then drawn from a Pitman-Yor restaurant over all TAIL words and one unknown, with a uniform base.
-So the probabilities of all words, the unknown one and the end sum to 1 in every context; a
-context that training never showed is the root.
-
-Counting. Words are counted (combined in tasks). Then each task packs the steps (context, symbol,
-text) of a chunk of texts, sorted, by parts of the contexts: a context once, a pair of context and
-symbol once, and two bytes a token for its text. A context with a large share of all tokens is dealt
-over several parts by its symbols; how large each is, is known from the counts of words. The
-same dealt steps serve the fit and the scores, so texts are not read, nor steps shuffled, again.
+uniform base. What they serve are symbols: every word of the training texts, the end of a text, and one
+unknown word. So the probabilities of all words, the unknown one and the end sum to 1 in every
+context; a context that training never showed is the root.
+
+Counting. Words are counted (combined in tasks). Words with at least 1/`FREQUENT` of all training tokens
+(so at most `FREQUENT` words) are known by number in every task, the rare ones by their hashes. Then
+each task packs the steps (context, symbol, text) of a chunk of texts, sorted, by parts of the contexts: a
+context once, a pair of context and symbol once (with its hash where it is rare), and two bytes a token for
+its text. A context with a large share of all tokens is dealt over several parts by its symbols; how large
+each is, is known from the counts of words. The same dealt steps serve the fit and the scores, so steps
+are not shuffled again.
 
 Fitting. A part holds whole restaurants. They are seated by Gibbs sampling: for each dish the number
 of its tables is drawn from its exact conditional distribution given all others (a Stirling
 number, the concentration's rising factorial and the parent's probability), `BURN` sweeps before
-`KEEP` samples are averaged; Stirling numbers come from rows, or from an integral for dishes of any size. First the parent is the distribution of symbols; tables are summed by symbol, the root
-is seated with them as customers, and then all restaurants are seated again under it. Restaurants that may lie in several parts are seated there apart: their parts take the tables
-elsewhere from the first seating, and the tables of the second are summed before any score.
-The tail restaurant is described by how many words have each count, since its words differ in nothing
-else; of a count's words at most `REPLICAS` are simulated.
+`KEEP` samples are averaged; Stirling numbers come from rows, or from an integral for dishes of any size.
+First the parent is the distribution of symbols; tables are summed by symbol, the root is seated with
+them as customers, and then all restaurants are seated again under it. Restaurants that may lie in several
+parts are seated there apart: their parts take the tables elsewhere from the first seating, and the tables
+of the second are summed before any score. A rare word that no context meets twice has as many tables as
+tokens; where a part has a context that does, it asks for the word's probability in the parent and tells by how
+many its tables are fewer, both by a shuffle by word. Dishes of the root differ in nothing but their
+number of customers, so all those of one number are drawn at once, as a multinomial of their tables.
 
 Scoring. Predictive probabilities are linear in the tables, so their mean over the samples is that of
-the mean tables. A part gives each chunk the sums of its texts' logarithms. Counts of the words
-of less than 1/`FREQUENT` reach a text by a shuffle of one row for each text and such word. Words are
-64-bit hashes throughout.
+the mean tables. A part gives each chunk the sums of its texts' logarithms. For steps to rare words it
+gives the two numbers a and b such that the step's probability is a + b times the word's in the root, and these
+rows meet the word by a shuffle. Words are 64-bit hashes throughout.
 
 The input is read three times and must give the same rows in the same order each time, as Parquet
 files do; an input whose plan shuffles is written to the shared folder first.
 
 Edge cases: null and empty texts are one end token; a row with a null id counts as id "" for the
 fold; repeated rows count and are scored each; without training texts every word has the uniform
-probability over the unknown alone; an empty table gives an empty table; columns other than id
+probability over the unknown and the end; an empty table gives an empty table; columns other than id
 and text are not used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, TaskContext
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import Spool, blobs, groups, map_arrow
 from .shingles import mix, word_hashes
 
-#: Share of the rarest word that is a symbol; sweeps before sampling, samples; words of a count simulated.
-FREQUENT, BURN, KEEP, REPLICAS = 1 << 20, 3, 3, 256
+#: Share of the rarest word that is known by number; sweeps before sampling, samples.
+FREQUENT, BURN, KEEP = 1 << 20, 3, 3
 #: Customers of a dish up to which all sizes, and up to which some, have rows of Stirling numbers; tables of a
 #: row; beyond those, steps of an integral and places that it is taken at.
 EXACT, LARGEST, TABLES, STEPS, WIDTHS, GRID = 128, 16_384, 1_024, 48, 12, 65
@@ -60,7 +63,7 @@ EXACT, LARGEST, TABLES, STEPS, WIDTHS, GRID = 128, 16_384, 1_024, 48, 12, 65
 HELD, CHUNK, CHUNK_TEXTS, PART = 4_000_000, 1_500_000, 1 << 15, 2_000_000
 #: Concentration of all restaurants; the contexts' discount in the first seating, before it is estimated.
 THETA, FIRST = 1.0, 0.75
-#: Different counts of rare words up to which their probabilities are broadcast (16 bytes each).
+#: Different numbers of rare words' customers in the root up to which their probabilities are broadcast (16 bytes each).
 KINDS = 1 << 20
 #: The context of a text's beginning, ranges of symbols that tables are summed by.
 _BEGIN, _RANGES = np.uint64(0x9E3779B97F4A7C15), 32
@@ -94,7 +97,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
 
 
 def _symbols(words: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Symbols of words; `known` ascending; TAIL is len(known)."""
+    """Symbols of words; `known` ascending; a rare word is len(known)."""
     if not len(known):
         return np.zeros(len(words), np.int64)
     at = np.minimum(np.searchsorted(known, words), len(known) - 1)
@@ -106,6 +109,7 @@ def _pack(first: int, words: np.ndarray, owner: np.ndarray, train: np.ndarray, k
     count, tail = len(train), len(known)
     uniq, local = np.unique(words, return_inverse=True)
     symbol = _symbols(uniq, known)
+    symbol = np.where(symbol < tail, symbol, tail + 2 + np.arange(len(uniq)))  # rare words by their place in the chunk
     at = np.arange(len(words)) + owner  # an end stands after each text before
     ends = np.cumsum(np.bincount(owner, minlength=count)) + np.arange(count)
     n = len(words) + count
@@ -113,7 +117,7 @@ def _pack(first: int, words: np.ndarray, owner: np.ndarray, train: np.ndarray, k
     key = np.full(n, len(uniq), np.uint64)
     key[np.minimum(at + 1, n - 1)] = local
     key[np.append(0, ends[:-1] + 1)] = len(uniq)
-    key <<= np.uint64(21)
+    key <<= np.uint64(24)
     key[at] |= symbol[local].astype(np.uint64)
     key[ends] |= np.uint64(tail + 1)
     key <<= np.uint64(16)
@@ -124,30 +128,32 @@ def _pack(first: int, words: np.ndarray, owner: np.ndarray, train: np.ndarray, k
     pair = key >> np.uint64(16)
     start = np.flatnonzero(np.diff(pair, prepend=np.uint64(0xFFFFFFFFFFFFFFFF)))
     times = np.diff(np.append(start, n))
-    frm, to = (pair[start] >> np.uint64(21)).astype(np.int64), (pair[start] & np.uint64((1 << 21) - 1)).astype(np.uint32)
+    frm, to = (pair[start] >> np.uint64(24)).astype(np.int64), (pair[start] & np.uint64((1 << 24) - 1)).astype(np.uint32)
     hashes = np.append(uniq, _BEGIN)
     split = np.ones(len(hashes), np.uint64)
     if len(hot[0]):
         place = np.minimum(np.searchsorted(hot[0], hashes), len(hot[0]) - 1)
         split = np.where(hot[0][place] == hashes, hot[1][place], 1).astype(np.uint64)
-    part = (mix(hashes[frm] + (to % split[frm]) * _ODD) % np.uint64(parts)).astype(np.int64)
+    word = np.where(to > tail + 1, uniq[np.maximum(to.astype(np.int64) - tail - 2, 0)], to) if len(uniq) else to.astype(np.uint64)
+    part = (mix(hashes[frm] + (word % split[frm]) * _ODD) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-    part, frm, to, start, times = part[order], frm[order], to[order], start[order], times[order]
+    part, frm, to, word, start, times = part[order], frm[order], to[order], word[order], start[order], times[order]
     own = (key & np.uint64(0xFFFF)).astype(np.uint16)[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(n)]
     fresh = np.ones(len(part), bool)
     fresh[1:] = (part[1:] != part[:-1]) | (frm[1:] != frm[:-1])
     begin = np.flatnonzero(fresh)
     held = np.diff(np.append(begin, len(part))).astype(np.uint32)
-    pairs, contexts, steps = (np.bincount(part, weights=w, minlength=parts).astype(np.int64) for w in (None, fresh, times))
-    some = pairs > 0
+    rare = to > tail + 1
+    pairs, contexts, steps, rares = (np.bincount(part, weights=w, minlength=parts).astype(np.int64) for w in (None, fresh, times, rare))
+    some, to = pairs > 0, np.where(rare, np.uint32(tail), to)
     planes = [(to >> np.uint32(8 * k)).astype(np.uint8) for k in range(3)]
     columns = [pa.array(np.flatnonzero(some).astype(np.int32)), pa.array(np.full(int(some.sum()), first)), blobs(hashes[frm[begin]], contexts[some]), blobs(held, contexts[some])]
-    columns += [blobs(x, pairs[some]) for x in (*planes, times.astype(np.uint32))] + [blobs(own, steps[some])]
-    return pa.RecordBatch.from_arrays(columns, ["part", "chunk", "u", "held", "w0", "w1", "w2", "times", "own"])
+    columns += [blobs(x, pairs[some]) for x in (*planes, times.astype(np.uint32))] + [blobs(own, steps[some]), blobs(word[rare], rares[some])]
+    return pa.RecordBatch.from_arrays(columns, ["part", "chunk", "u", "held", "w0", "w1", "w2", "times", "own", "rare"])
 
 
-def _deal(docs: DataFrame, known: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """The steps of all texts (text, train) by part; chunks are numbered by their first text."""
+def _deal(docs: DataFrame, known: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> RDD:
+    """The steps of all texts (text, train), keyed and dealt by part; chunks are numbered by their first text."""
     shared = docs.sparkSession.sparkContext.broadcast((known, hot))
     most, most_texts = CHUNK, CHUNK_TEXTS
 
@@ -174,23 +180,53 @@ def _deal(docs: DataFrame, known: np.ndarray, hot: tuple[np.ndarray, np.ndarray]
         if texts:
             yield out()
 
-    schema = "part int, chunk long, u binary, held binary, w0 binary, w1 binary, w2 binary, times binary, own binary"
-    return map_arrow(docs, run, schema).repartitionById(parts, "part")
+    schema = "part int, chunk long, u binary, held binary, w0 binary, w1 binary, w2 binary, times binary, own binary, rare binary"
+    return map_arrow(docs, run, schema).rdd.map(lambda r: (r["part"], r)).partitionBy(parts, _itself)
+
+
+def _itself(part: int) -> int:
+    """Where a part's rows go: all that is keyed by part lies in the same tasks, so it meets without a shuffle."""
+    return part
 
 
 class _Part:
-    """A part's restaurants: its pairs of context and symbol with their counts in training."""
+    """A part's restaurants: its pairs of context and symbol with their counts in training.
 
-    def __init__(self, rows: list[Row]):
+    Symbols from `tail` + 2 on are the part's rare words, in the order of `rare`, their hashes; `root` has the
+    parent's probabilities of those that the part asked for.
+    """
+
+    def __init__(self, found: Iterator[tuple[int, Row]], tail: int):
+        rows, told = [], []
+        for _, row in found:
+            (told if len(row) == 2 else rows).append(row)
         join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
         self.contexts, at = np.unique(join("u", "<u8"), return_inverse=True)
         w = join("w0", np.uint8).astype(np.int64) | (join("w1", np.uint8).astype(np.int64) << 8) | (join("w2", np.uint8).astype(np.int64) << 16)
-        key, of = np.unique((np.repeat(at, join("held", "<u4")) << 21) | w, return_inverse=True)
-        self.u, self.w = key >> 21, key & ((1 << 21) - 1)
+        self.rare, place = np.unique(join("rare", "<u8"), return_inverse=True)
+        w[w == tail] = tail + 2 + place
+        key, of = np.unique((np.repeat(at, join("held", "<u4")) << 32) | w, return_inverse=True)
+        self.u, self.w = key >> 32, key & ((1 << 32) - 1)
         own = join("own", "<u2")
-        self.rows, self.steps = rows, [len(r["own"]) // 2 for r in rows]
+        self.rows, self.steps, self.tail = rows, [len(r["own"]) // 2 for r in rows], tail
         self.own, self.pair = own >> 1, np.repeat(of, join("times", "<u4"))
         self.c = np.bincount(self.pair, weights=own & 1, minlength=len(key)).astype(np.int64)
+        self.root = np.ones(len(self.rare))
+        for h, p in told:
+            self.root[np.searchsorted(self.rare, np.frombuffer(h, "<u8"))] = np.frombuffer(p, "<f8")
+
+    def base(self, symbols: np.ndarray) -> np.ndarray:
+        """The parent's probability of each pair's symbol (1 for rare words that were not asked for)."""
+        return np.concatenate([symbols, self.root])[self.w]
+
+    def rare_sums(self, x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the rare words among some pairs, and their sums of `x`."""
+        at, of = np.unique(self.w[rows] - self.tail - 2, return_inverse=True)
+        return self.rare[at], np.bincount(of, x[rows], len(at))
+
+    def repeated(self) -> np.ndarray:
+        """The pairs of a rare word that training has more than once: only they can share a table."""
+        return np.flatnonzero((self.w > self.tail + 1) & (self.c > 1))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -226,11 +262,12 @@ class Seats:
             after[1:] = np.logaddexp(after[1:], now[:-1])
             now = np.where(t <= c + 1, after, -np.inf)
 
-    def draw(self, c: np.ndarray, others: np.ndarray | float, base: np.ndarray | float, rng: np.random.Generator) -> np.ndarray:
+    def draw(self, c: np.ndarray, others: np.ndarray | float, base: np.ndarray | float, rng: np.random.Generator, times: np.ndarray | None = None) -> np.ndarray:
         """Tables of dishes with c customers, each from its conditional distribution given the number of
         the restaurant's other tables and the parent's probability of the dish (either may be one
-        number for all)."""
-        out = np.minimum(c, 1).astype(np.int64)
+        number for all). With `times` c are different numbers, there are so many dishes of each, all are
+        drawn, and their mean tables told."""
+        out = np.minimum(c, 1).astype(np.int64 if times is None else np.float64)
         row = np.searchsorted(self.sizes, c)
         alike = np.ndim(others) == 0 and np.ndim(base) == 0
         beyond = [np.flatnonzero(row == len(self.sizes))]
@@ -249,8 +286,11 @@ class Seats:
                     log[:, there] -= (np.log(size / n) / np.log(size / self.sizes[k - 1]))[:, None] * (this[there] - less[there])
                     log[j >= n[:, None]] = -np.inf
                 p = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
-                u = rng.random(len(some)) * p[:, -1]
-                out[some] = 1 + (np.searchsorted(p[0], u) if alike else (p < u[:, None]).sum(1))
+                if times is None:
+                    u = rng.random(len(some)) * p[:, -1]
+                    out[some] = 1 + (np.searchsorted(p[0], u) if alike else (p < u[:, None]).sum(1))
+                else:
+                    out[some] = 1 + rng.multinomial(times[some[0]], np.diff(p[0], prepend=0.0) / p[0, -1]) @ j / times[some[0]]
                 if tables < size:  # a row that breaks off where tables are still likely
                     beyond.append(some[np.broadcast_to(p[:, -1] - p[:, -2] > 1e-9 * p[:, -1], len(some))])
         rows = np.concatenate(beyond)
@@ -259,7 +299,11 @@ class Seats:
             for first in range(0, len(lead), 64):
                 some, here = rows[lead[first : first + 64]], np.flatnonzero((of >= first) & (of < first + 64))
                 n, b, o = (np.broadcast_to(x, len(c))[some].astype(np.float64) for x in (c, base, others))
-                out[rows[here]] = self._contour(n, o, b, rng, of[here] - first)
+                if times is None:
+                    out[rows[here]] = self._contour(n, o, b, rng, of[here] - first)
+                else:
+                    drawn = self._contour(n, o, b, rng, np.repeat(np.arange(len(some)), times[some]))
+                    out[some] = np.add.reduceat(drawn, np.cumsum(times[some]) - times[some]) / times[some]
         return out
 
     def _contour(self, c: np.ndarray, others: np.ndarray, base: np.ndarray, rng: np.random.Generator, of: np.ndarray) -> np.ndarray:
@@ -309,7 +353,7 @@ class Seats:
         log[~inside] = -np.inf
         p = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
         x = rng.random(len(of)) * p[of, -1]
-        k = (p[of] < x[:, None]).sum(1)
+        k = np.concatenate([(p[of[i : i + 100_000]] < x[i : i + 100_000, None]).sum(1) for i in range(0, len(of), 100_000)])
         before = np.where(k > 0, p[of, k - 1], 0.0)
         over = (x - before) / (p[of, k] - before)
         drawn = at[of, k] + np.where(step[of] > 1, (over - 0.5) * step[of], 0.0)
@@ -344,40 +388,31 @@ def predictive(c: np.ndarray, tables: np.ndarray, customers: np.ndarray, all_tab
     return (c - d * tables + (THETA + d * all_tables) * base) / (THETA + customers)
 
 
-def fit_root(c: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Averaged probabilities of all symbols in the root, whose customers are the tables below."""
-    rng, base = np.random.default_rng(seed), 1 / max(len(c), 1)
-    c = np.maximum(np.rint(c), 0).astype(np.int64)
-    seats = Seats(discount(c[c > 0]), int(c.max(initial=0)))
-    t, total = np.minimum(c, 1).astype(np.int64), np.zeros(len(c))
+def fit_counts(c: np.ndarray, words: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Averaged probabilities in the root of a dish with c[i] customers (all different), where words[i] dishes have so many."""
+    rng, kinds, n = np.random.default_rng(seed), int(words.sum()), int((c * words).sum())
+    seats = Seats(discount(c[c > 0], words[c > 0]), int(c.max(initial=0)))
+    mean, p = np.minimum(c, 1).astype(float), np.zeros(len(c))
     for sweep in range(BURN + KEEP):
-        t = seats.draw(c, float(max(t.sum() - t.mean(), 0)), base, rng)
+        total = float((mean * words).sum())
+        mean = seats.draw(c, max(total - total / max(kinds, 1), 0.0), 1 / max(kinds, 1), rng, words)
         if sweep >= BURN:
-            total += predictive(c, t, c.sum(), t.sum(), base, seats.d)
-    return total / KEEP
+            p += predictive(c, mean, n, (mean * words).sum(), 1 / max(kinds, 1), seats.d)
+    return p / KEEP
+
+
+def fit_root(c: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Averaged probabilities of all symbols in the root, whose customers are the tables below."""
+    counts, of, words = np.unique(np.maximum(np.rint(c), 0).astype(np.int64), return_inverse=True, return_counts=True)
+    return fit_counts(counts, words, seed)[of]
 
 
 def fit_tail(c: np.ndarray, words: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Averaged probabilities of a TAIL word with count c[i] (there are words[i] of them), and of
+    """Averaged probabilities in the root of a word with c[i] > 0 customers (there are words[i] of them), and of
     the unknown word."""
-    rng = np.random.default_rng(seed)
-    n, kinds = int((c * words).sum()), int(words.sum())
-    base = 1 / (kinds + 1)
-    if not kinds:
-        return np.zeros(0), 1.0
-    seats = Seats(discount(c, words), int(c.max()))
-    copies = np.minimum(words, REPLICAS).astype(np.int64)
-    of = np.repeat(np.arange(len(c)), copies)
-    customers, mean = c[of], np.minimum(c, 1).astype(float)
-    p, unknown = np.zeros(len(c)), 0.0
-    for sweep in range(BURN + KEEP):
-        total = float((mean * words).sum())
-        mean = np.bincount(of, seats.draw(customers, max(total - total / kinds, 0.0), base, rng), len(c)) / copies
-        if sweep >= BURN:
-            total = (mean * words).sum()
-            p += predictive(c, mean, n, total, base, seats.d)
-            unknown += predictive(0, 0, n, total, base, seats.d)
-    return p / KEEP, float(unknown / KEEP)
+    counts, of = np.unique(np.append(c, 0), return_inverse=True)
+    p = fit_counts(counts.astype(np.int64), np.bincount(of, np.append(words, 1)).astype(np.int64), seed)[of]
+    return p[:-1], float(p[-1])
 
 
 def _group(part: _Part, hot: np.ndarray) -> np.ndarray:
@@ -398,27 +433,28 @@ def _seated(part: _Part, base: np.ndarray, seats: Seats, k: int, place: np.ndarr
     return mean, np.bincount(part.u, mean, n)
 
 
-def _tables(dealt: RDD, symbols: np.ndarray, hot: tuple[np.ndarray, np.ndarray], seats: Seats, spark: SparkSession, only_hot: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+def _tables(dealt: RDD, symbols: np.ndarray, hot: tuple[np.ndarray, np.ndarray], seats: Seats, spool: Spool, only_hot: bool = False) -> tuple[np.ndarray, np.ndarray, float, DataFrame]:
     """Tables by symbol and by context of `hot` (hashes, tables that lie elsewhere for a part), of a
-    seating under the distribution `symbols`; and the discount that all pairs' counts give.
-    `only_hot`: seat the contexts of `hot` only."""
-    shared, width = spark.sparkContext.broadcast((symbols, seats, *hot)), -(-len(symbols) // _RANGES)
+    seating under the distribution `symbols`; the discount that all pairs' counts give; and rows h, fewer: by how many
+    the tables of rare words are fewer than their tokens. `only_hot`: seat the contexts of `hot` only."""
+    spark, shared, width = spool.spark, spool.spark.sparkContext.broadcast((symbols, seats, *hot)), -(-len(symbols) // _RANGES)
 
-    def run(k: int, rows: Iterator[Row]) -> Iterator[tuple[int, bytearray, bytearray]]:
-        rows = list(rows)
-        if not rows:
-            return
+    def run(k: int, rows: Iterator[tuple[int, Row]]) -> Iterator[tuple[int, bytearray, bytearray]]:
         base, seats, hashes, elsewhere = shared.value
-        part = _Part(rows)
+        part = _Part(rows, len(base) - 2)
+        if not part.rows:
+            return
         place = _group(part, hashes)
-        mean, of = _seated(part, base[part.w], seats, k, place, elsewhere, only_hot)
-        pack = lambda r, i, x: (r, bytearray(np.asarray(i).astype("<i4").tobytes()), bytearray(np.asarray(x).astype("<f8").tobytes()))
+        mean, of = _seated(part, part.base(base), seats, k, place, elsewhere, only_hot)
+        pack = lambda r, i, x, kind="<i4": (r, bytearray(np.asarray(i).astype(kind).tobytes()), bytearray(np.asarray(x).astype("<f8").tobytes()))
         yield pack(_RANGES, place[place >= 0], of[place >= 0])
         if only_hot:
             return
         yield pack(_RANGES + 1, [0, 1], [(part.c == 1).sum(), (part.c == 2).sum()])
-        w, at = np.unique(part.w, return_inverse=True)
-        sums, edges = np.bincount(at, mean), np.searchsorted(w, np.arange(_RANGES + 1) * width)
+        yield pack(_RANGES + 2, *part.rare_sums(part.c - mean, part.repeated()), "<u8")
+        some = part.w < len(base)
+        w, at = np.unique(part.w[some], return_inverse=True)
+        sums, edges = np.bincount(at, mean[some], len(w)), np.searchsorted(w, np.arange(_RANGES + 1) * width)
         for r in np.flatnonzero(np.diff(edges)).tolist():
             yield pack(r, w[edges[r] : edges[r + 1]], sums[edges[r] : edges[r + 1]])
 
@@ -429,36 +465,88 @@ def _tables(dealt: RDD, symbols: np.ndarray, hot: tuple[np.ndarray, np.ndarray],
             i, at = np.unique(i, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([table["r"][0].as_py()], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([np.bincount(at, x).tobytes()], pa.binary())], ["r", "i", "x"])
 
-    found = spark.createDataFrame(dealt.mapPartitionsWithIndex(run), "r int, i binary, x binary")
+    written = spool.write(spark.createDataFrame(dealt.mapPartitionsWithIndex(run), "r int, i binary, x binary"))
+    found = written.filter(F.col("r") != _RANGES + 2)
     rows = map_arrow(found.repartition("r").sortWithinPartitions("r"), add, "r int, i binary, x binary").collect()  # a row a range
     by_symbol, by_context, ones = np.zeros(len(symbols)), np.zeros(len(hot[0])), np.zeros(2)
     for r in rows:
         out = (by_context, ones)[r["r"] - _RANGES] if r["r"] >= _RANGES else by_symbol
         out[np.frombuffer(r["i"], "<i4")] = np.frombuffer(r["x"], "<f8")
-    return by_symbol, by_context, float(np.clip(ones[0] / (ones[0] + 2 * ones[1]), 0.1, 0.95)) if ones[0] else 0.5
+    fewer = map_arrow(written.filter(F.col("r") == _RANGES + 2).select("i", "x"), _opened(["<i8", "<f8"], ["h", "fewer"]), "h long, fewer double")
+    return by_symbol, by_context, float(np.clip(ones[0] / (ones[0] + 2 * ones[1]), 0.1, 0.95)) if ones[0] else 0.5, fewer.groupBy("h").agg(F.sum("fewer").alias("fewer"))
 
 
-def _sums(dealt: RDD, root: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], seats: Seats, spark: SparkSession) -> DataFrame:
-    """Rows r, score: of each text the log10 probability of its symbols; `hot`: contexts that may lie in
-    several parts, their tables elsewhere, their customers, their tables in all."""
-    shared = spark.sparkContext.broadcast((root, seats, *hot))
+#: Spark has no unsigned numbers.
+_WIDER = {"<u2": "<i4", "<u4": "<i8"}
 
-    def run(k: int, rows: Iterator[Row]) -> Iterator[tuple[int, bytearray, bytearray]]:
-        rows = list(rows)
-        if not rows:
-            return
+
+def _opened(kinds: list[str], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of columns of packed numbers, a row a number; columns before them are repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                plain = batch.num_columns - len(kinds)
+                packed = [np.frombuffer(batch.column(plain + i)[k].as_py(), kind).astype(_WIDER.get(kind, kind)) for i, kind in enumerate(kinds)]
+                alike = [np.full(len(packed[0]), batch.column(i)[k].as_py()) for i in range(plain)]
+                for a in range(0, len(packed[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (*alike, *packed)], names)
+
+    return run
+
+
+def _asked(dealt: RDD, tail: int, spool: Spool) -> DataFrame:
+    """Rows part, h: the rare words that a part has repeated pairs of."""
+
+    def run(k: int, rows: Iterator[tuple[int, Row]]) -> Iterator[tuple[int, bytearray]]:
+        part = _Part(rows, tail)
+        rare, _ = part.rare_sums(part.c, part.repeated())
+        if len(rare):
+            yield k, bytearray(rare.tobytes())
+
+    found = spool.write(spool.spark.createDataFrame(dealt.mapPartitionsWithIndex(run), "part long, h binary"))
+    return map_arrow(found, _opened(["<i8"], ["part", "h"]), "part long, h long")
+
+
+def _told(told: DataFrame, dealt: RDD, parts: int) -> RDD:
+    """The dealt steps with what each part asked for: rows part, h, p (the parent's probability)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "part"):
+            h, p = (table[name].to_numpy().tobytes() for name in ("h", "p"))
+            yield pa.RecordBatch.from_arrays([table["part"][:1].combine_chunks(), pa.array([h], pa.binary()), pa.array([p], pa.binary())], ["part", "h", "p"])
+
+    by_part = told.select("part", "h", "p").repartition("part").sortWithinPartitions("part")
+    return dealt.union(map_arrow(by_part, run, "part long, h binary, p binary").rdd.map(lambda r: (r["part"], (r["h"], r["p"]))).partitionBy(parts, _itself))
+
+
+def _sums(dealt: RDD, root: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], seats: Seats, spool: Spool) -> tuple[DataFrame, DataFrame]:
+    """Rows r, score: of each text the log10 probability of its steps to words known by number; and rows r, h, times, a, b: its
+    steps to rare words, whose probability is a + b times that in the root. `hot`: contexts that may lie in several parts,
+    their tables elsewhere, their customers, their tables in all."""
+    shared = spool.spark.sparkContext.broadcast((root, seats, *hot))
+
+    def run(k: int, rows: Iterator[tuple[int, Row]]) -> Iterator[tuple]:
         root, seats, hashes, elsewhere, customers, tables = shared.value
-        part = _Part(rows)
-        place, base = _group(part, hashes), root[part.w]
+        part = _Part(rows, len(root) - 2)
+        if not part.rows:
+            return
+        place, base = _group(part, hashes), part.base(root)
         mean, of = _seated(part, base, seats, k, place, elsewhere)
         of = np.where(place >= 0, tables[place], of)
         c = np.where(place >= 0, customers[place], np.bincount(part.u, part.c, len(part.contexts)))
-        log = np.log10(predictive(part.c, mean, c[part.u], of[part.u], base, seats.d))
+        known, n, all_tables = part.w < len(root), c[part.u], of[part.u]
+        log = np.where(known, np.log10(predictive(part.c, mean, n, all_tables, base, seats.d)), 0.0)
+        a, b = (predictive(x, t, n, all_tables, y, seats.d) for x, t, y in ((part.c, mean, 0.0), (0, 0, 1.0)))
+        pack = lambda x, kind: bytearray(x.astype(kind).tobytes())
         end = np.cumsum(part.steps)
-        for r, a, b in zip(part.rows, end - part.steps, end):
-            sums = np.bincount(part.own[a:b], log[part.pair[a:b]])
-            there = np.flatnonzero(np.bincount(part.own[a:b]))
-            yield r["chunk"], bytearray(there.astype("<u2").tobytes()), bytearray(sums[there].astype("<f4").tobytes())
+        for r, first, last in zip(part.rows, end - part.steps, end):
+            own, pair = part.own[first:last], part.pair[first:last]
+            there = np.flatnonzero(np.bincount(own))
+            rare = ~known[pair]
+            key, times = np.unique(own[rare].astype(np.int64) << 40 | pair[rare], return_counts=True)
+            pair, to = key & ((1 << 40) - 1), part.w[key & ((1 << 40) - 1)] - len(root)
+            yield r["chunk"], pack(there, "<u2"), pack(np.bincount(own, log[part.pair[first:last]])[there], "<f4"), pack(key >> 40, "<u2"), pack(part.rare[to], "<u8"), pack(times, "<u4"), pack(a[pair], "<f4"), pack(b[pair], "<f4")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "chunk"):
@@ -466,8 +554,10 @@ def _sums(dealt: RDD, root: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.nd
             x = np.bincount(own, np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").astype(np.float64))
             yield pa.RecordBatch.from_arrays([pa.array(table["chunk"][0].as_py() + np.arange(len(x))), pa.array(x)], ["r", "score"])
 
-    found = spark.createDataFrame(dealt.mapPartitionsWithIndex(run), "chunk long, own binary, x binary")
-    return map_arrow(found.repartition("chunk").sortWithinPartitions("chunk"), add, "r long, score double")
+    found = spool.write(spool.spark.createDataFrame(dealt.mapPartitionsWithIndex(run), "chunk long, own binary, x binary, text binary, h binary, times binary, a binary, b binary"), "zstd")
+    sums = map_arrow(found.select("chunk", "own", "x").repartition("chunk").sortWithinPartitions("chunk"), add, "r long, score double")
+    steps = map_arrow(found.select("chunk", "text", "h", "times", "a", "b"), _opened(["<u2", "<i8", "<u4", "<f4", "<f4"], ["chunk", "text", "h", "times", "a", "b"]), "chunk long, text int, h long, times long, a float, b float")
+    return sums, steps.select((F.col("chunk") + F.col("text")).alias("r"), "h", "times", "a", "b")
 
 
 def perplexity(scored: DataFrame, where: Column | None = None) -> float:
@@ -495,10 +585,6 @@ def score(df: DataFrame, training: Column, id: str = "doc_id", text: str = "text
     table = counts.filter(F.col("n") * frequent >= tokens).toArrow()  # at most `frequent` rows
     order = np.argsort(table["h"].to_numpy().view(np.uint64))
     known_h, known_n = table["h"].to_numpy().view(np.uint64)[order], table["n"].to_numpy()[order]
-    by_count = counts.filter(F.col("n") * frequent < tokens).groupBy("n").agg(F.count("*").alias("words")).orderBy("n").toArrow()
-    tail_c, tail_words = by_count["n"].to_numpy(), by_count["words"].to_numpy()
-    tail_p, unknown = fit_tail(tail_c, tail_words)
-    tail_log, unknown_log = np.log10(tail_p), float(np.log10(unknown))
     # Contexts with more than half a part's tokens are dealt by symbols; customers of a context are its count.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART))
     large = np.flatnonzero(known_n * 2 * parts > max(tokens, 1))
@@ -506,16 +592,32 @@ def score(df: DataFrame, training: Column, id: str = "doc_id", text: str = "text
     order = np.argsort(hot_h)
     hot_h, hot_n = hot_h[order], hot_n[order]
     pieces = np.maximum(1, -(-hot_n * 2 * parts // max(tokens, 1)))
-    dealt = _deal(docs.select("text", "train"), known_h, (hot_h, pieces), parts).rdd
-    tail = max(int((tail_c * tail_words).sum()), 1)
-    share = np.concatenate([known_n, [tail, max(texts, 1)]]) / (known_n.sum() + tail + max(texts, 1))
+    dealt = _deal(docs.select("text", "train"), known_h, (hot_h, pieces), parts)
+    share = np.concatenate([known_n, [1, max(texts, 1)]]) / (tokens + 1)
+    rare = counts.filter(F.col("n") * frequent < tokens)
+    asked = _asked(dealt, len(known_h), spool)
     # At first a part takes it that the other parts of a context hold a table for every two customers.
     guess = np.where(pieces > 1, hot_n * (1 - 1 / pieces) * 0.5, 0.0)
     most = int(max(known_n.max(initial=1), texts))
-    by_symbol, by_context, d = _tables(dealt, share, (hot_h, guess), Seats(FIRST, most), spark)
-    root, away, seats = fit_root(by_symbol), by_context * (1 - 1 / pieces), Seats(d, most)
-    _, by_context, _ = _tables(dealt, root, (hot_h, away), seats, spark, only_hot=True)
-    sums = _sums(dealt, root, (hot_h, away, hot_n, by_context), seats, spark)
+    asked = spool.write(asked.join(rare.filter("n > 1"), "h").select("part", "h", "n"))
+    first = _told(asked.withColumn("p", F.col("n") / F.lit(tokens + 1.0)), dealt, parts)
+    by_symbol, by_context, d, fewer = _tables(first, share, (hot_h, guess), Seats(FIRST, most), spool)
+    # A rare word's customers in the root (k) are its tokens less those that joined a table, which only words asked for can.
+    joined = spool.write(asked.select("h", "n").distinct().join(fewer, "h", "left").select("h", "n", F.greatest(F.lit(1), F.rint(F.col("n") - F.coalesce("fewer", F.lit(0.0)))).cast("long").alias("k")))
+    by_k = rare.select(F.col("n").alias("k"), F.lit(1).alias("words")).unionByName(joined.select(F.col("n").alias("k"), F.lit(-1).alias("words"))).unionByName(joined.select("k", F.lit(1).alias("words")))
+    by_k = by_k.groupBy("k").agg(F.sum("words").alias("words")).toArrow()
+    by_symbol = np.maximum(np.rint(by_symbol), 0).astype(np.int64)  # nothing is at len(known): the unknown word
+    customers, of = np.unique(np.concatenate([by_symbol, by_k["k"].to_numpy()]), return_inverse=True)
+    words = np.bincount(of, np.append(np.ones(len(by_symbol)), by_k["words"].to_numpy())).astype(np.int64)
+    p = np.zeros(len(words))
+    p[words > 0] = fit_counts(customers[words > 0], words[words > 0])
+    root, rare_p, unknown = p[of[: len(by_symbol)]], p[of[len(by_symbol) :]], float(p[of[len(known_h)]])
+    logs = spark.createDataFrame(list(zip(by_k["k"].to_pylist(), rare_p.tolist())), "k long, p double")
+    logs = F.broadcast(logs) if len(rare_p) <= KINDS else logs
+    dealt = _told(asked.join(joined.select("h", "k"), "h").join(logs, "k").select("part", "h", "p"), dealt, parts)
+    away, seats = by_context * (1 - 1 / pieces), Seats(d, most)
+    _, by_context, _, _ = _tables(dealt, root, (hot_h, away), seats, spool, only_hot=True)
+    sums, steps = _sums(dealt, root, (hot_h, away, hot_n, by_context), seats, spool)
     log_base = float(np.log10(tokens + 0.1 * (types + 1)))
     shared = spark.sparkContext.broadcast((known_h, known_n))
 
@@ -533,34 +635,18 @@ def score(df: DataFrame, training: Column, id: str = "doc_id", text: str = "text
                 n = np.bincount(owner, minlength=count) + 1
                 keys = row + np.arange(count)
                 row += count
-                rare, of = words[~there], owner[~there]
-                order = np.lexsort((rare, of))
-                rare, of = rare[order], of[order]
-                starts = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])[: len(rare)])
-                times = np.diff(np.append(starts, len(rare)))
-                # A row for the text itself, under a hash of its own, then one for each rare word.
-                more = len(starts)
-                ids = pa.concat_arrays([batch.column(0).slice(first, count), pa.nulls(more, batch.column(0).type)])
-                pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(more, kind)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([keys, keys[of[starts]]])), ids, pa.array(np.concatenate([mix(keys.astype(np.uint64)), rare[starts]]).view(np.int64)),
-                    pa.concat_arrays([pa.nulls(count, pa.int64()), pa.array(times.astype(np.int64))]),
-                    pad(n.astype(np.int64), pa.int64()), pad(seen.astype(np.int64), pa.int64()), pad(plain, pa.float64()),
-                ], ["r", "id", "h", "times", "n_tokens", "n_known", "base"])
-
-    schema = "r long, id long, h long, times long, n_tokens long, n_known long, base double"
-    told = map_arrow(docs.select("id", "text"), run, schema)
-    logs = spark.createDataFrame(list(zip(tail_c.tolist(), tail_log.tolist())), "n long, log double")
-    logs = F.broadcast(logs) if len(tail_c) <= KINDS else logs
-    rare = counts.filter(F.col("n") * frequent < tokens).join(logs, "n").select("h", "n", "log")
-    met = told.join(rare, "h", "left").drop("h").withColumn("score", F.lit(None).cast("double"))
-    met = met.unionByName(sums, allowMissingColumns=True)
-    times, n = F.col("times"), F.coalesce("n", F.lit(0))
-    found = met.groupBy("r").agg(
-        F.max("id").alias(id),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(times.isNotNull() & (n > 0), times).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(F.when(times.isNotNull(), times * (F.log10(n + F.lit(0.1)) - log_base)).otherwise(0.0))).alias("base_score"),
-        (F.sum(F.coalesce("score", F.lit(0.0))) + F.sum(F.when(times.isNotNull(), times * F.coalesce("log", F.lit(unknown_log))).otherwise(0.0))).alias("score"),
+                    pa.array(keys), batch.column(0).slice(first, count), pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(plain),
+                ], ["r", "id", "n_tokens", "n_known", "base"])
+
+    told = map_arrow(docs.select("id", "text"), run, "r long, id long, n_tokens long, n_known long, base double")
+    n, times = F.coalesce("n", F.lit(0)), F.col("times")
+    met = steps.join(rare, "h", "left").join(joined.select("h", "k"), "h", "left").withColumn("k", F.coalesce("k", "n")).join(logs, "k", "left").select(
+        "r",
+        F.when(n > 0, times).otherwise(0).alias("n_known"),
+        (times * (F.log10(n + F.lit(0.1)) - log_base)).alias("base"),
+        (times * F.log10(F.col("a") + F.col("b") * F.coalesce("p", F.lit(unknown)))).alias("score"),
     )
+    met = told.unionByName(sums, allowMissingColumns=True).unionByName(met, allowMissingColumns=True)
+    found = met.groupBy("r").agg(F.max("id").alias(id), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return found.select(id, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -266,6 +266,25 @@ def test_language_model_against_one_customer_after_another(spark, monkeypatch, s
     assert 1 < held < 11 and math.isnan(pitman_yor.perplexity(scored.filter("false")))
 
 
+def test_language_model_knows_rare_words_apart(spark):
+    """Each word is a symbol in every context, whatever its share: scores are those of a model that knows all by number."""
+    texts = _bigrams(random.Random(5))
+    df = spark.createDataFrame(list(enumerate([*texts, "w1 new new", "new w1"])), "doc_id long, text string").coalesce(1)
+    few, all_ = ({r["doc_id"]: r for r in pitman_yor.score(df, F.col("doc_id") % 5 != 1, frequent=n).collect()} for n in (2, 1 << 20))
+    for k, r in all_.items():
+        assert abs(few[k]["score"] - r["score"]) < 0.01 * r["n_tokens"] + 0.01, (k, few[k]["score"], r["score"])
+        assert abs(few[k]["base_score"] - r["base_score"]) < 1e-9 and few[k]["n_known"] == r["n_known"]
+
+
+def test_language_model_draws_all_dishes_of_a_number():
+    """As many words as there are take part, not some of them: their mean tables spread by the root of their number."""
+    seats = pitman_yor.Seats(0.5, 20_000)
+    c, words = np.array([2, 50, 20_000]), np.array([1_000_000, 100_000, 3_000])
+    got = np.array([seats.draw(c, 5_000.0, 1e-3, np.random.default_rng(k), words) for k in range(6)])
+    each = np.array([[x.std() for x in [seats.draw(np.full(2_000, n), 5_000.0, 1e-3, np.random.default_rng(9))]][0] for n in c])
+    assert (np.abs(got - got.mean(0)).max(0) < 4 * each / np.sqrt(words)).all() and (got.std(0) > 0).all()
+
+
 def test_pipeline_stage_by_stage(spark, corpus, tmp_path):
     docs, labels = corpus
     again = docs.filter("doc_id in (1, 2)").withColumn("doc_id", F.col("doc_id") + 500)
