@@ -68,34 +68,48 @@ def baselines(df: DataFrame, key: str, value: str, idle_ms: int | None = None) -
     return df.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, mean double, m2 double", "n long, mean double, m2 double", "update", kept)
 
 
-def ttl_dedup(df: DataFrame, key: str, us: str, ttl_us: int = evidence.TTL_US, late: str = "10 minutes") -> DataFrame:
+#: Groups that the keys of a TTL dedup are dealt into; each is one value of the state.
+BUCKETS = 1 << 12
+
+
+def ttl_dedup(df: DataFrame, key: str, us: str, ttl_us: int = evidence.TTL_US, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """First copies only: a copy within the time to live of the key's last first copy is dropped, and
     does not renew it. A row older than that first copy has none before it and is kept.
 
-    State is one time per key. A timer in event time removes it when the watermark (`late` behind
-    the latest row) has passed the time to live, so state is bounded by the keys of that span.
+    State is one time per key, and the keys of a bucket (by hash) are one value: a call for each key costs far more
+    than its rows. A key is removed when the watermark (`late` behind the latest row) has passed the time to
+    live, by a timer in event time or with the bucket's next rows, so state is bounded by the keys of that span.
+    A micro-batch rewrites the buckets that it has rows of; many small ones over many keys want more buckets.
     """
     ship(df.sparkSession)
     names, kinds = df.columns, dict(df.dtypes)
 
     def keep(_k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = {k: (t, until) for k, t, until in zip(*state.get)} if state.exists else {}
+        now, found = state.getCurrentWatermarkMs(), None
+        if not state.hasTimedOut:
+            found = pd.concat(list(frames)).sort_values(us, kind="stable")
+            keys, out = found["_key"].tolist(), []
+            for place, (k, t) in enumerate(zip(keys, found[us].tolist())):
+                anchor = held[k][0] if k in held else None
+                if anchor is None or t - anchor > ttl_us or t < anchor:
+                    held[k] = (t if anchor is None else max(anchor, t), 0)
+                    out.append(place)
+            for k in set(keys):
+                held[k] = (int(held[k][0]), max((int(held[k][0]) + ttl_us) // 1000 + 1, now + 1))
+        held = {k: v for k, v in held.items() if v[1] >= now}
+        if held:
+            state.update((list(held), [t for t, _ in held.values()], [until for _, until in held.values()]))
+            state.setTimeoutTimestamp(max(min(until for _, until in held.values()), now))
+        else:
             state.remove()
-            return
-        anchor = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(us, kind="stable")
-        out = []
-        for place, t in enumerate(rows[us].tolist()):
-            if anchor is None or t - anchor > ttl_us or t < anchor:
-                anchor = t if anchor is None else max(anchor, t)
-                out.append(place)
-        state.update((int(anchor),))
-        state.setTimeoutTimestamp(max((anchor + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[out][names]
+        if found is not None:
+            yield found.iloc[out][names]
 
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    timed = df.withColumn("_event_time", F.timestamp_micros(us)).withWatermark("_event_time", late)
-    return timed.groupBy(key).applyInPandasWithState(keep, schema, "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
+    text = F.col(key) if kinds[key] == "string" else F.to_json(F.struct(key))
+    timed = df.withColumns({"_event_time": F.timestamp_micros(us), "_key": text, "_bucket": F.pmod(F.xxhash64(text), F.lit(buckets))}).withWatermark("_event_time", late)
+    return timed.groupBy("_bucket").applyInPandasWithState(keep, schema, "keys array<string>, anchors array<long>, deadlines array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def approximate_dedup(df: DataFrame, time: str, keys: list[str], ttl: str) -> DataFrame:
