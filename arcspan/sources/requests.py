@@ -3,7 +3,8 @@
 A receiver appends files of JSON lines (a request a line) and gives them names that ascend, such as times;
 it moves a file into the folder when it is whole. An offset is the last name read and how many files the
 folder held up to it, so a restart goes on where the checkpoint says; a file that turns up among those
-already read is an error, not a silent loss. The driver lists names only, tasks read the files.
+already read is an error, not a silent loss. The driver lists names and sizes only, tasks read the files; a large file is
+many tasks, each with the lines that begin in its range of bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ..session import ship
 
 #: Fields of a request; rows of an Arrow batch; files and bytes of a partition.
 FIELDS = ("id", "kind", "address", "us", "api_key", "content_type", "body")
-BATCH, FILES, BYTES = 1_000, 256, 32 << 20
+BATCH, FILES, BYTES = 1_000, 256, 8 << 20
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
@@ -44,10 +45,21 @@ def request(line: str) -> tuple:
 
 
 class Files(InputPartition):
-    """Some of a folder's files, one after the other."""
+    """Some of a folder's files, or a range of a large one, one after the other: path, first byte, byte after the last."""
 
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
+
+
+def lines(f: io.BufferedReader, start: int, end: int) -> Iterator[str]:
+    """The lines that begin in a range of bytes."""
+    at = start
+    if start:  # a line that begins before is another range's
+        f.seek(start - 1)
+        at += len(f.readline()) - 1
+    while at < end and (line := f.readline()):
+        at += len(line)
+        yield line.decode("utf-8", "replace").rstrip("\r\n")
 
 
 class _Stream(DataSourceStreamReader):
@@ -73,19 +85,21 @@ class _Stream(DataSourceStreamReader):
         out, size = [], 0
         for f in found:
             if start["at"] < f.base_name <= end["at"]:
-                if not out or size + f.size > BYTES or len(out[-1].paths) >= FILES:
-                    out.append(Files([]))
-                    size = 0
-                out[-1].paths.append(f.path)
-                size += f.size
+                for low in range(0, max(f.size, 1), BYTES):
+                    high = min(low + BYTES, f.size)
+                    if not out or size + high - low > BYTES or len(out[-1].pieces) >= FILES:
+                        out.append(Files([]))
+                        size = 0
+                    out[-1].pieces.append((f.path, low, high))
+                    size += high - low
         return out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = _at(self.folder)
         kinds = [pa.int64() if name == "us" else pa.string() for name in FIELDS]
-        for path in partition.paths:
-            with store.open_input_file(path) as f, io.TextIOWrapper(io.BufferedReader(f), "utf-8", "replace", newline="\n") as lines:
-                found = (request(line.rstrip("\r\n")) for line in lines if line.strip())
+        for path, start, end in partition.pieces:
+            with store.open_input_file(path) as f, io.BufferedReader(f) as read:
+                found = (request(line) for line in lines(read, start, end) if line.strip())
                 while rows := list(islice(found, BATCH)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list(FIELDS))
 

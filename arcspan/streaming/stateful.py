@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import evidence, graph, limits
 from ..operators.identity import CLIP, HOUR_US, LEAST_HISTORY, LEAST_STD
 from ..session import ship
+from ..sinks import spool, unspool
 
 #: What each user-hour tells; the same columns as those of `identity.user_hours` and `identity.zscores`.
 FIELDS = {
@@ -251,6 +252,7 @@ class Receiver:
             return
         earlier = None if last is None else self.spark.read.parquet(f"{self.path}/passed/batch={last}")
         out = f"{self.path}/events/batch={number}"
+        batch = spool(batch)  # read once, however often it is judged
         evidence.received(batch, self.key, self.limit, earlier).write.mode("overwrite").parquet(out)
         passed = self.spark.read.parquet(out).filter("status != 429 and address is not null and address != '' and us is not null")
         passed = passed.select(F.col("id").cast("string").alias("id"), "address", F.col("us").cast("long").alias("us"))
@@ -261,6 +263,7 @@ class Receiver:
             newest = newest.filter(F.col("_newest") >= latest - self.forget * 1_000_000)
         counts = passed.join(newest, "address").filter(F.col("us") > F.col("_newest") - limits.BY_ADDRESS[1] * 1_000_000).drop("_newest")
         counts.write.mode("overwrite").parquet(f"{self.path}/passed/batch={number}")
+        unspool(batch)
         files, at = self._files()
         for old in states:
             if last is not None and old < last:  # the last one stays for another try of this batch

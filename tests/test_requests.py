@@ -8,6 +8,7 @@ import pytest
 
 from arcspan.operators import evidence
 from arcspan.sinks import shared_dir
+from arcspan.sources import requests
 from arcspan.sources.requests import FIELDS, request, stream_requests
 from arcspan.streaming.stateful import Receiver
 
@@ -93,3 +94,26 @@ def test_files_of_requests(spark):
     with pytest.raises(Exception, match="not after"):
         run(spark, root, receiver)
     assert request("null")[-1] == "null" and request('{"us": true}')[3] is None
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path, monkeypatch):
+    """Each line is read once, wherever ranges cut the file, and a batch's files are read once."""
+    monkeypatch.setattr(requests, "BYTES", 37)
+    texts = ["", "é" * 30, "no json", *(f'{{"id": "{i}", "us": {i}}}' for i in range(60)), "x" * 200, '{"id": "last"}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0").write_text("\n".join(texts), "utf-8")
+    reader = requests._Stream(str(tmp_path / "in"))
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(parts) > 20 and [tuple(r.values()) for r in rows] == [request(x) for x in texts if x]
+    read = spark.sparkContext.accumulator(0)
+    stream = stream_requests(spark, f"file://{tmp_path}/in")
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    receiver = Receiver(spark, f"file://{tmp_path}/out")
+    stream.mapInArrow(counted, stream.schema).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(receiver.add).start().awaitTermination()
+    assert read.value == receiver.events().count() == len(rows)
