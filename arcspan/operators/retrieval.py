@@ -6,9 +6,16 @@ distinct tokens.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import ship
 from ..sinks import spool
 from . import nearest
 
@@ -129,6 +136,9 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id:
     terms = _weighed_terms(asked, pairs, few, lengths)
     allowed = few if only is None else few.join(only.select(id).distinct(), id, "left_semi")
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id))
+    if pairs > LONG * many and pairs <= TERMS:
+        scores = _scanned(allowed, terms, query_id, id, k)
+        return scores.withColumn("rank", place).filter(F.col("rank") <= k)
     if pairs > LONG * many:
         plain = terms.withColumns({"weak": F.lit(0.0), "least": F.lit(None).cast("double")})
         scores = _hits(allowed, plain, query_id, id).groupBy(query_id, id).agg(F.sum("part").alias("score"))
@@ -144,6 +154,75 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id:
     return scores.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _scanned(postings: DataFrame, terms: DataFrame, query_id: str, id: str, k: int) -> DataFrame:
+    """Scores of long queries, document by document: rows query_id, id, score, the k best of each query in each task.
+
+    The terms (at most `TERMS`) are broadcast, postings of these terms meet by document, and a task holds the products of
+    some documents and the k best of each query so far, so a pair of query and document is never a row of a shuffle.
+    """
+    ship(postings.sparkSession)
+    asked = terms.select(query_id, "term", "idf", "mean").toArrow().combine_chunks()
+    words, names = (asked[c].combine_chunks().dictionary_encode() if len(asked) else pa.array([], asked.schema.field(c).type).dictionary_encode() for c in ("term", query_id))
+    at, queries = words.indices.to_numpy(), names.indices.to_numpy()
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(words.dictionary) + 1))
+    shared = postings.sparkSession.sparkContext.broadcast((names.dictionary, starts, queries[order], asked["idf"].to_numpy()[order], float(asked["mean"][0].as_py()) if len(asked) else 1.0))
+    numbers = postings.sparkSession.createDataFrame(pa.table({"term": words.dictionary, "_t": pa.array(np.arange(len(words.dictionary)))}), "term string, _t long")
+    met = postings.join(F.broadcast(numbers), "term").select(id, "_t", F.col("length").cast("double").alias("length"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, queries, idf, mean = shared.value
+        bound, held = np.full(len(names), -np.inf), None
+
+        def best(now: tuple) -> tuple:
+            """The k best of each query, in the order of rounded scores and ids."""
+            q, ids, score = now
+            turn = np.empty(len(ids), np.int64)
+            turn[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            order = np.lexsort((turn, -np.round(score, 9), q))
+            fresh = np.append(True, q[order][1:] != q[order][:-1])
+            rank = np.arange(len(order)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            last = order[rank == k - 1]
+            bound[q[last]] = np.round(score[last], 9)
+            order = order[rank < k]
+            return q[order], ids.take(pa.array(order)), score[order]
+
+        def scored(rows: pa.Table) -> None:
+            """Offers whole documents, so many at once that their products stay bounded."""
+            nonlocal held
+            t, length = rows["_t"].to_numpy(), rows["length"].to_numpy()
+            ids = rows[id].combine_chunks().dictionary_encode() if rows[id].num_chunks != 1 else rows[id].chunk(0).dictionary_encode()
+            doc, many = ids.indices.to_numpy(), starts[t + 1] - starts[t]
+            begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            block = np.cumsum(many)[np.append(begin[1:], len(t)) - 1] // nearest.PRODUCTS
+            for cut in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(block)) + 1):
+                low, high = begin[cut[0]], begin[cut[-1] + 1] if cut[-1] + 1 < len(begin) else len(t)
+                n = many[low:high]
+                place = np.repeat(starts[t[low:high]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                part = idf[place] * np.repeat((K1 + 1) / (1 + K1 * (1 - B + B * length[low:high] / mean)), n)
+                pair, of = np.unique(np.repeat(doc[low:high].astype(np.int64), n) * len(names) + queries[place], return_inverse=True)
+                score, q = np.bincount(of, part), pair % len(names)
+                some = np.round(score, 9) >= bound[q]
+                found = (q[some], ids.dictionary.take(pa.array(pair[some] // len(names))), score[some])
+                held = best(found if held is None else (np.append(held[0], found[0]), pa.concat_arrays([held[1], found[1]]), np.append(held[2], found[2])))
+
+        rest = None  # the last document's rows, as the next batch may have more of them
+        for batch in batches:
+            if len(batch):
+                rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+                first = pc.index(rows[id], rows[id][-1]).as_py()
+                rest = rows.slice(first)
+                if first:
+                    scored(rows.slice(0, first))
+        if rest is not None:
+            scored(rest)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(held[0])), held[1], pa.array(held[2])], [query_id, id, "score"])
+
+    kinds = StructType([terms.schema[query_id], postings.schema[id], StructField("score", DoubleType())])
+    return met.repartition(id).sortWithinPartitions(id).mapInArrow(run, kinds)
+
+
 def _hits(postings: DataFrame, terms: DataFrame, query_id: str, id: str) -> DataFrame:
     """A row for each query, document and term of both: part, what it adds to the score, and the query's facts."""
     small = F.broadcast if terms.count() <= TERMS else lambda df: df
