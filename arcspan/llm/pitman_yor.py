@@ -50,7 +50,7 @@ from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import Spool, blobs, groups, map_arrow
+from .common import Spool, groups, map_arrow
 from .shingles import mix, word_hashes
 
 #: Share of the rarest word that is known by number; sweeps before sampling, samples.
@@ -104,6 +104,22 @@ def _symbols(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == words, at, len(known))
 
 
+def _squeezed(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """`data` cut into compressed values of `counts` elements, each after its size: Spark's own codec packs these numbers less well."""
+    codec, end = pa.Codec("zstd"), np.append(0, np.cumsum(counts))
+    cut = (np.ascontiguousarray(data[a:b]).tobytes() for a, b in zip(end, end[1:]))
+    return pa.array([len(x).to_bytes(4, "little") + codec.compress(x, asbytes=True) for x in cut], pa.binary())
+
+
+def _size(x: bytes) -> int:
+    return int.from_bytes(x[:4], "little")
+
+
+def _unsqueezed(x: bytes) -> bytes:
+    """A value of `_squeezed`."""
+    return pa.decompress(memoryview(x)[4:], _size(x), "zstd", asbytes=True)
+
+
 def _pack(first: int, words: np.ndarray, owner: np.ndarray, train: np.ndarray, known: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> pa.RecordBatch:
     """A chunk's steps by part; `first`: the number of its first text, `train`: a flag for each text."""
     count, tail = len(train), len(known)
@@ -147,8 +163,8 @@ def _pack(first: int, words: np.ndarray, owner: np.ndarray, train: np.ndarray, k
     pairs, contexts, steps, rares = (np.bincount(part, weights=w, minlength=parts).astype(np.int64) for w in (None, fresh, times, rare))
     some, to = pairs > 0, np.where(rare, np.uint32(tail), to)
     planes = [(to >> np.uint32(8 * k)).astype(np.uint8) for k in range(3)]
-    columns = [pa.array(np.flatnonzero(some).astype(np.int32)), pa.array(np.full(int(some.sum()), first)), blobs(hashes[frm[begin]], contexts[some]), blobs(held, contexts[some])]
-    columns += [blobs(x, pairs[some]) for x in (*planes, times.astype(np.uint32))] + [blobs(own, steps[some]), blobs(word[rare], rares[some])]
+    columns = [pa.array(np.flatnonzero(some).astype(np.int32)), pa.array(np.full(int(some.sum()), first)), _squeezed(hashes[frm[begin]], contexts[some]), _squeezed(held, contexts[some])]
+    columns += [_squeezed(x, pairs[some]) for x in (*planes, times.astype(np.uint32))] + [_squeezed(own, steps[some]), _squeezed(word[rare], rares[some])]
     return pa.RecordBatch.from_arrays(columns, ["part", "chunk", "u", "held", "w0", "w1", "w2", "times", "own", "rare"])
 
 
@@ -200,7 +216,7 @@ class _Part:
         rows, told = [], []
         for _, row in found:
             (told if len(row) == 2 else rows).append(row)
-        join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+        join = lambda name, kind: np.frombuffer(b"".join(_unsqueezed(r[name]) for r in rows), kind)
         self.contexts, at = np.unique(join("u", "<u8"), return_inverse=True)
         w = join("w0", np.uint8).astype(np.int64) | (join("w1", np.uint8).astype(np.int64) << 8) | (join("w2", np.uint8).astype(np.int64) << 16)
         self.rare, place = np.unique(join("rare", "<u8"), return_inverse=True)
@@ -208,7 +224,7 @@ class _Part:
         key, of = np.unique((np.repeat(at, join("held", "<u4")) << 32) | w, return_inverse=True)
         self.u, self.w = key >> 32, key & ((1 << 32) - 1)
         own = join("own", "<u2")
-        self.rows, self.steps, self.tail = rows, [len(r["own"]) // 2 for r in rows], tail
+        self.chunks, self.steps, self.tail = [r["chunk"] for r in rows], [_size(r["own"]) // 2 for r in rows], tail
         self.own, self.pair = own >> 1, np.repeat(of, join("times", "<u4"))
         self.c = np.bincount(self.pair, weights=own & 1, minlength=len(key)).astype(np.int64)
         self.root = np.ones(len(self.rare))
@@ -442,7 +458,7 @@ def _tables(dealt: RDD, symbols: np.ndarray, hot: tuple[np.ndarray, np.ndarray],
     def run(k: int, rows: Iterator[tuple[int, Row]]) -> Iterator[tuple[int, bytearray, bytearray]]:
         base, seats, hashes, elsewhere = shared.value
         part = _Part(rows, len(base) - 2)
-        if not part.rows:
+        if not part.chunks:
             return
         place = _group(part, hashes)
         mean, of = _seated(part, part.base(base), seats, k, place, elsewhere, only_hot)
@@ -473,7 +489,9 @@ def _tables(dealt: RDD, symbols: np.ndarray, hot: tuple[np.ndarray, np.ndarray],
         out = (by_context, ones)[r["r"] - _RANGES] if r["r"] >= _RANGES else by_symbol
         out[np.frombuffer(r["i"], "<i4")] = np.frombuffer(r["x"], "<f8")
     fewer = map_arrow(written.filter(F.col("r") == _RANGES + 2).select("i", "x"), _opened(["<i8", "<f8"], ["h", "fewer"]), "h long, fewer double")
-    return by_symbol, by_context, float(np.clip(ones[0] / (ones[0] + 2 * ones[1]), 0.1, 0.95)) if ones[0] else 0.5, fewer.groupBy("h").agg(F.sum("fewer").alias("fewer"))
+    fewer = fewer.groupBy("h").agg(F.sum("fewer").alias("fewer"))
+    fewer.spooled = written.spooled
+    return by_symbol, by_context, float(np.clip(ones[0] / (ones[0] + 2 * ones[1]), 0.1, 0.95)) if ones[0] else 0.5, fewer
 
 
 #: Spark has no unsigned numbers.
@@ -505,7 +523,9 @@ def _asked(dealt: RDD, tail: int, spool: Spool) -> DataFrame:
             yield k, bytearray(rare.tobytes())
 
     found = spool.write(spool.spark.createDataFrame(dealt.mapPartitionsWithIndex(run), "part long, h binary"))
-    return map_arrow(found, _opened(["<i8"], ["part", "h"]), "part long, h long")
+    out = map_arrow(found, _opened(["<i8"], ["part", "h"]), "part long, h long")
+    out.spooled = found.spooled
+    return out
 
 
 def _told(told: DataFrame, dealt: RDD, parts: int) -> RDD:
@@ -529,7 +549,7 @@ def _sums(dealt: RDD, root: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.nd
     def run(k: int, rows: Iterator[tuple[int, Row]]) -> Iterator[tuple]:
         root, seats, hashes, elsewhere, customers, tables = shared.value
         part = _Part(rows, len(root) - 2)
-        if not part.rows:
+        if not part.chunks:
             return
         place, base = _group(part, hashes), part.base(root)
         mean, of = _seated(part, base, seats, k, place, elsewhere)
@@ -540,13 +560,13 @@ def _sums(dealt: RDD, root: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.nd
         a, b = (predictive(x, t, n, all_tables, y, seats.d) for x, t, y in ((part.c, mean, 0.0), (0, 0, 1.0)))
         pack = lambda x, kind: bytearray(x.astype(kind).tobytes())
         end = np.cumsum(part.steps)
-        for r, first, last in zip(part.rows, end - part.steps, end):
+        for chunk, first, last in zip(part.chunks, end - part.steps, end):
             own, pair = part.own[first:last], part.pair[first:last]
             there = np.flatnonzero(np.bincount(own))
             rare = ~known[pair]
             key, times = np.unique(own[rare].astype(np.int64) << 40 | pair[rare], return_counts=True)
             pair, to = key & ((1 << 40) - 1), part.w[key & ((1 << 40) - 1)] - len(root)
-            yield r["chunk"], pack(there, "<u2"), pack(np.bincount(own, log[part.pair[first:last]])[there], "<f4"), pack(key >> 40, "<u2"), pack(part.rare[to], "<u8"), pack(times, "<u4"), pack(a[pair], "<f4"), pack(b[pair], "<f4")
+            yield chunk, pack(there, "<u2"), pack(np.bincount(own, log[part.pair[first:last]])[there], "<f4"), pack(key >> 40, "<u2"), pack(part.rare[to], "<u8"), pack(times, "<u4"), pack(a[pair], "<f4"), pack(b[pair], "<f4")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "chunk"):
@@ -595,15 +615,17 @@ def score(df: DataFrame, training: Column, id: str = "doc_id", text: str = "text
     dealt = _deal(docs.select("text", "train"), known_h, (hot_h, pieces), parts)
     share = np.concatenate([known_n, [1, max(texts, 1)]]) / (tokens + 1)
     rare = counts.filter(F.col("n") * frequent < tokens)
-    asked = _asked(dealt, len(known_h), spool)
+    wanted = _asked(dealt, len(known_h), spool)
     # At first a part takes it that the other parts of a context hold a table for every two customers.
     guess = np.where(pieces > 1, hot_n * (1 - 1 / pieces) * 0.5, 0.0)
     most = int(max(known_n.max(initial=1), texts))
-    asked = spool.write(asked.join(rare.filter("n > 1"), "h").select("part", "h", "n"))
+    asked = spool.write(wanted.join(rare.filter("n > 1"), "h").select("part", "h", "n"))
+    spool.drop(wanted)
     first = _told(asked.withColumn("p", F.col("n") / F.lit(tokens + 1.0)), dealt, parts)
     by_symbol, by_context, d, fewer = _tables(first, share, (hot_h, guess), Seats(FIRST, most), spool)
     # A rare word's customers in the root (k) are its tokens less those that joined a table, which only words asked for can.
     joined = spool.write(asked.select("h", "n").distinct().join(fewer, "h", "left").select("h", "n", F.greatest(F.lit(1), F.rint(F.col("n") - F.coalesce("fewer", F.lit(0.0)))).cast("long").alias("k")))
+    spool.drop(fewer)
     by_k = rare.select(F.col("n").alias("k"), F.lit(1).alias("words")).unionByName(joined.select(F.col("n").alias("k"), F.lit(-1).alias("words"))).unionByName(joined.select("k", F.lit(1).alias("words")))
     by_k = by_k.groupBy("k").agg(F.sum("words").alias("words")).toArrow()
     by_symbol = np.maximum(np.rint(by_symbol), 0).astype(np.int64)  # nothing is at len(known): the unknown word

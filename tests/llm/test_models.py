@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -355,3 +356,27 @@ def test_no_machine_local_spool_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session("yarn", None))
     assert shared_dir(session("yarn", "hdfs:///x/")) == "hdfs:///x" and shared_dir(session("local[2]", None)).startswith("file:///")
+
+
+def test_language_model_keeps_little_on_disk(spark, monkeypatch):
+    """Dealt steps are compressed and come back as they were; tables that nothing reads again are removed."""
+    rng = np.random.default_rng(2)
+    words, owner = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))[np.minimum(rng.zipf(1.3, 40_000), 400) - 1], np.sort(rng.integers(0, 50, 40_000)).astype(np.int32)
+    known, none = np.unique(words)[::2], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = pitman_yor._pack(0, words, owner, np.arange(50) % 2, known, none, 3).to_pylist()
+    parts = [pitman_yor._Part(((k, r) for r in rows if r["part"] == k), len(known)) for k in range(3)]
+    pairs, steps = sum(len(p.c) for p in parts), sum(len(p.own) for p in parts)
+    assert steps == 40_050 and sum(p.c.sum() for p in parts) == sum((owner == k).sum() + 1 for k in range(1, 50, 2))
+    assert (np.sum([np.bincount(p.own, minlength=50) for p in parts], axis=0) == np.bincount(owner, minlength=50) + 1).all()
+    assert sum(len(r[name]) for r in rows for name in ("w0", "w1", "w2", "times", "own")) < 0.7 * (7 * pairs + 2 * steps)
+    spools = []
+
+    class Seen(pitman_yor.Spool):
+        def __init__(self, spark):
+            super().__init__(spark)
+            spools.append(self)
+
+    monkeypatch.setattr(pitman_yor, "Spool", Seen)
+    df = spark.createDataFrame([(k, f"a b a b rare{k % 20} a b rare{k % 20}") for k in range(60)], "doc_id long, text string")
+    assert pitman_yor.score(df, F.lit(True), frequent=16).count() == 60
+    assert sorted(int(p.name) for p in Path(spools[0].root.removeprefix("file://")).iterdir()) == [1, 3, 5, 6, 7]
