@@ -154,6 +154,48 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, query_id:
     return scores.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+class Scan:
+    """The k best documents of each slot (a query, or a query and a source) by BM25 so far, of postings offered by document.
+
+    Terms are numbers: those of term t are `starts[t]` to `starts[t + 1]` of `slots` and `idf`, and its source's mean length is `mean[t]`.
+    """
+
+    def __init__(self, starts: np.ndarray, slots: np.ndarray, idf: np.ndarray, mean: np.ndarray, count: int, k: int):
+        self.starts, self.slots, self.idf, self.mean, self.count, self.k = starts, slots, idf, mean, count, k
+        self.bound, self.held = np.full(count, -np.inf), None
+
+    def _best(self, q: np.ndarray, ids: pa.Array, score: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The k best of each slot, in the order of rounded scores and ids."""
+        turn = np.empty(len(ids), np.int64)
+        turn[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((turn, -np.round(score, 9), q))
+        fresh = np.append(True, q[order][1:] != q[order][:-1])
+        rank = np.arange(len(order)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        last = order[rank == self.k - 1]
+        self.bound[q[last]] = np.round(score[last], 9)
+        order = order[rank < self.k]
+        return q[order], ids.take(pa.array(order)), score[order]
+
+    def offer(self, ids: pa.Array, doc: np.ndarray, t: np.ndarray, length: np.ndarray) -> None:
+        """Postings of whole documents (places in `ids`, a document's next to each other), so many at once that
+        their products stay bounded."""
+        if not len(t):
+            return
+        starts, many = self.starts, self.starts[t + 1] - self.starts[t]
+        begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        block = np.cumsum(many)[np.append(begin[1:], len(t)) - 1] // nearest.PRODUCTS
+        for cut in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(block)) + 1):
+            low, high = begin[cut[0]], begin[cut[-1] + 1] if cut[-1] + 1 < len(begin) else len(t)
+            n = many[low:high]
+            place = np.repeat(starts[t[low:high]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            part = self.idf[place] * np.repeat((K1 + 1) / (1 + K1 * (1 - B + B * length[low:high] / self.mean[t[low:high]])), n)
+            pair, of = np.unique(np.repeat(doc[low:high].astype(np.int64), n) * self.count + self.slots[place], return_inverse=True)
+            score, q = np.bincount(of, part), pair % self.count
+            some = np.round(score, 9) >= self.bound[q]
+            found, held = (q[some], ids.take(pa.array(pair[some] // self.count)), score[some]), self.held
+            self.held = self._best(*(found if held is None else (np.append(held[0], found[0]), pa.concat_arrays([held[1], found[1]]), np.append(held[2], found[2]))))
+
+
 def _scanned(postings: DataFrame, terms: DataFrame, query_id: str, id: str, k: int) -> DataFrame:
     """Scores of long queries, document by document: rows query_id, id, score, the k best of each query in each task.
 
@@ -166,45 +208,18 @@ def _scanned(postings: DataFrame, terms: DataFrame, query_id: str, id: str, k: i
     at, queries = words.indices.to_numpy(), names.indices.to_numpy()
     order = np.argsort(at, kind="stable")
     starts = np.searchsorted(at[order], np.arange(len(words.dictionary) + 1))
-    shared = postings.sparkSession.sparkContext.broadcast((names.dictionary, starts, queries[order], asked["idf"].to_numpy()[order], float(asked["mean"][0].as_py()) if len(asked) else 1.0))
+    mean = np.full(len(words.dictionary), float(asked["mean"][0].as_py()) if len(asked) else 1.0)
+    shared = postings.sparkSession.sparkContext.broadcast((names.dictionary, (starts, queries[order], asked["idf"].to_numpy()[order], mean, len(names.dictionary), k)))
     numbers = postings.sparkSession.createDataFrame(pa.table({"term": words.dictionary, "_t": pa.array(np.arange(len(words.dictionary)))}), "term string, _t long")
     met = postings.join(F.broadcast(numbers), "term").select(id, "_t", F.col("length").cast("double").alias("length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, starts, queries, idf, mean = shared.value
-        bound, held = np.full(len(names), -np.inf), None
-
-        def best(now: tuple) -> tuple:
-            """The k best of each query, in the order of rounded scores and ids."""
-            q, ids, score = now
-            turn = np.empty(len(ids), np.int64)
-            turn[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-            order = np.lexsort((turn, -np.round(score, 9), q))
-            fresh = np.append(True, q[order][1:] != q[order][:-1])
-            rank = np.arange(len(order)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            last = order[rank == k - 1]
-            bound[q[last]] = np.round(score[last], 9)
-            order = order[rank < k]
-            return q[order], ids.take(pa.array(order)), score[order]
+        names, told = shared.value
+        scan = Scan(*told)
 
         def scored(rows: pa.Table) -> None:
-            """Offers whole documents, so many at once that their products stay bounded."""
-            nonlocal held
-            t, length = rows["_t"].to_numpy(), rows["length"].to_numpy()
             ids = rows[id].combine_chunks().dictionary_encode() if rows[id].num_chunks != 1 else rows[id].chunk(0).dictionary_encode()
-            doc, many = ids.indices.to_numpy(), starts[t + 1] - starts[t]
-            begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            block = np.cumsum(many)[np.append(begin[1:], len(t)) - 1] // nearest.PRODUCTS
-            for cut in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(block)) + 1):
-                low, high = begin[cut[0]], begin[cut[-1] + 1] if cut[-1] + 1 < len(begin) else len(t)
-                n = many[low:high]
-                place = np.repeat(starts[t[low:high]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                part = idf[place] * np.repeat((K1 + 1) / (1 + K1 * (1 - B + B * length[low:high] / mean)), n)
-                pair, of = np.unique(np.repeat(doc[low:high].astype(np.int64), n) * len(names) + queries[place], return_inverse=True)
-                score, q = np.bincount(of, part), pair % len(names)
-                some = np.round(score, 9) >= bound[q]
-                found = (q[some], ids.dictionary.take(pa.array(pair[some] // len(names))), score[some])
-                held = best(found if held is None else (np.append(held[0], found[0]), pa.concat_arrays([held[1], found[1]]), np.append(held[2], found[2])))
+            scan.offer(ids.dictionary, ids.indices.to_numpy(), rows["_t"].to_numpy(), rows["length"].to_numpy())
 
         rest = None  # the last document's rows, as the next batch may have more of them
         for batch in batches:
@@ -216,13 +231,58 @@ def _scanned(postings: DataFrame, terms: DataFrame, query_id: str, id: str, k: i
                     scored(rows.slice(0, first))
         if rest is not None:
             scored(rest)
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(held[0])), held[1], pa.array(held[2])], [query_id, id, "score"])
+        if scan.held is not None:
+            q, ids, score = scan.held
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids, pa.array(score)], [query_id, id, "score"])
 
     kinds = StructType([terms.schema[query_id], postings.schema[id], StructField("score", DoubleType())])
     return met.repartition(id).sortWithinPartitions(id).mapInArrow(run, kinds)
 
 
+def scanned_by_source(made: DataFrame, terms: DataFrame, query_id: str, id: str, k: int) -> DataFrame:
+    """Scores of documents among those of their source: rows query_id, source, id, score, the k best of each query and source
+    in each task.
+
+    `made`: source, id (each pair once, without nulls) and the distinct tokens `_t`, a document a row, so nothing of it is
+    shuffled. `terms` (at most `TERMS`, broadcast): query_id, source, term, idf and the source's mean length.
+    """
+    ship(made.sparkSession)
+    asked = terms.select(query_id, "source", "term", "idf", "mean").toArrow().combine_chunks()
+    code = lambda c: pc.dictionary_encode(pa.concat_arrays(asked[c].chunks) if asked[c].num_chunks else pa.array([], asked.schema.field(c).type), null_encoding="encode")
+    names, sources, words = (code(c) for c in (query_id, "source", "term"))
+    q, of, word = (x.indices.to_numpy().astype(np.int64) for x in (names, sources, words))
+    pairs, slot = np.unique(q * max(len(sources.dictionary), 1) + of, return_inverse=True)
+    keys, t = np.unique(of * max(len(words.dictionary), 1) + word, return_inverse=True)
+    order = np.argsort(t, kind="stable")
+    mean = np.ones(len(keys))
+    mean[t] = asked["mean"].to_numpy()
+    edges = np.searchsorted(keys, np.arange(len(sources.dictionary) + 1) * max(len(words.dictionary), 1))
+    known = {g: (int(a), words.dictionary.take(pa.array(keys[a:b] % len(words.dictionary)))) for g, a, b in zip(sources.dictionary.to_pylist(), edges, edges[1:])}
+    labels = [x.dictionary.take(pa.array(i)) for x, i in ((names, pairs // max(len(sources.dictionary), 1)), (sources, pairs % max(len(sources.dictionary), 1)))]
+    told = (np.searchsorted(t[order], np.arange(len(keys) + 1)), slot[order], asked["idf"].to_numpy()[order], mean, len(pairs), k)
+    shared = made.sparkSession.sparkContext.broadcast((labels, known, told))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, known, told = shared.value
+        scan = Scan(*told)
+        for batch in batches:
+            for g in pc.unique(batch.column(0)).to_pylist() if len(batch) else []:
+                if g in known:
+                    first, words = known[g]
+                    rows = batch.filter(pc.equal(batch.column(0), g))
+                    tokens, length = rows.column(2), pc.list_value_length(rows.column(2)).to_numpy().astype(np.float64)
+                    at = pc.index_in(tokens.flatten(), value_set=words)
+                    there, doc = pc.is_valid(at), pc.list_parent_indices(tokens)
+                    doc = doc.filter(there).to_numpy()
+                    scan.offer(rows.column(1), doc, at.filter(there).to_numpy().astype(np.int64) + first, length[doc])
+        if scan.held is not None:
+            q, ids, score = scan.held
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(q)) for x in labels), ids, pa.array(score)], [query_id, "source", id, "score"])
+
+    kinds = StructType([terms.schema[query_id], terms.schema["source"], made.schema[id], StructField("score", DoubleType())])
+    return made.select("source", id, "_t").mapInArrow(run, kinds)
+
+
 def _hits(postings: DataFrame, terms: DataFrame, query_id: str, id: str) -> DataFrame:
     """A row for each query, document and term of both: part, what it adds to the score, and the query's facts."""
     small = F.broadcast if terms.count() <= TERMS else lambda df: df

@@ -25,25 +25,34 @@ PER_PROVIDER, CANDIDATES = 5, 15
 FAR = 999.0
 
 
-def corpus_index(corpus: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
-    """Postings (source, document_id, term, length) and sizes (source, n, mean) of all providers."""
-    made = spool(retrieval.spread(corpus.select("source", "document_id", text.alias("_text"))).select("source", "document_id", retrieval.tokens(F.col("_text")).alias("_t")))
-    sizes = made.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean"))
-    return made.select("source", "document_id", F.explode("_t").alias("term"), F.size("_t").alias("length")), sizes
+def corpus_tokens(corpus: DataFrame, text: Column) -> DataFrame:
+    """Rows source, document_id, _t (the distinct tokens) of all providers, written."""
+    return spool(retrieval.spread(corpus.select("source", "document_id", text.alias("_text"))).select("source", "document_id", retrieval.tokens(F.col("_text")).alias("_t")))
+
 
+def lexical(queries: DataFrame, made: DataFrame, k: int = PER_PROVIDER) -> DataFrame:
+    """Each provider's best documents by BM25 for each query routed to it (query_id, text, providers), of `corpus_tokens`.
 
-def lexical(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k: int = PER_PROVIDER) -> DataFrame:
-    """Each provider's best documents by BM25 for each query routed to it (query_id, text, providers)."""
+    Documents are scored where their tokens lie and a task gives the k best of each query and provider, so a pair of query
+    and document is never a row. Pairs are summed by a shuffle only where terms are too many to broadcast, or
+    keys of documents repeat or are null, which a task by itself can't tell.
+    """
+    postings = made.select("source", "document_id", F.explode("_t").alias("term"), F.size("_t").alias("length"))
+    sizes = made.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean"))
     terms = queries.select("query_id", F.explode("providers").alias("source"), retrieval.tokens(F.col("text")).alias("_t"))
     terms = spool(terms.select("query_id", "source", F.explode("_t").alias("term")))
-    small = F.broadcast if terms.count() <= retrieval.TERMS else lambda df: df
+    few_terms = terms.count() <= retrieval.TERMS
+    small = F.broadcast if few_terms else lambda df: df
     few = postings.join(small(terms.select("source", "term").distinct()), ["source", "term"], "left_semi")
     df = few.groupBy("source", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "source")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = (retrieval.K1 + 1) / (1 + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("length") / F.col("mean")))
-    weights = terms.join(df.select("source", "term", "mean", idf.alias("_idf")), ["source", "term"])
-    hits = postings.join(small(weights), ["source", "term"])
-    scores = hits.groupBy("query_id", "source", "document_id").agg(F.sum(F.col("_idf") * weight).alias("score"))
+    weights = terms.join(df.select("source", "term", "mean", idf.alias("idf")), ["source", "term"])
+    if few_terms and made.groupBy("source", "document_id").count().filter("count > 1 OR document_id IS NULL").isEmpty():
+        scores = retrieval.scanned_by_source(made, weights, "query_id", "document_id", k)
+    else:
+        weight = (retrieval.K1 + 1) / (1 + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("length") / F.col("mean")))
+        hits = postings.join(small(weights), ["source", "term"])
+        scores = hits.groupBy("query_id", "source", "document_id").agg(F.sum(F.col("idf") * weight).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc(F.round("score", 9)), "document_id"))
     return scores.withColumn("_p", place).filter(F.col("_p") <= k)
 
@@ -97,10 +106,12 @@ def search(queries: DataFrame, corpus: DataFrame, text: Column, vector: str, top
     asked = spool(queries.withColumn("providers", F.when(F.size(routed) > 0, routed).otherwise(F.array(F.lit("attack")))))
     docs = corpus.withColumns({c: F.lit(None).cast(kind) for c, kind in FIELDS.items() if c not in corpus.columns})
     docs = docs.withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
-    postings, sizes = corpus_index(docs, text)
     keys = ["source", "document_id"]
-    sure = docs.select(*keys, "confidence")
-    near, words = (_ranked(h).join(sure, keys) for h in (dense(asked, docs, vector), lexical(asked, postings, sizes)))
+    near, words = (spool(_ranked(h)) for h in (dense(asked, docs, vector), lexical(asked, corpus_tokens(docs, text))))
+    # Of the corpus only the documents that were found go on, so no other text meets a hit.
+    hits = spool(near.select(keys).union(words.select(keys)).distinct())
+    docs = spool(docs.select(*keys, *FIELDS).join(F.broadcast(hits) if hits.count() <= retrieval.TERMS else hits, keys, "left_semi"))
+    near, words = (h.join(docs.select(*keys, "confidence"), keys) for h in (near, words))
     fused = retrieval.fuse(near, words, ["query_id", *keys], weights)
     best = retrieval.order_fused(fused, "query_id", "document_id", CANDIDATES)
     if reranker is not None:
